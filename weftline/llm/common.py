@@ -164,3 +164,12 @@ def spread(counts: np.ndarray) -> np.ndarray:
     """0..c-1 for each count c, in one array."""
     ends = np.cumsum(counts)
     return np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - counts, counts)
+
+
+#: Rows up to which a materialised side is broadcast; beyond, the join shuffles and splits skewed keys.
+BROADCAST_ROWS = 500_000
+
+
+def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df (materialised, narrow rows) with a broadcast hint if a count proves it small; unchanged otherwise."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
