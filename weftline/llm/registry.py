@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import decontamination
 from .mixing import mix
+from .quality import learn, score_texts
 from .secret_scan import scan_secrets
 from .sharding import assign_shards
 from .substring_dedup import remove_repeats
@@ -28,6 +29,11 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_texts(docs, learn(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = decontamination.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return judged.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
@@ -56,7 +62,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_substring_dedup": op1_substring_dedup, "op2_sharding": op2_sharding, "op4_decontamination": op4_decontamination, "op7_url_filter": op7_url_filter, "op9_secret_scan": op9_secret_scan, "op10_mixing": op10_mixing}
+    return {"op1_substring_dedup": op1_substring_dedup, "op2_sharding": op2_sharding, "op3_quality": op3_quality, "op4_decontamination": op4_decontamination, "op7_url_filter": op7_url_filter, "op9_secret_scan": op9_secret_scan, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
