@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import decontamination
 from .mixing import mix
+from .near_dedup import near_duplicates
 from .quality import learn, score_texts
 from .secret_scan import scan_secrets
 from .sharding import assign_shards
@@ -43,6 +44,10 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -62,7 +67,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_substring_dedup": op1_substring_dedup, "op2_sharding": op2_sharding, "op3_quality": op3_quality, "op4_decontamination": op4_decontamination, "op7_url_filter": op7_url_filter, "op9_secret_scan": op9_secret_scan, "op10_mixing": op10_mixing}
+    return {"op1_substring_dedup": op1_substring_dedup, "op2_sharding": op2_sharding, "op3_quality": op3_quality, "op4_decontamination": op4_decontamination, "op7_url_filter": op7_url_filter, "op8_near_dedup": op8_near_dedup, "op9_secret_scan": op9_secret_scan, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:

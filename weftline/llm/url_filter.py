@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_broadcast, materialize
+from .graph import components
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
@@ -76,32 +77,6 @@ def link_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     return materialize(ends.select("a", "b"), "ends").where("a is not null and b is not null and a <> b").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, component (the least node) for every node of edges a, b. Loops until a large-star and small-star pass change nothing."""
-    none = edges.sparkSession.createDataFrame([], "node string, component string")
-    now = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "cc")
-    if now.isEmpty():
-        return none
-
-    def mark(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-
-    seen = mark(now)
-    while True:
-        both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = materialize(large, "cc-large")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low, "u")
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        now = materialize(small, "cc-small")
-        if (new := mark(now)) == seen:
-            break
-        seen = new
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-
-
 def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -> Column:
     """The longest rule that fits, as a struct of name, verdict; null if none. rules: (host, path prefix, verdict), a small given list."""
     rows = sorted(({(h.translate(str.maketrans(UPPER, LOWER)), p): v for h, p, v in rules}).items(), key=lambda r: (-len(r[0][0] + r[0][1]), r[0]))
