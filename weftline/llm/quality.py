@@ -253,21 +253,27 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     return fit(x, np.array([f[1] for f in found], float))
 
 
-def score_texts(docs: DataFrame, model: AdditiveModel, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", keep_rows: bool = False) -> DataFrame:
-    """id, held_out, score, predicted for every row; with keep_rows all input columns and _score, _predicted instead.
-
-    Null texts score as empty ones. No other column is an input of the score. Repeated rows and ids are scored each.
-    """
-
+def _scorer(model: AdditiveModel):
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
         data, offs = strings(texts)
         parts = [model.score(features(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])) for i, j in chunks(offs)]
         return pa.array(np.concatenate(parts) if parts else np.zeros(0))
 
-    scored = score(text_or_empty(text_col))
-    if keep_rows:
-        return docs.withColumn("_score", scored).withColumn("_predicted", (F.col("_score") >= threshold).cast("int"))
+    return score
+
+
+def score_texts(docs: DataFrame, model: AdditiveModel, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, held_out, score, predicted for every row.
+
+    Null texts score as empty ones. No other column is an input of the score. Repeated rows and ids are scored each; an
+    empty table gives an empty result.
+    """
     held = F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
-    out = docs.select(F.col(id_col), held.alias("held_out"), scored.alias("score"))
+    out = docs.select(F.col(id_col), held.alias("held_out"), _scorer(model)(text_or_empty(text_col)).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def keep_good(docs: DataFrame, model: AdditiveModel, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """docs without the documents that the model rejects, all columns kept."""
+    return docs.where(_scorer(model)(text_or_empty(text_col)) >= threshold)

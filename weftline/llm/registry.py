@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontamination
+from .fingerprints import compare_with_next
+from .license_scan import scan_licenses
 from .mixing import mix
 from .near_dedup import near_duplicates
 from .quality import learn, score_texts
@@ -40,6 +42,16 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of a source as a tree: source / language / id."""
+    docs = table(spark, sf_dir, "documents").withColumn("path", F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.coalesce("lang", F.lit("unknown")), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    return scan_licenses(docs, "path")
+
+
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_with_next(table(spark, sf_dir, "documents"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -67,7 +79,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_substring_dedup": op1_substring_dedup, "op2_sharding": op2_sharding, "op3_quality": op3_quality, "op4_decontamination": op4_decontamination, "op7_url_filter": op7_url_filter, "op8_near_dedup": op8_near_dedup, "op9_secret_scan": op9_secret_scan, "op10_mixing": op10_mixing}
+    return {"op1_substring_dedup": op1_substring_dedup, "op2_sharding": op2_sharding, "op3_quality": op3_quality, "op4_decontamination": op4_decontamination, "op5_license_scan": op5_license_scan, "op6_fingerprints": op6_fingerprints, "op7_url_filter": op7_url_filter, "op8_near_dedup": op8_near_dedup, "op9_secret_scan": op9_secret_scan, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
