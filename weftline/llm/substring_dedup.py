@@ -231,6 +231,8 @@ def repeated_windows(texts: DataFrame, window: int) -> DataFrame:
     """texts: doc, text, key (text_key of text). Returns key, loc: starts (loc >> 8) to (loc >> 8) + (loc & 255) of repeated windows; a row may come more than once."""
     found = texts.select("key", "text").mapInArrow(_scan(window), "h long, sig long, key long, loc long")
     often = found.groupBy("h").agg(F.count("*").alias("c"), F.min("sig").alias("a"), F.max("sig").alias("b")).where("c > 1").select("h", (F.col("a") != F.col("b")).alias("mixed"))
+    # written first, so that the join's own exchange is one that AQE can split where a gram is hot
+    often = materialize(often, "often")
     shared = materialize(found.join(often, "h"), "pieces")
     equal = shared.where("not mixed").select("key", "loc")
     mixed = shared.where("mixed")
