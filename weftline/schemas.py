@@ -1,0 +1,28 @@
+"""Record schemas, as DDL. Every table may carry _ord, the order of its source."""
+
+EVAL_ITEM = "dataset string, split string, src_lang string, tgt_lang string, sample_id string, source_text string, reference_text string"
+MERGED_ITEM = f"{EVAL_ITEM}, eval_pair string, eval_corpus string"
+HYPOTHESIS = f"{MERGED_ITEM}, hypothesis string"
+SEGMENTED = f"{HYPOTHESIS}, hypothesis_segmented string, reference_segmented string, segmentation_tokenizer string, segmentation_error string"
+SYNTHETIC_META = "struct<source:string,source_file:string,source_hash:string,generator:string,api_base:string,from_file:string,orig_eng:string,reversed_from:string>"
+ALPACA = "instruction string, input string, output string"
+ALPACA_META = f"{ALPACA}, meta {SYNTHETIC_META}"
+DOCUMENT = "text string"
+BLOCK = f"text string, meta {SYNTHETIC_META}"
+LEXICON = "source string, src_lang string, tgt_lang string, source_text string, target_text string, target_candidates array<string>, confidence double, relation string, source_url string, license_note string, pivot_text string"
+TERM_META = "struct<src_lang:string,tgt_lang:string,source:string,confidence:double,all_targets:array<string>,pivot_text:string>"
+METRICS = "corpus string, pair string, bleu double, bleu_tokenizer string, comet double, num long"
+PAIR_LIMIT = "src_lang string, tgt_lang string, limit long"
+EXPERT = "src_lang string, tgt_lang string, dataset string, adapter_name string, adapter_path string"
+SELECTED_EXPERT = f"{EXPERT}, selected_by string, selected_corpus string, selected_step int, selected_comet double, adapter_root string, selection_run_dir string"
+CANDIDATE = "pair string, step int, comet double, corpus string, run_dir string"
+SELECTION = "pair string, adapter_name string, adapter_root string, best_step string, best_comet string, best_adapter_path string, status string"
+CORPUS_SAMPLE = "dataset string, subset string, split string, sample_id string, text string, metadata map<string,string>"
+LANGUAGE_STATS = "total_rows long, unique_languages long, by_language map<string,long>, partial boolean, shard_paths array<string>"
+PRESENCE = "repo_lang string, config_exists boolean, rows_seen long, rows_passing long, samples array<string>, pass_ratio double"
+MIX_SOURCE = "map<string,struct<enabled:boolean,required:boolean,limit:long,path_template:string>>"
+REGISTRATION = "map<string,struct<file_name:string,formatting:string,columns:map<string,string>>>"
+LOOKUP = f"query string, src_lang string, tgt_lang string, match_type string, total_matches long, offset long, top_k long, has_more boolean, results array<struct<{LEXICON.replace(' ', ':').replace(',:', ',')}>>, fallback_used boolean, fallback_scope string"
+QUARANTINE = f"{MERGED_ITEM}, error string"
+MIX_MANIFEST = "src_lang string, tgt_lang string, dataset string, file_name string, num_rows long, source_counts map<string,long>"
+GENERATION = "provider string, model string, base_url string, num_samples long, resume boolean, max_retries int, skipped_content_filter long"
