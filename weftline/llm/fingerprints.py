@@ -48,9 +48,10 @@ def _again(label: np.ndarray, first: np.ndarray, table: np.ndarray, width: int)
 
 
 def _cuts(label: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Starts of blocks: each row's first symbol, and strict peaks of the label."""
+    """Starts of blocks: each row's first symbol, and strict peaks of the label within a row."""
     peak = np.zeros(len(label), bool)
     peak[1:-1] = (label[1:-1] > label[:-2]) & (label[1:-1] > label[2:])
+    peak[first[1:] - 1] = False
     peak[first] = True
     return np.flatnonzero(peak)
 
