@@ -214,13 +214,16 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 120, rate: float = 0.15, n_p
             cell = b[:, f] * table.shape[1] + b[:, g]
             gs = np.bincount(cell, y - p, table.size).reshape(table.shape)
             hs = np.bincount(cell, p * (1 - p), table.size).reshape(table.shape)
-            # a tree of depth two: one cut of f, then a cut of g on either side
-            halves = _tree(gs.sum(1), hs.sum(1), 2, least, smooth)
-            cut = int(np.argmax(halves != halves[0]))
-            step = np.zeros(table.shape)
-            for lo, hi in ((0, cut), (cut, table.shape[0])):
-                if lo < hi:
-                    step[lo:hi] = _tree(gs[lo:hi].sum(0), hs[lo:hi].sum(0), 3, least, smooth)
+            # a tree of depth two: the cut of f after which cuts of g on either side gain most
+            step, most = np.zeros(table.shape), -1.0
+            for cut in np.unique(np.linspace(0, table.shape[0], 9).astype(int)[:-1]):
+                one, gain = np.zeros(table.shape), 0.0
+                for lo, hi in ((0, cut), (cut, table.shape[0])):
+                    if lo < hi:
+                        one[lo:hi] = _tree(gs[lo:hi].sum(0), hs[lo:hi].sum(0), 3, least, smooth)
+                        gain += float((one[lo:hi] * gs[lo:hi]).sum())
+                if gain > most:
+                    step, most = one, gain
             step *= rate
             table += step
             z += step.ravel()[cell]
