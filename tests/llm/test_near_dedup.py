@@ -3,6 +3,7 @@ from collections import Counter
 
 import fixtures_llm as fx
 import numpy as np
+import pyarrow as pa
 
 from weftline.llm import near_dedup as N
 
@@ -71,3 +72,45 @@ def test_weighted_jaccard_exact():
     one = (np.array([1, 2, 2, 3], np.uint32), np.array([0, 0, 0, 1]))
     two = (np.array([2, 5, 3, 3], np.uint32), np.array([0, 0, 1, 1]))
     assert np.allclose(N.weighted_jaccard(one, two, 3, idf), [1 / 4, 1 / 2, 1])
+
+
+def drifting(n=150, width=60, step=5):
+    """A chain of which only neighbours are alike, and a group whose pairs lie on both sides of the bound."""
+    words = [f"c{k}" for k in range(width + step * n)]
+    rows = [" ".join(words[k * step : k * step + width]) for k in range(n)]
+    rng = np.random.default_rng(4)
+    rows += [" ".join(f"m{i}x{j}" if new else f"b{j}" for j, new in enumerate(rng.random(width) < 0.04)) for i in range(n)]
+    return list(enumerate(dict.fromkeys(rows)))
+
+
+def test_all_pairs_of_a_bucket_are_compared(spark):
+    rows = drifting()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    idf = N.document_frequencies(df)
+    table = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]), pa.array([r[0] for r in rows])], names=["key", "text", "doc"])
+    made = pa.Table.from_batches(N._signatures(idf)([table]))
+    bands = [set(b) for b in made.column("bands").to_pylist()]
+    own = [N.shingles(*N.strings(pa.array([r[1]]))) for r in rows]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if group[i] != group[j] and bands[i] & bands[j] and max(N.weighted_jaccard(own[i], own[j], 1, idf)[0], N.plain_jaccard(own[i], own[j], 1)[0]) >= 0.8:
+                a, b = group[i], group[j]
+                group = [b if g == a else g for g in group]
+    assert len(set(group)) > 3
+    got = {r.doc_id: r.class_id for r in N.near_duplicates(df).collect()}
+    least = {g: group.index(g) for g in set(group)}
+    assert got == {i: least[g] for i, g in enumerate(group)}
+
+
+def test_blocks_agree_with_pairs():
+    rng = np.random.default_rng(5)
+    idf = rng.uniform(0.5, 6, N.BINS).astype(np.float32)
+    texts = [np.sort(rng.integers(0, 60, rng.integers(0, 90)).astype(np.uint32)) for _ in range(40)]
+    hashes, row = np.concatenate(texts), np.repeat(np.arange(40), [len(t) for t in texts])
+    left, right = np.arange(0, 25), np.arange(25, 40)
+    near = N.near_pairs(hashes, row, left, right, idf, 0.4)
+    for i in left:
+        for j in right:
+            one, two = ((texts[k], np.zeros(len(texts[k]), int)) for k in (i, j))
+            assert near[i, j - 25] == (max(N.weighted_jaccard(one, two, 1, idf)[0], N.plain_jaccard(one, two, 1)[0]) >= 0.4)

@@ -3,12 +3,12 @@
 Texts that are equal collapse to one key first. A shingle's weight is its count in the text times an inverse document
 frequency; frequencies of all documents are counted in a sketch of fixed width (a shingle's bin), so that what is
 broadcast never grows. Each text gets SAMPLES consistent weighted samples (Ioffe 2010): two texts agree in one with their
-weighted Jaccard similarity. Bands of ROWS samples name buckets. In a bucket only the least key is compared with the
-others. Where all reach the similarity the bucket is done; all members of the others meet again where they share two such
-buckets (texts of similarity 0.8 share six of 18 on average), and those that fail there are compared with a few of their
-bucket at a time, until each bucket lies in one class or none is left. So no bucket is paired with itself, and no cap drops a candidate. Each pair is
-verified by its exact weighted Jaccard similarity (or that of the plain shingle sets, if that alone reaches the bound: the
-weights of a borderline copy may turn either way); links form classes as connected components.
+weighted Jaccard similarity. Bands of ROWS samples name buckets. In a bucket first only the least key is compared with the
+others. Buckets that lie in more than one class after that are finished whole: all their members, linked ones too, are dealt
+into blocks, and all pairs of members of different classes are compared, block by block; only blocks of one and the same
+class are left out. So each pair of texts that share a bucket is compared or lies in one class, and no cap drops a candidate.
+Each pair is verified by its exact weighted Jaccard similarity (or that of the plain shingle sets, if that alone reaches the
+bound: the weights of a borderline copy may turn either way); links form classes as connected components.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_broadcast, chunks, gram_hashes, materialize, mix64, span_hashes, spread, strings, text_key, text_or_empty, word_bounds, word_hashes
@@ -26,10 +26,8 @@ from .graph import components
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 18, 5
-#: Two buckets of a text make one of the second round if their bands are so near, in a ring; of five bands shared two are.
-REACH = 3
-#: Members of a bucket with which the rest of it is compared in one of the last rounds.
-CENTRES = 8
+#: Rows and bytes of shingles of a block, on average; two blocks are compared at a time.
+BLOCK_ROWS, BLOCK_BYTES = 512, 8 << 20
 #: Pairs whose samples agree by less than the similarity less this aren't verified: over four standard errors of 90 samples.
 MARGIN = 0.18
 #: Bins of the document-frequency sketch.
@@ -37,6 +35,8 @@ BINS = 1 << 16
 _TABLE = 1 << 12
 #: Shingles that are sampled at a time.
 _BLOCK = 1 << 14
+#: Shingles of a block that are multiplied at a time.
+_COLUMNS = 1 << 11
 
 
 def shingles(data: np.ndarray, offs: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -216,18 +216,118 @@ def _both_ends(edges: DataFrame, of: DataFrame, column: str) -> DataFrame:
     return left.join(of.select(F.col("key").alias("centre"), F.col(column).alias("other")), "centre").select("key", "centre", "one", "other")
 
 
-def _together(links: list[DataFrame]) -> DataFrame:
-    out = links[0]
-    for more in links[1:]:
-        out = out.union(more)
+def near_pairs(hashes: np.ndarray, row: np.ndarray, left: np.ndarray, right: np.ndarray, idf: np.ndarray, least: float) -> np.ndarray:
+    """Whether the texts left[i] and right[j] (rows of the sorted shingle hashes) reach the similarity, for all i and j.
+
+    The least of two counts is the number of t with both counts t or more: items (shingle, t) of one weight turn the sums into
+    products of 0-1 matrices. Items of one text add to its own sum only.
+    """
+    n = int(max(left.max(), right.max())) + 1
+    start = np.flatnonzero(np.append(True, (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1])) if len(hashes) else np.zeros(0, bool))
+    t = np.arange(len(hashes)) - np.repeat(start, np.diff(np.append(start, len(hashes))))
+    own = np.bincount(row, idf[bin_of(hashes)].astype(float), n)
+    size = np.bincount(row[t == 0], minlength=n).astype(float)
+    items, col, count = np.unique(t.astype(np.uint64) << np.uint64(32) | hashes, return_inverse=True, return_counts=True)
+    keep = np.flatnonzero(count[col] > 1)
+    keep = keep[np.argsort(col[keep], kind="stable")]
+    shared = np.flatnonzero(count > 1)
+    at = np.searchsorted(shared, col[keep])
+    weight, single = idf[bin_of((items[shared] & np.uint64(0xFFFFFFFF)).astype(np.uint32))].astype(float), (items[shared] >> np.uint64(32)) == 0
+    low, both = np.zeros((len(left), len(right))), np.zeros((len(left), len(right)))
+    for i in range(0, len(shared), _COLUMNS):
+        j = min(i + _COLUMNS, len(shared))
+        lo, hi = np.searchsorted(at, [i, j])
+        held = np.zeros((n, j - i))
+        held[row[keep[lo:hi]], at[lo:hi] - i] = 1
+        one, other = held[left], held[right].T
+        low += (one * weight[i:j]) @ other
+        both += (one * single[i:j]) @ other
+    out = np.zeros(low.shape, bool)
+    for part, whole in ((low, own), (both, size)):
+        high = whole[left][:, None] + whole[right][None, :] - part
+        out |= np.where(high > 0, part / np.where(high > 0, high, 1), 1.0) >= least
+    return out
+
+
+def forest(near: np.ndarray, left: np.ndarray, right: np.ndarray, classes: np.ndarray) -> list[tuple[int, int]]:
+    """Of the near pairs (left[i], right[j]) as many as join the classes (of all rows) that they join together."""
+    now, out = np.unique(classes, return_inverse=True)[1], []
+    for i in np.flatnonzero((near & (now[left][:, None] != now[right][None, :])).any(axis=1)):
+        to = right[near[i]]
+        roots, first = np.unique(now[to], return_index=True)
+        mine = now[left[i]]
+        fresh = roots != mine
+        if fresh.any():
+            out += [(int(left[i]), int(to[k])) for k in first[fresh]]
+            now[np.isin(now, roots)] = mine
     return out
 
 
+def _finish(idf: np.ndarray, least: float):
+    """Links a, b between the classes of each unit's two blocks (or of its one block); rows by unit."""
+
+    def links(parts: list[pa.RecordBatch]) -> pa.RecordBatch | None:
+        rows = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+        side, classes = rows.column(1).to_numpy(), rows.column(3).to_numpy()
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        if not len(right):
+            right = left
+        if not len(left) or len(np.unique(classes)) < 2:
+            return None
+        found = np.array(forest(near_pairs(*_unpack(rows.column(4)), left, right, idf, least), left, right, classes), np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([rows.column(2).take(pa.array(found[:, k])) for k in (0, 1)], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, unit = [], None
+        for batch in batches:
+            if not len(batch):
+                continue
+            units = batch.column(0).to_numpy()
+            cuts = np.append(np.flatnonzero(np.append(True, units[1:] != units[:-1])), len(units))
+            for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if held and units[i] != unit:
+                    if (out := links(held)) is not None:
+                        yield out
+                    held = []
+                unit = units[i]
+                held.append(batch.slice(i, j - i))
+        if held and (out := links(held)) is not None:
+            yield out
+
+    return run
+
+
 def _unsettled(members: DataFrame, groups: DataFrame) -> DataFrame:
-    """Members (key, bucket) of the buckets that lie in more than one class so far."""
-    marked = members.join(groups.select(F.col("node").alias("key"), "component"), "key", "left").select("bucket", F.coalesce("component", "key").alias("c"))
-    mixed = marked.groupBy("bucket").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("bucket")
-    return members.join(mixed, "bucket", "left_semi").select("key", "bucket")
+    """bucket, key, class of all members of the buckets that lie in more than one class so far; in a bucket of two the pair has been compared."""
+    marked = members.join(groups.select(F.col("node").alias("key"), "component"), "key", "left").select("bucket", "key", F.coalesce("component", "key").alias("c"))
+    mixed = marked.groupBy("bucket").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.count("*").alias("n")).where("a <> b and n > 2")
+    return marked.join(bounded_broadcast(materialize(mixed.select("bucket"), "mixed")), "bucket", "left_semi")
+
+
+def _units(members: DataFrame, bodies: DataFrame) -> DataFrame:
+    """unit, side, key, c, body: members (bucket, key, c) in blocks, and each two blocks of a bucket, or one with itself, as a unit.
+
+    A class that fills a block has blocks of its own, which don't meet each other; other classes of a bucket share blocks.
+    """
+    sized = members.join(bodies.select("key", F.length("body").alias("size")), "key")
+    parts = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("size") / BLOCK_BYTES)).cast("int")
+    classes = sized.groupBy("bucket", "c").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    classes = materialize(classes.withColumn("alone", parts > 1).withColumn("of", F.when(parts > 1, F.col("c")).otherwise(0)), "block-classes")
+    pools = classes.groupBy("bucket", "alone", "of").agg(F.sum("n").alias("n"), F.sum("size").alias("size"))
+    pools = materialize(pools.select("bucket", "alone", "of", parts.alias("parts")), "block-pools")
+    name = lambda k: F.xxhash64("bucket", "alone", "of", k).alias("block")
+    dealt = members.join(bounded_broadcast(classes.select("bucket", "c", "alone", "of")), ["bucket", "c"]).join(bounded_broadcast(pools), ["bucket", "alone", "of"])
+    dealt = dealt.select("key", "c", name(F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")))
+    blocks = pools.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("bucket", "alone", "of", name(F.col("k")))
+    blocks = materialize(blocks, "blocks")
+    others = blocks.select("bucket", F.col("alone").alias("alone_"), F.col("of").alias("of_"), F.col("block").alias("other"))
+    two = blocks.join(others, "bucket").where("block <= other and not (alone and alone_ and of = of_)").select("block", "other")
+    ends = F.when(F.col("block") == F.col("other"), F.array(F.struct(F.lit(0).alias("side"), "block"))).otherwise(F.array(F.struct(F.lit(0).alias("side"), "block"), F.struct(F.lit(1).alias("side"), F.col("other").alias("block"))))
+    places = materialize(two.select(F.xxhash64("block", "other").alias("unit"), F.inline(ends)), "units")
+    placed = materialize(dealt.join(places, "block").select("unit", "side", "key", "c"), "placed")
+    # a fixed number of partitions: the work grows with the square of a block's rows, not with the bytes by which AQE merges
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return placed.join(bodies, "key").select("unit", "side", "key", "c", "body").repartition(n, "unit").sortWithinPartitions("unit")
 
 
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -243,61 +343,29 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str =
     made = texts.select("key", "text", "doc").mapInArrow(_signatures(idf), f"key long, doc {kind}, bands array<long>, samples binary")
     signed = materialize(made.groupBy("key").agg(F.first("bands").alias("bands"), F.first("samples").alias("samples"), F.min("doc").alias("carrier")), "signatures")
     likely = similarity - MARGIN
-    members = signed.select("key", F.posexplode("bands").alias("band", "bucket"))
-    bodies, groups, links = None, None, []
-    while True:
-        first, last = not links, len(links) > 1
-        # written first, so that the join's exchanges are its own and AQE can split a hot bucket
-        if last:  # what failed twice meets up to CENTRES of its bucket at once; a window's group limit picks them before the exchange
-            order = Window.partitionBy("bucket").orderBy(F.xxhash64("key", "bucket"), "key")
-            ranked = members.withColumn("n", F.row_number().over(order)).where(F.col("n") <= CENTRES)
-            centres = materialize(ranked.select("bucket", F.col("key").alias("centre")), "centres")
-        else:
-            # first the least key, so that the buckets of one group agree; then any, so that a text meets many of a group
-            centre = F.min("key") if first else F.min_by("key", F.xxhash64("key", "bucket"))
-            centres = materialize(members.groupBy("bucket").agg(centre.alias("centre"), F.count("*").alias("n")).where("n > 1").drop("n"), "centres")
-        pairs = members.join(centres, "bucket").where("key <> centre")
-        if last:  # two centres meet once
-            pairs = pairs.select("bucket", F.greatest("key", "centre").alias("key"), F.least("key", "centre").alias("centre")).distinct()
-        if groups is not None:  # what is linked already needs no other link
-            for end in ("key", "centre"):
-                pairs = pairs.join(groups.select(F.col("node").alias(end), F.col("component").alias(f"_{end}")), end, "left")
-            pairs = pairs.where(F.coalesce("_key", "key") != F.coalesce("_centre", "centre"))
-        pairs = materialize(pairs.select("bucket", "key", "centre", *(["band"] if first else [])), "pairs")
-        edges = materialize(pairs.select("key", "centre").distinct(), "edges")
-        if last:
-            members = materialize(members.join(centres.withColumnRenamed("centre", "key"), ["bucket", "key"], "left_anti"), "members")
-        if edges.isEmpty():
-            if last and not members.isEmpty():
-                continue
-            break
-        ends = materialize(edges.select("key").union(edges.select(F.col("centre").alias("key"))).distinct(), "ends")
-        marked = _both_ends(edges, signed.select("key", "samples").join(bounded_broadcast(ends), "key"), "samples")
-        worth = materialize(marked.mapInArrow(_likely, "key long, centre long, share double").where(F.col("share") >= likely).select("key", "centre"), "likely")
-        wanted = materialize(worth.select("key").union(worth.select(F.col("centre").alias("key"))).distinct().join(signed.select("key", "carrier"), "key"), "wanted")
-        if bodies is not None:
-            wanted = materialize(wanted.join(bodies.select("key"), "key", "left_anti"), "wanted")
-        some = texts.join(bounded_broadcast(wanted), "key").select("doc", "carrier", "key", "text")
-        bodies = (lambda new, old: new if old is None else old.union(new))(materialize(some.mapInArrow(_bodies, "key long, body binary").distinct(), "shingles"), bodies)
-        judged = materialize(_both_ends(worth, bodies, "body").mapInArrow(_verify(idf, similarity), "a long, b long, sim double, near boolean"), "judged")
-        links.append(judged.where("near").select("a", "b"))
-        passed = judged.where("near").select(F.col("a").alias("key"), F.col("b").alias("centre"))
-        failed = pairs.join(passed, ["key", "centre"], "left_anti")
-        groups = materialize(components(_together(links)), "groups")
-        if first:
-            # buckets with a pair that failed: all their members, now by two such buckets at a time
-            open_ = failed.select("bucket").distinct()
-            all_of = pairs.select("bucket", "key", "band").union(pairs.select("bucket", F.col("centre").alias("key"), "band").distinct()).join(open_, "bucket", "left_semi")
-            lists = all_of.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("band", "bucket"))).alias("l")).where(F.size("l") > 1)
-            near_by = F.flatten(F.transform("l", lambda x, i: F.transform(F.filter(F.slice("l", i + 2, BANDS), lambda y: (y["band"] - x["band"] <= REACH) | (x["band"] + BANDS - y["band"] <= REACH)), lambda y: F.xxhash64(x["bucket"], y["bucket"]))))
-            members = lists.select("key", F.explode(near_by).alias("bucket"))
-        elif not last:
-            again = failed.select("key", "bucket").union(failed.select(F.col("centre").alias("key"), "bucket")).distinct()
-            members = again
-        members = materialize(_unsettled(members, groups), "members")
+    members = signed.select("key", F.explode("bands").alias("bucket"))
+    # the least key first, so that the buckets of one group agree; written first, so that the join's exchanges are its own and AQE can split a hot bucket
+    centres = materialize(members.groupBy("bucket").agg(F.min("key").alias("centre"), F.count("*").alias("n")).where("n > 1").drop("n"), "centres")
+    pairs = materialize(members.join(centres, "bucket").where("key <> centre"), "pairs")
+    edges = materialize(pairs.select("key", "centre").distinct(), "edges")
     found = texts.select("doc", "key")
-    if not links:
+    if edges.isEmpty():
         return found.withColumn("class_key", F.col("key"))
+    ends = materialize(edges.select("key").union(edges.select(F.col("centre").alias("key"))).distinct(), "ends")
+    marked = _both_ends(edges, signed.select("key", "samples").join(bounded_broadcast(ends), "key"), "samples")
+    worth = materialize(marked.mapInArrow(_likely, "key long, centre long, share double").where(F.col("share") >= likely).select("key", "centre"), "likely")
+    wanted = materialize(ends.join(signed.select("key", "carrier"), "key"), "wanted")
+    some = texts.join(bounded_broadcast(wanted), "key").select("doc", "carrier", "key", "text")
+    bodies = materialize(some.mapInArrow(_bodies, "key long, body binary").distinct(), "shingles")
+    judged = materialize(_both_ends(worth, bodies, "body").mapInArrow(_verify(idf, similarity), "a long, b long, sim double, near boolean"), "judged")
+    links = judged.where("near").select("a", "b")
+    groups = materialize(components(links), "groups")
+    centres_too = pairs.select("bucket", "key").union(pairs.select("bucket", F.col("centre").alias("key")).distinct())
+    left = materialize(_unsettled(centres_too, groups), "unsettled")
+    if not left.isEmpty():
+        more = materialize(_units(left, bodies).mapInArrow(_finish(idf, similarity), "a long, b long"), "more-links")
+        if not more.isEmpty():
+            groups = materialize(components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)), "groups")
     return found.join(bounded_broadcast(groups.withColumnRenamed("node", "key")), "key", "left").select("doc", "key", F.coalesce("component", "key").alias("class_key"))
 
 
