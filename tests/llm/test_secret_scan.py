@@ -46,3 +46,20 @@ def test_table(spark):
 
 def test_very_long_text():
     assert S.scan("x " * 2_000_000 + "a1" * 12) == [(4_000_000, 4_000_024, "hex")]
+
+
+def test_pairs_that_share_a_line():
+    key = "Zk3aa99Lq0pW7"
+    for text in (
+        '{"db": {"private_key": "%s"}}', '<conn user="bob" private_key="%s"/>', "INFO: auth_key=%s", 'connect(private_key="%s", port=3)', "private_key\t=\t'%s'", "private_key" + " " * 20 + "= %s",
+        "a = 1, private_key: %s", "x" * 90 + "_private_key = '%s'", "<private_key=%s>", "url = http://h/?a=1&private_key=%s", "note: " + "y" * 5000 + " private_key=%s",
+    ):
+        assert key in [(text % key)[s:e] for s, e, k in S.scan(text % key) if k == "name"], text
+    for value in ("aB3,dE5;fG7", "aB3" * 2000, 'aB3\\"dE5'):
+        text = f'private_key = "{value}"; other = 1'
+        assert (value, 15, 15 + len(value)) in [p[1:] for p in S.pairs(text)]
+
+
+def test_long_runs_are_linear():
+    for piece in ("a=", "a.", '"', "'a' + ", "a: ", "\\", " \t", "a + "):
+        S.scan("private_key = " + piece * 20_000)

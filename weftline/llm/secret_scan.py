@@ -28,12 +28,11 @@ HEX = re.compile(r"[0-9a-f]+")
 _LONG_HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "name")
 
-#: name, operator, right-hand side to the end of a statement
-_PAIR = re.compile(r"""(?<![\w.$-])["']?([A-Za-z_$][\w.$-]{0,80})["']?\x20{0,8}(?::=|=>|[:=])(?!=)\x20{0,8}([^\n;,]{1,4096})""")
-_LITERAL = re.compile(r'"((?:[^"\\\n]|\\.)*)"|\'((?:[^\'\\\n]|\\.)*)\'|`([^`\n]*)`|([^\s"\'`(){}\[\],;]+)')
+#: name and operator; the literal is read on its own from there
+_PAIR = re.compile(r"""(?<![\w.$-])["']?([A-Za-z_$][\w.$-]*+)["']?[ \t]*+(?::=|=>|[:=])(?!=)[ \t]*+""")
+_LITERAL = re.compile(r'"((?:[^"\\\n]|\\.)*+)"|\'((?:[^\'\\\n]|\\.)*+)\'|`([^`\n]*+)`|([^\s"\'`(){}\[\],;<>]++)')
 _NAME = re.compile(r"^[A-Za-z_$][\w.$-]*$")
-_CONCAT = re.compile(r"""\s*(?:("(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|[A-Za-z_$][\w.$]*))\s*(?:\+|\.\.)\s*""")
-
+_CONCAT = re.compile(r"""[ \t]*+("(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'|[A-Za-z_$][\w.$]*+)[ \t]*+(?:\+|\.\.)[ \t]*+""")
 #: Words of a name that make its literal sensitive, with their weights.
 SENSITIVE = {
     "password": 3.0, "passwd": 3.0, "passphrase": 3.0, "pwd": 2.5, "secret": 3.0, "token": 2.5, "apikey": 3.0, "credential": 2.5,
@@ -78,33 +77,37 @@ def pairs(text: str) -> Iterator[tuple[str, str, int, int]]:
     """name, literal (constants propagated), and the literal's span in the text, in order.
 
     A right-hand side that is a name known by then gives that name's literal, at that literal's place; string parts joined
-    by + give the joined literal, at the whole expression's place.
+    by + give the joined literal, at the whole expression's place. A right-hand side that is no literal (an opening bracket, the
+    end of the line), or is itself a name with an operator, is searched for pairs from just behind the operator.
     """
     known: dict[str, tuple[str, int, int]] = {}
-    for m in _PAIR.finditer(text):
-        name, rest, at = m[1], m[2], m.start(2)
-        parts, pos = [], 0
-        while step := _CONCAT.match(rest, pos):
+    here = 0
+    while m := _PAIR.search(text, here):
+        name, at = m[1], m.end()
+        here = at
+        parts, pos = [], at
+        while step := _CONCAT.match(text, pos):
             parts.append(step[1])
             pos = step.end()
-        lit = _LITERAL.match(rest, pos)
+        lit = _LITERAL.match(text, pos)
         if not lit:
             continue
-        whole = rest[lit.start() : lit.end()]
+        here = lit.end() if lit[4] is None else lit.start()
+        whole = lit[0]
         quoted = next((g for g in lit.groups()[:3] if g is not None), None)
         if parts:
             values = []
             for p in [*parts, whole]:
                 values.append(p[1:-1] if p[0] in "\"'" else known.get(p, ("", 0, 0))[0] if _NAME.match(p) else p)
-            found = ("".join(values), at, at + lit.end())
+            found = ("".join(values), at, lit.end())
         elif quoted is not None:
-            start = at + lit.start() + 1
+            start = lit.start() + 1
             found = (quoted, start, start + len(quoted))
         elif whole in known:
             found = known[whole]
         else:
             bare = whole.rstrip(".")
-            found = (bare, at + lit.start(), at + lit.start() + len(bare))
+            found = (bare, lit.start(), lit.start() + len(bare))
         known[name] = found
         yield name, *found
 
