@@ -1,14 +1,19 @@
 """MinHash near-dedup (8): improved consistent weighted sampling over TF-IDF word shingles, banded, verified.
 
 Texts that are equal collapse to one key first. A shingle's weight is its count in the text times an inverse document
-frequency; frequencies of all documents are counted in a sketch of fixed width (a shingle's bin), so that what is
-broadcast never grows. Each text gets SAMPLES consistent weighted samples (Ioffe 2010): two texts agree in one with their
-weighted Jaccard similarity. Bands of ROWS samples name buckets. In a bucket first only the least key is compared with the
-others. Buckets that lie in more than one class after that are finished whole: all their members, linked ones too, are dealt
-into blocks, and all pairs of members of different classes are compared, block by block; only blocks of one and the same
-class are left out. So each pair of texts that share a bucket is compared or lies in one class, and no cap drops a candidate.
-Each pair is verified by its exact weighted Jaccard similarity (or that of the plain shingle sets, if that alone reaches the
-bound: the weights of a borderline copy may turn either way); links form classes as connected components.
+frequency between 1 and 2, which falls with the logarithm of the share of all texts that hold the shingle: 2 below one text
+in RARE, 1 where all do. So much as texts differ in how common their shingles are, two texts of unweighted similarity s
+have a weighted one of s / (2 - s) at least, and what links pairs by either similarity finds its candidates by the weighted
+one alone. Frequencies of all documents are counted in a count-min sketch, whose error is a share of all texts that hangs
+on the length of texts and not on their number: nothing that is broadcast grows with the corpus.
+
+Each text gets SAMPLES consistent weighted samples (Ioffe 2010): two texts agree in one with their weighted Jaccard
+similarity. Bands of ROWS samples name buckets. In a bucket first only the least key is compared with the others. Buckets
+that lie in more than one class after that are finished whole: all their members, linked ones too, are dealt into blocks,
+and members of different classes are compared, block by block; only blocks of one and the same class are left out. So each
+pair of texts that share a bucket is compared or lies in one class, and no cap drops a candidate; what leaves a block is a
+forest of links, never its pairs. A pair is linked if its exact weighted Jaccard similarity, or that of the unweighted
+shingle counts, reaches the bound; links form classes as connected components.
 """
 
 from __future__ import annotations
@@ -21,17 +26,21 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, chunks, gram_hashes, materialize, mix64, span_hashes, spread, strings, text_key, text_or_empty, word_bounds, word_hashes
+from .common import bounded_broadcast, chunks, gram_hashes, materialize, mix64, packed, release, span_hashes, spread, strings, text_key, text_or_empty, unpacked, word_bounds, word_hashes
 from .graph import components
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 18, 5
 #: Rows and bytes of shingles of a block, on average; two blocks are compared at a time.
 BLOCK_ROWS, BLOCK_BYTES = 512, 8 << 20
-#: Pairs whose samples agree by less than the similarity less this aren't verified: over four standard errors of 90 samples.
-MARGIN = 0.18
-#: Bins of the document-frequency sketch.
-BINS = 1 << 16
+#: In the first round, pairs whose samples agree by less than the least weighted similarity of a link less this aren't verified: four standard errors of 90 samples.
+MARGIN = 0.2
+#: Shingles that less than one text in so many holds weigh most.
+RARE = 1024
+#: The document-frequency sketch: rows of counters, and how many there are in a row.
+SKETCH_ROWS, SKETCH = 2, 1 << 19
+#: Counters that travel together.
+_SKETCH_PART = 1 << 13
 _TABLE = 1 << 12
 #: Shingles that are sampled at a time.
 _BLOCK = 1 << 14
@@ -62,33 +71,65 @@ def counted(hashes: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return (both & np.uint64(0xFFFFFFFF)).astype(np.uint32), (both >> np.uint64(32)).astype(np.int64), count
 
 
-def bin_of(hashes: np.ndarray) -> np.ndarray:
-    return (hashes & np.uint32(BINS - 1)).astype(np.int64)
+def places(hashes: np.ndarray) -> list[np.ndarray]:
+    """A shingle's counter in each row of the sketch."""
+    wide = mix64(hashes.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    return [(wide >> np.uint64(32 * k) & np.uint64(SKETCH - 1)).astype(np.int64) for k in range(SKETCH_ROWS)]
+
+
+def levels(counts: np.ndarray, rows: int) -> np.ndarray:
+    """255 times the share of the way from common to rare, for each counter of the sketch: one byte each."""
+    way = np.log((rows + 1) / (counts + 1)) / np.log(RARE)
+    return np.rint(255 * np.clip(way, 0, 1)).astype(np.uint8)
+
+
+def weights_of(hashes: np.ndarray, sketch: np.ndarray) -> np.ndarray:
+    """Inverse document frequency, 1 to 2, of each shingle: the least of its counters counts."""
+    most = sketch[0][(at := places(hashes))[0]]
+    for k in range(1, SKETCH_ROWS):
+        most = np.maximum(most, sketch[k][at[k]])
+    return 1 + most.astype(np.float32) / 255
+
+
+def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per part of the sketch: the sums of its rows' counters. A task holds one sketch at most."""
+    held: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for part, raw in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
+            held[part] = held.get(part, 0) + np.frombuffer(raw.as_buffer(), np.int64)
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(list(held)), pa.array([0] * len(held)), pa.array([h.tobytes() for h in held.values()], pa.binary())], names=["part", "task", "counts"])
 
 
 def document_frequencies(texts: DataFrame) -> np.ndarray:
-    """Inverse document frequency of each bin, from all texts. The driver holds BINS counts."""
+    """The sketch of all texts as levels(). Each task sends a sketch, in parts that are added up in two steps; the driver holds one."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, rows = np.zeros(BINS, np.int64), 0
+        total, rows, task = np.zeros((SKETCH_ROWS, SKETCH), np.int64), 0, 0
         for batch in batches:
             data, offs = strings(batch.column(0))
             rows += len(batch)
+            task = batch.column(1)[0].as_py() if len(batch) else task
             for i, j in chunks(offs):
-                h, row = shingles(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-                each = np.unique(row * np.int64(BINS) + bin_of(h))
-                total += np.bincount(each % BINS, minlength=BINS)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(total[some], rows))], names=["bin", "n"])
-
-    found = texts.select("text").mapInArrow(count, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect()
-    df, rows = np.zeros(BINS), 0
-    for r in found:
-        if r.bin < 0:
-            rows = r.n
+                h, _, _ = counted(*shingles(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]))
+                for k, at in enumerate(places(h)):
+                    total[k] += np.bincount(at, minlength=SKETCH)
+        if rows:
+            parts = total.reshape(-1, _SKETCH_PART)
+            some = np.flatnonzero(parts.any(axis=1))
+            raw = [np.array([rows]).tobytes(), *(parts[k].tobytes() for k in some)]
+            yield pa.RecordBatch.from_arrays([pa.array([-1, *some.tolist()]), pa.array([task] * len(raw)), pa.array(raw, pa.binary())], names=["part", "task", "counts"])
+
+    fields = "part long, task long, counts binary"
+    made = texts.select("text", F.spark_partition_id().cast("long").alias("task")).mapInArrow(count, fields)
+    added = made.repartition("part", F.pmod("task", F.lit(64))).mapInArrow(_add_up, fields).repartition("part").mapInArrow(_add_up, fields)
+    counts, rows = np.zeros((SKETCH_ROWS * SKETCH // _SKETCH_PART, _SKETCH_PART), np.int64), 0
+    for r in added.collect():
+        if r.part < 0:
+            rows = int(np.frombuffer(r.counts, np.int64)[0])
         else:
-            df[r.bin] = r.n
-    return np.log1p((rows + 1) / (df + 1)).astype(np.float32)
+            counts[r.part] = np.frombuffer(r.counts, np.int64)
+    return levels(counts.reshape(SKETCH_ROWS, SKETCH), rows)
 
 
 def _tables() -> tuple[np.ndarray, ...]:
@@ -130,13 +171,13 @@ def weighted_samples(hashes: np.ndarray, row: np.ndarray, weights: np.ndarray, n
     return out
 
 
-def _signatures(idf: np.ndarray):
+def _signatures(sketch: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offs = strings(batch.column(1))
             for i, j in chunks(offs):
                 h, row, tf = counted(*shingles(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]))
-                samples = weighted_samples(h, row, tf * idf[bin_of(h)], j - i)
+                samples = weighted_samples(h, row, tf * weights_of(h, sketch), j - i)
                 bands = gram_hashes(samples.ravel().astype(np.uint64), ROWS)[:: ROWS].reshape(j - i, BANDS)
                 bands = mix64(bands + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
                 some = np.bincount(row, minlength=j - i) > 0
@@ -169,25 +210,19 @@ def _unpack(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(column.buffers()[2], np.uint8)[offs[0] : offs[-1]].view(np.uint32), np.repeat(np.arange(len(column)), np.diff(offs) // 4)
 
 
-def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], n: int, idf: np.ndarray) -> np.ndarray:
-    """Of n pairs of shingle lists (hashes, pair number): sum of lesser weights over sum of greater weights; 1 for two empty lists."""
+def similarities(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], n: int, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weighted and unweighted Jaccard similarity of n pairs of shingle lists (hashes, pair number): lesser counts over greater counts; 1 for two empty lists."""
     ha, ra, ca = counted(*a)
     hb, rb, cb = counted(*b)
-    wa, wb = ca * idf[bin_of(ha)].astype(float), cb * idf[bin_of(hb)].astype(float)
     ka, kb = ra.astype(np.uint64) << np.uint64(32) | ha, rb.astype(np.uint64) << np.uint64(32) | hb
     _, ia, ib = np.intersect1d(ka, kb, assume_unique=True, return_indices=True)
-    low = np.bincount(ra[ia], np.minimum(wa[ia], wb[ib]), n)
-    high = np.bincount(ra, wa, n) + np.bincount(rb, wb, n) - low
-    return np.where(high > 0, low / np.where(high > 0, high, 1), 1.0)
-
-
-def plain_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], n: int) -> np.ndarray:
-    """The same of the sets of shingles, all of one weight."""
-    sets = [np.unique(r.astype(np.uint64) << np.uint64(32) | h) for h, r in (a, b)]
-    both = np.intersect1d(*sets, assume_unique=True)
-    low, size_a, size_b = (np.bincount((k >> np.uint64(32)).astype(np.int64), minlength=n).astype(float) for k in (both, *sets))
-    high = size_a + size_b - low
-    return np.where(high > 0, low / np.where(high > 0, high, 1), 1.0)
+    both = np.minimum(ca[ia], cb[ib]).astype(float)
+    out = []
+    for wa, wb in ((weights_of(ha, sketch).astype(float), weights_of(hb, sketch).astype(float)), (np.ones(len(ha)), np.ones(len(hb)))):
+        low = np.bincount(ra[ia], both * wa[ia], n)
+        high = np.bincount(ra, ca * wa, n) + np.bincount(rb, cb * wb, n) - low
+        out.append(np.where(high > 0, low / np.where(high > 0, high, 1), 1.0))
+    return out[0], out[1]
 
 
 def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,15 +232,13 @@ def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((one == other).mean(axis=1))], names=["key", "centre", "share"])
 
 
-def _verify(idf: np.ndarray, least: float):
+def _verify(sketch: np.ndarray, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for i in range(0, len(whole), 512):
                 batch = whole.slice(i, 512)
-                one, other = _unpack(batch.column(2)), _unpack(batch.column(3))
-                sim = weighted_jaccard(one, other, len(batch), idf)
-                near = np.maximum(sim, plain_jaccard(one, other, len(batch))) >= least
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sim), pa.array(near)], names=["a", "b", "sim", "near"])
+                sim, plain = similarities(_unpack(batch.column(2)), _unpack(batch.column(3)), len(batch), sketch)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sim), pa.array(np.maximum(sim, plain) >= least)], names=["a", "b", "sim", "near"])
 
     return run
 
@@ -216,7 +249,7 @@ def _both_ends(edges: DataFrame, of: DataFrame, column: str) -> DataFrame:
     return left.join(of.select(F.col("key").alias("centre"), F.col(column).alias("other")), "centre").select("key", "centre", "one", "other")
 
 
-def near_pairs(hashes: np.ndarray, row: np.ndarray, left: np.ndarray, right: np.ndarray, idf: np.ndarray, least: float) -> np.ndarray:
+def near_pairs(hashes: np.ndarray, row: np.ndarray, left: np.ndarray, right: np.ndarray, sketch: np.ndarray, least: float) -> np.ndarray:
     """Whether the texts left[i] and right[j] (rows of the sorted shingle hashes) reach the similarity, for all i and j.
 
     The least of two counts is the number of t with both counts t or more: items (shingle, t) of one weight turn the sums into
@@ -225,14 +258,14 @@ def near_pairs(hashes: np.ndarray, row: np.ndarray, left: np.ndarray, right: np.
     n = int(max(left.max(), right.max())) + 1
     start = np.flatnonzero(np.append(True, (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1])) if len(hashes) else np.zeros(0, bool))
     t = np.arange(len(hashes)) - np.repeat(start, np.diff(np.append(start, len(hashes))))
-    own = np.bincount(row, idf[bin_of(hashes)].astype(float), n)
-    size = np.bincount(row[t == 0], minlength=n).astype(float)
+    own = np.bincount(row, weights_of(hashes, sketch).astype(float), n)
+    size = np.bincount(row, minlength=n).astype(float)
     items, col, count = np.unique(t.astype(np.uint64) << np.uint64(32) | hashes, return_inverse=True, return_counts=True)
     keep = np.flatnonzero(count[col] > 1)
     keep = keep[np.argsort(col[keep], kind="stable")]
     shared = np.flatnonzero(count > 1)
     at = np.searchsorted(shared, col[keep])
-    weight, single = idf[bin_of((items[shared] & np.uint64(0xFFFFFFFF)).astype(np.uint32))].astype(float), (items[shared] >> np.uint64(32)) == 0
+    weight = weights_of((items[shared] & np.uint64(0xFFFFFFFF)).astype(np.uint32), sketch).astype(float)
     low, both = np.zeros((len(left), len(right))), np.zeros((len(left), len(right)))
     for i in range(0, len(shared), _COLUMNS):
         j = min(i + _COLUMNS, len(shared))
@@ -241,7 +274,7 @@ def near_pairs(hashes: np.ndarray, row: np.ndarray, left: np.ndarray, right: np.
         held[row[keep[lo:hi]], at[lo:hi] - i] = 1
         one, other = held[left], held[right].T
         low += (one * weight[i:j]) @ other
-        both += (one * single[i:j]) @ other
+        both += one @ other
     out = np.zeros(low.shape, bool)
     for part, whole in ((low, own), (both, size)):
         high = whole[left][:, None] + whole[right][None, :] - part
@@ -263,7 +296,7 @@ def forest(near: np.ndarray, left: np.ndarray, right: np.ndarray, classes: np.nd
     return out
 
 
-def _finish(idf: np.ndarray, least: float):
+def _finish(sketch: np.ndarray, least: float):
     """Links a, b between the classes of each unit's two blocks (or of its one block); rows by unit."""
 
     def links(parts: list[pa.RecordBatch]) -> pa.RecordBatch | None:
@@ -274,7 +307,7 @@ def _finish(idf: np.ndarray, least: float):
             right = left
         if not len(left) or len(np.unique(classes)) < 2:
             return None
-        found = np.array(forest(near_pairs(*_unpack(rows.column(4)), left, right, idf, least), left, right, classes), np.int64).reshape(-1, 2)
+        found = np.array(forest(near_pairs(*_unpack(rows.column(4)), left, right, sketch, least), left, right, classes), np.int64).reshape(-1, 2)
         return pa.RecordBatch.from_arrays([rows.column(2).take(pa.array(found[:, k])) for k in (0, 1)], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,13 +334,17 @@ def _unsettled(members: DataFrame, groups: DataFrame) -> DataFrame:
     """bucket, key, class of all members of the buckets that lie in more than one class so far; in a bucket of two the pair has been compared."""
     marked = members.join(groups.select(F.col("node").alias("key"), "component"), "key", "left").select("bucket", "key", F.coalesce("component", "key").alias("c"))
     mixed = marked.groupBy("bucket").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.count("*").alias("n")).where("a <> b and n > 2")
-    return marked.join(bounded_broadcast(materialize(mixed.select("bucket"), "mixed")), "bucket", "left_semi")
+    mixed = materialize(mixed.select("bucket"), "mixed")
+    out = materialize(marked.join(bounded_broadcast(mixed), "bucket", "left_semi"), "unsettled", F.count(F.lit(1)).alias("n"))
+    release(mixed)
+    return out
 
 
-def _units(members: DataFrame, bodies: DataFrame) -> DataFrame:
-    """unit, side, key, c, body: members (bucket, key, c) in blocks, and each two blocks of a bucket, or one with itself, as a unit.
+def _more_links(members: DataFrame, bodies: DataFrame, sketch: np.ndarray, least: float) -> DataFrame:
+    """a, b: links that join the classes of members (bucket, key, c) that belong together.
 
-    A class that fills a block has blocks of its own, which don't meet each other; other classes of a bucket share blocks.
+    Each bucket's members are dealt into blocks; each two blocks of a bucket, or one with itself, are a unit of work. A class
+    that fills a block has blocks of its own, which don't meet each other; other classes of a bucket share blocks.
     """
     sized = members.join(bodies.select("key", F.length("body").alias("size")), "key")
     parts = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("size") / BLOCK_BYTES)).cast("int")
@@ -327,29 +364,34 @@ def _units(members: DataFrame, bodies: DataFrame) -> DataFrame:
     placed = materialize(dealt.join(places, "block").select("unit", "side", "key", "c"), "placed")
     # a fixed number of partitions: the work grows with the square of a block's rows, not with the bytes by which AQE merges
     n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return placed.join(bodies, "key").select("unit", "side", "key", "c", "body").repartition(n, "unit").sortWithinPartitions("unit")
+    units = placed.join(bodies, "key").select("unit", "side", "key", "c", "body").repartition(n, "unit").sortWithinPartitions("unit")
+    out = materialize(units.mapInArrow(_finish(sketch, least), "a long, b long"), "more-links", F.count(F.lit(1)).alias("n"))
+    release(classes, pools, blocks, places, placed)
+    return out
 
 
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc, key (64-bit hash of the text), class_key for every row: rows of equal or linked texts share class_key.
 
     Null texts count as empty. Texts without words are alike only if equal; texts of fewer words than a shingle are one
-    shingle. Repeated rows and ids, and null ids, keep a row each; an empty table gives an empty result.
+    shingle; texts of any length are compared whole. Repeated rows and ids, and null ids, keep a row each; other columns,
+    whatever their names, are left out; an empty table gives an empty result.
     """
     body = text_or_empty(text_col)
     texts = docs.select(F.col(id_col).alias("doc"), body.alias("text"), text_key(body).alias("key"))
-    idf = document_frequencies(texts)
+    sketch = document_frequencies(texts)
     kind = docs.schema[id_col].dataType.simpleString()
-    made = texts.select("key", "text", "doc").mapInArrow(_signatures(idf), f"key long, doc {kind}, bands array<long>, samples binary")
+    made = texts.select("key", "text", "doc").mapInArrow(_signatures(sketch), f"key long, doc {kind}, bands array<long>, samples binary")
     signed = materialize(made.groupBy("key").agg(F.first("bands").alias("bands"), F.first("samples").alias("samples"), F.min("doc").alias("carrier")), "signatures")
-    likely = similarity - MARGIN
+    likely = similarity / (2 - similarity) - MARGIN
     members = signed.select("key", F.explode("bands").alias("bucket"))
     # the least key first, so that the buckets of one group agree; written first, so that the join's exchanges are its own and AQE can split a hot bucket
     centres = materialize(members.groupBy("bucket").agg(F.min("key").alias("centre"), F.count("*").alias("n")).where("n > 1").drop("n"), "centres")
     pairs = materialize(members.join(centres, "bucket").where("key <> centre"), "pairs")
-    edges = materialize(pairs.select("key", "centre").distinct(), "edges")
+    edges = materialize(pairs.select("key", "centre").distinct(), "edges", F.count(F.lit(1)).alias("n"))
     found = texts.select("doc", "key")
-    if edges.isEmpty():
+    if not edges.measured["n"]:
+        release(signed, centres, pairs, edges)
         return found.withColumn("class_key", F.col("key"))
     ends = materialize(edges.select("key").union(edges.select(F.col("centre").alias("key"))).distinct(), "ends")
     marked = _both_ends(edges, signed.select("key", "samples").join(bounded_broadcast(ends), "key"), "samples")
@@ -357,15 +399,18 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str =
     wanted = materialize(ends.join(signed.select("key", "carrier"), "key"), "wanted")
     some = texts.join(bounded_broadcast(wanted), "key").select("doc", "carrier", "key", "text")
     bodies = materialize(some.mapInArrow(_bodies, "key long, body binary").distinct(), "shingles")
-    judged = materialize(_both_ends(worth, bodies, "body").mapInArrow(_verify(idf, similarity), "a long, b long, sim double, near boolean"), "judged")
-    links = judged.where("near").select("a", "b")
-    groups = materialize(components(links), "groups")
+    judged = materialize(_both_ends(worth, bodies, "body").mapInArrow(_verify(sketch, similarity), "a long, b long, sim double, near boolean"), "judged")
+    groups = materialize(components(judged.where("near").select("a", "b")), "groups")
     centres_too = pairs.select("bucket", "key").union(pairs.select("bucket", F.col("centre").alias("key")).distinct())
-    left = materialize(_unsettled(centres_too, groups), "unsettled")
-    if not left.isEmpty():
-        more = materialize(_units(left, bodies).mapInArrow(_finish(idf, similarity), "a long, b long"), "more-links")
-        if not more.isEmpty():
+    left = _unsettled(centres_too, groups)
+    release(signed, centres, pairs, edges, ends, worth, wanted, judged)
+    if left.measured["n"]:
+        more = _more_links(left, bodies, sketch, similarity)
+        if more.measured["n"]:
+            # classes so far enter as stars, so that only new links are worked on
             groups = materialize(components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)), "groups")
+        release(more)
+    release(left, bodies)
     return found.join(bounded_broadcast(groups.withColumnRenamed("node", "key")), "key", "left").select("doc", "key", F.coalesce("component", "key").alias("class_key"))
 
 
@@ -377,15 +422,19 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each class: the least id (null last), then the least text key; all columns kept.
+    """docs with one row of each class: the least id (null last), then the least text key; all columns kept, whatever their names.
 
-    Of rows equal in id and text one stays.
+    Of rows equal in id and text one stays. See near_classes for nulls, empty texts and the like. Texts of rows without a
+    near copy never leave their place if the list of rows that go is small enough to be broadcast.
     """
     rows = materialize(near_classes(docs, similarity, id_col, text_col), "classes")
-    best = rows.groupBy("class_key").agg(F.min(F.struct(F.col("doc").isNull().alias("n"), "doc", "key")).alias("w"))
-    keep = materialize(best.select(F.col("w.doc").alias("_doc"), F.col("w.key").alias("_key")), "winners")
-    keyed = docs.select("*", text_key(text_or_empty(text_col)).alias("_own"))
-    kept = keyed.join(bounded_broadcast(keep), (F.col("_own") == F.col("_key")) & F.col(id_col).eqNullSafe(F.col("_doc"))).drop("_doc", "_key")
-    if rows.count() != rows.select("doc", "key").distinct().count():
-        kept = kept.dropDuplicates([id_col, "_own"])
-    return kept.select(*docs.columns)
+    best = rows.groupBy("class_key").agg(F.min(F.struct(F.col("doc").isNull().alias("n"), "doc", "key")).alias("w"), F.count("*").alias("size")).where("size > 1")
+    best = materialize(best, "winners")
+    several = rows.join(bounded_broadcast(best), "class_key").select("doc", "key", (F.col("doc").eqNullSafe(F.col("w.doc")) & (F.col("key") == F.col("w.key"))).alias("best"), "class_key")
+    several = materialize(several, "copies", F.count_if(F.col("best")).alias("best"))
+    go = materialize(several.where("not best").select(F.col("doc").alias("_doc"), F.col("key").alias("_key")).distinct(), "go")
+    own = packed(docs, text_key(text_or_empty(text_col)).alias("_own"), F.col(id_col).alias("_id"))
+    kept = own.join(bounded_broadcast(go), (F.col("_own") == F.col("_key")) & F.col("_id").eqNullSafe(F.col("_doc")), "left_anti")
+    if several.measured["best"] > best.count():
+        kept = kept.dropDuplicates(["_id", "_own"])
+    return unpacked(kept, docs.columns)
