@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Mapping
+from pathlib import PurePosixPath
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -43,28 +44,40 @@ def name_of(code: str, chinese: bool = False) -> str:
     return LANGUAGES.get(code.strip(), (code.strip(),) * 2)[chinese]
 
 
+# The sentences of instructions.
+SENTENCE = "Translate the following %s text into %s. Output only the translation."
+SIMPLIFIED_ONLY = " Do not use Traditional Chinese."
+TERM = "Translate the following %s dictionary term into %s. Output only the best translation."
+CHINESE_SENTENCE = "请将以下 %s 文本翻译为 %s，只输出译文。"
+BARE = "Translate the following %s text into %s. Output only the translation, no explanations."
+
+
 def sentence_instruction(src: Column, tgt: Column) -> Column:
-    return F.format_string("Translate the following %s text into %s. Output only the translation.", language_name(src), language_name(tgt))
+    return F.format_string(SENTENCE, language_name(src), language_name(tgt))
 
 
 def candidate_instruction(src: Column, tgt: Column) -> Column:
     """sentence_instruction; into Simplified Chinese its full stop gives way to one sentence more."""
     base = sentence_instruction(src, tgt)
-    return F.when(tgt == "zho_Hans", F.concat(F.regexp_replace(base, r"\.$", ""), F.lit(" Do not use Traditional Chinese."))).otherwise(base)
+    return F.when(tgt == "zho_Hans", F.concat(F.regexp_replace(base, r"\.$", ""), F.lit(SIMPLIFIED_ONLY))).otherwise(base)
 
 
 def strict_instruction(src: Column, tgt: Column) -> Column:
     """sentence_instruction; into Simplified Chinese followed by one sentence more."""
     base = sentence_instruction(src, tgt)
-    return F.when(tgt == "zho_Hans", F.concat(base, F.lit(" Do not use Traditional Chinese."))).otherwise(base)
+    return F.when(tgt == "zho_Hans", F.concat(base, F.lit(SIMPLIFIED_ONLY))).otherwise(base)
 
 
 def term_instruction(src: Column, tgt: Column) -> Column:
-    return F.format_string("Translate the following %s dictionary term into %s. Output only the best translation.", language_name(src), language_name(tgt))
+    return F.format_string(TERM, language_name(src), language_name(tgt))
 
 
 def chinese_instruction(src: Column, tgt: Column) -> Column:
-    return F.format_string("请将以下 %s 文本翻译为 %s，只输出译文。", language_name(src, True), language_name(tgt, True))
+    return F.format_string(CHINESE_SENTENCE, language_name(src, True), language_name(tgt, True))
+
+
+def bare_instruction(src: Column, tgt: Column) -> Column:
+    return F.format_string(BARE, language_name(src), language_name(tgt))
 
 
 def prompt(instruction: Column, text: Column) -> Column:
@@ -142,6 +155,17 @@ def direction_file(kind: str, src: str, tgt: str) -> str:
     return f"{kind}_{src}__{tgt}.jsonl"
 
 
+def yaml_quoted(value: str) -> str:
+    """A scalar in single quotes, its own doubled."""
+    return "'" + value.replace("'", "''") + "'"
+
+
+def relative_path(path: str, base: str, absolute: bool = False) -> str:
+    """A path below base without it; others, and all where absolute ones are asked for, as they are."""
+    p = PurePosixPath(path)
+    return str(p if absolute or not p.is_absolute() or not p.is_relative_to(base) else p.relative_to(base))
+
+
 def short_code(lang: str) -> str:
     return SHORT_CODES[lang]
 

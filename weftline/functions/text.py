@@ -6,11 +6,12 @@ import unicodedata
 from functools import cache
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-#: All that a Unicode-aware strip takes off: Unicode white space and the four information separators.
-SPACE = r"[\s\x1c-\x1f]"
+#: All that a Unicode-aware strip takes off, as a class: Unicode white space and the four information separators. Written out, as a
+#: regular expression tests a list of ranges faster than a Unicode property.
+SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 # Characters that mark a text as Traditional Chinese in candidate selection.
 TRADITIONAL_MARKS = (
@@ -39,28 +40,33 @@ PIVOT_STOPWORDS = (
 
 SCRIPTS = {"latin": "[A-Za-z]", "thai": "[\\u0e00-\\u0e7f]", "cjk": "[\\u4e00-\\u9fff]"}
 
+# What is taken out of a dictionary definition, in turn; its longest length, and what it must not hold then.
+DEFINITION_CUTS = (r"^CL:.*$", r"(?i)^variant of .*$", r"(?i)^old variant of .*$", r"(?i)^abbr\. for .*$", r"\b(?:Tw|Taiwan|PRC|Mainland China) pr\..*$", r"(?U)\s*\([^)]*\)")
+DEFINITION_MOST, DEFINITION_BAD = 80, r"\[|\]|surname |see also "
+
 
 @cache
-def traditional_characters() -> str:
-    """Characters that Traditional encodings have and Simplified ones lack: in Big5, not in GB 2312."""
+def _traditional(spark: SparkSession) -> str:
+    every = [chr(c) for c in range(0x4E00, 0xA000)]
+    simple = spark._jvm.com.ibm.icu.text.Transliterator.getInstance("Traditional-Simplified").transliterate("\n".join(every)).split("\n")
+    return "".join(a for a, b in zip(every, simple, strict=True) if a != b)
+
 
-    def has(ch: str, codec: str) -> bool:
-        try:
-            ch.encode(codec)
-        except UnicodeEncodeError:
-            return False
-        return True
+def traditional_characters(spark: SparkSession | None = None) -> str:
+    """Characters with a Simplified form of their own: those that the Unicode consortium's Traditional-Simplified rules change (Spark ships ICU).
 
-    return "".join(ch for ch in map(chr, range(0x4E00, 0xA000)) if has(ch, "big5") and not has(ch, "gb2312"))
+    Operators that turn such terms away take another list as a parameter.
+    """
+    return _traditional(spark or SparkSession.active())
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"(?U)^{SPACE}+|{SPACE}+$", "")
+    return F.regexp_replace(c, f"^{SPACE}+|(?<!{SPACE}){SPACE}+$", "")
 
 
 def normalize_space(c: Column) -> Column:
     """Runs of white space, ideographic space included, become one space; ends are stripped."""
-    return F.trim(F.regexp_replace(c, f"(?U){SPACE}+", " "))
+    return F.trim(F.regexp_replace(c, f"{SPACE}+", " "))
 
 
 def nonblank(c: Column) -> Column:
@@ -74,12 +80,13 @@ def first_nonblank(*columns: Column) -> Column:
 
 
 def script_count(c: Column, script: str) -> Column:
-    return F.regexp_count(c, F.lit(SCRIPTS[script]))
+    """Characters of the script: what is missing when their runs are taken out."""
+    return F.length(c) - F.length(F.regexp_replace(c, f"{SCRIPTS[script]}+", ""))
 
 
 def script_ratio(c: Column, script: str) -> Column:
     """Share of the script among characters that aren't white space; 0 for none."""
-    solid = F.length(F.regexp_replace(c, f"(?U){SPACE}+", ""))
+    solid = F.length(F.regexp_replace(c, f"{SPACE}+", ""))
     return F.when(solid > 0, script_count(c, script) / solid).otherwise(F.lit(0.0))
 
 
@@ -131,6 +138,23 @@ def normalize_key(c: Column) -> Column:
     return _mapped(fold_key)(c)
 
 
+def distinct_keys(c: Column) -> Column:
+    """An array's texts without those whose key came before, in order."""
+
+    def first(texts: list[str | None]) -> list[str]:
+        kept: dict[str, str] = {}
+        for t in texts:
+            if t is not None:
+                kept.setdefault(fold_key(t), t)
+        return list(kept.values())
+
+    @F.arrow_udf("array<string>")
+    def run(lists: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else first(v) for v in lists.to_pylist()], pa.list_(pa.string()))
+
+    return run(c)
+
+
 def normalize_lookup_key(c: Column) -> Column:
     return _mapped(lookup_key)(c)
 
@@ -172,10 +196,10 @@ def flatten_message(c: Column) -> Column:
 def clean_definition(c: Column) -> Column:
     """A dictionary definition without classifiers, variants, abbreviations, regional readings and brackets; null if nothing fit is left."""
     out = normalize_space(c)
-    for pattern in (r"^CL:.*$", r"(?i)^variant of .*$", r"(?i)^old variant of .*$", r"(?i)^abbr\. for .*$", r"\b(?:Tw|Taiwan|PRC|Mainland China) pr\..*$", r"(?U)\s*\([^)]*\)"):
+    for pattern in DEFINITION_CUTS:
         out = F.regexp_replace(out, pattern, "")
     out = F.btrim(out, F.lit(" ;,"))
-    bad = (out == "") | (F.length(out) > 80) | out.rlike(r"\[|\]|surname |see also ")
+    bad = (out == "") | (F.length(out) > DEFINITION_MOST) | out.rlike(DEFINITION_BAD)
     return F.when(~bad, out)
 
 

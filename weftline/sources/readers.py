@@ -10,11 +10,13 @@ import json
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from pathlib import Path
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.text import SPACE, clean_definition, first_nonblank, has_any, nonblank, normalize_space, strip, to_simplified, traditional_characters
+from ..functions.text import SPACE, clean_definition, distinct_keys, first_nonblank, has_any, nonblank, normalize_space, strip, to_simplified, traditional_characters
 
 
 def file_order() -> Column:
@@ -47,8 +49,11 @@ def parse_alpaca(lines: DataFrame) -> DataFrame:
     return lines.select(nonblank(row["input"]).alias("input"), nonblank(row["output"]).alias("output"), "_ord").where("input is not null and output is not null")
 
 
-def read_config(path: str) -> dict:
-    return json.loads(Path(path).read_text(encoding="utf-8"))
+def read_config(path: str, spark: SparkSession | None = None) -> dict:
+    """A JSON document; with a session, from any store that Spark reads."""
+    if spark is None:
+        return json.loads(Path(path).read_text(encoding="utf-8"))
+    return json.loads(spark.read.text(path, wholetext=True).first()[0])
 
 
 def parse_scored_tsv(lines: DataFrame, kind: str) -> DataFrame:
@@ -80,13 +85,16 @@ def resolve_source(src: str, tgt: str, direct: Iterable[tuple[str, str]], mined:
     return None
 
 
-def read_first_of(spark: SparkSession, attempts: Sequence[Callable[[SparkSession], DataFrame]]) -> DataFrame:
-    """The first reader that works: registry before raw files, one hub before another."""
+def read_first_of(spark: SparkSession, attempts: Sequence[Callable[[SparkSession], DataFrame]], probe: int = 1) -> DataFrame:
+    """The first reader that works: registry before raw files, one hub before another. Its first rows are read, so that one that only fails when read is passed over too."""
     last: Exception | None = None
     for attempt in attempts:
         try:
-            return attempt(spark)
-        except (AnalysisException, OSError) as error:
+            found = attempt(spark)
+            if probe:
+                found.limit(probe).collect()
+            return found
+        except (PySparkException, Py4JJavaError, OSError) as error:
             last = error
     raise last or ValueError("no reader given")
 
@@ -96,24 +104,30 @@ def read_shards(spark: SparkSession, paths: Sequence[str], columns: Sequence[str
     return spark.read.parquet(*sorted(paths)[:max_shards]).select(*columns)
 
 
-def parse_cedict(lines: DataFrame) -> DataFrame:
-    """simplified, defs (cleaned, distinct by key, in order) of dictionary lines 'traditional simplified [reading] /def/def/'."""
-    pattern = r"^(\S+)\s+(\S+)\s+\[[^\]]*\]\s+/(.*)/$"
+# Fixed value: a line of the public Chinese-English dictionary, 'traditional simplified [reading] /def/def/'.
+DICTIONARY_LINE = r"^(\S+)\s+(\S+)\s+\[[^\]]*\]\s+/(.*)/$"
+
+
+def parse_cedict(lines: DataFrame, traditional: str | None = None) -> DataFrame:
+    """simplified, defs (cleaned, distinct by key, in order) of dictionary lines; terms with one of the traditional characters (default: those that Unicode's rules change) go."""
+    pattern = DICTIONARY_LINE
+    marks = traditional_characters(lines.sparkSession) if traditional is None else traditional
     line = strip(F.col("value"))
     rows = lines.select(line.alias("line"), "_ord").where((F.col("line") != "") & ~F.col("line").startswith("#") & F.col("line").rlike(pattern))
     cut = rows.select(F.regexp_extract("line", pattern, 2).alias("simplified"), F.split(F.regexp_extract("line", pattern, 3), "/").alias("parts"), "_ord")
     kept = F.filter("parts", lambda p: (p != "") & ~p.startswith("CL:"))
     cleaned = F.array_compact(F.transform(kept, clean_definition))
-    return cut.where(~has_any(F.col("simplified"), traditional_characters())).select("simplified", cleaned.alias("defs"), "_ord").where(F.size("defs") > 0)
+    good = cut.where(~has_any(F.col("simplified"), marks)).select("simplified", cleaned.alias("defs"), "_ord").where(F.size("defs") > 0)
+    return good.withColumn("defs", distinct_keys(F.col("defs")))
 
 
-def read_cedict(spark: SparkSession, path: str) -> DataFrame:
-    return parse_cedict(spark.read.text(path).select("value", file_order().alias("_ord")))
+def read_cedict(spark: SparkSession, path: str, traditional: str | None = None) -> DataFrame:
+    return parse_cedict(spark.read.text(path).select("value", file_order().alias("_ord")), traditional)
 
 
 def parse_word_pairs(lines: DataFrame, reverse: bool = False) -> DataFrame:
     """src, tgt: the first two words of each line."""
-    words = F.split(strip(F.col("value")), f"(?U){SPACE}+")
+    words = F.split(strip(F.col("value")), f"{SPACE}+")
     a, b = (1, 0) if reverse else (0, 1)
     return lines.where(F.size(words) >= 2).select(normalize_space(words[a]).alias("src"), normalize_space(words[b]).alias("tgt"), "_ord").where("src <> '' and tgt <> ''")
 
@@ -169,14 +183,39 @@ SENTENCE_COLUMNS = ("sentence", "text", "Sentence", "TEXT")
 
 
 def language_table(rows: DataFrame, order: str = "_ord") -> DataFrame:
-    """sample_id, sentence of one language: first filled candidate columns, the later of equal ids; fails when empty."""
+    """sample_id, sentence of one language: first filled candidate columns, the later of equal ids.
+
+    A table without a usable row fails when it is read, not while the plan is made.
+    """
     ids = [F.col(c).cast("string") for c in ID_COLUMNS if c in rows.columns]
     texts = [F.col(c) for c in SENTENCE_COLUMNS if c in rows.columns]
     found = rows.select(F.coalesce(*ids, F.lit("")).alias("sample_id"), first_nonblank(*texts).alias("sentence"), F.col(order).alias("_ord")).where("sample_id <> '' and sentence is not null")
     out = found.groupBy("sample_id").agg(F.max_by("sentence", "_ord").alias("sentence"))
-    if out.isEmpty():
-        raise ValueError("no usable rows in the language table")
-    return out
+    # one row of counts guards the table: it raises if there is nothing to read
+    none = F.when(F.col("n") == 0, F.raise_error(F.lit("no usable rows in the language table")))
+    guard = found.select("sample_id").limit(1).agg(F.count(F.lit(1)).alias("n")).where(F.coalesce(none.cast("boolean"), F.lit(False)))
+    return out.unionByName(guard.select(F.lit("").alias("sample_id"), F.lit("").alias("sentence")))
+
+
+def sample_rows(rows: DataFrame, dataset: str, subset: str, split: str, id_col: str = "id", text_col: str = "text", metadata_col: str = "metadata") -> DataFrame:
+    """Rows in the form of corpus samples: names of the corpus, id, text, and metadata as texts, dates and times in ISO form; metadata of another kind is empty."""
+    empty = F.expr("cast(map() as map<string,string>)")
+    kind = rows.schema[metadata_col].dataType if metadata_col in rows.columns else None
+
+    def shown(value: Column, of: T.DataType) -> Column:
+        if isinstance(of, T.TimestampType | T.TimestampNTZType):
+            whole = F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss")
+            micros = F.date_format(value, "SSSSSS")
+            return F.when(micros == "000000", whole).otherwise(F.concat(whole, F.lit("."), micros))
+        return value.cast("string")
+
+    meta = empty
+    if isinstance(kind, T.StructType) and kind.fields:
+        meta = F.map_from_arrays(F.array(*[F.lit(f.name) for f in kind.fields]), F.array(*[shown(F.col(metadata_col).getField(f.name), f.dataType) for f in kind.fields]))
+    elif isinstance(kind, T.MapType):
+        meta = F.transform_values(metadata_col, lambda k, v: shown(v, kind.valueType))
+    filled = F.when(F.col(metadata_col).isNotNull(), meta).otherwise(empty) if kind is not None else empty
+    return rows.select(F.lit(dataset).alias("dataset"), F.lit(subset).alias("subset"), F.lit(split).alias("split"), F.col(id_col).cast("string").alias("sample_id"), F.col(text_col).alias("text"), filled.alias("metadata"))
 
 
 def first_split(tables: Mapping[str, DataFrame], order: Sequence[str] = ("test", "train", "validation", "dev", "default")) -> tuple[str, DataFrame] | None:

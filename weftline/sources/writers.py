@@ -20,7 +20,10 @@ def preview(df: DataFrame, n: int = PREVIEW, order: str = "_ord") -> DataFrame:
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite", order: str = "_ord", n: int = PREVIEW) -> int:
-    """Rows as JSON lines, nulls kept and non-ASCII as it is; the first n beside them under previews. Returns the count, observed while writing."""
+    """Rows as JSON lines, nulls kept and non-ASCII as it is; the first n beside them under previews. Returns the count, observed while writing.
+
+    The preview is a top-n by order: each task keeps its n least rows, nothing is sorted as a whole.
+    """
     seen = Observation()
     rows = df.drop(order) if order in df.columns else df
     rows.observe(seen, F.count(F.lit(1)).alias("n")).write.mode(mode).option("ignoreNullFields", False).json(path)
@@ -29,6 +32,15 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite", order: str =
     return int(seen.get["n"])
 
 
+def preview_of(spark: SparkSession, path: str, n: int = PREVIEW, skip_blank: bool = True) -> list[str]:
+    """The first n lines of written text files, in file order, without the blank ones if so asked; reads no more than the head."""
+    from .readers import file_order
+
+    lines = spark.read.text(path).select("value", file_order().alias("_ord"))
+    good = lines.where(F.trim("value") != "") if skip_blank else lines
+    return [r.value for r in good.orderBy("_ord").limit(n).collect()]
+
+
 def write_partitioned(df: DataFrame, path: str, keys: Sequence[str] = ("src_lang", "tgt_lang"), mode: str = "overwrite") -> None:
     """One folder per direction. Rows of one direction may lie in many files, so none is written by a single task."""
     df.write.mode(mode).partitionBy(*keys).option("ignoreNullFields", False).json(path)
@@ -74,14 +86,19 @@ def rewrite_column(df: DataFrame, column: str, value: Column) -> tuple[DataFrame
 
 
 def replace_folder(spark: SparkSession, df: DataFrame, path: str) -> None:
-    """Writes df as JSON lines beside path, then takes its place."""
+    """Writes df as JSON lines beside path, then takes its place: the old folder steps aside by a rename and goes only when the new one is there."""
     fs = spark._jvm.org.apache.hadoop.fs
-    target, part = fs.Path(path), fs.Path(path.rstrip("/") + ".part")
+    target, part, old = (fs.Path(path.rstrip("/") + end) for end in ("", ".part", ".old"))
     df.write.mode("overwrite").option("ignoreNullFields", False).json(str(part))
     system = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    system.delete(target, True)
+    if system.exists(target):
+        system.delete(old, True)
+        if not system.rename(target, old):
+            raise OSError(f"could not move {path} aside")
     if not system.rename(part, target):
+        system.rename(old, target)
         raise OSError(f"could not rename to {path}")
+    system.delete(old, True)
 
 
 def copy_table(spark: SparkSession, src: str, dst: str, schema: str, overwrite: bool = False) -> int:
