@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names
+from ..storage import bounded_broadcast, written
 from ..functions.text import casefold, has_any, normalize_key, normalize_lookup_key, normalize_space, to_simplified, traditional_characters, usable_pivot
 
 #: A record holds no more candidates than this.
@@ -38,14 +39,17 @@ def records(groups: DataFrame, source: str, src_lang: str, tgt_lang: str, confid
     return out
 
 
-def word_list_lexicon(pairs: DataFrame, src_lang: str, tgt_lang: str, max_candidates: int = 8, url: str = "", license_note: str = "") -> DataFrame:
-    """Entries from src, tgt word pairs: grouped by case-folded source (its first surface form), in order of first appearance."""
+def word_list_lexicon(pairs: DataFrame, src_lang: str, tgt_lang: str, max_candidates: int = 8, url: str = "", license_note: str = "", traditional: str | None = None) -> DataFrame:
+    """Entries from src, tgt word pairs: grouped by case-folded source (its first surface form), in order of first appearance.
+
+    Chinese terms that keep one of the traditional characters (default: those that Unicode's rules change) go.
+    """
     src, tgt = F.col("src"), F.col("tgt")
     src, tgt = (to_simplified(src) if src_lang == "zho_Hans" else src), (to_simplified(tgt) if tgt_lang == "zho_Hans" else tgt)
     rows = pairs.select(src.alias("src"), tgt.alias("tgt"), "_ord")
     for col, lang in (("src", src_lang), ("tgt", tgt_lang)):
         if lang == "zho_Hans":
-            rows = rows.where(~has_any(F.col(col), traditional_characters()))
+            rows = rows.where(~has_any(F.col(col), traditional_characters(pairs.sparkSession) if traditional is None else traditional))
     rows = rows.withColumn("key", casefold(F.col("src")))
     values = distinct_by_key(rows, ["key"], "tgt", max_candidates)
     surface = rows.groupBy("key").agg(F.min_by("src", "_ord").alias("source_text"), F.min("_ord").alias("_ord"))
@@ -78,15 +82,27 @@ def pivot_lexicon(first: DataFrame, second: DataFrame, src_lang: str, tgt_lang:
 
     Stop-words and short keys don't pivot; candidates keep the order of pivots, then of second's entries; the first entry
     of a source key that gets any candidate stays; pivot_text is its last pivot that matched.
+
+    Both sides are reduced before they meet: second to the first max_candidates distinct values of each pivot (as many as any
+    entry can take from it), first to the entry of each source key that wins. So no pair of a common pivot's entries is formed.
     """
-    left = first.select(normalize_space(F.col("source_text")).alias("source_text"), "_ord", _candidates(first).alias("c")).where("source_text <> ''")
-    hops = left.select("source_text", "_ord", F.posexplode("c").alias("pos", "pivot")).withColumn("k", normalize_key(F.col("pivot"))).where(usable_pivot(F.col("k")))
-    index = second.select(normalize_key(F.col("source_text")).alias("k"), F.col("_ord").alias("o2"), F.posexplode(_candidates(second)).alias("p2", "value"))
-    met = hops.join(index, "k").withColumn("at", F.struct("pos", "o2", "p2")).withColumn("key", normalize_key(F.col("source_text")))
-    values = distinct_by_key(met, ["key", "_ord"], "value", max_candidates, "at")
-    about = met.groupBy("key", "_ord").agg(F.first("source_text").alias("source_text"), F.max_by("pivot", "pos").alias("pivot"))
-    found = values.where(F.size("values") > 0).join(about, ["key", "_ord"])
-    kept = found.groupBy("key").agg(F.min_by(F.struct("source_text", "values", "pivot", "_ord"), "_ord").alias("r")).select("r.*")
+    left = first.select(normalize_space(F.col("source_text")).alias("source_text"), "_ord", _candidates(first).alias("c")).where("source_text <> ''").withColumn("key", normalize_key(F.col("source_text")))
+    hops = left.select("key", "source_text", "_ord", F.posexplode("c").alias("pos", "pivot")).withColumn("k", normalize_key(F.col("pivot"))).where(usable_pivot(F.col("k")))
+    # as scalars, so that the least can be kept in a hash table's row
+    entries = second.select(normalize_key(F.col("source_text")).alias("k"), F.col("_ord").alias("o2"), F.posexplode(_candidates(second)).alias("p2", "value"))
+    filled = entries.withColumn("value", normalize_space(F.col("value"))).where(usable_pivot(F.col("k")) & (F.col("value") != "")).withColumn("vk", normalize_key(F.col("value")))
+    forms = filled.groupBy("k", "vk").agg(F.min(F.struct("o2", "p2", "value")).alias("f"))
+    place = F.row_number().over(Window.partitionBy("k").orderBy("f.o2", "f.p2", "f.value"))
+    index = written(forms.withColumn("place", place).where(F.col("place") <= max_candidates).select("k", "vk", "f"), "pivot-index")
+    pivots = index.select("k").distinct()
+    usable = written(hops.join(pivots, "k", "left_semi"), "pivot-hops")
+    wins = written(usable.groupBy("key").agg(F.min("_ord").alias("_ord")), "pivot-winners")
+    own = usable.join(wins, ["key", "_ord"])
+    about = own.groupBy("key", "_ord").agg(F.first("source_text").alias("source_text"), F.max_by("pivot", "pos").alias("pivot"))
+    met = own.select("key", "k", "pos").join(index, "k").groupBy("key", "vk").agg(F.min(F.struct("pos", "f")).alias("at"))
+    listed = F.transform(F.array_sort(F.collect_list("at")), lambda x: x["f"]["value"])
+    values = met.groupBy("key").agg(F.slice(listed, 1, max_candidates).alias("values"))
+    kept = values.join(about, "key")
     url = f"pivot:dict_terms_{src_lang}__eng_Latn + dict_terms_eng_Latn__{tgt_lang}" if src_lang != "zho_Hans" else f"pivot:dict_terms_zho_Hans__eng_Latn + dict_terms_eng_Latn__{tgt_lang}"
     return records(kept, "english_pivot_dictionary", src_lang, tgt_lang, 0.62, url, license_note, "pivot")
 
@@ -124,9 +140,9 @@ def lookup(index: DataFrame, src_lang: str, tgt_lang: str, key: str, top_k: int
     if top_k < 1 or offset < 0:
         raise ValueError("top_k must be 1 or more, offset 0 or more")
     found = index.where((F.col("src_lang") == src_lang) & (F.col("tgt_lang") == tgt_lang)).where(_matches(index, key))
-    total = found.count()
     ranked = found.orderBy((F.col("norm_key") != key).asc(), F.desc("confidence"), F.length("source_text"), "target_text", "_ord").offset(offset).limit(top_k)
-    return ranked.withColumns({"total_matches": F.lit(total).cast("long"), "has_more": F.lit(offset + top_k < total), "match_type": F.lit("contains")})
+    total = F.broadcast(found.agg(F.count(F.lit(1)).alias("total_matches")))  # one row
+    return ranked.crossJoin(total).withColumns({"has_more": F.lit(offset + top_k) < F.col("total_matches"), "match_type": F.lit("contains")})
 
 
 def search(index: DataFrame, key: str, src_lang: str | None = None, tgt_lang: str | None = None, top_k: int = 10) -> DataFrame:
@@ -139,6 +155,47 @@ def search(index: DataFrame, key: str, src_lang: str | None = None, tgt_lang: st
     return marked.orderBy((F.col("match_type") != "exact").asc(), F.desc("confidence"), "src_lang", "tgt_lang", "source_text", "_ord").limit(top_k)
 
 
+def _parts(rows: DataFrame, key: str, sizes: Column) -> DataFrame:
+    """rows with each distinct piece of the key of each of the sizes, as gram."""
+    cuts = F.flatten(F.transform(sizes, lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(key) - n + 1, F.lit(0)), F.lit(1)), lambda i: F.substring(F.col(key), i, n))))
+    none = F.expr("cast(array() as array<string>)")
+    return rows.select("*", F.explode(F.array_distinct(F.when(F.length(key) >= F.array_min(sizes), cuts).otherwise(none))).alias("gram"))
+
+
+def _held_by(small: DataFrame, large: DataFrame) -> DataFrame:
+    """s, l: ids of small (s, sk) and large (l, lk) of which lk holds sk, for keys that aren't empty.
+
+    A key is held only where its rarest piece of GRAM characters (the whole key, if shorter) is; that piece is the join's key.
+    """
+    have = written(_parts(large, "lk", F.filter(F.sequence(F.lit(1), F.lit(GRAM)), lambda n: n <= F.length("lk"))).select("gram", "l", "lk"), "pieces")
+    often = have.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    own = _parts(small.where("sk <> ''"), "sk", F.array(F.least(F.length("sk"), F.lit(GRAM))))
+    least = own.join(often, "gram", "left").groupBy("s", "sk").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    return written(least, "anchors").join(have, "gram").where(F.col("lk").contains(F.col("sk"))).select("s", "l")
+
+
+#: Characters of the pieces by which containment is looked up.
+GRAM = 3
+
+
+def lookup_terms(index: DataFrame, terms: DataFrame, top_k: int = 10) -> DataFrame:
+    """The best top_k entries of the whole index for each row of terms (term_id, key): either key holds the other, ranked as in search, with rank and match_type.
+
+    Pairs come from a join on rare pieces of the keys, not from all against all. An empty key is held by, and an empty entry
+    in, every other: such rows (a bounded few) meet the rest by a broadcast.
+    """
+    entries = written(index.withColumn("_entry", F.monotonically_increasing_id()), "entries")
+    asked = written(terms.select(F.col("term_id").alias("t"), F.col("key").alias("tk")), "terms")
+    e, t = entries.select(F.col("_entry").alias("e"), F.col("norm_key").alias("ek")), asked
+    inner = _held_by(t.select(F.col("t").alias("s"), F.col("tk").alias("sk")), e.select(F.col("e").alias("l"), F.col("ek").alias("lk"))).select(F.col("s").alias("t"), F.col("l").alias("e"))
+    outer = _held_by(e.select(F.col("e").alias("s"), F.col("ek").alias("sk")), t.select(F.col("t").alias("l"), F.col("tk").alias("lk"))).select(F.col("l").alias("t"), F.col("s").alias("e"))
+    blank = bounded_broadcast(t.where("tk = ''").select("t")).crossJoin(e.select("e")).union(t.where("tk <> ''").select("t").crossJoin(bounded_broadcast(e.where("ek = ''").select("e"))))
+    met = inner.union(outer).union(blank.select("t", "e")).distinct()
+    whole = met.join(asked, "t").join(entries.withColumnRenamed("_entry", "e"), "e").withColumn("match_type", F.when(F.col("norm_key") == F.col("tk"), "exact").otherwise("contains"))
+    rank = F.row_number().over(Window.partitionBy("t").orderBy((F.col("match_type") != "exact").asc(), F.desc("confidence"), "src_lang", "tgt_lang", "source_text", "_ord"))
+    return whole.withColumn("rank", rank).where(F.col("rank") <= top_k).select(F.col("t").alias("term_id"), "rank", "match_type", *[c for c in index.columns if c != "norm_key"])
+
+
 def lookup_with_fallback(index: DataFrame, src_lang: str, tgt_lang: str, term: str, top_k: int = 20, offset: int = 0, fallback_top_k: int = 10) -> dict:
     """The lookup's page as plain data; without a match, suggestions from the same source's other targets, else from other sources.
 
