@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize_space, strip
+from ..functions.text import SPACE, normalize_space, strip
 
 ORDER = 4
 
@@ -34,7 +34,7 @@ def tokenize_zh(c: Column) -> Column:
 
 
 def tokenize_char(c: Column) -> Column:
-    return normalize_space(F.regexp_replace(F.regexp_replace(c, r"(?U)\s+", ""), r"(?s)(.)", "$1 "))
+    return normalize_space(F.regexp_replace(F.regexp_replace(c, f"{SPACE}+", ""), r"(?s)(.)", "$1 "))
 
 
 def tokenize_intl(c: Column) -> Column:
@@ -208,6 +208,19 @@ def global_scale(values: DataFrame) -> DataFrame:
     return values.agg(F.coalesce(F.min("value"), F.lit(0.0)).alias("vmin"), F.coalesce(F.max("value"), F.lit(1.0)).alias("vmax"))
 
 
+def wanted_steps(candidates: DataFrame, steps: Sequence[int]) -> DataFrame:
+    """Candidates of one of the training steps; a candidate without a step is none of them."""
+    return candidates.where(F.col("step").isin(*steps)) if steps else candidates.limit(0)
+
+
+def run_totals(results: DataFrame) -> DataFrame:
+    """src_lang, tgt_lang, num, failed: rows and errors of each direction, and over all (null, null)."""
+    failed = F.count_if(F.col("error").isNotNull()) if "error" in results.columns else F.lit(0).cast("long")
+    counts = results.groupBy("src_lang", "tgt_lang").agg(F.count(F.lit(1)).alias("num"), failed.alias("failed"))
+    total = counts.agg(F.lit(None).cast("string").alias("src_lang"), F.lit(None).cast("string").alias("tgt_lang"), F.sum("num").alias("num"), F.sum("failed").alias("failed"))
+    return counts.union(total)
+
+
 def best_checkpoint(candidates: DataFrame, keys: Sequence[str] = ("pair",)) -> DataFrame:
     """The row of highest score, then highest step, then first in order, of each key."""
     row = F.struct(*[F.col(c) for c in candidates.columns if c not in keys])

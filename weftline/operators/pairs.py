@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names
 from ..functions.text import first_nonblank, nonblank, normalize_space, script_ratio, strip
+from ..storage import bounded_broadcast, quoted, written
 
 
 def expand_directions(groups: DataFrame, bidirectional: bool = True, same_language: bool = False) -> DataFrame:
@@ -147,9 +148,15 @@ def first_rows(df: DataFrame, n: int, keys: Sequence[str] = (), order: str = "_o
 
 
 def keep_first(df: DataFrame, key: Column, order: str = "_ord") -> DataFrame:
-    """The first row of each key, pre-aggregated: a key's rows never meet in one task."""
-    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    return df.groupBy(key.alias("_key")).agg(F.min_by(row, order).alias("_row")).select("_row.*")
+    """The first row of each key; order tells the rows of a key apart. A null key is one key.
+
+    Firsts are found on keys and orders alone, pre-aggregated, and only for keys that come more than once; rows are then kept or
+    dropped where they are if the list of such keys is small, so that wide rows don't move.
+    """
+    slim = df.select(key.alias("_key"), F.col(order).alias("_at"))
+    several = written(slim.groupBy("_key").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n"), "repeated-keys")
+    marked = df.select("*", key.alias("_own")).join(bounded_broadcast(several), F.col("_own").eqNullSafe(F.col("_key")), "left")
+    return marked.where(F.col("_first").isNull() | (F.col("_first") == F.col(order))).select(*[F.col(quoted(c)) for c in df.columns])
 
 
 def keep_last(df: DataFrame, keys: Sequence[str], order: str = "_ord") -> DataFrame:
@@ -199,11 +206,26 @@ def routed(items: DataFrame, experts: DataFrame, strict: bool = False) -> DataFr
     return found.withColumn("routed_model", F.when(F.col("routed_model").isNull(), lacking).otherwise(F.col("routed_model")))
 
 
-def provider_error_kind(error: Column) -> Column:
-    """rate_limit, content_filter or other, by what a provider's message says; null stays null."""
-    limit = error.rlike(r"(?i)429|rate limit|too many requests") | error.rlike(r"""["']code["']:["']1302["']|达到速率限制|请求频率""")
-    content = error.rlike(r"(?i)content filter|contentfilter|safety|sensitive|unsafe") | error.rlike(r"""["']code["']:["']1301["']|不安全|敏感""")
-    return F.when(error.isNull(), None).when(limit, "rate_limit").when(content, "content_filter").otherwise("other")
+# What two providers' messages hold, by kind of error; lower-case phrases of the first are looked for in any case.
+PROVIDER_ERRORS = {
+    "deepseek": {"rate_limit": ("429",), "rate_limit_any_case": ("rate limit", "too many requests"), "content_filter": ("不安全", "敏感"), "content_filter_any_case": ("content filter", "safety", "sensitive", "unsafe")},
+    "zhipu": {"rate_limit": ('"code":"1302"', "'code':'1302'", "Error code: 429", "达到速率限制", "请求频率"), "content_filter": ('"code":"1301"', "'code':'1301'", "contentFilter", "可能包含不安全或敏感内容")},
+}
+
+
+def provider_error_kind(error: Column, provider: str = "deepseek") -> Column:
+    """rate_limit, content_filter or other, by what the provider's message holds; null stays null."""
+    rules = PROVIDER_ERRORS[provider]
+
+    def says(kind: str) -> Column:
+        out = F.lit(False)
+        for phrase in rules.get(kind, ()):
+            out = out | error.contains(phrase)
+        for phrase in rules.get(f"{kind}_any_case", ()):
+            out = out | F.lower(error).contains(phrase)
+        return out
+
+    return F.when(error.isNull(), None).when(says("rate_limit"), "rate_limit").when(says("content_filter"), "content_filter").otherwise("other")
 
 
 def merge_source_configs(defaults: Mapping[str, Mapping], pair: Mapping) -> dict[str, dict]:

@@ -1,6 +1,8 @@
 """Seeded samples, allocations and mixtures, fixed-size chunks, greedy candidates.
 
-Samples rank rows by sha1 of seed, key and id: the same rows for the same seed, whatever the partitioning.
+Samples rank rows by sha1 of seed, key and id: the same rows for the same seed, whatever the partitioning. Where a key's
+sample may be large, no task sorts the key: counts per bin of the draws say in which bin the sample ends, bins below are
+taken whole, and only that bin is put in order.
 """
 
 from __future__ import annotations
@@ -11,7 +13,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import nonblank, normalize_space, pack_sentences, speaks
-from ..storage import written
+from ..storage import bounded_broadcast, written
+
+#: Bins of a key's draws: the first three digits of their hashes.
+BIN_DIGITS = 3
 
 
 def draw(seed: int, *parts: Column) -> Column:
@@ -33,6 +38,22 @@ def sample_per_key(df: DataFrame, n: int | None, seed: int, keys: Sequence[str],
     return df.withColumn("_draw", draw(seed, *[F.col(k) for k in keys], F.col(id_col))).withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_draw", "_rank")
 
 
+def least_draws(rows: DataFrame, limits: DataFrame, keys: Sequence[str], id_col: str) -> DataFrame:
+    """rows (with _draw) of the keys in limits (keys, _limit): each key's _limit least draws, ties by id; all for a null limit."""
+    binned = rows.withColumn("_bin", F.conv(F.substring("_draw", 1, BIN_DIGITS), 16, 10).cast("int"))
+    counts = binned.groupBy(*keys, "_bin").agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    run = counts.withColumn("_upto", upto).join(bounded_broadcast(limits.where("_limit is not null")), list(keys))
+    ends = run.where(F.col("_upto") > F.col("_limit")).groupBy(*keys).agg(F.min_by(F.struct("_bin", (F.col("_limit") - F.col("_upto") + F.col("_n")).alias("_left")), "_bin").alias("_end"))
+    cut = written(limits.select(*keys).join(ends, list(keys), "left"), "sample-cuts")
+    marked = binned.join(bounded_broadcast(cut), list(keys))
+    whole = marked.where(F.col("_end").isNull() | (F.col("_bin") < F.col("_end._bin")))
+    last = marked.where((F.col("_bin") == F.col("_end._bin")) & (F.col("_end._left") > 0))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("_draw", id_col))
+    some = last.withColumn("_rank", rank).where(F.col("_rank") <= F.col("_end._left")).drop("_rank")
+    return whole.unionByName(some).drop("_bin", "_end", "_draw")
+
+
 def sample_lines(df: DataFrame, n: int | None, seed: int, id_col: str) -> DataFrame:
     """n rows in drawn order; None, negative or too many give all, shuffled; 0 gives none."""
     if n == 0:
@@ -74,22 +95,21 @@ def weighted_mixture(pools: DataFrame, weights: Mapping[str, float], total: int,
     known = {r[0]: r[1] for r in pools.where(F.col(pool_col).isin(*weights)).groupBy(pool_col).count().collect()}
     order = list(weights)
     counts = dict(zip(order, allocate([known.get(p, 0) for p in order], [weights[p] for p in order], total), strict=True))
-    take = F.create_map(*[F.lit(x) for p in order for x in (p, counts[p])])
-    rank = F.row_number().over(Window.partitionBy(pool_col).orderBy("_draw", id_col))
-    drawn = pools.where(F.col(pool_col).isin(*order)).withColumn("_draw", draw(seed, F.col(pool_col), F.col(id_col))).withColumn("_rank", rank)
-    return shuffle(drawn.where(F.col("_rank") <= take[F.col(pool_col)]).drop("_draw", "_rank"), seed + 1, id_col)
+    limits = pools.sparkSession.createDataFrame([(p, counts[p]) for p in order], f"`{pool_col}` string, _limit long")
+    drawn = pools.where(F.col(pool_col).isin(*order)).withColumn("_draw", draw(seed, F.col(pool_col), F.col(id_col)))
+    return shuffle(least_draws(drawn, limits, [pool_col], id_col), seed + 1, id_col)
 
 
 def direction_mixture(rows: DataFrame, configs: DataFrame, seed: int, id_col: str) -> DataFrame:
     """Rows (src_lang, tgt_lang, source, …) up to each direction's and source's limit.
 
-    configs: src_lang, tgt_lang, source, enabled, limit (null: all; 0: none). Disabled sources give nothing.
+    configs: src_lang, tgt_lang, source, enabled, limit (null or negative: all; 0: none). Disabled sources give nothing.
     """
     keys = ["src_lang", "tgt_lang", "source"]
-    active = configs.where(F.coalesce("enabled", F.lit(True)) & (F.col("limit").isNull() | (F.col("limit") != 0))).select(*keys, "limit")
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("_draw", id_col))
-    drawn = rows.join(active, keys).withColumn("_draw", draw(seed, *[F.col(k) for k in keys], F.col(id_col))).withColumn("_rank", rank)
-    return drawn.where(F.col("limit").isNull() | (F.col("limit") < 0) | (F.col("_rank") <= F.col("limit"))).drop("_draw", "_rank", "limit")
+    active = configs.where(F.coalesce("enabled", F.lit(True)) & (F.col("limit").isNull() | (F.col("limit") != 0)))
+    limits = active.select(*keys, F.when(F.col("limit") > 0, F.col("limit")).cast("long").alias("_limit"))
+    drawn = rows.withColumn("_draw", draw(seed, *[F.col(k) for k in keys], F.col(id_col)))
+    return least_draws(drawn, limits, keys, id_col).select(*rows.columns)
 
 
 def mixture_manifest(mixed: DataFrame, configs: DataFrame) -> DataFrame:
@@ -100,10 +120,26 @@ def mixture_manifest(mixed: DataFrame, configs: DataFrame) -> DataFrame:
     return every.groupBy("src_lang", "tgt_lang").agg(F.sum("n").alias("num_rows"), F.map_from_entries(entries).alias("source_counts"))
 
 
+def numbered(rows: DataFrame, keys: Sequence[str], order: str = "_ord") -> DataFrame:
+    """rows with _n, their number (from 0) within their key by order.
+
+    A range exchange on keys and order, so that a large key lies in many partitions; numbers within a partition are set off by
+    the counts of the partitions before. Null keys are keys like others.
+    """
+    placed = rows.repartitionByRange(*[F.col(k) for k in keys], F.col(order)).sortWithinPartitions(*keys, order).withColumn("_at", F.monotonically_increasing_id())
+    local = written(placed.withColumn("_part", F.shiftright("_at", 33).cast("int")), "numbered")
+    runs = local.groupBy(*keys, "_part").agg(F.min("_at").alias("_from"), F.count(F.lit(1)).alias("_count"))
+    before = F.sum("_count").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    runs = runs.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_part").alias("_p"), (F.coalesce(before, F.lit(0)) - F.col("_from")).alias("_off"))
+    same = F.col("_part") == F.col("_p")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return local.join(bounded_broadcast(runs), same).withColumn("_n", F.col("_at") + F.col("_off")).select(*rows.columns, "_n")
+
+
 def chunked(rows: DataFrame, size: int, keys: Sequence[str], order: str = "_ord") -> DataFrame:
     """keys, chunk, src_lines, tgt_lines, n: size consecutive rows (input, output) of a key, the last chunk as it comes."""
-    number = F.floor((F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1) / size).cast("long")
-    parts = rows.withColumn("chunk", number).groupBy(*keys, "chunk").agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), "input", "output"))).alias("r"))
+    parts = numbered(rows, keys, order).withColumn("chunk", F.floor(F.col("_n") / size).cast("long")).groupBy(*keys, "chunk").agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), "input", "output"))).alias("r"))
     return parts.select(*keys, "chunk", F.col("r.input").alias("src_lines"), F.col("r.output").alias("tgt_lines"), F.size("r").cast("long").alias("n"))
 
 
@@ -136,19 +172,28 @@ def greedy_sources(found: DataFrame) -> DataFrame:
     """At most one candidate a document, no hash twice in a language, as a pass in order would choose.
 
     Each document proposes its first candidate; a hash keeps the earliest proposer, even against one that held it; those
-    turned away propose their next. The fixed point equals the ordered pass. Only (order, language, hash) moves, and each
-    round is written, so a round's failure repeats that round alone.
+    turned away propose their next. The fixed point equals the ordered pass. The candidates are written once; a round moves
+    and writes only the proposals of those that were turned away in the round before, and looks up no other hashes, so a
+    round's failure repeats that round alone. A hash's holder is the earliest of all that ever proposed it.
     """
-    ranked = found.withColumn("k", F.row_number().over(Window.partitionBy("lang", "_ord").orderBy("pos")) - 1)
-    slots = written(ranked.select("lang", "_ord", "k", "pos", "hash"), "slots")
-    state = slots.select("lang", "_ord").distinct().withColumn("k", F.lit(0))
-    while True:
-        proposals = written(state.join(slots, ["lang", "_ord", "k"]), "proposals")
-        holders = proposals.groupBy("lang", "hash").agg(F.min("_ord").alias("_ord")).withColumn("held", F.lit(True))
-        judged = written(proposals.join(holders, ["lang", "hash", "_ord"], "left"), "judged")
-        if judged.where("held is null").isEmpty():
-            return judged.select("lang", "_ord", "pos", "hash").join(found.select("lang", "_ord", "pos", "text"), ["lang", "_ord", "pos"])
-        state = judged.select("lang", "_ord", (F.col("k") + F.when(F.col("held").isNull(), 1).otherwise(0)).alias("k"))
+    pieces = written(found.withColumn("k", F.row_number().over(Window.partitionBy("lang", "_ord").orderBy("pos")) - 1), "pieces")
+    slots = pieces.select("lang", "_ord", "k", "pos", "hash")
+    key, one = ["lang", "hash"], F.count(F.lit(1)).alias("n")
+    fresh = written(slots.where("k = 0"), "proposals", one)
+    every = fresh
+    while fresh.measured["n"]:
+        asked = bounded_broadcast(fresh.select(*key).distinct())
+        rivals = every.join(asked, key, "left_semi")
+        holders = rivals.groupBy(*key).agg(F.min("_ord").alias("first"))
+        # of those that meet on a hash asked for now, all but the first go on: new ones that came late, and the holder until now
+        until = (every if every is fresh else rivals.join(fresh.select("lang", "_ord", "k"), ["lang", "_ord", "k"], "left_anti")).groupBy(*key).agg(F.min("_ord").alias("old"))
+        meeting = fresh.select("lang", "_ord", "k", "hash") if every is fresh else fresh.select("lang", "_ord", "k", "hash").unionByName(rivals.join(until, key).where(F.col("_ord") == F.col("old")).select("lang", "_ord", "k", "hash"))
+        away = meeting.join(holders, key).where(F.col("_ord") != F.col("first")).select("lang", "_ord", (F.col("k") + 1).alias("k")).distinct()
+        away = written(away, "away")
+        fresh = written(slots.join(bounded_broadcast(away), ["lang", "_ord", "k"]), "proposals", one)
+        every = every.unionByName(fresh)
+    held = every.groupBy(*key).agg(F.min_by(F.struct("_ord", "k"), "_ord").alias("w")).select("lang", "w.*")
+    return pieces.join(held, ["lang", "_ord", "k"]).select("lang", "_ord", "pos", "hash", "text")
 
 
 def fill_quota(sources: DataFrame, done: DataFrame, n: int, keys: Sequence[str] = ("lang",)) -> DataFrame:

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names
 from ..operators import incremental, lexicon, metrics, pairs, remote, sampling
+from ..storage import bounded_broadcast, written
 
 
 def evaluation_set(directions: DataFrame, parallel: DataFrame, english_centric: DataFrame, per_pair: int | None, limit: int | None, seed: int) -> DataFrame:
@@ -49,17 +51,31 @@ def pivot_lexicons(lexicons: Mapping[tuple[str, str], DataFrame], languages: Seq
 
 
 def synthetic_pairs(docs: DataFrame, src_lang: str, tgt_lang: str, translator: remote.Translator, quota: int, done: DataFrame | None = None, over: float = 1.2, min_chars: int = 20, max_chars: int = 600) -> DataFrame:
-    """Alpaca rows from monolingual text: greedy candidates, not yet done, translated (somewhat more than the quota), checked by script, the first quota of them."""
+    """Alpaca rows from monolingual text: greedy candidates, not yet done, translated and checked by script, the first quota of them.
+
+    Each round asks for somewhat more than is lacking. A rejected answer gives its place back: rounds go on until the quota is
+    full or the sources are at an end, and each writes its answers, so that none is asked for twice.
+    """
     from ..functions.text import speaks
 
     found = sampling.greedy_sources(sampling.candidates(docs, F.lit(src_lang), min_chars, max_chars))
     if done is not None:
         found = found.join(done.withColumnRenamed("source_hash", "hash"), "hash", "left_anti")
-    first = pairs.first_rows(found, int(quota * over) + 1)
+    found = written(found, "sources")
     inst = names.candidate_instruction(F.lit(src_lang), F.lit(tgt_lang))
-    asked = first.withColumn("prompt", names.prompt(inst, F.col("text")))
-    answered = remote.translate(asked, translator, "prompt", "output").where(F.col("error").isNull() & speaks(F.col("output"), F.lit(tgt_lang)))
-    kept = pairs.first_rows(answered, quota)
+    tally = (F.count(F.lit(1)).alias("asked"), F.count_if("good").alias("good"))
+    every, good = None, 0
+    while good < quota:
+        rest = found if every is None else found.join(bounded_broadcast(every.select("hash")), "hash", "left_anti")
+        most = int((quota - good) * over) + 1
+        asked = pairs.first_rows(rest, most).withColumn("prompt", names.prompt(inst, F.col("text")))
+        answered = remote.translate(asked, translator, "prompt", "output").withColumn("good", F.coalesce(F.col("error").isNull() & speaks(F.col("output"), F.lit(tgt_lang)), F.lit(False)))
+        answered = written(answered, "answers", *tally)
+        every = answered if every is None else every.unionByName(answered)
+        good += answered.measured["good"]
+        if answered.measured["asked"] < most:
+            break
+    kept = pairs.first_rows((every if every is not None else found.limit(0).withColumns({"output": F.lit(""), "good": F.lit(False)})).where("good"), quota)
     meta = F.struct(F.lit(src_lang).alias("source"), F.col("hash").alias("source_hash"))
     return kept.select(inst.alias("instruction"), F.col("text").alias("input"), "output", meta.alias("meta"), "_ord")
 
@@ -69,14 +85,28 @@ def all_directions_mixture(rows: DataFrame, configs: DataFrame, seed: int, id_co
     return sampling.shuffle(sampling.direction_mixture(rows, configs, seed, id_col), seed, id_col)
 
 
-def run_directions(jobs: Mapping[str, Callable[[], object]]) -> dict[str, tuple[bool, object]]:
-    """Runs named jobs one after another (each is distributed itself); a failure is noted and the rest go on."""
-    out = {}
-    for name, job in jobs.items():
+def run_directions(jobs: Mapping[str, Callable[[], object]], workers: int = 4) -> dict[str, tuple[bool, object]]:
+    """Runs named jobs, workers at a time (Spark shares the cluster among their tasks); a failure is noted and the rest go on."""
+
+    def one(job: Callable[[], object]) -> tuple[bool, object]:
         try:
-            out[name] = (True, job())
+            return True, job()
         except Exception as error:
-            out[name] = (False, str(error))
+            return False, str(error)
+
+    with ThreadPoolExecutor(workers) as pool:
+        return dict(zip(jobs, pool.map(one, jobs.values()), strict=True))
+
+
+def evaluate_runs(runs: Mapping[str, DataFrame | None], items: DataFrame, policy: str = "auto", score: str | None = None) -> DataFrame:
+    """Metrics rows of several runs' stored hypotheses, by run; runs without any (None) are passed over."""
+    out = None
+    for name, hypotheses in runs.items():
+        if hypotheses is not None:
+            one = metrics_of(items, hypotheses, policy, score).select(F.lit(name).alias("run"), "*")
+            out = one if out is None else out.unionByName(one)
+    if out is None:
+        raise ValueError("no run has hypotheses")
     return out
 
 

@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 
-def read_arriving(spark: SparkSession, path: str, schema, fmt: str = "json", files_per_trigger: int | None = None) -> DataFrame:
-    """Files of a folder as they arrive; the checkpoint remembers which were read."""
+def read_arriving(spark: SparkSession, path: str, schema, fmt: str = "json", files_per_trigger: int | None = None, name: str | None = None) -> DataFrame:
+    """Files of a folder (of one name or glob) as they arrive; the checkpoint remembers which were read."""
     reader = spark.readStream.schema(schema).format(fmt)
-    return (reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader).load(path)
+    for option, value in (("maxFilesPerTrigger", files_per_trigger), ("pathGlobFilter", name)):
+        if value:
+            reader = reader.option(option, value)
+    return reader.load(path)
 
 
 def first_arrivals(stream: DataFrame, keys: Sequence[str], watermark: tuple[str, str] | None = None) -> DataFrame:
