@@ -276,3 +276,99 @@ def test_programs(spark):
     assert programs.run_directions({"a": lambda: 1, "b": lambda: 1 / 0})["b"][0] is False
     assert programs.expert_assets([("a", "b")], "p", 5)[0]["adapter_name"] == "p_a_to_b"
     assert names.ordered_distinct("abca") == ["a", "b", "c"]
+
+
+def test_numbers_within_a_key(spark):
+    rows = spark.range(1000).selectExpr("id as _ord", "case when id % 10 = 0 then null when id % 3 = 0 then 'hot' else 'k' || id % 7 end as key").repartition(9)
+    got = {}
+    for r in sampling.numbered(rows, ["key"]).collect():
+        got.setdefault(r.key, []).append((r._ord, r._n))
+    for found in got.values():
+        assert [n for _, n in sorted(found)] == list(range(len(found)))
+    assert None in got and sum(map(len, got.values())) == 1000
+
+
+def test_least_draws_are_the_sorted_ones(spark):
+    rows = spark.range(3000).selectExpr("id", "case when id % 3 = 0 then 'hot' else 'k' || id % 5 end as key").withColumn("_draw", sampling.draw(1, F.col("key"), F.col("id")))
+    every = {}
+    for r in rows.collect():
+        every.setdefault(r.key, []).append((r._draw, r.id))
+    limits = {"hot": 700, "k0": 0, "k1": 1, "k2": 10**6, "k3": None, "k4": 50}
+    table = spark.createDataFrame(list(limits.items()), "key string, _limit long")
+    got = {}
+    for r in sampling.least_draws(rows, table, ["key"], "id").collect():
+        got.setdefault(r.key, set()).add(r.id)
+    for key, n in limits.items():
+        want = sorted(every[key])[: len(every[key]) if n is None else n]
+        assert got.get(key, set()) == {i for _, i in want}, key
+
+
+def test_keep_first_keeps_wide_rows(spark):
+    rows = spark.createDataFrame([(3, "a", "x"), (1, "a", "y"), (2, None, "z"), (5, None, "w"), (4, "b", "v")], "_ord int, k string, `odd.name` string")
+    assert sorted(map(tuple, pairs.keep_first(rows, F.col("k")).collect())) == [(1, "a", "y"), (2, None, "z"), (4, "b", "v")]
+
+
+def test_traditional_terms(spark):
+    chars = text.traditional_characters(spark)
+    assert set("於著徵後學國貓") <= set(chars) and not set("囧妳祂玥珺后里猫国中文") & set(chars)
+    lines = spark.createDataFrame([(0, "a 於 [x] /at/"), (1, "b 囧 [x] /glum/Glum/ glum /"), (2, "c 中 [x] /mid/")], "_ord int, value string")
+    assert [(r.simplified, r.defs) for r in readers.parse_cedict(lines).orderBy("_ord").collect()] == [("囧", ["glum"]), ("中", ["mid"])]
+    assert [r.simplified for r in readers.parse_cedict(lines, traditional="中").orderBy("_ord").collect()] == ["於", "囧"]
+
+
+def test_readers_that_fail_late(spark, tmp_path):
+    spark.createDataFrame([(1,)], "a int").write.parquet(str(tmp_path / "good"))
+
+    def broken(s):
+        return s.createDataFrame([("x",)], "a string").select(F.raise_error(F.col("a")).cast("int").alias("a"))
+
+    got = readers.read_first_of(spark, [lambda s: s.read.parquet(str(tmp_path / "none")), broken, lambda s: s.read.parquet(str(tmp_path / "good"))])
+    assert got.collect() == [(1,)]
+    with pytest.raises(Exception):
+        readers.read_first_of(spark, [broken])
+    empty = spark.createDataFrame([], "id string, text string, _ord int")
+    with pytest.raises(Exception, match="no usable rows"):
+        readers.language_table(empty).collect()
+    writers.write_document({"a": [1]}, str(tmp_path / "c.json"))
+    assert readers.read_config(str(tmp_path / "c.json")) == readers.read_config(str(tmp_path / "c.json"), spark) == {"a": [1]}
+
+
+def test_files_and_names(spark, tmp_path):
+    (tmp_path / "t.txt").write_text("a\n\nb\nc\n")
+    assert writers.preview_of(spark, str(tmp_path / "t.txt"), 2) == ["a", "b"] and writers.preview_of(spark, str(tmp_path / "t.txt"), 2, skip_blank=False) == ["a", ""]
+    rows = spark.createDataFrame([("x",)], "a string")
+    for value in ("1", "2"):
+        writers.replace_folder(spark, rows.select(F.lit(value).alias("a")), str(tmp_path / "swap"))
+    assert [r.a for r in spark.read.json(str(tmp_path / "swap")).collect()] == ["2"] and not (tmp_path / "swap.old").exists() and not (tmp_path / "swap.part").exists()
+    writers.bundle({"x/t.txt": str(tmp_path / "t.txt")}, str(tmp_path / "b.tgz"))
+    import tarfile
+
+    assert tarfile.open(tmp_path / "b.tgz").getnames() == ["x/t.txt"]
+    assert names.yaml_quoted("it's") == "'it''s'" and names.relative_path("/a/b/c", "/a") == "b/c" and names.relative_path("/a/b", "/x") == "/a/b" and names.relative_path("/a/b", "/a", absolute=True) == "/a/b"
+    assert names.dataset_name("a b-c.d") == "a_b_c_d" and names.preview_name("x") == "previews/x.preview_50.jsonl" and names.direction_file("k", "a", "b") == "k_a__b.jsonl"
+    assert names.word_list_url("eng_Latn", "spa_Latn", "u/") == "u/en-es.txt"
+
+
+def test_samples_with_dates(spark):
+    import datetime as dt
+
+    rows = spark.createDataFrame([("1", "t", (dt.date(2024, 2, 3), dt.datetime(2024, 2, 3, 4, 5, 6, 70), None)), ("2", None, None)], "id string, text string, metadata struct<d: date, ts: timestamp, n: int>")
+    got = {r.sample_id: r for r in readers.sample_rows(rows, "c", "s", "train").collect()}
+    assert got["1"].metadata == {"d": "2024-02-03", "ts": "2024-02-03T04:05:06.000070", "n": None} and got["2"].metadata == {} and got["2"].text is None
+    assert readers.sample_rows(rows.drop("metadata"), "c", "s", "train").first().metadata == {}
+
+
+def test_directions_run_side_by_side():
+    import threading
+
+    meet = threading.Barrier(2, timeout=20)
+    got = programs.run_directions({"a": meet.wait, "b": meet.wait, "c": lambda: 1 / 0}, workers=3)
+    assert got["a"][0] and got["b"][0] and got["c"] == (False, "division by zero")
+
+
+def test_terms_of_any_length_meet_their_entries(spark):
+    rows = ["", "a", "ab", "abc", "abcd", "xabcx", "zzz", "b"]
+    index = spark.createDataFrame([(k, i) for i, k in enumerate(rows)], "norm_key string, _ord int").selectExpr("'s' as src_lang", "'t' as tgt_lang", "norm_key as source_text", "1.0 as confidence", "norm_key", "_ord")
+    terms = ["", "a", "abc", "q", "abcde", "zz"]
+    got = Counter((r.term_id, r._ord) for r in lexicon.lookup_terms(index, spark.createDataFrame([(t, t) for t in terms], "term_id string, key string"), 50).collect())
+    assert got == Counter((t, i) for t in terms for i, k in enumerate(rows) if t in k or k in t)

@@ -5,42 +5,15 @@ Each entry is (query, SQL); SQL is None where it can't express the operator (tho
 
 from __future__ import annotations
 
-import tempfile
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import names, text
 from .operators import incremental, lexicon, metrics, pairs, remote, sampling
-from .plans import programs
+from .registering import ORACLES, QUERIES, TURNS, WS, documents, query, table, turns
 from .sources import readers, writers
-from .streaming import incremental as streams
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(function: Query) -> Query:
-        QUERIES[function.__name__] = function
-        if sql is not None:
-            ORACLES[function.__name__] = sql
-        return function
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").withColumn("_ord", F.col("doc_id"))
 
-
-WS = r"regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '\s+', ' ', 'g')"
+__all__ = ["ORACLES", "QUERIES"]
 
 
 @query(f"""
@@ -111,16 +84,6 @@ def parallel_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.parallel_corpus(sides["user"], sides["assistant"], "conv", "test", "user", "assistant").select("dataset", "sample_id", "source_text", "reference_text")
 
 
-def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """input, output: a user's turn and the answer."""
-    rows = table(spark, sf_dir, "conversations")
-    answers = rows.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("output"))
-    return rows.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("input")).join(answers, ["conv_id", "turn"]).withColumn("_ord", F.struct("conv_id", "turn"))
-
-
-TURNS = "t AS (SELECT u.conv_id, u.turn, u.text AS input, a.text AS output FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant')"
-
-
 @query(f"WITH {TURNS} SELECT 'Translate the following English text into Simplified Chinese. Output only the translation' || ' Do not use Traditional Chinese.' AS instruction, trim(input) AS input, trim(output) AS output FROM t WHERE trim(input) <> '' AND trim(output) <> ''")
 def alpaca_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = pairs.both_filled(turns(spark, sf_dir), "input", "output")
@@ -265,7 +228,13 @@ def union_all_corpora(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.weighted_union(parts).groupBy(F.col("_part").alias("part")).agg(F.count("*").alias("n"), F.sum(F.length("value")).alias("chars"))
 
 
-@query("SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY sha1(concat_ws('|', '42', lang, CAST(doc_id AS VARCHAR))), doc_id) AS r FROM documents) WHERE r <= CASE lang WHEN 'en' THEN 20 ELSE 10 END")
+@query("""
+WITH RECURSIVE w AS (SELECT unnest(['en', 'fr', 'de', 'es']) AS lang, unnest([2, 1, 1, 1]) AS w, unnest([1, 2, 3, 4]) AS k), n AS (SELECT w.lang, w.k, count(doc_id) AS n, CAST(floor(50 * first(w.w) / 5) AS BIGINT) AS c FROM w LEFT JOIN documents d ON d.lang = w.lang GROUP BY w.lang, w.k),
+a(l) AS (SELECT list(struct_pack(p := lang, n := n, c := least(n, c)) ORDER BY k) FROM n
+  UNION ALL SELECT list_transform(l, lambda x, i: struct_pack(p := x.p, n := x.n, c := x.c + CASE WHEN x.c < x.n AND len(list_filter(l[1:i - 1], lambda y: y.c < y.n)) < 50 - list_sum(list_transform(l, lambda y: y.c)) THEN 1 ELSE 0 END)) FROM a WHERE list_sum(list_transform(l, lambda y: y.c)) < 50 AND len(list_filter(l, lambda y: y.c < y.n)) > 0),
+t AS (SELECT unnest(l) AS x FROM (SELECT l FROM a ORDER BY list_sum(list_transform(l, lambda y: y.c)) DESC LIMIT 1))
+SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY sha1(concat_ws('|', '42', lang, CAST(doc_id AS VARCHAR))), doc_id) AS r FROM documents) JOIN t ON x.p = lang WHERE r <= x.c
+""")
 def weighted_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     pools = documents(spark, sf_dir).select("doc_id", "lang")
     return sampling.weighted_mixture(pools, {"en": 2.0, "fr": 1.0, "de": 1.0, "es": 1.0}, 50, 42, "lang", "doc_id")
@@ -331,30 +300,19 @@ def corpus_bleu_ws(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.corpus_bleu(rows, ["part"], "id").select("part", F.round("bleu", 6).alias("bleu"), "num")
 
 
-GRID = [(c, f"eng_Latn->{t}", p) for c in ("flores", "ntrex", "") for t in ("zho_Hans", "tha_Thai", "spa_Latn", "cmn_Hans") for p in ("auto", "flores200", "legacy", "")]
-
-
-@query("""
-WITH c AS (SELECT unnest(['flores', 'ntrex', '']) AS corpus), t AS (SELECT unnest(['zho_Hans', 'tha_Thai', 'spa_Latn', 'cmn_Hans']) AS t), p AS (SELECT unnest(['auto', 'flores200', 'legacy', '']) AS policy)
-SELECT corpus, 'eng_Latn->' || t AS pair, policy, CASE WHEN policy = 'flores200' THEN 'flores200' WHEN policy <> 'legacy' AND t = 'tha_Thai' THEN 'pythai_newmm' WHEN policy <> 'legacy' AND corpus = 'flores' THEN 'flores200' WHEN t IN ('zho_Hans', 'cmn_Hans') THEN 'zh' ELSE '13a' END AS tokenizer FROM c, t, p
-""")
-def bleu_tokenizer_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grid = spark.createDataFrame(GRID, "corpus string, pair string, policy string")
-    return grid.withColumn("tokenizer", names.tokenizer_for(F.col("corpus"), F.col("pair"), F.col("policy")))
-
-
 def _metric_rows(spark: SparkSession, sf_dir: str, column: str) -> DataFrame:
     docs = documents(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id")
     means = docs.groupBy("source", "lang").agg(F.avg(column).alias("m"))
     return means.select(F.lit("flores").alias("corpus"), names.pair_of(F.col("source"), F.col("lang")).alias("pair"), F.round("m", 6).cast("string").alias("bleu"), F.lit(0).alias("_ord"))
 
 
-@query("SELECT source AS src, round(avg(quality) FILTER (lang = 'en'), 6) AS en, round(avg(quality) FILTER (lang = 'fr'), 6) AS fr, round(avg(quality) FILTER (lang = 'de'), 6) AS de FROM documents JOIN labels USING (doc_id) GROUP BY source HAVING count(*) FILTER (lang IN ('en', 'fr', 'de')) > 0")
+@query("WITH d AS (SELECT lang, ['en', 'fr', 'de', 'es'][doc_id % 4 + 1] AS tgt, quality FROM documents JOIN labels USING (doc_id)) SELECT lang AS src, " + ", ".join(f"round(avg(quality) FILTER (tgt = '{t}'), 6) AS {t}" for t in ("en", "fr", "de", "es")) + " FROM d GROUP BY lang")
 def score_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _metric_rows(spark, sf_dir, "quality").where("split(pair, '->')[1] in ('en', 'fr', 'de')")
-    value = F.col("bleu").try_cast("double")
-    long = rows.where(value.isNotNull()).select(names.source_of(F.col("pair")).alias("src"), names.target_of(F.col("pair")).alias("tgt"), value.alias("v"), "_ord")
-    return long.groupBy("src").pivot("tgt", ["en", "fr", "de"]).agg(F.max_by("v", "_ord"))
+    """Mean labels as scores of directions from a document's language into others."""
+    langs = ("en", "fr", "de", "es")
+    docs = documents(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id").withColumn("tgt", F.element_at(F.array(*[F.lit(x) for x in langs]), (F.col("doc_id") % 4 + 1).cast("int")))
+    means = docs.groupBy("lang", "tgt").agg(F.round(F.avg("quality"), 6).cast("string").alias("bleu"))
+    return metrics.score_matrix(means.select(F.lit("flores").alias("corpus"), names.pair_of(F.col("lang"), F.col("tgt")).alias("pair"), "bleu", F.lit(0).alias("_ord")), "flores", langs)
 
 
 @query("SELECT source || '->' || lang AS pair, round(round(avg(toxic), 6) - round(avg(quality), 6), 6) AS delta FROM documents JOIN labels USING (doc_id) GROUP BY source, lang")
@@ -375,13 +333,6 @@ def best_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.best_checkpoint(rows).select("pair", "step", "comet")
 
 
-@query("SELECT * FROM (VALUES ('a->b', '200', 'ok'), ('c->d', '400', 'checkpoint_missing'), ('e->f', NULL, 'missing_eval')) AS v(pair, best_step, status)")
-def selected_experts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    experts = spark.createDataFrame([("a->b", "x"), ("c->d", "y"), ("e->f", "z")], "pair string, adapter_name string")
-    best = spark.createDataFrame([("a->b", 200, 0.8, "p1"), ("c->d", 400, 0.7, "p2")], "pair string, step int, comet double, path string")
-    return metrics.selected_experts(experts, best, spark.createDataFrame([("p1",)], "path string")).select("pair", "best_step", "status")
-
-
 @query("""
 WITH c AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents), s AS (SELECT * FROM c WHERE length(t) >= 100 ORDER BY doc_id LIMIT 200),
 g AS (SELECT *, length(regexp_replace(t, '[^A-Za-z]', '', 'g')) >= 0.9 * length(replace(t, ' ', '')) AS good FROM s)
@@ -392,65 +343,6 @@ def pass_ratio_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("rows_seen", "rows_passing", F.round("pass_ratio", 6).alias("pass_ratio"), F.array_join("samples", "|").alias("samples"))
 
 
-def _literals(spark: SparkSession, values: list[str]) -> DataFrame:
-    return spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string")
-
-
-@query("SELECT * FROM (VALUES (0, 'b'), (1, 'x y'), (2, 'kept')) AS v(i, out)")
-def strip_think(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _literals(spark, ["<think>a\nlong</think> b", "<THINK>q</think>x <think></think> y", "kept"])
-    return rows.select("i", text.strip_think(F.col("v")).alias("out"))
-
-
-@query("SELECT * FROM (VALUES (0, 'cat'), (1, NULL), (2, NULL), (3, 'to run'), (4, NULL), (5, NULL), (6, 'a b')) AS v(i, out)")
-def clean_definition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _literals(spark, ["cat (animal)", "CL:隻", "Variant of x", " to run; ", "x" * 81, "surname Li", "a  b, Tw pr. c"])
-    return rows.select("i", text.clean_definition(F.col("v")).alias("out"))
-
-
-@query("SELECT * FROM (VALUES (0, 'statmt', 'x', 'y'), (4, 'allenai', 'x', 'y')) AS v(i, kind, text0, text1)")
-def parse_tsv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _literals(spark, ["1.5\t x\ty", "no\tx\ty", "1.5\tx", "1.5\t \ty", "x\ty" + "\t0" * 7, "x\ty"]).select(F.col("i").alias("_ord"), F.col("v").alias("value"))
-    both = [readers.parse_scored_tsv(rows, k).withColumn("kind", F.lit(k)) for k in ("statmt", "allenai")]
-    wide = both[1].where("_ord >= 4")
-    return both[0].where("_ord < 4").unionByName(wide).select(F.col("_ord").alias("i"), "kind", "text0", "text1")
-
-
-@query("SELECT * FROM (VALUES ('学习', 'to study;to learn'), ('猫', 'cat')) AS v(simplified, defs)")
-def parse_cedict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _literals(spark, ["# note", "學習 学习 [xue2 xi2] /to study/to learn/CL:個/", "貓 猫 [mao1] /cat (animal)/surname Mao/", "貓 貓 [mao1] /cat/", "broken", ""]).select(F.col("i").alias("_ord"), F.col("v").alias("value"))
-    return readers.parse_cedict(rows).select("simplified", F.array_join("defs", ";").alias("defs"))
-
-
-@query("SELECT * FROM (VALUES ('Cat', '猫;貓咪'), ('dog', '狗')) AS v(source_text, candidates)")
-def dictionary_backward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([("猫", ["Cat"], 0), ("狗", ["dog"], 1), ("貓咪", ["cat"], 2)], "simplified string, defs array<string>, _ord int")
-    return lexicon.dictionary_backward(rows).select("source_text", F.array_join("target_candidates", ";").alias("candidates"))
-
-
-@query("SELECT * FROM (VALUES ('猫', 'Cat'), ('狗', 'dog;hound')) AS v(source_text, candidates)")
-def dictionary_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([("猫", ["Cat", "cat"], 0), ("狗", ["dog", "hound"], 1), ("猫", ["other"], 2)], "simplified string, defs array<string>, _ord int")
-    return lexicon.dictionary_forward(rows).select("source_text", F.array_join("target_candidates", ";").alias("candidates"))
-
-
-@query("SELECT * FROM (VALUES (0, 'a b c'), (1, 'x'), (2, 'a b')) AS v(i, out)")
-def whitespace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _literals(spark, ["a　 b\t\nc ", "　x", "a\u001cb"]).select("i", text.normalize_space(F.col("v")).alias("out"))
-
-
-@query("SELECT i, CAST(latin AS DOUBLE) AS latin, CAST(thai AS DOUBLE) AS thai, CAST(cjk AS DOUBLE) AS cjk, traditional FROM (VALUES (0, 1.0, 0.0, 0.0, false), (1, 0.0, 1.0, 0.0, false), (2, 0.0, 0.0, 1.0, false), (3, 0.0, 0.0, 1.0, true), (4, 0.5, 0.0, 0.5, false), (5, 0.0, 0.0, 0.0, false)) AS v(i, latin, thai, cjk, traditional)")
-def script_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _literals(spark, ["ab cd", "กข", "中文", "學", "ab 中文", "12"])
-    return rows.select("i", *[text.script_ratio(F.col("v"), s).alias(s) for s in ("latin", "thai", "cjk")], text.has_any(F.col("v"), text.TRADITIONAL_MARKS).alias("traditional"))
-
-
-@query("SELECT * FROM (VALUES (0, 'a', 'a'), (1, 'strasse', 'strasse'), (2, '後', '后'), (3, 'a b', 'a b')) AS v(i, key, lookup)")
-def normalize_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _literals(spark, ["Ａ", "Straße", "後", " A  b "])
-    return rows.select("i", text.normalize_key(F.col("v")).alias("key"), text.normalize_lookup_key(F.col("v")).alias("lookup"))
-
-
 @query("SELECT p_partkey, lower(p_name) AS key FROM part")
 def normalize_key_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", text.normalize_key(F.col("p_name")).alias("key"))
@@ -470,29 +362,6 @@ def stable_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keys.select("key", text.stable_seed(F.col("key"), 42).alias("seed"))
 
 
-@query("SELECT * FROM (VALUES (0, ''), (1, 'plain'), (2, 'ab'), (3, 'q'), (4, 'r')) AS v(i, out)")
-def flatten_message(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _literals(spark, ["null", "plain", '["a", {"text": "b"}]', '{"content": "q"}', '"r"'])
-    return rows.select("i", text.flatten_message(F.col("v")).alias("out"))
-
-
-@query("SELECT * FROM (VALUES (0, 400, 'a_L->b_L'), (1, NULL, 'c->d_to_e')) AS v(i, step, pair)")
-def path_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(0, "runs/checkpoint-200/x/checkpoint_400/m.csv", "expert_a_L_to_b_L"), (1, "runs/m.csv", "c_to_d_to_e")], "i int, path string, adapter string")
-    return rows.select("i", names.step_of(F.col("path")).alias("step"), names.adapter_pair(F.col("adapter"), "expert_").alias("pair"))
-
-
-@query("SELECT * FROM (VALUES (0, 'eng_Latn', 'zho_Hans', 'English', '简体中文', '请将以下 英语 文本翻译为 简体中文，只输出译文。'), (1, 'xx', 'tha_Thai', 'xx', '泰语', '请将以下 xx 文本翻译为 泰语，只输出译文。')) AS v(i, src, tgt, src_name, tgt_name, instruction)")
-def direction_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(0, "nllb_mt_eng_Latn__zho_Hans.jsonl"), (1, "d/nllb_mt_xx__tha_Thai.jsonl")], "i int, f string").select("i", names.file_pair(F.col("f")).alias("p"))
-    return rows.select("i", F.col("p.src_lang").alias("src"), F.col("p.tgt_lang").alias("tgt"), names.language_name(F.col("p.src_lang")).alias("src_name"), names.language_name(F.col("p.tgt_lang"), True).alias("tgt_name"), names.chinese_instruction(F.col("p.src_lang"), F.col("p.tgt_lang")).alias("instruction"))
-
-
-@query("SELECT * FROM (VALUES (0, '+1.50'), (1, '-0.25'), (2, '0.00')) AS v(i, out)")
-def signed_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(0, 1.5), (1, -0.25), (2, 0.0)], "i int, v double").select("i", names.signed(F.col("v")).alias("out"))
-
-
 @query("SELECT string_agg(lang, ', ' ORDER BY lang) || ', ... (+' || (count(*) - 2) || ' more)' AS hint FROM (SELECT DISTINCT lang FROM documents) WHERE false UNION ALL SELECT string_agg(lang, ', ' ORDER BY lang) FILTER (r <= 2) || ', ... (+' || (count(*) - 2) || ' more)' FROM (SELECT lang, row_number() OVER (ORDER BY lang) AS r FROM (SELECT DISTINCT lang FROM documents)) HAVING count(*) > 2")
 def supported_hint(spark: SparkSession, sf_dir: str) -> DataFrame:
     langs = documents(spark, sf_dir).agg(F.array_sort(F.collect_set("lang")).alias("l"))
@@ -500,11 +369,6 @@ def supported_hint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.union(spark.createDataFrame([(None,)], "hint string"))
 
 
-@query("SELECT * FROM (VALUES (0, 'rate_limit'), (1, 'content_filter'), (2, 'other'), (3, NULL)) AS v(i, kind)")
-def provider_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _literals(spark, ["Error code: 429", "blocked: Content Filter", "timeout", None]).select("i", pairs.provider_error_kind(F.col("v")).alias("kind"))
-
-
 @query("SELECT doc_id, CASE WHEN length(trim(text)) >= 100 THEN trim(text) ELSE trim(source) END AS text FROM documents WHERE length(trim(text)) >= 100")
 def resolve_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = documents(spark, sf_dir).select("text", "source", F.col("doc_id").alias("_ord"))
@@ -548,13 +412,6 @@ def quota_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.fill_quota(sources, done, 10).select("lang", "doc_id")
 
 
-@query("SELECT CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, count(*) AS n FROM events GROUP BY 1")
-def nested_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A struct's field, counted; the scan reads that column alone."""
-    rows = table(spark, sf_dir, "events").select(F.from_json("props", "k int").alias("metadata"))
-    return rows.select("metadata.k").groupBy("k").agg(F.count("*").alias("n"))
-
-
 @query("SELECT lang, count(DISTINCT source) AS n FROM documents WHERE lang IN ('en', 'xx', 'fr') GROUP BY lang UNION ALL SELECT 'xx', -1")
 def language_existence(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
@@ -586,46 +443,4 @@ def stub_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(F.split("id", ":")[0].cast("long").alias("conv_id"), F.split("id", ":")[1].cast("long").alias("turn"), F.round("score", 6).alias("score"))
 
 
-@query("SELECT DISTINCT user_id, event_type FROM events")
-def incremental_dedup_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First arrivals of (user, type) by a stream over the event file, run until nothing new is there."""
-    base = tempfile.mkdtemp(prefix="weftline-stream-")
-    schema = table(spark, sf_dir, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    first = streams.first_arrivals(stream.select("user_id", "event_type"), ["user_id", "event_type"])
-    streams.append_available(first, f"{base}/out", f"{base}/checkpoint").awaitTermination()
-    return spark.read.schema("user_id long, event_type string").parquet(f"{base}/out")
-
-
-@query()
-def pack_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    return docs.select("doc_id", F.posexplode(text.pack_sentences(F.col("text"), 300)).alias("pos", "piece"))
-
-
-@query()
-def greedy_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = sampling.candidates(documents(spark, sf_dir), F.col("lang"), 20, 300)
-    return sampling.greedy_sources(found).select("lang", F.col("_ord").alias("doc_id"), "pos", "text")
-
-
-@query()
-def evaluation_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """BLEU by policy over stored hypotheses, with fallbacks of absent tokenizers."""
-    rows = turns(spark, sf_dir).select(F.lit("flores").alias("eval_corpus"), F.lit("d").alias("dataset"), F.lit("eng_Latn").alias("src_lang"), F.lit("zho_Hans").alias("tgt_lang"), F.lit("").alias("eval_pair"), F.col("input").alias("hypothesis"), F.col("output").alias("reference_text"), "_ord")
-    return metrics.evaluate(rows)
-
-
-@query()
-def permuted_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = turns(spark, sf_dir).withColumn("part", F.col("conv_id") % 3)
-    chunks = sampling.chunked(rows, 4, ["part"])
-    key: Column = F.concat_ws(":", "part", "chunk")
-    return sampling.draft_refine(chunks, "Refine.", sampling.permuted(F.col("tgt_lines"), 42, key)).select("part", "chunk", "input", "output")
-
-
-@query()
-def synthetic_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Monolingual text to checked synthetic pairs, with a translator that answers the text itself."""
-    docs = documents(spark, sf_dir).where("lang = 'en'")
-    return programs.synthetic_pairs(docs, "eng_Latn", "spa_Latn", lambda p: p.split("\n\n", 1)[1], 100, max_chars=300).select("instruction", "input", "output", F.col("meta.source_hash").alias("source_hash"))
+from . import table_queries  # noqa: E402, F401  registers the rest
