@@ -1,76 +1,19 @@
-"""Shared pieces: materialised tables in the cluster's shared folder, and vectorised word hashing on Arrow text columns."""
+"""Shared pieces: packed rows, and vectorised word hashing on Arrow text columns."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-#: Bytes of text that numpy works on at a time; a longer single text is one chunk.
-CHUNK_BYTES = 3 << 20
-_written: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one of our own only where that is unset (local tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not path:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="weftline-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def _clean() -> None:
-    for spark, path in _written:
-        try:
-            _delete(spark, path)
-        except Exception:  # the session has ended; whoever owns the folder clears it
-            pass
-
-
-def materialize(df: DataFrame, tag: str, *measures: Column) -> DataFrame:
-    """Writes df to the shared folder and reads it again: cuts lineage, survives lost executors, removed by release() or at exit.
+from ..storage import BROADCAST_BYTES, BROADCAST_ROWS, bounded_broadcast, fits_broadcast, quoted, release  # noqa: F401
+from ..storage import written as materialize  # noqa: F401
 
-    measures: named aggregates that are observed while writing, in the result's `measured`.
-    """
-    if not _written:
-        atexit.register(_clean)
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/weftline-{uuid.uuid4().hex[:12]}-{tag}"
-    seen = Observation() if measures else None
-    (df.observe(seen, *measures) if seen else df).write.option("compression", "zstd").parquet(path)
-    _written.append((spark, path))
-    out = spark.read.schema(df.schema).parquet(path)
-    out.written_at = path
-    if seen:
-        out.measured = seen.get
-    return out
-
-
-def release(*tables: DataFrame) -> None:
-    """Removes materialised tables that no later plan reads."""
-    for t in tables:
-        _delete(t.sparkSession, t.written_at)
-        _written.remove((t.sparkSession, t.written_at))
-
-
-def quoted(name: str) -> str:
-    """A column's name as it is, dots and backticks included."""
-    return "`" + name.replace("`", "``") + "`"
+#: Bytes of text that numpy works on at a time; a longer single text is one chunk.
+CHUNK_BYTES = 1 << 20
 
 
 def packed(docs: DataFrame, *more: Column) -> DataFrame:
@@ -198,19 +141,3 @@ def spread(counts: np.ndarray) -> np.ndarray:
     """0..c-1 for each count c, in one array."""
     ends = np.cumsum(counts)
     return np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - counts, counts)
-
-
-#: Rows and bytes up to which a side is broadcast; beyond, the join shuffles and splits skewed keys.
-BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 32 << 20
-
-
-def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
-    """df (materialised, or cheap to compute) with a broadcast hint if its count and bytes prove it small; unchanged otherwise."""
-    width = F.lit(8 * len(df.columns)).cast("long")
-    for f in df.schema.fields:
-        if isinstance(f.dataType, T.StringType | T.BinaryType):
-            width = width + F.coalesce(F.octet_length(F.col(quoted(f.name))), F.lit(0))
-        elif isinstance(f.dataType, T.ArrayType | T.StructType | T.MapType):
-            width = width + F.coalesce(F.octet_length(F.col(quoted(f.name)).cast("string")), F.lit(0))
-    found = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
-    return F.broadcast(df) if found[0] <= rows and found[1] <= size else df
