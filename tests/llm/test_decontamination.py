@@ -51,8 +51,33 @@ def test_dropping_and_removing(spark):
     want = Counter({k: v for k, v in brute(fx.documents(), items()).items() if not k[4]})
     kept = D.drop_contaminated(df, bench)
     assert kept.columns == df.columns and Counter(r.doc_id for r in kept.collect()) == Counter({i: n for (i, *_), n in _by_id(want).items()})
-    assert D.remove_spans(df, bench).count() == df.count()
-    assert not any(r.n_hit for r in D.judge(D.remove_spans(df, bench), bench).collect() if r.n_hit > 12)
+    hit = {i: (n, h) for i, n, h, *_ in brute(fx.documents(), items()) if h}
+    left = D.remove_spans(df, bench)
+    assert left.columns == df.columns
+    for r in left.collect():
+        if r.doc_id in hit:
+            n, h = hit[r.doc_id]
+            assert len(r.text.split()) == n - h and r.text == " ".join(words(r.text))
+    same = {r.doc_id: r.text for r in left.collect() if r.doc_id not in hit}
+    assert all(same[r[0]] == r[1] for r in fx.documents() if r[0] in same)
+
+
+def test_beyond_a_broadcast(spark):
+    """The shuffled search finds what the broadcast one does."""
+    df, bench = fx.table(spark, extra=True), spark.createDataFrame(items(), "item_id long, text string")
+    found = [Counter((r.k1, r.pos, r.len, tuple(sorted(r["items"]))) for r in D.find_hits(df, bench, rows=rows).collect()) for rows in (500_000, 0)]
+    assert found[0] == found[1] and sum(found[0].values()) > 50
+
+
+def test_clashing_and_dotted_names(spark):
+    from pyspark.sql import functions as F
+
+    bench = spark.createDataFrame(items(), "item_id long, text string")
+    df = fx.table(spark, extra=True)
+    odd = df.withColumns({c: F.lit("x") for c in ("a.b", "_o0", "_k1", "_body", "spans", "n_hit", "_row", "w", "pos", "k1")})
+    for operator in (D.drop_contaminated, D.remove_spans):
+        out = operator(odd, bench)
+        assert out.columns == odd.columns and out.count() == operator(df, bench).count()
 
 
 def _by_id(counts):
