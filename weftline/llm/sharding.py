@@ -1,21 +1,21 @@
 """Sharding (2): a Feistel permutation with cycle walking over global row numbers.
 
-Rows get global numbers 0..N-1 by a distributed sort on (id, size, checksum, text hash); the keyed permutation maps a
+Rows get global numbers 0..N-1 by a distributed sort on (id, size, checksum, MD5 of the text); the keyed permutation maps a
 number to a place, and shard and slot follow from the place alone: shard = place mod n, slot = place div n. Shards
-differ by one row at most, slots are gapless, and place(number) can be computed (and inverted) anywhere.
+differ by one row at most, slots are gapless, and place(number) can be computed (and inverted) anywhere. Only the numbers
+go through Python; texts stay in the JVM.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, text_key, text_or_empty
+from .common import materialize, mix64, packed, text_or_empty, unpacked
 
+SHARDS, KEY = 8, 20240607
 ROUNDS = 6
 
 
@@ -27,9 +27,13 @@ def _halves(n: int) -> tuple[int, int]:
     return a, max(1, -(-n // a))
 
 
+def _round_key(key: int, r: int) -> int:
+    return (key * 0x9E3779B97F4A7C15 + (r + 1) * 0xC2B2AE3D27D4EB4F) & (2**64 - 1)
+
+
 def _round(x: np.ndarray, key: int, r: int) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return mix64(x.astype(np.uint64) + np.uint64((key * 0x9E3779B97F4A7C15 + (r + 1) * 0xC2B2AE3D27D4EB4F) & (2**64 - 1)))
+        return mix64(x.astype(np.uint64) + np.uint64(_round_key(key, r)))
 
 
 def _once(x: np.ndarray, a: int, b: int, key: int) -> np.ndarray:
@@ -76,7 +80,7 @@ def invert(y: np.ndarray, n: int, key: int) -> np.ndarray:
 
 
 def number_rows(rows: DataFrame, order: list[str], tag: str = "numbered") -> tuple[DataFrame, int]:
-    """rows with a global number _row (0..N-1) by order, and N. One range exchange; only a count per partition reaches the driver."""
+    """rows with a global number _number (0..N-1) by order, and N. One range exchange; only a count per partition reaches the driver."""
     spark = rows.sparkSession
     mid = F.monotonically_increasing_id()
     sorted_rows = rows.repartitionByRange(*[F.col(c).asc_nulls_last() for c in order]).sortWithinPartitions(*[F.col(c).asc_nulls_last() for c in order])
@@ -89,29 +93,75 @@ def number_rows(rows: DataFrame, order: list[str], tag: str = "numbered") -> tup
         total += c
     offsets = spark.createDataFrame(starts or [(0, 0)], "_part int, _start long")
     numbered = local.withColumn("_part", part).join(F.broadcast(offsets), "_part")  # one row for each partition written
-    return numbered.withColumn("_row", F.col("_start") + F.col("_mid").bitwiseAND((1 << 33) - 1)).drop("_mid", "_part", "_start"), total
+    return numbered.withColumn("_number", F.col("_start") + F.col("_mid").bitwiseAND((1 << 33) - 1)).drop("_mid", "_part", "_start"), total
+
+
+def _placed(rows: DataFrame, key: int, id_col: Column, text: Column) -> DataFrame:
+    """_row, if there, _id, size, text_crc32, text_md5 and the place under the permutation of each row."""
+    base = rows.select(*[c for c in rows.columns if c == "_row"], id_col.alias("_id"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text).alias("text_crc32"), F.md5(text).alias("text_md5"))
+    numbered, n = number_rows(base, ["_id", "size", "text_crc32", "text_md5"], "shard-rows")
 
+    @F.arrow_udf("long")
+    def place(numbers: pa.Array) -> pa.Array:
+        return pa.array(permute(numbers.to_numpy(zero_copy_only=False), n, key), pa.int64())
 
-def assign_shards(docs: DataFrame, shards: int = 8, key: int = 20240607, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """id, size (UTF-8 bytes + 1), text_crc32, law 'rows', shard, slot, grown_shard (null), _row's place, and the columns in keep.
+    return numbered.withColumn("place", place(F.col("_number")))
 
-    A null text counts as empty. Rows that are equal in id and text are interchangeable; null ids come last. An empty
-    table gives an empty result. Other columns are left out unless named in keep.
+
+def assign_shards(docs: DataFrame, shards: int = SHARDS, key: int = KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, size (UTF-8 bytes + 1), text_crc32, text_md5 (names the group of equal texts), law 'rows', shard, slot, grown_shard (null).
+
+    A null text counts as empty; texts of any length are hashed whole. Rows that are equal in id and text are
+    interchangeable, other ties don't exist; null ids come last. An empty table gives an empty result. Other columns,
+    whatever their names, are left out.
     """
-    keep = keep or []
     body = text_or_empty(text_col)
-    base = docs.select(F.col(id_col).alias("_id"), *[F.col(c).alias(f"_keep_{c}") for c in keep], (F.octet_length(body).cast("long") + 1).alias("size"), F.crc32(body).alias("text_crc32"), text_key(body).alias("_hash"))
-    numbered, n = number_rows(base, ["_id", "size", "text_crc32", "_hash"], "shard-rows")
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = permute(batch.column("_row").to_numpy(zero_copy_only=False), n, key)
-            columns = [*batch.columns[:-1], pa.array(at, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "place"])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in numbered.schema.fields if f.name != "_row")
-    placed = numbered.mapInArrow(place, f"{fields}, place long")
-    return placed.select(
-        F.col("_id").alias(id_col), "size", "text_crc32", F.lit("rows").alias("law"), (F.col("place") % shards).cast("int").alias("shard"),
-        F.expr(f"place div {shards}").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), *[F.col(f"_keep_{c}").alias(c) for c in keep],
-    )
+    placed = _placed(docs.select(F.col(id_col).alias("_doc"), body.alias("_text")), key, F.col("_doc"), F.col("_text"))
+    at = _shard_of(shards)
+    return placed.select(F.col("_id").alias(id_col), "size", "text_crc32", "text_md5", F.lit("rows").alias("law"), *at, F.lit(None).cast("int").alias("grown_shard"))
+
+
+def _shard_of(shards: int) -> list[Column]:
+    return [(F.col("place") % shards).cast("int").alias("shard"), F.expr(f"place div {shards}").cast("long").alias("slot")]
+
+
+def shard_rows(docs: DataFrame, shards: int = SHARDS, key: int = KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with shard and slot (which replace columns of these names); all other columns stay, whatever their names. See assign_shards for nulls, ties and repeats."""
+    rows = packed(docs, F.col(id_col).alias("_doc"), text_or_empty(text_col).alias("_text"))
+    placed = _placed(rows, key, F.col("_doc"), F.col("_text"))
+    return unpacked(placed, [c for c in docs.columns if c not in ("shard", "slot")], *_shard_of(shards))
+
+
+def _oracle(key: int = KEY, shards: int = SHARDS) -> str:
+    """The result in DuckDB's SQL: CRC-32 by its polynomial, and the network's steps as queries one inside the other."""
+    def wide(x: object) -> str:
+        return f"CAST({x} AS UHUGEINT)"
+
+    wrap, mult = wide(f"'{1 << 64}'"), wide(f"'{0xD6E8FEB86659FD93}'")
+    rounds, left, right = [], "l", "r"
+    for r in range(ROUNDS):
+        odd = r % 2
+        mixed, other, size = (left, right, "sb") if odd else (right, left, "sa")
+        key_of = wide(f"'{_round_key(key, r)}'")
+        rounds += [f"CAST(({wide(mixed)} + {key_of}) % {wrap} AS UBIGINT) AS a{r}"]
+        rounds += [f"CAST(({wide(f'xor(a{r}, a{r} >> 32)')} * {mult}) % {wrap} AS UBIGINT) AS b{r}"]
+        rounds += [f"CAST(({wide(f'xor(b{r}, b{r} >> 32)')} * {mult}) % {wrap} AS UBIGINT) AS c{r}"]
+        rounds += [f"({other} + CAST(xor(c{r}, c{r} >> 32) % CAST({size} AS UBIGINT) AS BIGINT)) % {size} AS x{r}"]
+        left, right = (left, f"x{r}") if odd else (f"x{r}", right)
+    steps = "(SELECT *, place // sb AS l, place % sb AS r FROM w WHERE n > 1 AND (NOT walked OR place >= n))"
+    for one in rounds:
+        steps = f"(SELECT *, {one} FROM {steps})"
+    return f"""
+WITH RECURSIVE t AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, x: CASE WHEN a % 2 = 1 THEN xor(a >> 1, {0xEDB88320}) ELSE a >> 1 END) AS c FROM (SELECT CAST(range AS BIGINT) AS i FROM range(256)))),
+d AS (SELECT doc_id, coalesce(text, '') AS text, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: CAST('0x' || h AS BIGINT)) AS b FROM documents),
+c AS (SELECT doc_id, CAST(len(b) + 1 AS BIGINT) AS size, xor(list_reduce(list_prepend({0xFFFFFFFF}, b), lambda a, x: xor(a >> 8, t[CAST(xor(a, x) & 255 AS INTEGER) + 1])), {0xFFFFFFFF}) AS text_crc32, md5(text) AS text_md5 FROM d, t),
+n AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS LAST, size, text_crc32, text_md5) - 1 AS number, count(*) OVER () AS n FROM c),
+s AS (SELECT *, CAST(greatest(1, ceil(sqrt(n))) AS BIGINT) AS sa, CAST(greatest(1, ceil(n / greatest(1, ceil(sqrt(n))))) AS BIGINT) AS sb FROM n),
+w(number, n, sa, sb, place, walked) AS (SELECT number, n, sa, sb, number, false FROM s
+  UNION ALL SELECT number, n, sa, sb, {left} * sb + {right}, true FROM {steps})
+SELECT doc_id, size, text_crc32, text_md5, 'rows' AS law, CAST(place % {shards} AS INTEGER) AS shard, CAST(place // {shards} AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM s JOIN (SELECT number, place FROM w WHERE place < n AND (walked OR n = 1)) USING (number)
+"""
+
+
+ORACLE = _oracle()
