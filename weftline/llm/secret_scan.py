@@ -1,9 +1,11 @@
 """Secret scans (9): assignment-aware lexing of source and configuration text into name-literal pairs.
 
-A text is lexed by lines into name = literal pairs (assignments, mappings, environment exports, XML-like attributes and
-dotted property names), string constants are propagated through later `name = other_name` and `a + b` right-hand sides,
-and each literal is scored by the sensitivity of its target name, its length, alphabet and entropy. Literals that score
-enough give a span of kind `name`. Three base patterns (assign, access, hex) always stay.
+A text is lexed into name-literal pairs: assignments, mappings, environment exports, dotted properties, attributes and
+elements of XML, and block scalars of YAML. A literal is read from its operator on: to its closing quote, escapes and
+triple quotes minded, or bare to white space or a delimiter; what it holds is lexed in turn (connection strings, escaped
+JSON). String constants are propagated through later `name = other_name` and `a + b` right-hand sides, and each literal is
+scored by the sensitivity of its target name, its length, alphabet and entropy. Literals that score enough give a span of
+kind `name`. Three base patterns (assign, access, hex) always stay.
 """
 
 from __future__ import annotations
@@ -29,10 +31,23 @@ _LONG_HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "name")
 
 #: name and operator; the literal is read on its own from there
-_PAIR = re.compile(r"""(?<![\w.$-])["']?([A-Za-z_$][\w.$-]*+)["']?[ \t]*+(?::=|=>|[:=])(?!=)[ \t]*+""")
-_LITERAL = re.compile(r'"((?:[^"\\\n]|\\.)*+)"|\'((?:[^\'\\\n]|\\.)*+)\'|`([^`\n]*+)`|([^\s"\'`(){}\[\],;<>]++)')
+_PAIR = re.compile(r"""(?<![\w.$-])(?:\\?["'])?([A-Za-z_$][\w.$-]*+)(?:\\?["'])?[ \t]*+(?::=|=>|[:=])(?!=)[ \t]*+""")
+#: triple quotes, quotes (plain, then themselves escaped), and bare words
+_LITERAL = re.compile(
+    r'"""(?P<t1>(?:[^"\\]|\\.|"(?!""))*+)"""|' + r"'''(?P<t2>(?:[^'\\]|\\.|'(?!''))*+)'''|" + r'"(?P<q1>(?:[^"\\\n]|\\.)*+)"|' + r"'(?P<q2>(?:[^'\\\n]|\\.)*+)'|`(?P<q3>[^`\n]*+)`|"
+    + r'\\"(?P<e1>(?:[^"\\\n]|\\[^"\n])*+)\\"|' + r"\\'(?P<e2>(?:[^'\\\n]|\\[^'\n])*+)\\'|" + r"""(?P<bare>[^\s"'`(){}\[\],;<>]++)""",
+    re.S,
+)
 _NAME = re.compile(r"^[A-Za-z_$][\w.$-]*$")
 _CONCAT = re.compile(r"""[ \t]*+("(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'|[A-Za-z_$][\w.$]*+)[ \t]*+(?:\+|\.\.)[ \t]*+""")
+#: a block scalar's mark, up to the end of its line
+_BLOCK = re.compile(r"[|>][+-]?[0-9]?[+-]?[ \t]*+\n")
+#: a tag with its attributes, and the text up to the next tag
+_TAG = re.compile(r"""<([A-Za-z_][\w.:-]*+)((?:[^<>"']|"[^"<]*+"|'[^'<]*+')*+)>([^<]*+)""")
+_ATTRIBUTE = re.compile(r"""([A-Za-z_][\w.:-]*+)\s*+=\s*+(?:"([^"<]*+)"|'([^'<]*+)')""")
+#: attributes that name a setting, and those that hold its value
+_NAMING, _HOLDING = ("key", "name", "id", "property", "setting"), ("value", "content", "default")
+_PRIVATE = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----")
 #: Words of a name that make its literal sensitive, with their weights.
 SENSITIVE = {
     "password": 3.0, "passwd": 3.0, "passphrase": 3.0, "pwd": 2.5, "secret": 3.0, "token": 2.5, "apikey": 3.0, "credential": 2.5,
@@ -64,27 +79,67 @@ def entropy(text: str) -> float:
 
 def literal_score(name: str, value: str) -> float:
     """How likely value, assigned to name, is a secret: 4 and more is reported."""
-    if len(value) < 6 or _PLACEHOLDER.match(value) or any(ch.isspace() for ch in value):
-        return 0.0
     sense = name_score(name)
-    if sense <= 0:
+    if sense <= 0 or len(value) < 6:
+        return 0.0
+    if _PRIVATE.match(value):
+        return sense + 4
+    if _PLACEHOLDER.match(value) or any(ch.isspace() for ch in value):
         return 0.0
     mixed = sum(bool(re.search(p, value)) for p in (r"[a-z]", r"[A-Z]", r"[0-9]", r"[^A-Za-z0-9]"))
     return sense + min(2.0, entropy(value) / 2) + (mixed - 1) * 0.5 + (0.5 if len(value) >= 16 else 0.0)
 
 
-def pairs(text: str) -> Iterator[tuple[str, str, int, int]]:
+def _block(text: str, line: int, at: int) -> tuple[str, int, int] | None:
+    """The lines from at on that are indented more than the line that begins at line: joined without their line breaks, and their span."""
+    own = len(text[line:at]) - len(text[line:at].lstrip(" "))
+    parts, first, last = [], at, at
+    while at < len(text):
+        end = text.find("\n", at)
+        end = len(text) if end < 0 else end
+        row = text[at:end]
+        if row.strip():
+            indent = len(row) - len(row.lstrip(" "))
+            if indent <= own:
+                break
+            if not parts:
+                first = at + indent
+            last = at + len(row.rstrip())
+            parts.append(row.strip())
+        at = end + 1
+    return ("".join(parts), first, last) if parts else None
+
+
+def tagged(text: str) -> Iterator[tuple[str, str, int, int]]:
+    """name, literal and span of settings in XML: a value attribute by the tag's naming one, an element's text by that or by its name."""
+    for m in _TAG.finditer(text):
+        found = [(a[1].lower(), a[2], a.start(2)) if a[2] is not None else (a[1].lower(), a[3], a.start(3)) for a in _ATTRIBUTE.finditer(m[2])]
+        name = next((v for k, v, _ in found if k in _NAMING), None)
+        if name:
+            yield from ((name, v, m.start(2) + s, m.start(2) + s + len(v)) for k, v, s in found if k in _HOLDING)
+        body = m[3].strip()
+        if body and text.startswith("</", m.end()):
+            start = m.start(3) + m[3].index(body)
+            yield name or m[1], body, start, start + len(body)
+
+
+def pairs(text: str, depth: int = 2) -> Iterator[tuple[str, str, int, int]]:
     """name, literal (constants propagated), and the literal's span in the text, in order.
 
     A right-hand side that is a name known by then gives that name's literal, at that literal's place; string parts joined
     by + give the joined literal, at the whole expression's place. A right-hand side that is no literal (an opening bracket, the
-    end of the line), or is itself a name with an operator, is searched for pairs from just behind the operator.
+    end of the line), or is itself a name with an operator, is searched for pairs from just behind the operator; a quoted
+    one is lexed inside too, to the given depth.
     """
     known: dict[str, tuple[str, int, int]] = {}
     here = 0
     while m := _PAIR.search(text, here):
         name, at = m[1], m.end()
         here = at
+        if block := _BLOCK.match(text, at):
+            if found := _block(text, text.rfind("\n", 0, m.start()) + 1, block.end()):
+                yield name, *found
+            continue
         parts, pos = [], at
         while step := _CONCAT.match(text, pos):
             parts.append(step[1])
@@ -92,17 +147,17 @@ def pairs(text: str) -> Iterator[tuple[str, str, int, int]]:
         lit = _LITERAL.match(text, pos)
         if not lit:
             continue
-        here = lit.end() if lit[4] is None else lit.start()
-        whole = lit[0]
-        quoted = next((g for g in lit.groups()[:3] if g is not None), None)
+        kind, whole = lit.lastgroup, lit[0]
+        here = lit.start() if kind == "bare" else lit.end()
         if parts:
             values = []
             for p in [*parts, whole]:
                 values.append(p[1:-1] if p[0] in "\"'" else known.get(p, ("", 0, 0))[0] if _NAME.match(p) else p)
             found = ("".join(values), at, lit.end())
-        elif quoted is not None:
-            start = lit.start() + 1
-            found = (quoted, start, start + len(quoted))
+        elif kind != "bare":
+            inner = lit[kind].strip() if kind in ("t1", "t2") else lit[kind]
+            start = lit.start(kind) + lit[kind].index(inner)
+            found = (inner, start, start + len(inner))
         elif whole in known:
             found = known[whole]
         else:
@@ -110,6 +165,8 @@ def pairs(text: str) -> Iterator[tuple[str, str, int, int]]:
             found = (bare, lit.start(), lit.start() + len(bare))
         known[name] = found
         yield name, *found
+        if kind != "bare" and depth and _NAME_HINT.search(lit[kind]):
+            yield from ((n, v, s + lit.start(kind), e + lit.start(kind)) for n, v, s, e in pairs(lit[kind], depth - 1))
 
 
 def scan(text: str, raw: bytes | None = None) -> list[tuple[int, int, str]]:
@@ -123,8 +180,10 @@ def scan(text: str, raw: bytes | None = None) -> list[tuple[int, int, str]]:
     if has_long_hex(raw):
         out += [(m.start(), m.end(), "hex") for m in _LONG_HEX.finditer(text)]
     base = {(s, e) for s, e, _ in out}
-    if _NAME_HINT.search(text) and ("=" in text or ":" in text):
+    if _NAME_HINT.search(text) and ("=" in text or ":" in text or "</" in text):
         named = {(s, e) for name, value, s, e in pairs(text) if _NAME_HINT.search(name) and literal_score(name, value) >= 4}
+        if "</" in text or "/>" in text:
+            named |= {(s, e) for name, value, s, e in tagged(text) if _NAME_HINT.search(name) and literal_score(name, value) >= 4}
         out += [(s, e, "name") for s, e in named - base]
     return sorted(out, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
@@ -152,7 +211,9 @@ def has_long_hex(raw: bytes, least: int = 24) -> bool:
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and spans, an array of (start, end, kind) in code points (end exclusive): one row per input row, in one pass without a shuffle.
 
-    Null and empty texts have no spans; texts are scanned whole; repeated rows and ids stay; other columns are left out.
+    Null and empty texts have no spans; texts of any length are scanned whole; repeated rows and ids stay; spans of one
+    place and several kinds all stay, but for `name` where a base span is the same. Other columns, whatever their names, are
+    left out; an empty table gives an empty result.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
