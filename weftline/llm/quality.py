@@ -244,13 +244,15 @@ def _feature_rows(rows: DataFrame) -> DataFrame:
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> AdditiveModel:
     """Fits on labelled rows with crc32(id as text) mod 5 not 0, the least sample of them by a hash of the id.
 
-    Rows with a null label, id or text are not learned from.
+    Rows with a null label, id or text are not learned from. Of several texts of one id one counts, the least by a hash, and
+    equal labels of an id count once, so that the driver holds sample rows at most. With no rows left the model is a constant.
     """
     key = F.col(id_col).cast("string")
     chosen = labels.where(F.col(label_col).isNotNull() & (F.crc32(key) % 5 != 0)).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("y"))
-    chosen = chosen.orderBy(F.xxhash64("_id"), "_id", "y").limit(sample)
+    chosen = chosen.distinct().orderBy(F.xxhash64("_id"), "_id", "y").limit(sample)
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
-    rows = _feature_rows(texts.join(F.broadcast(chosen), "_id").select("text", "y")).collect()  # sample rows at most, but for repeated ids
+    one = texts.join(F.broadcast(chosen), "_id").groupBy("_id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    rows = _feature_rows(one.select("text", "y")).collect()  # sample rows at most
     found = sorted((tuple(r.x), r.y) for r in rows)
     x = np.array([f[0] for f in found], float).reshape(-1, len(FEATURES))
     return fit(x, np.array([f[1] for f in found], float))
@@ -269,8 +271,9 @@ def _scorer(model: AdditiveModel):
 def score_texts(docs: DataFrame, model: AdditiveModel, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, held_out, score, predicted for every row.
 
-    Null texts score as empty ones. No other column is an input of the score. Repeated rows and ids are scored each; an
-    empty table gives an empty result.
+    Null texts score as empty ones; texts of any length are read whole. No other column is an input of the score. Repeated
+    rows and ids are scored each, equal texts alike; a score equal to the threshold is predicted 1. An empty table gives an
+    empty result.
     """
     held = F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
     out = docs.select(F.col(id_col), held.alias("held_out"), _scorer(model)(text_or_empty(text_col)).alias("score"))
@@ -278,5 +281,8 @@ def score_texts(docs: DataFrame, model: AdditiveModel, threshold: float = 0.3, i
 
 
 def keep_good(docs: DataFrame, model: AdditiveModel, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
-    """docs without the documents that the model rejects, all columns kept."""
+    """docs without the documents that the model scores below the threshold, all columns kept, whatever their names.
+
+    A null text is judged as an empty one; repeated rows stay or go together; an empty table stays empty.
+    """
     return docs.where(_scorer(model)(text_or_empty(text_col)) >= threshold)
