@@ -91,7 +91,9 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
     """id, host, path, rule, verdict, component (null outside aliases): one row per page.
 
     Null urls and urls without :// have an empty host and path, no rule and no aliases; null html has no links; redirects
-    (from_url, to_url) may add edges; repeated pages are judged each; other columns are left out.
+    (from_url, to_url) may add edges; repeated pages are judged each. Of rules that are equally long the lesser host and path
+    counts, of equal rules the last. Texts of any length are searched whole; other columns, whatever their names, are left
+    out; an empty table gives an empty result.
     """
     edges = link_edges(pages, url_col, html_col)
     if redirects is not None:
@@ -110,3 +112,38 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
     out = base.withColumn("_own", rule_for(F.col("host"), F.col("path"), rules)).join(bounded_broadcast(alias), "node", "left")
     verdict = F.coalesce("_own.verdict", "passed", F.lit(default))
     return out.select(F.col("_id").alias(id_col), "host", "path", F.col("_own.name").alias("rule"), verdict.alias("verdict"), "component")
+
+
+def _attribute(name: str) -> str:
+    pattern = rf"(?i)\\b{name}\\s*=\\s*(?:\"([^\"]*)\"|''([^'']*)''|([^\\s\"''>]+))".replace("\\\\", "\\")
+    return " || ".join(f"regexp_extract(tag, '{pattern}', {i})" for i in (1, 2, 3))
+
+
+def _url_parts(url: str) -> str:
+    u = f"coalesce({url}, '')"
+    return f"translate(regexp_extract({u}, '^.*?://([^/?#]*)', 1, 's'), '{UPPER}', '{LOWER}') AS host, regexp_extract({u}, '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path, regexp_extract({u}, '^.*?://[^?#]*(\\?[^#]*)', 1, 's') AS q"
+
+
+_NODE = "CASE WHEN host <> '' THEN host || CASE WHEN path = '' THEN '/' ELSE path END || q END"
+_FITS = "(host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)"
+
+#: Rules, links and the closure of aliases in DuckDB's SQL.
+ORACLE = f"""
+WITH RECURSIVE rules(rh, rp, rv) AS (VALUES {", ".join(str(r) for r in RULES)}),
+u AS (SELECT row_number() OVER () AS row, page_id, url, html, {_url_parts("url")} FROM pages),
+tags AS (SELECT url, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)\\b[^>]*>')) AS tag FROM u),
+named AS (SELECT url, lower({_attribute("rel")}) AS rel, lower({_attribute("http-equiv")}) AS equiv, {_attribute("href")} AS href, {_attribute("content")} AS content FROM tags),
+links AS (SELECT url, CASE WHEN regexp_matches(rel, '(^|\\s)canonical(\\s|$)') THEN href WHEN equiv = 'refresh' THEN regexp_extract(content, '(?i)^\\s*[\\d.]*\\s*[;,]?\\s*(?:url\\s*=\\s*)[''"]?([^''"]*)', 1) END AS raw FROM named),
+based AS (SELECT url, regexp_replace(replace(raw, '&amp;', '&'), '^\\s+|\\s+$', '', 'g') AS link, regexp_extract(url, '^(.*?)://', 1, 's') AS scheme, regexp_extract(url, '^(.*?://[^/?#]*)', 1, 's') AS root, regexp_extract(url, '^([^?#]*)', 1, 's') AS page FROM links WHERE raw <> ''),
+resolved AS (SELECT url, CASE WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN link WHEN starts_with(link, '//') THEN scheme || ':' || link WHEN starts_with(link, '/') THEN root || link WHEN starts_with(link, '?') THEN page || link
+  WHEN link = '' OR starts_with(link, '#') OR regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL ELSE CASE WHEN page = root THEN root || '/' ELSE regexp_extract(page, '^(.*/)', 1, 's') END || link END AS target FROM based),
+ends AS (SELECT (SELECT {_NODE} FROM (SELECT {_url_parts("url")})) AS a, (SELECT {_NODE} FROM (SELECT {_url_parts("target")})) AS b FROM resolved),
+edges AS (SELECT a, b FROM ends WHERE a <> b UNION SELECT b, a FROM ends WHERE a <> b),
+reach(a, b) AS (SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a),
+nodes AS (SELECT b AS node, min(a) AS component FROM (SELECT a, b FROM reach UNION SELECT a, a FROM edges) GROUP BY b),
+split AS (SELECT node, component, {_url_parts("'x://' || node")} FROM nodes),
+own AS (SELECT component, node, min_by(rv, struct_pack(l := -length(rh || rp), h := rh, p := rp)) AS v FROM split JOIN rules ON {_FITS} GROUP BY component, node),
+passed AS (SELECT component, CASE WHEN bool_or(v = 'allow') THEN 'allow' ELSE 'block' END AS v FROM own GROUP BY component),
+best AS (SELECT row, min_by(struct_pack(n := rh || rp, v := rv), struct_pack(l := -length(rh || rp), h := rh, p := rp)) AS r FROM u JOIN rules ON {_FITS} GROUP BY row)
+SELECT page_id, host, path, r.n AS rule, coalesce(r.v, passed.v, 'allow') AS verdict FROM u LEFT JOIN best USING (row) LEFT JOIN nodes ON nodes.node = {_NODE} LEFT JOIN passed ON passed.component = nodes.component
+"""
