@@ -1,10 +1,15 @@
 """License scans (5): sparse TF-IDF cosine of headers and licence files to templates, then nearest-ancestor inheritance.
 
-A text is cut into passages: its lines, sentences, and paragraphs (comment marks taken off). Passages with a trigger word are
-compared, as sparse TF-IDF vectors, with templates; the inverse document frequencies of the templates' terms come from
-all texts. A file named like a licence file (or one that is mostly licence wording) speaks for its directory, and files
-without a licence of their own take that of the nearest ancestor directory: distinct directories, not files, are joined
-with their ancestors, and files then meet their directory.
+Templates are short notices, by which headers name a licence, and whole licence texts. A text is compared whole with the
+whole texts. If that settles nothing, its passages (lines, sentences and paragraphs, comment marks taken off) are compared
+with the notices, and runs of paragraphs that each match a paragraph of a licence are compared, as one passage, with the
+whole texts: so texts that share paragraphs are told apart by the rest. Inverse document frequencies of the templates' terms
+come from all texts; terms outside the templates weigh as a middling one. Passages are passed over unread only if they hold
+none of the terms without which no template can be reached: a bound of the cosine, not a list of words.
+
+A file named like a licence file (or one that is mostly licence wording) speaks for its directory, and files without a
+licence of their own take that of the nearest ancestor directory: distinct directories, not files, are joined with their
+ancestors, and files then meet their directory.
 """
 
 from __future__ import annotations
@@ -13,6 +18,9 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator, Mapping, Sequence
+from functools import cache
+from importlib import resources
+from statistics import median
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -20,17 +28,18 @@ from pyspark.sql import functions as F
 
 from .common import bounded_broadcast, materialize, text_or_empty
 
-#: Notices by licence: how headers name it, and the opening words of its text.
-TEMPLATES: Mapping[str, Sequence[str]] = {
-    "MIT": ("Released under the MIT License.", "Licensed under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"),
+#: How headers name a licence.
+NOTICES: Mapping[str, Sequence[str]] = {
+    "MIT": ("Released under the MIT License.", "Licensed under the MIT License."),
     "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."),
     "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"),
     "GPL-2.0": ("Licensed under the GNU General Public License, version 2.", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License"),
     "LGPL-3.0": ("Licensed under the GNU Lesser General Public License, version 3.",),
+    "LGPL-2.1": ("Licensed under the GNU Lesser General Public License, version 2.1.",),
     "AGPL-3.0": ("Licensed under the GNU Affero General Public License, version 3.",),
-    "BSD-3-Clause": ("Licensed under the BSD 3-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: neither the name of the copyright holder nor the names of its contributors"),
-    "BSD-2-Clause": ("Licensed under the BSD 2-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    "ISC": ("Licensed under the ISC License.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    "BSD-3-Clause": ("Licensed under the BSD 3-Clause License.",),
+    "BSD-2-Clause": ("Licensed under the BSD 2-Clause License.",),
+    "ISC": ("Licensed under the ISC License.",),
     "MPL-2.0": ("Licensed under the Mozilla Public License, version 2.0.", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
@@ -38,94 +47,167 @@ TEMPLATES: Mapping[str, Sequence[str]] = {
     "CC0-1.0": ("Dedicated to the public domain under CC0 1.0.", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     "Unlicense": ("This is free and unencumbered software released into the public domain.",),
 }
-THRESHOLD = 0.75
+#: Least cosine of a passage with a notice or a paragraph, and of a whole text with a licence.
+THRESHOLD, WHOLE = 0.75, 0.85
+#: Texts of at most so many terms also have their paragraphs looked for, those of so many terms and more.
+SHORT, PARAGRAPH = 500, 8
+#: Share of a text's terms in its licence passages from which it counts as a licence file.
+MOSTLY = 0.5
 _TERM = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
-_TRIGGER = re.compile(r"(?i)licen[cs]e|spdx|permission|redistribut|public domain|\bcc[ -]?by|\bcc0|creative commons|waived")
 _SPDX = re.compile(r"(?i)SPDX-License-Identifier:\s*([A-Za-z0-9.+-]+)")
 _COMMENT = re.compile(r"^[\s#/*;%\-!<>]+|[\s*/\-<>]+$")
 _NAMED = r"(?i)(^|/)(licen[cs]e|copying|unlicense)[^/]*$"
-#: Share of a text's terms in its licence passages from which it counts as a licence file.
-MOSTLY = 0.5
+
+
+@cache
+def whole_texts() -> Mapping[str, str]:
+    """The licence texts that come with the package, by name."""
+    found = (resources.files(__package__) / "licences").iterdir()
+    return {f.name.removesuffix(".txt"): f.read_text(encoding="utf-8") for f in sorted(found, key=lambda f: f.name) if f.name.endswith(".txt")}
 
 
 def terms(text: str) -> list[str]:
     return _TERM.findall(text.lower())
 
 
-def vocabulary(templates: Mapping[str, Sequence[str]] = TEMPLATES) -> list[str]:
-    return sorted({t for notices in templates.values() for n in notices for t in terms(n)})
+def vocabulary(notices: Mapping[str, Sequence[str]], texts: Mapping[str, str]) -> list[str]:
+    every = [n for some in notices.values() for n in some] + list(texts.values())
+    return sorted({t for n in every for t in terms(n)})
 
 
-def passages(text: str) -> Iterator[str]:
-    """Lines, sentences of lines, and paragraphs of more than one line, with a trigger word in them."""
+def paragraphs(text: str) -> Iterator[list[str]]:
+    """Lines of each paragraph, comment marks taken off; lines without anything else part them."""
     block: list[str] = []
     for raw in [*text.split("\n"), ""]:
         line = _COMMENT.sub("", raw)
         if line:
             block.append(line)
-            if _TRIGGER.search(line):
-                yield line
-                parts = re.split(r"(?<=[.!?;])\s+", line)
-                if len(parts) > 1:
-                    yield from (p for p in parts if _TRIGGER.search(p))
-        if not line:
-            if len(block) > 1 and any(_TRIGGER.search(b) for b in block):
-                yield " ".join(block)
+        elif block:
+            yield block
             block = []
 
 
-class Matcher:
-    """Templates as unit TF-IDF vectors with an inverted index over their terms."""
-
-    def __init__(self, idf: Mapping[str, float], rest: float, templates: Mapping[str, Sequence[str]] = TEMPLATES):
-        self.idf, self.rest, self.names = dict(idf), rest, {n.lower(): n for n in templates}
-        self.index: dict[str, list[tuple[int, float]]] = {}
-        self.licences: list[str] = []
-        for name, notices in templates.items():
-            for notice in notices:
-                vector = self.vector(notice)
-                for t, w in vector.items():
-                    self.index.setdefault(t, []).append((len(self.licences), w))
-                self.licences.append(name)
-
-    def vector(self, text: str) -> dict[str, float]:
-        raw = {t: (1 + math.log(c)) * self.idf.get(t, self.rest) for t, c in Counter(terms(text)).items()}
-        norm = math.sqrt(sum(w * w for w in raw.values())) or 1.0
-        return {t: w / norm for t, w in raw.items()}
+class Index:
+    """Named texts as unit vectors with an inverted index over their terms."""
+
+    def __init__(self, named: Sequence[tuple[str, str]], weigh):
+        self.names, self.postings, self.vectors = [n for n, _ in named], {}, []
+        for k, (_, text) in enumerate(named):
+            vector = weigh(Counter(terms(text)))
+            self.vectors.append(vector)
+            for t, w in vector.items():
+                self.postings.setdefault(t, []).append((k, w))
 
-    def best(self, passage: str) -> tuple[str | None, float]:
-        """The nearest template's licence and cosine; ties go to the earlier template."""
+    def cosines(self, vector: Mapping[str, float]) -> dict[int, float]:
         dots: dict[int, float] = {}
-        for t, w in self.vector(passage).items():
-            for k, x in self.index.get(t, ()):
+        for t, w in vector.items():
+            for k, x in self.postings.get(t, ()):
                 dots[k] = dots.get(k, 0.0) + w * x
+        return dots
+
+    def best(self, vector: Mapping[str, float]) -> tuple[str | None, float]:
+        """The nearest text's name and cosine; ties go to the earlier."""
+        dots = self.cosines(vector)
         if not dots:
             return None, 0.0
         k = min(dots, key=lambda i: (-round(dots[i], 12), i))
-        return self.licences[k], dots[k]
+        return self.names[k], min(1.0, dots[k])
+
+    def needed(self, least: float) -> set[str]:
+        """Terms of which a text must hold one to reach the cosine with any template: without a template's heaviest, the rest of its unit vector is shorter than that."""
+        out = set()
+        for vector in self.vectors:
+            rest = 1.0
+            for t, w in sorted(vector.items(), key=lambda x: (-x[1], x[0])):
+                out.add(t)
+                rest -= w * w
+                if rest < least * least - 1e-9:
+                    break
+        return out
+
+
+class Matcher:
+    """Scans texts against notices and whole licence texts."""
+
+    def __init__(self, idf: Mapping[str, float], rest: float, notices: Mapping[str, Sequence[str]] | None = None, texts: Mapping[str, str] | None = None):
+        notices, texts = NOTICES if notices is None else notices, whole_texts() if texts is None else texts
+        self.idf, self.rest = dict(idf), rest
+        self.tags = {n.lower(): n for n in (*notices, *texts)}
+        self.notices = Index([(name, n) for name, some in notices.items() for n in some], self.vector)
+        self.whole = Index(list(texts.items()), self.vector)
+        short = [(name, " ".join(p)) for name, text in texts.items() if len(terms(text)) <= SHORT for p in paragraphs(text)]
+        self.parts = Index([(name, p) for name, p in short if len(terms(p)) >= PARAGRAPH], self.vector)
+        self.triggers = self.notices.needed(THRESHOLD) | self.parts.needed(THRESHOLD)
+        self.openers = self.whole.needed(WHOLE)
+
+    def vector(self, counts: Mapping[str, int]) -> dict[str, float]:
+        raw = {t: (1 + math.log(c)) * self.idf.get(t, self.rest) for t, c in counts.items()}
+        norm = math.sqrt(sum(w * w for w in raw.values())) or 1.0
+        return {t: w / norm for t, w in raw.items()}
+
+    def _of(self, text: str) -> tuple[dict[str, float], int] | None:
+        """The vector of a passage and its number of terms; None if no template can be reached."""
+        counts = Counter(terms(text))
+        return None if self.triggers.isdisjoint(counts) else (self.vector(counts), counts.total())
+
+    def _run(self, run: list[tuple[str, set[str], float]]) -> tuple[str, float]:
+        """The licence of consecutive paragraphs that each match one: of those matched, that whose whole text is nearest."""
+        dots = self.whole.cosines(self.vector(Counter(terms(" ".join(p for p, _, _ in run)))))
+        able = set().union(*(names for _, names, _ in run))
+        near = [(c, self.whole.names[k]) for k, c in dots.items() if self.whole.names[k] in able]
+        cos, name = min(near, key=lambda x: (-round(x[0], 12), x[1]))
+        return name, min(1.0, max(cos, *(c for _, _, c in run)))
 
     def scan(self, text: str) -> tuple[str | None, float, float]:
         """Licence, cosine, and the share of the text's terms that its licence passages hold."""
-        if not _TRIGGER.search(text):
+        counts = Counter(terms(text))
+        if "spdx" in counts and (tag := _SPDX.search(text)) and tag[1].lower() in self.tags:
+            return self.tags[tag[1].lower()], 1.0, 0.0
+        if not self.openers.isdisjoint(counts):
+            name, cos = self.whole.best(self.vector(counts))
+            if cos >= WHOLE:
+                return name, cos, 1.0
+        if self.triggers.isdisjoint(counts):
             return None, 0.0, 0.0
-        if (tag := _SPDX.search(text)) and tag[1].lower() in self.names:
-            return self.names[tag[1].lower()], 1.0, 0.0
-        found, score, share = None, 0.0, 0
-        for p in passages(text):
-            name, cos = self.best(p)
+        found: list[tuple[float, str]] = []
+        run: list[tuple[str, set[str], float]] = []
+        covered = 0
+        for lines in [*paragraphs(text), []]:
+            whole = " ".join(lines)
+            seen = self._of(whole) if lines else None
+            dots = {k: c for k, c in self.parts.cosines(seen[0]).items() if c >= THRESHOLD} if seen else {}
+            if dots:
+                run.append((whole, {self.parts.names[k] for k in dots}, max(dots.values())))
+                covered += seen[1]
+                continue
+            if run and (not seen or not lines):
+                name, cos = self._run(run)
+                found.append((cos, name))
+                run = []
+            if not seen:
+                continue
+            name, cos = self.notices.best(seen[0])
             if cos >= THRESHOLD:
-                share = max(share, len(terms(p)))
-                if cos > score + 1e-12:
-                    found, score = name, cos
-        return found, score, share / max(1, len(terms(text))) if found else 0.0
+                found.append((cos, name))
+                covered += seen[1]
+            for line in lines if len(lines) > 1 or cos < THRESHOLD else ():
+                hits = [(c, n, k) for p in dict.fromkeys([line, *re.split(r"(?<=[.!?;])\s+", line)]) if (own := self._of(p)) for n, c, k in [(*self.notices.best(own[0]), own[1])] if c >= THRESHOLD]
+                found += [(c, n) for c, n, _ in hits]
+                covered += max((k for _, _, k in hits), default=0) if cos < THRESHOLD else 0
+        if not found:
+            return None, 0.0, 0.0
+        best = max(c for c, _ in found)
+        name = next(n for c, n in found if c >= best - 1e-12)
+        return name, best, min(1.0, covered / max(1, counts.total()))
 
 
-def term_weights(texts: DataFrame, templates: Mapping[str, Sequence[str]] = TEMPLATES) -> tuple[dict[str, float], float]:
-    """Inverse document frequencies of the templates' terms over all texts, and of terms seen nowhere. Bounded by the templates.
+def term_weights(texts: DataFrame, notices: Mapping[str, Sequence[str]], licences: Mapping[str, str]) -> tuple[dict[str, float], float]:
+    """Inverse document frequencies of the templates' terms over all texts, and their median for other terms. Bounded by the templates.
 
     Whole terms are counted; each task sends one count per term.
     """
-    known = {t.encode(): i for i, t in enumerate(vocabulary(templates))}
+    names = vocabulary(notices, licences)
+    known = {t.encode(): i for i, t in enumerate(names)}
     split = re.compile(rb"[a-z0-9]+(?:\.[0-9]+)*")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,8 +220,8 @@ def term_weights(texts: DataFrame, templates: Mapping[str, Sequence[str]] = TEMP
 
     found = {r.t: r.n for r in texts.select("text").mapInArrow(count, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).collect()}
     rows = found.pop(-1, 0)
-    names = vocabulary(templates)
-    return {names[t]: math.log((rows + 1) / (n + 1)) + 1 for t, n in found.items()}, math.log(rows + 1) + 1
+    idf = {t: math.log((rows + 1) / (found.get(i, 0) + 1)) + 1 for i, t in enumerate(names)}
+    return idf, median(idf.values()) if idf else 1.0
 
 
 def folder_of(path: Column) -> Column:
@@ -147,25 +229,29 @@ def folder_of(path: Column) -> Column:
     return F.regexp_extract(path, r"(?s)^(.*)/[^/]*$", 1)
 
 
-def scan_licenses(files: DataFrame, path_col: str, id_col: str = "doc_id", text_col: str = "text", templates: Mapping[str, Sequence[str]] = TEMPLATES) -> DataFrame:
+def scan_licenses(files: DataFrame, path_col: str, id_col: str = "doc_id", text_col: str = "text", notices: Mapping[str, Sequence[str]] | None = None, licences: Mapping[str, str] | None = None) -> DataFrame:
     """id, path, own_license, cosine, license (own or inherited), inherited_from (directory, null if own or none): one row per input row.
 
-    Null texts are empty; a null path stands alone (nothing is inherited); of several licence files in a directory the
-    highest cosine, then the least name, speaks; repeated rows stay; other columns are left out.
+    notices, licences: templates by name instead of NOTICES and whole_texts(). Null texts are empty; texts of any length are
+    read whole; a null path stands alone (nothing is inherited); of several licence files in a directory one that is named
+    like one, then the highest cosine, then the least name, speaks; of passages that are equally near the first counts, of templates the first given. Repeated
+    rows stay; other columns, whatever their names, are left out; an empty table gives an empty result.
     """
+    notices, licences = NOTICES if notices is None else notices, dict(whole_texts() if licences is None else licences)
     kind = files.schema[id_col].dataType.simpleString()
     rows = files.select(F.col(id_col).alias("id"), F.col(path_col).cast("string").alias("path"), text_or_empty(text_col).alias("text"))
-    idf, rest = term_weights(rows, templates)
+    idf, rest = term_weights(rows, notices, licences)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(idf, rest, templates)
+        matcher = Matcher(idf, rest, notices, licences)
         for batch in batches:
             found = [matcher.scan(t) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.float64())], names=["id", "path", "own", "cosine", "share"])
 
     scanned = materialize(rows.mapInArrow(run, f"id {kind}, path string, own string, cosine double, share double"), "licences")
     speaks = scanned.where(F.col("own").isNotNull() & F.col("path").isNotNull() & (F.col("path").rlike(_NAMED) | (F.col("share") >= MOSTLY)))
-    voices = speaks.groupBy(folder_of(F.col("path")).alias("up")).agg(F.min(F.struct(-F.col("cosine"), F.col("own").alias("own"))).alias("v")).select("up", F.col("v.own").alias("licence"))
+    first = F.min(F.struct((~F.col("path").rlike(_NAMED)).alias("n"), (-F.col("cosine")).alias("c"), "own"))
+    voices = speaks.groupBy(folder_of(F.col("path")).alias("up")).agg(first.alias("v")).select("up", F.col("v.own").alias("licence"))
     voices = bounded_broadcast(materialize(voices, "voices"))
     # each distinct directory with itself and its ancestors: parts of its path, the top included
     folders = scanned.where("path is not null and own is null").select(folder_of(F.col("path")).alias("folder")).distinct()
