@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import pathlib
 import re
 from collections import Counter
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import names, text
 from weftline.operators import incremental, lexicon, metrics, pairs, remote, sampling
-from weftline.plans import programs
+from weftline.plans import driver, programs
 from weftline.sources import readers, writers
 
 
@@ -372,3 +373,52 @@ def test_terms_of_any_length_meet_their_entries(spark):
     terms = ["", "a", "abc", "q", "abcde", "zz"]
     got = Counter((r.term_id, r._ord) for r in lexicon.lookup_terms(index, spark.createDataFrame([(t, t) for t in terms], "term_id string, key string"), 50).collect())
     assert got == Counter((t, i) for t in terms for i, k in enumerate(rows) if t in k or k in t)
+
+
+def test_tokenizers_with_models(spark):
+    model = pathlib.Path("/opt/tokenizers/piece_bpe_32k.model")
+    if not model.exists():
+        pytest.skip("no model here")
+    apply = metrics.sentence_pieces(str(model))
+    try:
+        metrics.register_tokenizer("flores200", apply, "flores200_local_spm")
+        rows = spark.createDataFrame([("flores", "d", "eng_Latn", "zho_Hans", "", "a small house by the sea", "a small house by the sea", 0)], "eval_corpus string, dataset string, src_lang string, tgt_lang string, eval_pair string, hypothesis string, reference_text string, _ord int")
+        got = metrics.evaluate(rows).first()
+        assert got.bleu_tokenizer == "flores200_local_spm" and got.bleu == pytest.approx(100)
+        assert "".join(rows.select(apply(F.col("hypothesis")).alias("t")).first().t.split()).replace("\u2581", " ").strip() == "a small house by the sea"
+    finally:
+        metrics.TOKENIZERS.pop("flores200", None)
+        metrics.REPORTED.pop("flores200", None)
+
+
+def test_driver_helpers(spark, tmp_path):
+    import io
+
+    (tmp_path / "raw").write_text("data")
+    url = (tmp_path / "raw").as_uri()
+    assert pathlib.Path(driver.fetch_once(url, str(tmp_path / "d" / "copy"))).read_text() == "data"
+    (tmp_path / "raw").write_text("newer")
+    assert pathlib.Path(driver.fetch_once(url, str(tmp_path / "d" / "copy"))).read_text() == "data"
+    assert pathlib.Path(driver.fetch_once(url, str(tmp_path / "d" / "copy"), force=True)).read_text() == "newer"
+    assert driver.text_argument(" a ") == "a" and driver.text_argument(file=str(tmp_path / "raw")) == "newer" and driver.text_argument(stdin=io.StringIO("x\n")) == "x"
+    with pytest.raises(ValueError):
+        driver.text_argument(" ")
+    got = driver.probe({"good": lambda: spark.range(3), "none": lambda: spark.range(0), "bad": lambda: spark.read.parquet(str(tmp_path / "no"))})
+    assert got["good"] == (True, "id") and got["none"] == (False, "no rows") and not got["bad"][0]
+    assert driver.run_steps([("a", lambda: 1), ("b", lambda: 1 / 0)], skip=["b"]) == {"a": 1}
+    with pytest.raises(RuntimeError, match="step b"):
+        driver.run_steps([("b", lambda: 1 / 0)])
+    lines, said, asked = iter(["one", "", "two", "/reset", "three", "/exit", "never"]), [], []
+    history = driver.chat(lambda h: (asked.append([m["content"] for m in h]), h[-1]["content"].upper())[1], lambda: next(lines), said.append, system="s")
+    assert said == ["ONE", "TWO", "THREE"] and asked == [["s", "one"], ["s", "one", "ONE", "two"], ["s", "three"]] and len(history) == 3
+    lines = iter(["one", None])
+    assert driver.chat(lambda h: h[-1]["content"], lambda: next(lines), said.append, prompt=lambda t: f"<{t}>")[0]["content"] == "<one>"
+
+
+def test_drawings_and_nested_configurations():
+    svg = writers.heat_map([{"src": "a", "a": None, "b": 40.0}, {"src": "b", "a": -2.5, "b": 3.0}], ["a", "b"], -5, 40, "x < y")
+    assert svg.count("<rect") == 4 and "x &lt; y" in svg and "40.0" in svg and "rgb(255," in svg
+    import xml.dom.minidom
+
+    xml.dom.minidom.parseString(svg)
+    assert writers.render_config({"a": {"b": [1, "x"], "c": {"d": True}}}) == 'a:\n  b: [1, "x"]\n  c:\n    d: true\n'

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +49,39 @@ def tokenize_intl(c: Column) -> Column:
 #: Tokenizers by name; others (sentence pieces, Thai words) are registered by whoever has their models.
 TOKENIZERS: dict[str, Callable[[Column], Column]] = {"none": normalize_space, "13a": tokenize_13a, "zh": tokenize_zh, "char": tokenize_char, "intl": tokenize_intl}
 
+#: Names under which registered tokenizers are reported, where these differ.
+REPORTED: dict[str, str] = {}
+
+
+def register_tokenizer(name: str, apply: Callable[[Column], Column], reported: str | None = None) -> None:
+    """Makes a tokenizer known: apply gives a text's tokens with spaces between."""
+    TOKENIZERS[name] = apply
+    if reported:
+        REPORTED[name] = reported
+
+
+def sentence_pieces(model: str) -> Callable[[Column], Column]:
+    """A tokenizer by a sentence-piece model, a file that every executor has at this path; each worker loads it once."""
+
+    def apply(c: Column) -> Column:
+        @F.arrow_udf("string")
+        def run(texts: pa.Array) -> pa.Array:
+            encode = _pieces_of(model)
+            return pa.array([None if t is None else " ".join(encode(t)) for t in texts.to_pylist()], pa.string())
+
+        return run(c)
+
+    return apply
+
+
+@cache
+def _pieces_of(model: str) -> Callable[[str], list[str]]:
+    import sentencepiece
+
+    processor = sentencepiece.SentencePieceProcessor(model_file=model)
+    return lambda text: processor.encode(text, out_type=str)
+
+
 #: What stands in for a tokenizer that isn't registered, in turn, and the suffix of the name that is then reported.
 FALLBACKS: Mapping[str, tuple[tuple[str, str], ...]] = {"flores200": (("pythai_newmm", "_spbleu_fallback"), ("zh", "_spbleu_fallback"), ("13a", "_spbleu_fallback")), "pythai_newmm": (("intl", "_thai_fallback"), ("13a", "_thai_fallback"))}
 
@@ -58,7 +93,10 @@ def available_tokenizer(name: Column, target: Column) -> Column:
     def pair(use: str, said: str) -> Column:
         return F.struct(F.lit(use).alias("use"), F.lit(said).alias("said"))
 
-    own = F.when(name.isin(*TOKENIZERS), F.struct(name.alias("use"), name.alias("said")))
+    said = name
+    for known, shown in REPORTED.items():
+        said = F.when(name == known, F.lit(shown)).otherwise(said)
+    own = F.when(name.isin(*TOKENIZERS), F.struct(name.alias("use"), said.alias("said")))
     pieces = F.when(chinese, pair("zh", "zh_spbleu_fallback")).when(thai, pair("pythai_newmm", "pythai_newmm_spbleu_fallback") if "pythai_newmm" in TOKENIZERS else pair("intl", "intl_thai_fallback")).otherwise(pair("13a", "13a_spbleu_fallback"))
     return F.coalesce(own, F.when(name == "flores200", pieces), F.when(name == "pythai_newmm", pair("intl", "intl_thai_fallback")), pair("13a", "13a"))
 

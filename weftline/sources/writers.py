@@ -139,15 +139,43 @@ def bundle(paths: Mapping[str, str], target: str) -> None:
 
 
 def render_config(values: Mapping[str, object]) -> str:
-    """A flat YAML training configuration; sections are comments."""
+    """A YAML training configuration, mappings and lists nested; a key without a value is a section, as a comment."""
     out = io.StringIO()
-    for key, value in values.items():
-        if value is None:
-            out.write(f"\n### {key}\n")
-        elif isinstance(value, bool):
-            out.write(f"{key}: {str(value).lower()}\n")
-        elif isinstance(value, int | float):
-            out.write(f"{key}: {value}\n")
-        else:
-            out.write(f"{key}: {json.dumps(str(value), ensure_ascii=False)}\n")
+
+    def scalar(value: object) -> str:
+        return str(value).lower() if isinstance(value, bool) else str(value) if isinstance(value, int | float) else json.dumps(str(value), ensure_ascii=False)
+
+    def lines(part: Mapping[str, object], indent: str) -> None:
+        for key, value in part.items():
+            if value is None:
+                out.write(f"\n{indent}### {key}\n")
+            elif isinstance(value, Mapping):
+                out.write(f"{indent}{key}:\n")
+                lines(value, indent + "  ")
+            elif isinstance(value, list | tuple):
+                out.write(f"{indent}{key}: [{', '.join(map(scalar, value))}]\n")
+            else:
+                out.write(f"{indent}{key}: {scalar(value)}\n")
+
+    lines(values, "")
     return out.getvalue()
+
+
+def heat_map(rows: Sequence[Mapping], languages: Sequence[str], least: float, most: float, title: str = "", size: int = 48) -> str:
+    """A score matrix (rows of metrics.score_matrix) as an SVG drawing: darker is more; with a negative least the scale parts at 0. A row per language, so small."""
+    from xml.sax.saxutils import escape
+
+    by, cells = {r["src"]: r for r in rows}, []
+    for i, src in enumerate(languages):
+        cells.append(f'<text x="{2 * size - 4}" y="{(i + 1.6) * size}" text-anchor="end">{escape(src)}</text><text x="{(i + 2.5) * size}" y="{0.8 * size}" text-anchor="middle">{escape(src)}</text>')
+        for j, tgt in enumerate(languages):
+            value = by[src][tgt] if src in by else None
+            if value is None:
+                fill, shown = "#eeeeee", ""
+            else:
+                share = min(1.0, abs(value) / max(abs(least), abs(most))) if least < 0 else min(1.0, max(0.0, (value - least) / (most - least))) if most > least else 1.0
+                pale = round(255 * (1 - 0.8 * share))
+                fill, shown = f"rgb(255,{pale},{pale})" if value < 0 else f"rgb({pale},{pale},255)", f"{value:.1f}"
+            cells.append(f'<rect x="{(j + 2) * size}" y="{(i + 1) * size}" width="{size}" height="{size}" fill="{fill}"/><text x="{(j + 2.5) * size}" y="{(i + 1.6) * size}" text-anchor="middle">{shown}</text>')
+    wide, high = (len(languages) + 2) * size, (len(languages) + 1) * size
+    return f'<svg xmlns="http://www.w3.org/2000/svg" width="{wide}" height="{high}" font-size="{size // 4}"><title>{escape(title)}</title>{"".join(cells)}</svg>'
