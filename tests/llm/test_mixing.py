@@ -45,6 +45,16 @@ def test_targets_and_takes(spark):
             assert abs(taken[s] - want[s]) <= 0.01 * want[s] + 1
 
 
+def test_many_sources_share_again(spark):
+    """Sizes that fill source after source: as many rounds as it takes."""
+    sizes = {f"s{i:03}": 3 ** (i % 9) for i in range(200)} | {None: 5}
+    table = spark.createDataFrame(list(sizes.items()), "source string, source_size long").repartition(5)
+    for factor in (0.2, 1.0, 1.5, 1.99, 3.0):
+        want = fill(sizes, factor=factor) if factor < 2 else {s: 2.0 * n for s, n in sizes.items()}
+        got = {r.source: r.target for r in M.targets(table, (5, 2, 1), factor, 2.0).collect()}
+        assert got.keys() == want.keys() and all(got[s] == pytest.approx(want[s]) for s in want)
+
+
 def test_reruns_agree(spark):
     df = fx.table(spark, extra=True)
     a = Counter((r.doc_id, r.text, r._copies) for r in M.mix(df).collect())

@@ -1,7 +1,7 @@
 """Mixing sources to target weights (10): Pareto order sampling after certain whole copies. DataFrame functions only.
 
 Each source gets a target in words: its weight's share of the mix, stopped at `cap` times its size, the excess shared
-again by weight (water filling, solved in closed form over the sources' sums). A document's expected copies are its
+again by weight until none is above (water filling). A document's expected copies are its
 source's target over its size, times its preference. The whole part is certain; the rest is an inclusion probability p,
 and documents of a source rank by random odds over inclusion odds, u / (1 - u) : p / (1 - p), ascending. The first ranks
 that fill the source's remaining words are taken, and one further document that closes the gap best.
@@ -14,36 +14,43 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, materialize, text_or_empty
+from .common import bounded_broadcast, materialize, packed, release, text_or_empty, unpacked
+from .sharding import number_rows
 
-WORD = r"[^\x20\x09-\x0D]+"
+SPACES = "".join(map(chr, (0x20, *range(0x09, 0x0E))))
 BINS = 4096
+#: Columns that mix adds.
+ADDED = ("_size", "_source_size", "_target", "_copies")
+#: Bits of a document's draw: the first of an MD5 of seed, id and text, which SQL engines agree on.
+DRAW_BITS = 60
+
+
+def word_count(text: Column) -> Column:
+    """Runs of anything but ASCII white space: each, with the spaces behind it, becomes one character. No word is cut out as a string."""
+    return F.length(F.regexp_replace(F.ltrim(text, F.lit(SPACES)), r"[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+", "w")).cast("long")
 
 
 def targets(sizes: DataFrame, weights: Sequence[float], factor: float, cap: float) -> DataFrame:
     """sizes: source, source_size (one row a source). Adds weight and target; sources by code point, null last, take the weights in turn.
 
-    One row per source is all that the single ordered pass sees.
+    Sources are numbered by a range exchange, and the level to which they are filled is found by sums over them: each round
+    gives what the sources that are full leave over to the rest, and only two sums reach the driver. So sources may be many.
     """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    turn = (F.row_number().over(by_name) - 1) % len(weights)
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), turn.cast("int") + 1)
-    ranked = sizes.withColumn("weight", weight).withColumn("_full", F.col("source_size") * F.lit(float(cap)))
-    order = Window.orderBy(F.col("_full") / F.col("weight"), F.col("source").asc_nulls_last())
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy(F.lit(1))
-    level = (
-        ranked.withColumn("_budget", F.sum("source_size").over(everything) * F.lit(float(factor)))
-        .withColumn("_full_before", F.coalesce(F.sum("_full").over(before), F.lit(0.0)))
-        .withColumn("_open", F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-        .withColumn("_level", (F.col("_budget") - F.col("_full_before")) / F.col("_open"))
-    )
-    # the first source, in order of full / weight, that the level doesn't fill sets the level for the rest
-    fits = F.min(F.when(F.col("_level") * F.col("weight") <= F.col("_full"), F.struct((F.col("_full") / F.col("weight")).alias("r"), F.col("_level").alias("l")))).over(everything)
-    return level.withColumn("_l", F.coalesce(fits["l"], F.lit(float("inf")))).select("source", "source_size", "weight", F.least(F.col("_l") * F.col("weight"), F.col("_full")).alias("target"))
+    numbered, n = number_rows(sizes.select("source", "source_size"), ["source"], "mix-sources")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("_number") % len(weights)).cast("int") + 1)
+    plan = materialize(numbered.select("source", "source_size", weight.alias("weight"), (F.col("source_size") * F.lit(float(cap))).alias("_full")), "mix-weights")
+    budget = float(factor) * (plan.agg(F.sum("source_size")).first()[0] or 0)
+    level, closed = 0.0, -1
+    while n:
+        full = F.col("_full") < F.lit(level) * F.col("weight") if closed >= 0 else F.lit(False)
+        count, taken, left = plan.agg(F.count_if(full), F.coalesce(F.sum(F.when(full, F.col("_full"))), F.lit(0.0)), F.coalesce(F.sum(F.when(~full, F.col("weight"))), F.lit(0.0))).first()
+        if count == closed:
+            break
+        level, closed = ((budget - taken) / left if left else float("inf")), count
+    return plan.select("source", "source_size", "weight", F.least(F.lit(level) * F.col("weight"), F.col("_full")).alias("target"))
 
 
 def _ranked(rows: DataFrame, plan: DataFrame, cap: float) -> DataFrame:
@@ -52,7 +59,7 @@ def _ranked(rows: DataFrame, plan: DataFrame, cap: float) -> DataFrame:
     expected = F.least(F.lit(float(cap)), F.when(F.col("preferred") > 0, F.col("target") * F.col("pref") / F.col("preferred")).otherwise(F.lit(0.0)))
     whole = F.floor(F.col("_expected") + 1e-9).cast("long")
     chance = F.greatest(F.col("_expected") - F.col("whole"), F.lit(0.0))
-    u = (F.shiftrightunsigned("draw", 11).cast("double") + 0.5) / F.lit(float(1 << 53))
+    u = (F.shiftright("draw", DRAW_BITS - 52).cast("double") + 0.5) / F.lit(float(1 << 52))
     odds = (u / (1 - u)) / (F.col("_chance") / (1 - F.col("_chance")))
     out = joined.withColumn("_expected", expected).withColumn("whole", whole).withColumn("_chance", chance)
     return out.withColumn("rank", F.when((F.col("_chance") > 1e-9) & (F.col("size") > 0), odds / (1 + odds))).drop("_expected", "_chance")
@@ -103,22 +110,58 @@ def cuts(base: DataFrame, weights: Sequence[float], factor: float, cap: float) -
     return materialize(out, "mix-cuts")
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), factor: float = 1.5, cap: float = 2.0, seed: int = 42, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", preference_col: str | None = None) -> DataFrame:
-    """docs with _size, _source_size, _target and _copies (0 and up to cap); all input columns stay.
-
-    A null text has size 0; a null source is a source of its own, last in turn; a null or negative preference counts as 0
-    (never taken). Rows equal in id and text are drawn together. An empty table gives an empty result. The draw hangs on
-    seed, id and text only, so reruns and other partitionings agree.
-    """
+def _mixed(docs: DataFrame, weights: Sequence[float], factor: float, cap: float, seed: int, id_col: str, source_col: str, text_col: str, preference_col: str | None) -> DataFrame:
+    """docs packed, with size, source_size, target and copies."""
     body = text_or_empty(text_col)
     pref = F.greatest(F.coalesce(F.col(preference_col).cast("double"), F.lit(0.0)), F.lit(0.0)) if preference_col else F.lit(1.0)
+    named = F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("|"), body)
     measures = {
-        "source": F.col(source_col).cast("string"), "size": F.regexp_count(body, F.lit(WORD)).cast("long"),
-        "draw": F.xxhash64(F.lit(seed), F.col(id_col), body), "pref": pref,
+        "source": F.col(source_col).cast("string"), "size": word_count(body),
+        "draw": F.conv(F.substring(F.md5(named), 1, DRAW_BITS // 4), 16, 10).cast("long"), "pref": pref,
     }
     base = materialize(docs.select(*[c.alias(n) for n, c in measures.items()]), "mix-base")
     marks = bounded_broadcast(cuts(base, weights, factor, cap))
-    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *[c.alias(n) for n, c in measures.items()])
-    ranked = _ranked(inner, marks, cap)
+    release(base)
+    ranked = _ranked(packed(docs, *[c.alias(n) for n, c in measures.items()]), marks, cap)
     copies = F.col("whole") + F.when((F.col("rank") < F.col("cut")) | (F.col("rank").isNotNull() & (F.col("draw") == F.col("extra"))), 1).otherwise(0)
-    return ranked.select(*[F.col("_row")[c].alias(c) for c in docs.columns], F.col("size").alias("_size"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), copies.cast("long").alias("_copies"))
+    return ranked.select("_row", "size", "source_size", "target", copies.cast("long").alias("copies"))
+
+
+def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), factor: float = 1.5, cap: float = 2.0, seed: int = 42, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", preference_col: str | None = None) -> DataFrame:
+    """docs with _size, _source_size, _target and _copies (0 and up to cap); all input columns stay, whatever their names, but for these four.
+
+    A null text has size 0; a null source is a source of its own, last in turn; a null or negative preference counts as 0
+    (never taken); texts of any length are counted whole. Rows equal in id and text are drawn together; ranks that tie fall
+    together. An empty table gives an empty result. The draw hangs on seed, id and text only, so reruns and other
+    partitionings agree.
+    """
+    mixed = _mixed(docs, weights, factor, cap, seed, id_col, source_col, text_col, preference_col)
+    return unpacked(mixed, [c for c in docs.columns if c not in ADDED], *[F.col(c.removeprefix("_")).alias(c) for c in ADDED])
+
+
+def take(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), factor: float = 1.5, cap: float = 2.0, seed: int = 42, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", preference_col: str | None = None) -> DataFrame:
+    """docs as often as mix() takes them, none up to cap times: all columns, whatever their names, in their order. See mix for nulls, ties and repeats."""
+    mixed = _mixed(docs, weights, factor, cap, seed, id_col, source_col, text_col, preference_col)
+    taken = mixed.where("copies > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return unpacked(taken, docs.columns)
+
+
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, CAST('0x' || substr(md5('42|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(text, '')), 1, 15) AS BIGINT) AS draw FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, ([5.0, 2.0, 1.0])[CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INTEGER) + 1]::DOUBLE AS weight FROM d GROUP BY source),
+-- shares of 150 % of all, and again of what is above twice a source's size, until none is above
+f(step, open_, rest) AS (SELECT 0, list(struct_pack(s := source, w := weight, m := 2.0::DOUBLE * source_size)), 1.5::DOUBLE * sum(source_size) FROM s
+  UNION ALL SELECT step + 1, list_filter(open_, lambda x: x.m >= rest * x.w / list_sum(list_transform(open_, lambda y: y.w))), rest - list_sum(list_transform(list_filter(open_, lambda x: x.m < rest * x.w / list_sum(list_transform(open_, lambda y: y.w))), lambda x: x.m))
+  FROM f WHERE len(list_filter(open_, lambda x: x.m < rest * x.w / list_sum(list_transform(open_, lambda y: y.w)))) > 0),
+e AS (SELECT rest / list_sum(list_transform(open_, lambda y: y.w)) AS level FROM f ORDER BY step DESC LIMIT 1),
+t AS (SELECT source, source_size, least(coalesce(level, 'inf'::DOUBLE) * weight, 2.0::DOUBLE * source_size) AS target FROM s, e),
+p AS (SELECT doc_id, size, d.source, source_size, target, draw, CASE WHEN source_size > 0 THEN least(2.0, target / source_size) ELSE 0.0 END AS x, CAST(floor(x + 1e-9) AS BIGINT) AS whole, greatest(x - whole, 0.0) AS p, ((draw >> 8)::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+r AS (SELECT *, CASE WHEN p > 1e-9 AND size > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS odds, odds / (1 + odds) AS rank FROM p),
+n AS (SELECT source, first(target) - sum(size * whole) AS need FROM r GROUP BY source),
+c AS (SELECT r.*, need, sum(size) OVER (PARTITION BY r.source ORDER BY rank, draw RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM r JOIN n ON r.source IS NOT DISTINCT FROM n.source WHERE rank IS NOT NULL),
+k AS (SELECT source, CASE WHEN first(need) <= 0 THEN 0.0 ELSE coalesce(min(rank) FILTER (run > need), 2.0) END AS cut, first(need) AS need FROM c GROUP BY source),
+g AS (SELECT c.*, cut, need - coalesce(sum(size) FILTER (rank < cut) OVER (PARTITION BY c.source), 0) AS gap FROM (SELECT * EXCLUDE (need), need FROM c) c JOIN (SELECT source, cut FROM k) k ON c.source IS NOT DISTINCT FROM k.source),
+b AS (SELECT source, min_by(draw, struct_pack(o := abs(size - gap), r := rank, d := draw)) AS extra FROM g WHERE rank >= cut AND gap > 0 AND abs(size - gap) < gap GROUP BY source)
+SELECT doc_id, size, source_size, target, size * (whole + CASE WHEN rank < cut OR draw = extra AND rank IS NOT NULL THEN 1 ELSE 0 END) AS taken
+FROM r LEFT JOIN (SELECT source, cut FROM k) k ON r.source IS NOT DISTINCT FROM k.source LEFT JOIN b ON r.source IS NOT DISTINCT FROM b.source
+"""
