@@ -8,8 +8,9 @@ repeats without any tree. For the rest, prefix groups of a bounded size meet in
 each batch of groups as a sorted suffix array with its LCPs: nodes of `window` words' depth with two leaves or more are
 repeats. A group over the bound takes the longest prefix, all `window` words, and so needs a count only.
 
-Every exchange on a prefix is pre-aggregated or splits by AQE's skew join, so a passage in a third of all documents is
-never gathered into one task. Texts cross the network once, by text hash, to meet their own list of pieces.
+Every exchange on a prefix is pre-aggregated, or one of a join whose two sides are written tables, so that AQE splits a hot
+key: a passage, or a text, in a third of all documents is never gathered into one task. Texts are known by a 64-bit hash and
+a checksum together, and cross the network twice: those that need a tree to meet their list of pieces, all to be cut.
 """
 
 from __future__ import annotations
@@ -18,19 +19,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, gram_hashes, materialize, span_hashes, spread, strings, text_key, text_or_empty, word_bounds, word_hashes
+from .common import bounded_broadcast, chunks, gram_hashes, materialize, release, span_hashes, spread, strings, text_key, text_or_empty, word_bounds, word_hashes
 
 GRAM = 8
 #: Distinct pieces under one prefix that a task may gather; more take the longest prefix. A resource bound: results don't depend on it.
-GROUP_PIECES = 20_000
-#: Suffixes for which a task builds one tree.
+GROUP_PIECES = 2_000
+#: Suffixes for which a task builds one tree, of many groups.
 TREE_SUFFIXES = 150_000
 _POS_BITS = np.uint64(28)
 _WORD_BYTES = 6
+#: A text's identity, and the columns of a piece.
+KEY = ["key", "crc"]
+_PIECE = "key long, crc int, loc long"
 
 
 def pieces(words: np.ndarray, bounds: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -113,8 +116,8 @@ def _starts_of(loc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _scan(window: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offs = strings(batch.column(1))
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            data, offs = strings(batch.column(2))
+            keys, crcs = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             for i, j in chunks(offs):
                 part, po = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
                 ws, we, bounds = word_bounds(part, po)
@@ -123,7 +126,7 @@ def _scan(window: int):
                 if len(first):
                     sig = span_hashes(words, first, last + window)
                     loc = (first - bounds[row]) << 8 | (last - first)
-                    yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(sig.view(np.int64)), pa.array(keys[i:j][row]), pa.array(loc)], names=["h", "sig", "key", "loc"])
+                    yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(sig.view(np.int64)), pa.array(keys[i:j][row]), pa.array(crcs[i:j][row]), pa.array(loc)], names=["h", "sig", "key", "crc", "loc"])
 
     return scan
 
@@ -133,13 +136,9 @@ def _extract(window: int):
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc, carrier = batch.column(0), batch.column(1)
-            own = batch.filter(pc.or_(pc.fill_null(pc.equal(doc, carrier), False), pc.and_(doc.is_null(), carrier.is_null())))  # one row speaks for equal texts
-            if not len(own):
-                continue
-            data, offs = strings(own.column(own.schema.get_field_index("text")))
-            keys = own.column(own.schema.get_field_index("key")).to_numpy(zero_copy_only=False)
-            lists = own.column(own.schema.get_field_index("need"))
+            keys, crcs = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            data, offs = strings(batch.column(2))
+            lists = batch.column(3)
             for i, j in chunks(offs):
                 part, po = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
                 ws, we, bounds = word_bounds(part, po)
@@ -160,23 +159,23 @@ def _extract(window: int):
                         s = np.repeat(first[at], per) + spread(per)
                         owner = np.repeat(at, per)
                         wh = span_hashes(words, s, s + window)
-                        yield _rows(h[owner], keys[i:j][row[owner]], s - bounds[row[owner]] << 8, c[owner], None, wh)
+                        yield _rows(h[owner], keys[i:j][row[owner]], crcs[i:j][row[owner]], s - bounds[row[owner]] << 8, c[owner], None, wh)
                     else:
                         lens = more[at] + window
                         taken = words[np.repeat(first[at], lens) + spread(lens)]
                         raw = np.ascontiguousarray(taken.view(np.uint8).reshape(-1, 8)[:, :_WORD_BYTES]).tobytes()
                         ends = np.append(0, np.cumsum(lens)) * _WORD_BYTES
                         body = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(raw)])
-                        yield _rows(h[at], keys[i:j][row[at]], loc[at], c[at], body, None)
+                        yield _rows(h[at], keys[i:j][row[at]], crcs[i:j][row[at]], loc[at], c[at], body, None)
 
     return extract
 
 
-def _rows(h, key, loc, c, body, wh) -> pa.RecordBatch:
+def _rows(h, key, crc, loc, c, body, wh) -> pa.RecordBatch:
     n = len(h)
     return pa.RecordBatch.from_arrays(
-        [pa.array(h), pa.array(key), pa.array(loc), pa.array(c.astype(np.int64)), body if body is not None else pa.nulls(n, pa.binary()), pa.array(wh.view(np.int64)) if wh is not None else pa.nulls(n, pa.int64())],
-        names=["h", "key", "loc", "c", "body", "wh"],
+        [pa.array(h), pa.array(key), pa.array(crc), pa.array(loc), pa.array(c.astype(np.int64)), body if body is not None else pa.nulls(n, pa.binary()), pa.array(wh.view(np.int64)) if wh is not None else pa.nulls(n, pa.int64())],
+        names=["h", "key", "crc", "loc", "c", "body", "wh"],
     )
 
 
@@ -184,15 +183,15 @@ def _trees(window: int):
     """Rows come ordered by h. Whole groups are put together until a tree's worth of suffixes is there."""
 
     def solve(rows: pa.RecordBatch) -> pa.RecordBatch | None:
-        h, key, loc, c = (rows.column(k).to_numpy(zero_copy_only=False) for k in range(4))
-        raw, offs = rows.column(4), None
+        h, key, crc, loc, c = (rows.column(k).to_numpy(zero_copy_only=False) for k in range(5))
+        raw = rows.column(5)
         offs = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1].astype(np.int64)
         flat = np.frombuffer(raw.buffers()[2], np.uint8)[offs[0] : offs[-1]].reshape(-1, _WORD_BYTES)
         words = np.zeros((len(flat), 8), np.uint8)
         words[:, :_WORD_BYTES] = flat
         words = words.view(np.uint64)[:, 0]
         base = (offs[:-1] - offs[0]) // _WORD_BYTES
-        _, once = np.unique(np.stack([h, key, loc]), axis=1, return_index=True)  # rows equal in id and text bring the same piece
+        _, once = np.unique(np.stack([h, key, crc, loc]), axis=1, return_index=True)  # rows equal in id and text bring the same piece
         once.sort()
         first, more = _starts_of(loc[once])
         per = more + 1
@@ -205,7 +204,7 @@ def _trees(window: int):
         if not len(at):
             return None
         out = (loc[owner[at]] >> 8) + inside[at]
-        return pa.RecordBatch.from_arrays([pa.array(key[owner[at]]), pa.array(out << 8)], names=["key", "loc"])
+        return pa.RecordBatch.from_arrays([pa.array(key[owner[at]]), pa.array(crc[owner[at]]), pa.array(out << 8)], names=["key", "crc", "loc"])
 
     def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[pa.RecordBatch] = []
@@ -228,32 +227,43 @@ def _trees(window: int):
 
 
 def repeated_windows(texts: DataFrame, window: int) -> DataFrame:
-    """texts: doc, text, key (text_key of text). Returns key, loc: starts (loc >> 8) to (loc >> 8) + (loc & 255) of repeated windows; a row may come more than once."""
-    found = texts.select("key", "text").mapInArrow(_scan(window), "h long, sig long, key long, loc long")
+    """texts: doc, text, key, crc. key, crc, hits: by text, starts (loc >> 8) to (loc >> 8) + (loc & 255) of repeated windows."""
+    # scanned once for the counts and once for the join: reading the texts again costs less than to write and read all their pieces
+    found = texts.select(*KEY, "text").mapInArrow(_scan(window), f"h long, sig long, {_PIECE}")
     often = found.groupBy("h").agg(F.count("*").alias("c"), F.min("sig").alias("a"), F.max("sig").alias("b")).where("c > 1").select("h", (F.col("a") != F.col("b")).alias("mixed"))
-    # written first, so that the join's own exchange is one that AQE can split where a gram is hot
+    # written first, so that the join's exchanges are its own and AQE can split them where a gram is hot
     often = materialize(often, "often")
     shared = materialize(found.join(often, "h"), "pieces")
-    equal = shared.where("not mixed").select("key", "loc")
+    release(often)
+    equal = shared.where("not mixed").select(*KEY, "loc")
     mixed = shared.where("mixed")
-    kinds = materialize(mixed.groupBy("h", "sig").agg(F.count("*").alias("c"), F.min(F.struct("key", "loc")).alias("at")), "kinds")
-    copies = mixed.join(kinds.where("c > 1").select("h", "sig"), ["h", "sig"], "left_semi").select("key", "loc")
-    hot = materialize(kinds.groupBy("h").count().where(F.col("count") > GROUP_PIECES).select("h", F.lit(True).alias("hot")), "hot")
-    any_hot = not hot.isEmpty()
-    wanted = kinds.select("h", F.least("c", F.lit(2)).alias("c"), "at.key", "at.loc")
-    wanted = wanted.join(hot, "h", "left").withColumn("hot", F.coalesce("hot", F.lit(False))) if any_hot else wanted.withColumn("hot", F.lit(False))
-    carriers = texts.groupBy("key").agg(F.min("doc").alias("carrier"))
-    lists = wanted.groupBy("key").agg(F.collect_list(F.struct("h", "loc", "c", "hot")).alias("need")).join(carriers, "key")
-    bodies = texts.join(lists.hint("shuffle_hash"), "key").select("doc", "carrier", "key", "text", "need").mapInArrow(_extract(window), "h long, key long, loc long, c long, body binary, wh long")
+    kinds = materialize(mixed.groupBy("h", "sig").agg(F.count("*").alias("c"), F.min(F.struct(*KEY, "loc")).alias("at")), "kinds")
+    many = materialize(kinds.where("c > 1").select("h", "sig"), "many")
+    copies = mixed.join(bounded_broadcast(many), ["h", "sig"], "left_semi").select(*KEY, "loc")
+    hot = materialize(kinds.groupBy("h").count().where(F.col("count") > GROUP_PIECES).select("h", F.lit(True).alias("hot")), "hot", F.count(F.lit(1)).alias("n"))
+    any_hot = bool(hot.measured["n"])
+    wanted = kinds.select("h", F.least("c", F.lit(2)).alias("c"), "at.*")
+    wanted = wanted.join(bounded_broadcast(hot), "h", "left").withColumn("hot", F.coalesce("hot", F.lit(False))) if any_hot else wanted.withColumn("hot", F.lit(False))
+    # one row, of the least id, speaks for equal texts; its id is part of the join's key, so that other copies are spread
+    carriers = texts.groupBy(*KEY).agg(F.min("doc").alias("carrier"))
+    lists = materialize(wanted.groupBy(*KEY).agg(F.collect_list(F.struct("h", "loc", "c", "hot")).alias("need")).join(carriers, KEY), "lists")
+    on = [F.col(f"t.{k}") == F.col(f"l.{k}") for k in KEY] + [F.col("t.doc").eqNullSafe(F.col("l.carrier"))]
+    joined = texts.alias("t").join(lists.alias("l").hint("shuffle_hash"), on).select(*[f"t.{k}" for k in KEY], "t.text", "l.need")
+    bodies = joined.mapInArrow(_extract(window), f"h long, {_PIECE}, c long, body binary, wh long")
+    tables = [shared, kinds, many, hot, lists]
     if any_hot:
         bodies = materialize(bodies, "bodies")
-    deep = bodies.where("body is not null").repartition("h").sortWithinPartitions("h").select("h", "key", "loc", "c", "body").mapInArrow(_trees(window), "key long, loc long")
+        tables.append(bodies)
+    deep = bodies.where("body is not null").repartition("h").sortWithinPartitions("h").select("h", *KEY, "loc", "c", "body").mapInArrow(_trees(window), _PIECE)
     out = equal.union(copies).union(deep)
     if any_hot:
-        longest = bodies.where("body is null").select("h", "wh", "key", "loc", "c").distinct()
-        many = longest.groupBy("h", "wh").agg(F.sum("c").alias("n")).where("n > 1").select("h", "wh")
-        out = out.union(longest.where("c = 1").join(many, ["h", "wh"], "left_semi").select("key", "loc"))
-    return out
+        longest = bodies.where("body is null").select("h", "wh", *KEY, "loc", "c").distinct()
+        again = materialize(longest.groupBy("h", "wh").agg(F.sum("c").alias("n")).where("n > 1").select("h", "wh"), "again")
+        tables.append(again)
+        out = out.union(longest.where("c = 1").join(bounded_broadcast(again), ["h", "wh"], "left_semi").select(*KEY, "loc"))
+    hits = materialize(out.distinct().groupBy(*KEY).agg(F.collect_list("loc").alias("hits")), "hits")
+    release(*tables)
+    return hits
 
 
 def _cut(window: int):
@@ -312,14 +322,26 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
 
     A word goes if a window of `window` words over it occurs anywhere else, in any row or at another place of its own.
     Null texts count as empty; texts under `window` words lose nothing; repeated rows count as copies of each other; null
-    and repeated ids are allowed; other columns are left out. Raises nothing on an empty table.
+    and repeated ids are allowed; texts of any length are read whole; other columns, whatever their names, are left out. An
+    empty table gives an empty result.
     """
     if not GRAM <= window <= 128:
         raise ValueError(f"window must be {GRAM} to 128 words")
     kind = docs.schema[id_col].dataType.simpleString()
     body = text_or_empty(text_col)
-    texts = docs.select(F.col(id_col).alias("doc"), body.alias("text"), text_key(body).alias("key"))
-    hits = repeated_windows(texts, window).distinct().groupBy("key").agg(F.collect_list("loc").alias("hits"))
-    joined = texts.join(hits.hint("shuffle_hash"), "key", "left").select("doc", "text", "hits")
+    texts = docs.select(F.col(id_col).alias("doc"), body.alias("text"), text_key(body).alias("key"), (F.crc32(body) - F.lit(1 << 31)).cast("int").alias("crc"))
+    joined = texts.join(repeated_windows(texts, window).hint("shuffle_hash"), KEY, "left").select("doc", "text", "hits")
     out = joined.mapInArrow(_cut(window), f"doc {kind}, n_words long, n_removed long, removed_spans array<struct<start: long, end: long>>, kept_text string")
     return out.withColumnRenamed("doc", id_col)
+
+
+ORACLE = r"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT row, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS k FROM d),
+n AS (SELECT row, list(id ORDER BY k) AS w FROM (SELECT row, k, dense_rank() OVER (ORDER BY word) AS id FROM p) GROUP BY row),
+g AS (SELECT row, i, w[i:i + 34] AS g FROM (SELECT row, w, unnest(range(1, len(w) - 33)) AS i FROM n WHERE len(w) >= 35)),
+m AS (SELECT g FROM g GROUP BY g HAVING count(*) > 1),
+x AS (SELECT DISTINCT row, unnest(range(i, i + 35)) AS k FROM g JOIN m USING (g)),
+k AS (SELECT row, count(x.k) AS gone, string_agg(word, ' ' ORDER BY p.k) FILTER (x.k IS NULL) AS kept FROM p LEFT JOIN x USING (row, k) GROUP BY row)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (row)
+"""
