@@ -32,7 +32,10 @@ def documents(seed=1):
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns whose names operators use inside.
-CLASHING = ("key", "h", "size", "hash", "words", "_row", "score", "rank", "source_size", "doc", "bands", "bucket")
+CLASHING = (
+    "key", "h", "size", "hash", "words", "_row", "score", "rank", "source_size", "doc", "bands", "bucket", "slot", "shard", "law", "place", "_number", "_id", "_doc", "_key", "_own", "_body", "_o0", "_k1", "n_hit", "spans", "crc", "hits",
+    "copies", "_copies", "draw", "weight", "target", "class_key", "text_md5", "a.b", "x`y", "id", "path", "own", "share", "predicted", "held_out",
+)
 
 
 def table(spark, seed=1, extra=False):

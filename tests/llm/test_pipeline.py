@@ -47,3 +47,16 @@ def test_run_repeats(spark, folder):
         return Counter((r.doc_id, hashlib.md5((r.text or "").encode()).hexdigest(), r.shard, r.slot) for r in P.run(spark, folder).collect())
 
     assert digest() == digest()
+
+
+def test_stages_on_empty_tables_and_odd_names(spark, folder):
+    for name, stage in P.STAGES:
+        none = stage(spark, fx.empty(spark), folder)
+        assert none.count() == 0 and set(fx.empty(spark).columns) <= set(none.columns), name
+        odd = fx.table(spark, extra=True)
+        out = stage(spark, odd, folder)
+        want = [*[c for c in odd.columns if c not in ("shard", "slot")], "shard", "slot"] if name == "sharding" else odd.columns
+        assert out.columns == want, name
+        assert {r["a.b"] for r in out.select("`a.b`").collect()} <= {"x"}
+        if name in ("sharding", "decontamination"):
+            assert Counter(r.doc_id for r in out.collect()) == Counter(r.doc_id for r in stage(spark, fx.table(spark), folder).collect())

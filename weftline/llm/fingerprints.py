@@ -184,8 +184,9 @@ def _edge(kind: int, part: int, id_: pa.Array, text: str) -> pa.RecordBatch:
 def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next: each text against its edit with, and the text of, the next row in id order (after the last: the first).
 
-    Null texts are empty; null ids come last; rows equal in id follow by the hash of their text; a single row is its own
-    next; an empty table gives an empty result; other columns are left out.
+    Null texts are empty; texts of any length are read whole; null ids come last; rows equal in id follow by the hash of
+    their text; a single row is its own next; an empty table gives an empty result; other columns, whatever their names, are
+    left out.
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()

@@ -32,7 +32,7 @@ from .graph import components
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 18, 5
 #: Rows and bytes of shingles of a block, on average; two blocks are compared at a time.
-BLOCK_ROWS, BLOCK_BYTES = 512, 8 << 20
+BLOCK_ROWS, BLOCK_BYTES = 256, 8 << 20
 #: In the first round, pairs whose samples agree by less than the least weighted similarity of a link less this aren't verified: four standard errors of 90 samples.
 MARGIN = 0.2
 #: Shingles that less than one text in so many holds weigh most.

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination
+from . import decontamination, mixing, sharding, substring_dedup, url_filter
 from .fingerprints import compare_with_next
 from .license_scan import scan_licenses
 from .mixing import mix
@@ -43,7 +43,11 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents of a source as a tree: source / language / id."""
+    """The documents of a source as a tree: source / language / id, all in the directory of their source and language.
+
+    So a document that is mostly licence wording speaks for its source's other documents of that language that have no
+    licence of their own.
+    """
     docs = table(spark, sf_dir, "documents").withColumn("path", F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.coalesce("lang", F.lit("unknown")), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     return scan_licenses(docs, "path")
 
@@ -83,4 +87,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": decontamination.ORACLE}
+    return {"op1_substring_dedup": substring_dedup.ORACLE, "op2_sharding": sharding.ORACLE, "op4_decontamination": decontamination.ORACLE, "op7_url_filter": url_filter.ORACLE, "op10_mixing": mixing.ORACLE}
