@@ -156,15 +156,17 @@ def lookup_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexicon.search(_part_index(spark, sf_dir), "red", top_k=20).select(F.col("_ord").alias("entry"), "match_type")
 
 
-LEXICON_ROWS = [("eng_Latn", "zho_Hans", "dictionary", "词典", 0.9), ("eng_Latn", "zho_Hans", "year", "年份", 0.8), ("eng_Latn", "zho_Hans", "language", "语言", 0.7), ("zho_Hans", "eng_Latn", "字典", "dictionary", 0.95), ("zho_Hans", "eng_Latn", "语言", "language", 0.88), ("zho_Hans", "eng_Latn", "後", "after", 0.5)]
-
-
-@query("SELECT 0 AS total_matches, 'other_sources' AS fallback_scope, 'after' AS first_target, true AS fallback_used")
+@query("""
+WITH e AS (SELECT CASE WHEN p_size % 2 = 0 THEN 'a' ELSE 'b' END AS src_lang, p_name || CASE WHEN p_size % 2 = 0 THEN ' even' ELSE ' odd' END AS source_text, p_type, p_retailprice, p_partkey FROM part)
+SELECT CAST(0 AS BIGINT) AS total_matches, 'other_sources' AS scope, CAST(row_number() OVER (ORDER BY p_retailprice DESC, src_lang, source_text, p_partkey) AS INTEGER) AS rank, source_text, p_type AS target_text FROM e WHERE contains(lower(source_text), 'odd') QUALIFY rank <= 5
+""")
 def lookup_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(*r, i) for i, r in enumerate(LEXICON_ROWS)], "src_lang string, tgt_lang string, source_text string, target_text string, confidence double, _ord int")
-    index = lexicon.loaded(rows.withColumn("target_candidates", F.array("target_text")))
-    found = lexicon.lookup_with_fallback(index, "eng_Latn", "zho_Hans", "后", 5, 0, 3)
-    return spark.createDataFrame([(found["total_matches"], found["fallback_scope"], found["fallback_results"][0]["target_text"], found["fallback_used"])], "total_matches int, fallback_scope string, first_target string, fallback_used boolean")
+    """A term that its direction doesn't hold: suggestions from other sources."""
+    even = F.col("p_size") % 2 == 0
+    rows = table(spark, sf_dir, "part").select(F.when(even, "a").otherwise("b").alias("src_lang"), F.lit("y").alias("tgt_lang"), F.concat("p_name", F.when(even, " even").otherwise(" odd")).alias("source_text"), F.col("p_type").alias("target_text"), F.array("p_type").alias("target_candidates"), F.col("p_retailprice").alias("confidence"), F.col("p_partkey").alias("_ord"))
+    found = lexicon.lookup_with_fallback(lexicon.loaded(rows), "a", "y", "Odd", 5, 0, 5)
+    made = [(found["total_matches"], found["fallback_scope"], i, r["source_text"], r["target_text"]) for i, r in enumerate(found["fallback_results"], 1)]
+    return spark.createDataFrame(made, "total_matches long, scope string, rank int, source_text string, target_text string")
 
 
 @query("SELECT lang AS src_lang, source AS tgt_lang, count(*) AS size FROM documents GROUP BY ALL")
