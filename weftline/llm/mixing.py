@@ -6,8 +6,8 @@ source's target over its size, times its preference. The whole part is certain;
 and documents of a source rank by random odds over inclusion odds, u / (1 - u) : p / (1 - p), ascending. The first ranks
 that fill the source's remaining words are taken, and one further document that closes the gap best.
 
-No source is ever sorted as a whole: ranks fall into 4096 bins, sums by bin name the bin where the words run out, that bin
-is divided again into 4096, and only the rows of the last bin are put in order.
+No source is ever sorted as a whole: ranks fall into BINS bins, sums by bin name the bin where the words run out, that bin
+is divided again, LEVELS times in all, and only the rows of the last bin are put in order.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from .common import bounded_broadcast, materialize, packed, release, text_or_emp
 from .sharding import number_rows
 
 SPACES = "".join(map(chr, (0x20, *range(0x09, 0x0E))))
-BINS = 4096
+BINS, LEVELS = 256, 3
 #: Columns that mix adds.
 ADDED = ("_size", "_source_size", "_target", "_copies")
 #: Bits of a document's draw: the first of an MD5 of seed, id and text, which SQL engines agree on.
@@ -84,18 +84,22 @@ def cuts(base: DataFrame, weights: Sequence[float], factor: float, cap: float) -
     # a source's key from here on is a struct, so that null compares as a value
     key = F.struct(F.col("source").isNull().alias("n"), F.coalesce("source", F.lit("")).alias("s"))
     rows = materialize(_ranked(base, side, cap).select(key.alias("_source"), "size", "draw", "whole", "rank", "target"), "mix-ranked")
-    need = rows.groupBy("_source").agg((F.first("target") - F.sum(F.col("size") * F.col("whole"))).alias("need"))
-    need = bounded_broadcast(materialize(need, "mix-need"))
-    chance = rows.where("rank is not null").withColumn("b1", F.floor(F.col("rank") * BINS).cast("int"))
-    sums1 = chance.groupBy("_source", "b1").agg(F.sum("size").alias("words")).join(need, "_source")
-    cut1 = materialize(_crossing(sums1, "b1", "need"), "mix-cut1")
-    in1 = chance.join(bounded_broadcast(cut1), ["_source", "b1"]).withColumn("b2", F.floor((F.col("rank") * BINS - F.col("b1")) * BINS).cast("int"))
-    cut2 = _crossing(in1.groupBy("_source", "b1", "b2", "left").agg(F.sum("size").alias("words")), "b2", "left").withColumnRenamed("left", "left2")
-    in2 = in1.join(bounded_broadcast(materialize(cut2, "mix-cut2")), ["_source", "b2"])
-    last = in2.withColumn("at", F.struct("rank", "draw"))
-    last = last.withColumn("_sum", F.sum("size").over(Window.partitionBy("_source").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)))
-    end = (F.first("b1") * BINS + F.first("b2") + 1) / float(BINS * BINS)
-    over = last.groupBy("_source").agg(F.coalesce(F.min(F.when(F.col("_sum") > F.col("left2"), F.col("rank"))), end).alias("cut"))
+    need = materialize(rows.groupBy("_source").agg((F.first("target") - F.sum(F.col("size") * F.col("whole"))).alias("need")), "mix-need")
+    need = bounded_broadcast(need)
+    chance = rows.where("rank is not null")
+    # the bin in which the words run out, that bin's bins, and so on: each level reads what the one before left
+    rest, left = chance.withColumns({"_at": F.col("rank"), "_from": F.lit(0.0)}), need
+    for level in range(1, LEVELS + 1):
+        rest = rest.withColumn("_bin", F.floor(F.col("_at") * BINS).cast("int"))
+        sums = rest.groupBy("_source", "_bin").agg(F.sum("size").alias("words")).join(left, "_source")
+        cut = bounded_broadcast(materialize(_crossing(sums, "_bin", "need"), f"mix-cut{level}"))
+        rest = rest.join(cut.select("_source", "_bin"), ["_source", "_bin"])
+        rest = rest.withColumns({"_at": F.col("_at") * BINS - F.col("_bin"), "_from": F.col("_from") + F.col("_bin") / F.lit(float(BINS**level))}).drop("_bin")
+        left = cut.select("_source", F.col("left").alias("need"))
+    # of the last bin, rows that are drawn together as one
+    last = rest.groupBy("_source", "rank", "draw", "_from").agg(F.sum("size").alias("words")).join(left, "_source")
+    last = last.withColumn("_sum", F.sum("words").over(Window.partitionBy("_source").orderBy("rank", "draw").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    over = last.groupBy("_source").agg(F.coalesce(F.min(F.when(F.col("_sum") > F.col("need"), F.col("rank"))), F.first("_from") + 1 / float(BINS**LEVELS)).alias("cut"))
     limit = need.join(over, "_source", "left").select("_source", "need", F.when(F.col("need") <= 0, F.lit(0.0)).otherwise(F.coalesce("cut", F.lit(2.0))).alias("cut"))
     limit = materialize(limit, "mix-limit")
     near = chance.join(bounded_broadcast(limit), "_source")
