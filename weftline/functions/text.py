@@ -206,11 +206,14 @@ def clean_definition(c: Column) -> Column:
 def pack_sentences(c: Column, max_chars: int, separators: str = r"(?:\\n+|[.!?！？。；;])") -> Column:
     """Pieces of at most max_chars: a text that fits comes back whole, else its sentences packed greedily, joined by a space; a longer piece is cut off.
 
-    separators keeps the literal backslash-n of the corpus format; the packing is one fold over the sentence array.
+    separators keeps the literal backslash-n of the corpus format; the packing is one fold over the sentence array. The clean
+    text is bound once, as a lambda's argument; its pieces hold no white space but single spaces.
     """
-    text = normalize_space(c)
-    cut = F.transform(F.split(text, separators), lambda p: strip(F.substring(normalize_space(p), 1, max_chars)))
-    parts = F.filter(cut, lambda p: p != "")
+    return F.transform(F.array(normalize_space(c)), lambda text: _packed(text, max_chars, separators))[0]
+
+
+def _packed(text: Column, max_chars: int, separators: str) -> Column:
+    parts = F.filter(F.transform(F.split(text, separators), lambda p: F.trim(F.substring(F.trim(p), 1, max_chars))), lambda p: p != "")
     start = F.struct(F.lit("").alias("buf"), F.expr("cast(array() as array<string>)").alias("out"))
 
     def step(acc: Column, part: Column) -> Column:

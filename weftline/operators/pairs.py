@@ -147,12 +147,15 @@ def first_rows(df: DataFrame, n: int, keys: Sequence[str] = (), order: str = "_o
     return df.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
 
 
-def keep_first(df: DataFrame, key: Column, order: str = "_ord") -> DataFrame:
+def keep_first(df: DataFrame, key: Column, order: str = "_ord", narrow: bool = False) -> DataFrame:
     """The first row of each key; order tells the rows of a key apart. A null key is one key.
 
     Firsts are found on keys and orders alone, pre-aggregated, and only for keys that come more than once; rows are then kept or
-    dropped where they are if the list of such keys is small, so that wide rows don't move.
+    dropped where they are if the list of such keys is small, so that wide rows don't move. Narrow rows are aggregated in one pass.
     """
+    if narrow:
+        row = F.struct(*[F.col(quoted(c)) for c in df.columns])
+        return df.groupBy(key.alias("_key")).agg(F.min_by(row, order).alias("_row")).select("_row.*")
     slim = df.select(key.alias("_key"), F.col(order).alias("_at"))
     several = written(slim.groupBy("_key").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n"), "repeated-keys")
     marked = df.select("*", key.alias("_own")).join(bounded_broadcast(several), F.col("_own").eqNullSafe(F.col("_key")), "left")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import nonblank, normalize_space, pack_sentences, speaks
-from ..storage import bounded_broadcast, written
+from ..storage import BROADCAST_ROWS, bounded_broadcast, written
 
 #: Bins of a key's draws: the first three digits of their hashes.
 BIN_DIGITS = 3
@@ -172,28 +172,42 @@ def greedy_sources(found: DataFrame) -> DataFrame:
     """At most one candidate a document, no hash twice in a language, as a pass in order would choose.
 
     Each document proposes its first candidate; a hash keeps the earliest proposer, even against one that held it; those
-    turned away propose their next. The fixed point equals the ordered pass. The candidates are written once; a round moves
-    and writes only the proposals of those that were turned away in the round before, and looks up no other hashes, so a
-    round's failure repeats that round alone. A hash's holder is the earliest of all that ever proposed it.
+    turned away propose their next candidate that no earlier document holds (a hash's holder only ever gets earlier, so
+    others are hopeless). The fixed point equals the ordered pass. The candidates are written once; a round moves and writes
+    only what those turned away in the round before propose, so a round's failure repeats that round alone. A hash's holder is
+    the earliest of all that ever proposed it.
     """
     pieces = written(found.withColumn("k", F.row_number().over(Window.partitionBy("lang", "_ord").orderBy("pos")) - 1), "pieces")
     slots = pieces.select("lang", "_ord", "k", "pos", "hash")
-    key, one = ["lang", "hash"], F.count(F.lit(1)).alias("n")
-    fresh = written(slots.where("k = 0"), "proposals", one)
-    every = fresh
-    while fresh.measured["n"]:
-        asked = bounded_broadcast(fresh.select(*key).distinct())
-        rivals = every.join(asked, key, "left_semi")
-        holders = rivals.groupBy(*key).agg(F.min("_ord").alias("first"))
+    doc, key, count = ["lang", "_ord"], ["lang", "hash"], F.count(F.lit(1)).alias("n")
+
+    def small(df: DataFrame, rows: int) -> DataFrame:
+        return F.broadcast(df) if rows <= BROADCAST_ROWS else df  # a language, an order and a hash a row
+
+    base = written(slots.where("k = 0").withColumn("turn", F.lit(0)), "proposals", count)
+    # later proposals, of all turns so far: only these are written again
+    late, turn, n = base.limit(0), 0, base.measured["n"]
+    while n:
+        before = base if not turn else base.unionByName(late.where(F.col("turn") < turn))
+        fresh = base if not turn else late.where(F.col("turn") == turn)
+        meeting = fresh.select(*doc, "k", "hash")
+        if turn:
+            old = before.join(small(fresh.select(*key).distinct(), n), key, "left_semi").groupBy(*key).agg(F.min_by(F.struct("_ord", "k"), "_ord").alias("h"))
+            meeting = meeting.unionByName(old.select("lang", "h._ord", "h.k", "hash"))
         # of those that meet on a hash asked for now, all but the first go on: new ones that came late, and the holder until now
-        until = (every if every is fresh else rivals.join(fresh.select("lang", "_ord", "k"), ["lang", "_ord", "k"], "left_anti")).groupBy(*key).agg(F.min("_ord").alias("old"))
-        meeting = fresh.select("lang", "_ord", "k", "hash") if every is fresh else fresh.select("lang", "_ord", "k", "hash").unionByName(rivals.join(until, key).where(F.col("_ord") == F.col("old")).select("lang", "_ord", "k", "hash"))
-        away = meeting.join(holders, key).where(F.col("_ord") != F.col("first")).select("lang", "_ord", (F.col("k") + 1).alias("k")).distinct()
-        away = written(away, "away")
-        fresh = written(slots.join(bounded_broadcast(away), ["lang", "_ord", "k"]), "proposals", one)
-        every = every.unionByName(fresh)
-    held = every.groupBy(*key).agg(F.min_by(F.struct("_ord", "k"), "_ord").alias("w")).select("lang", "w.*")
-    return pieces.join(held, ["lang", "_ord", "k"]).select("lang", "_ord", "pos", "hash", "text")
+        first = meeting.groupBy(*key).agg(F.min("_ord").alias("first"))
+        away = written(meeting.join(first, key).where(F.col("_ord") != F.col("first")).select(*doc, F.col("k").alias("last")), "away", count)
+        if not away.measured["n"]:
+            break
+        options = slots.join(small(away, away.measured["n"]), doc).where("k > last").drop("last")
+        held = base.unionByName(late).join(options.select(*key).distinct(), key, "left_semi").groupBy(*key).agg(F.min("_ord").alias("holder"))
+        hopeful = options.join(held, key, "left").where(F.col("holder").isNull() | (F.col("_ord") < F.col("holder")))
+        following = hopeful.groupBy(*doc).agg(F.min(F.struct("k", "pos", "hash")).alias("s")).select(*doc, "s.*", F.lit(turn + 1).alias("turn"))
+        late = written(late.unionByName(following), "late-proposals", F.count_if(F.col("turn") == turn + 1).alias("n"))
+        turn, n = turn + 1, late.measured["n"]
+    before = base.unionByName(late)
+    winners = before.groupBy(*key).agg(F.min_by(F.struct("_ord", "k"), "_ord").alias("w")).select("lang", "w.*")
+    return pieces.join(winners, [*doc, "k"]).select("lang", "_ord", "pos", "hash", "text")
 
 
 def fill_quota(sources: DataFrame, done: DataFrame, n: int, keys: Sequence[str] = ("lang",)) -> DataFrame:

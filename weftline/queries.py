@@ -25,16 +25,18 @@ SELECT lang, count(*) AS n, sum(length('Instruction: Continue.' || chr(10) || 'I
 """)
 def text_clean_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clean, filter, dedup, first rows per language, text blocks, counts: the smallest whole program."""
-    clean = documents(spark, sf_dir).withColumn("text", text.normalize_space(F.col("text")))
-    good = clean.where((F.length("text") >= 20) & (text.script_ratio(F.col("text"), "latin") >= 0.55)).select("doc_id", "lang", "text", "_ord")
-    first = pairs.first_rows(pairs.keep_first(good, F.sha1("text")), 100, ["lang"])
-    return first.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length(pairs.block(F.lit("Continue."), F.col("text"), F.col("lang")))).cast("decimal(38,0)").cast("long").alias("block_chars"))
+    # a generator binds the clean text once: filters on it aren't pushed below, where each would clean it again
+    clean = documents(spark, sf_dir).select("doc_id", "lang", "_ord", F.inline(F.array(F.struct(text.normalize_space(F.col("text")).alias("text")))))
+    good = clean.where((F.length("text") >= 20) & (text.script_ratio(F.col("text"), "latin") >= 0.55))
+    slim = good.select("doc_id", "lang", "_ord", F.sha1("text").alias("hash"), F.length(pairs.block(F.lit("Continue."), F.col("text"), F.col("lang"))).alias("chars"))
+    first = pairs.first_rows(pairs.keep_first(slim, F.col("hash"), narrow=True), 100, ["lang"])
+    return first.groupBy("lang").agg(F.count("*").alias("n"), F.sum("chars").cast("long").alias("block_chars"))
 
 
 @query("SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS r FROM documents) WHERE r = 1")
 def exact_dedup_keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     slim = documents(spark, sf_dir).select("doc_id", "_ord", F.sha1("text").alias("hash"))
-    return pairs.keep_first(slim, F.col("hash")).select("doc_id")
+    return pairs.keep_first(slim, F.col("hash"), narrow=True).select("doc_id")
 
 
 @query("SELECT coalesce(nullif(trim(lang), ''), '(missing)') AS language, count(*) AS n FROM documents GROUP BY 1")
