@@ -4,6 +4,7 @@ from collections import Counter
 import fixtures_llm as fx
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from weftline.llm import near_dedup as N
@@ -110,7 +111,10 @@ def drifting(n=150, width=60, step=5):
     return list(enumerate(dict.fromkeys(rows)))
 
 
-def test_all_pairs_of_a_bucket_are_compared(spark):
+@pytest.mark.parametrize("block", [256, 16])
+def test_all_pairs_of_a_bucket_are_compared(spark, monkeypatch, block):
+    """In one block, and in many that meet two by two."""
+    monkeypatch.setattr(N, "BLOCK_ROWS", block)
     rows = drifting()
     df = spark.createDataFrame(rows, "doc_id long, text string")
     sketch = N.document_frequencies(df)

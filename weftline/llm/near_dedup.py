@@ -358,13 +358,13 @@ def _more_links(members: DataFrame, bodies: DataFrame, sketch: np.ndarray, least
     blocks = pools.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("bucket", "alone", "of", name(F.col("k")))
     blocks = materialize(blocks, "blocks")
     others = blocks.select("bucket", F.col("alone").alias("alone_"), F.col("of").alias("of_"), F.col("block").alias("other"))
-    two = blocks.join(others, "bucket").where("block <= other and not (alone and alone_ and of = of_)").select("block", "other")
+    two = blocks.join(others, "bucket").where("block <= other and not (alone and alone_ and of = of_)").select("block", "other", F.monotonically_increasing_id().alias("unit"))
     ends = F.when(F.col("block") == F.col("other"), F.array(F.struct(F.lit(0).alias("side"), "block"))).otherwise(F.array(F.struct(F.lit(0).alias("side"), "block"), F.struct(F.lit(1).alias("side"), F.col("other").alias("block"))))
-    places = materialize(two.select(F.xxhash64("block", "other").alias("unit"), F.inline(ends)), "units")
+    places = materialize(two.select("unit", F.inline(ends)), "units")
     placed = materialize(dealt.join(places, "block").select("unit", "side", "key", "c"), "placed")
-    # a fixed number of partitions: the work grows with the square of a block's rows, not with the bytes by which AQE merges
+    # a fixed number of partitions, the units dealt round: the work grows with the square of a block's rows, not with the bytes by which AQE merges
     n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    units = placed.join(bodies, "key").select("unit", "side", "key", "c", "body").repartition(n, "unit").sortWithinPartitions("unit")
+    units = placed.join(bodies, "key").select("unit", "side", "key", "c", "body").repartitionById(n, F.pmod("unit", F.lit(n)).cast("int")).sortWithinPartitions("unit")
     out = materialize(units.mapInArrow(_finish(sketch, least), "a long, b long"), "more-links", F.count(F.lit(1)).alias("n"))
     release(classes, pools, blocks, places, placed)
     return out
