@@ -11,6 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from weftline import storage
 from weftline.functions import names, text
 from weftline.operators import incremental, lexicon, metrics, pairs, remote, sampling
 from weftline.plans import driver, programs
@@ -422,3 +423,11 @@ def test_drawings_and_nested_configurations():
 
     xml.dom.minidom.parseString(svg)
     assert writers.render_config({"a": {"b": [1, "x"], "c": {"d": True}}}) == 'a:\n  b: [1, "x"]\n  c:\n    d: true\n'
+
+
+def test_only_one_small_file_is_spread(spark, tmp_path):
+    spark.range(1000).coalesce(1).write.parquet(str(tmp_path / "one"))
+    spark.range(1000).repartition(3).write.parquet(str(tmp_path / "three"))
+    one, three = (storage.spread(spark.read.parquet(str(tmp_path / n))) for n in ("one", "three"))
+    assert one.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and one.count() == three.count() == 1000
+    assert "REPARTITION_BY_NUM" in one._jdf.queryExecution().toString() and "REPARTITION" not in three._jdf.queryExecution().toString()

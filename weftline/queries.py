@@ -26,7 +26,7 @@ SELECT lang, count(*) AS n, sum(length('Instruction: Continue.' || chr(10) || 'I
 def text_clean_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clean, filter, dedup, first rows per language, text blocks, counts: the smallest whole program."""
     # a generator binds the clean text once: filters on it aren't pushed below, where each would clean it again
-    clean = documents(spark, sf_dir).select("doc_id", "lang", "_ord", F.inline(F.array(F.struct(text.normalize_space(F.col("text")).alias("text")))))
+    clean = documents(spark, sf_dir, heavy=True).select("doc_id", "lang", "_ord", F.inline(F.array(F.struct(text.normalize_space(F.col("text")).alias("text")))))
     good = clean.where((F.length("text") >= 20) & (text.script_ratio(F.col("text"), "latin") >= 0.55))
     slim = good.select("doc_id", "lang", "_ord", F.sha1("text").alias("hash"), F.length(pairs.block(F.lit("Continue."), F.col("text"), F.col("lang"))).alias("chars"))
     first = pairs.first_rows(pairs.keep_first(slim, F.col("hash"), narrow=True), 100, ["lang"])

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .storage import spread
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -28,8 +30,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").withColumn("_ord", F.col("doc_id"))
+def documents(spark: SparkSession, sf_dir: str, heavy: bool = False) -> DataFrame:
+    """The documents in order of their ids; for heavy work on the texts of a small table over all cores."""
+    rows = table(spark, sf_dir, "documents")
+    return (spread(rows) if heavy else rows).withColumn("_ord", F.col("doc_id"))
 
 
 WS = r"regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '\s+', ' ', 'g')"

@@ -92,3 +92,14 @@ def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADC
 def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
     """df with a broadcast hint if it fits_broadcast; unchanged otherwise."""
     return F.broadcast(df) if fits_broadcast(df, rows, size) else df
+
+
+#: Bytes up to which a file is taken to be one row group.
+ONE_ROW_GROUP = 64 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table of one small file, dealt over all cores: its one row group is read by one task, however it is split, and work on its texts is worth the exchange. Others as they are."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    alone = size <= ONE_ROW_GROUP and len(df.inputFiles()) == 1
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if alone else df

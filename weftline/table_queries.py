@@ -332,7 +332,7 @@ k AS (SELECT doc_id, lang, CASE WHEN t = '' THEN []::VARCHAR[] WHEN length(t) <=
 
 @query(f"WITH {packed_sql(300, 'documents')} SELECT doc_id, CAST(unnest(range(len(pieces))) AS INTEGER) AS pos, md5(unnest(pieces)) AS piece FROM k")
 def pack_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir).select("doc_id", F.posexplode(text.pack_sentences(C("text"), 300)).alias("pos", "piece")).withColumn("piece", F.md5("piece"))
+    return documents(spark, sf_dir, heavy=True).select("doc_id", F.posexplode(text.pack_sentences(C("text"), 300)).alias("pos", "piece")).withColumn("piece", F.md5("piece"))
 
 
 def greedy_sql(most: int, source: str) -> str:
@@ -348,7 +348,7 @@ g AS (SELECT doc_id, lang, won.pos AS pos, won.piece AS piece FROM w WHERE won I
 
 @query(f"WITH RECURSIVE {greedy_sql(300, 'documents')} SELECT lang, doc_id, CAST(pos AS INTEGER) AS pos, md5(piece) AS piece FROM g")
 def greedy_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = sampling.candidates(documents(spark, sf_dir), C("lang"), 20, 300)
+    found = sampling.candidates(documents(spark, sf_dir, heavy=True), C("lang"), 20, 300)
     return sampling.greedy_sources(found).select("lang", C("_ord").alias("doc_id"), "pos", F.md5("text").alias("piece"))
 
 
@@ -361,7 +361,7 @@ def synthetic_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         own = prompt.split("\n\n", 1)[1]
         return "กขค" * 20 if hashlib.sha1(own.encode()).hexdigest().endswith("7") else own
 
-    docs = documents(spark, sf_dir).where("lang = 'en'")
+    docs = documents(spark, sf_dir, heavy=True).where("lang = 'en'")
     return programs.synthetic_pairs(docs, "eng_Latn", "spa_Latn", answer, 100, max_chars=300).select("instruction", "input", "output", C("meta.source_hash").alias("source_hash"))
 
 
