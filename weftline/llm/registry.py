@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import spread
 from . import decontamination, mixing, sharding, substring_dedup, url_filter
 from .fingerprints import compare_with_next
 from .license_scan import scan_licenses
@@ -20,7 +21,9 @@ from .url_filter import judge_urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A whole table; documents of one small file over all cores."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name == "documents" else rows
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from .common import bounded_broadcast, chunks, gram_hashes, materialize, release
 
 GRAM = 8
 #: Distinct pieces under one prefix that a task may gather; more take the longest prefix. A resource bound: results don't depend on it.
-GROUP_PIECES = 2_000
+GROUP_PIECES = 800
 #: Suffixes for which a task builds one tree, of many groups.
 TREE_SUFFIXES = 150_000
 _POS_BITS = np.uint64(28)
