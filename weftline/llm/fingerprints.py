@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, materialize, mix64, strings, text_key, text_or_empty
+from .common import bounded_batches, chunks, materialize, mix64, strings, text_key, text_or_empty
 
 LEVEL, SLOTS = 3, 128
 _MULT = np.uint64(0x5851F42D4C957F2D)
@@ -189,6 +189,7 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     left out.
     """
     spark = docs.sparkSession
+    bounded_batches(docs)
     kind = docs.schema[id_col].dataType.simpleString()
     body = text_or_empty(text_col)
     rows = docs.select(F.col(id_col).alias("id"), body.alias("text"), text_key(body).alias("key"))

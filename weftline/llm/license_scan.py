@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, materialize, text_or_empty
+from .common import bounded_batches, bounded_broadcast, materialize, text_or_empty
 
 #: How headers name a licence.
 NOTICES: Mapping[str, Sequence[str]] = {
@@ -238,6 +238,7 @@ def scan_licenses(files: DataFrame, path_col: str, id_col: str = "doc_id", text_
     rows stay; other columns, whatever their names, are left out; an empty table gives an empty result.
     """
     notices, licences = NOTICES if notices is None else notices, dict(whole_texts() if licences is None else licences)
+    bounded_batches(files)
     kind = files.schema[id_col].dataType.simpleString()
     rows = files.select(F.col(id_col).alias("id"), F.col(path_col).cast("string").alias("path"), text_or_empty(text_col).alias("text"))
     idf, rest = term_weights(rows, notices, licences)

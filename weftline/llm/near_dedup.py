@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, chunks, gram_hashes, materialize, mix64, packed, release, span_hashes, spread, strings, text_key, text_or_empty, unpacked, word_bounds, word_hashes
+from .common import bounded_batches, bounded_broadcast, chunks, gram_hashes, materialize, mix64, packed, release, span_hashes, spread, strings, text_key, text_or_empty, unpacked, word_bounds, word_hashes
 from .graph import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -377,6 +377,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str =
     shingle; texts of any length are compared whole. Repeated rows and ids, and null ids, keep a row each; other columns,
     whatever their names, are left out; an empty table gives an empty result.
     """
+    bounded_batches(docs)
     body = text_or_empty(text_col)
     texts = docs.select(F.col(id_col).alias("doc"), body.alias("text"), text_key(body).alias("key"))
     sketch = document_frequencies(texts)

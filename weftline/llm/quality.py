@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, gram_hashes, strings, text_or_empty, word_bounds, word_hashes
+from .common import bounded_batches, chunks, gram_hashes, strings, text_or_empty, word_bounds, word_hashes
 
 #: Most labelled rows that the fit takes in; the driver holds this many rows of features.
 SAMPLE = 20_000
@@ -247,6 +247,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     Rows with a null label, id or text are not learned from. Of several texts of one id one counts, the least by a hash, and
     equal labels of an id count once, so that the driver holds sample rows at most. With no rows left the model is a constant.
     """
+    bounded_batches(docs)
     key = F.col(id_col).cast("string")
     chosen = labels.where(F.col(label_col).isNotNull() & (F.crc32(key) % 5 != 0)).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("y"))
     chosen = chosen.distinct().orderBy(F.xxhash64("_id"), "_id", "y").limit(sample)
@@ -275,6 +276,7 @@ def score_texts(docs: DataFrame, model: AdditiveModel, threshold: float = 0.3, i
     rows and ids are scored each, equal texts alike; a score equal to the threshold is predicted 1. An empty table gives an
     empty result.
     """
+    bounded_batches(docs)
     held = F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
     out = docs.select(F.col(id_col), held.alias("held_out"), _scorer(model)(text_or_empty(text_col)).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
@@ -285,4 +287,5 @@ def keep_good(docs: DataFrame, model: AdditiveModel, threshold: float = 0.3, tex
 
     A null text is judged as an empty one; repeated rows stay or go together; an empty table stays empty.
     """
+    bounded_batches(docs)
     return docs.where(_scorer(model)(text_or_empty(text_col)) >= threshold)

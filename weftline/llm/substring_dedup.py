@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, chunks, gram_hashes, materialize, release, span_hashes, spread, strings, text_key, text_or_empty, word_bounds, word_hashes
+from .common import bounded_batches, bounded_broadcast, chunks, gram_hashes, materialize, release, span_hashes, spread, strings, text_key, text_or_empty, word_bounds, word_hashes
 
 GRAM = 8
 #: Distinct pieces under one prefix that a task may gather; more take the longest prefix. A resource bound: results don't depend on it.
@@ -327,6 +327,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
     """
     if not GRAM <= window <= 128:
         raise ValueError(f"window must be {GRAM} to 128 words")
+    bounded_batches(docs)
     kind = docs.schema[id_col].dataType.simpleString()
     body = text_or_empty(text_col)
     texts = docs.select(F.col(id_col).alias("doc"), body.alias("text"), text_key(body).alias("key"), (F.crc32(body) - F.lit(1 << 31)).cast("int").alias("crc"))
