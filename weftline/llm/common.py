@@ -144,12 +144,15 @@ def span_hashes(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return mix64((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def ids_like(column: pa.Array, rows: np.ndarray) -> pa.Array:
-    """The column's values at rows."""
-    return column.take(pa.array(rows))
-
-
 def spread(counts: np.ndarray) -> np.ndarray:
     """0..c-1 for each count c, in one array."""
     ends = np.cumsum(counts)
     return np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - counts, counts)
+
+
+#: CRC-32 of short ASCII strings in DuckDB's SQL: the polynomial's table as a one-row table t, and the checksum of an expression.
+CRC_TABLE = f"t AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, x: CASE WHEN a % 2 = 1 THEN xor(a >> 1, {0xEDB88320}) ELSE a >> 1 END) AS c FROM (SELECT CAST(range AS BIGINT) AS i FROM range(256))))"
+
+
+def crc_sql(text: str) -> str:
+    return f"xor(list_reduce(list_prepend({0xFFFFFFFF}, list_transform(regexp_extract_all(CAST({text} AS VARCHAR), '.'), lambda h: CAST(ascii(h) AS BIGINT))), lambda a, x: xor(a >> 8, t[CAST(xor(a, x) & 255 AS INTEGER) + 1])), {0xFFFFFFFF})"

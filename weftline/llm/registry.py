@@ -8,12 +8,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import spread
-from . import decontamination, mixing, sharding, substring_dedup, url_filter
+from . import decontamination, mixing, periodic_runs, retention, sharding, substring_dedup, url_filter
+from .bpe import decode_ids, encode_texts, read_vocabulary
 from .fingerprints import compare_with_next
 from .license_scan import scan_licenses
 from .mixing import mix
 from .near_dedup import near_duplicates
 from .quality import learn, score_texts
+from .retention import late_arrival, retention_matrix
 from .secret_scan import scan_secrets
 from .sharding import assign_shards
 from .substring_dedup import remove_repeats
@@ -85,9 +87,29 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken"))
 
 
+def op11_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retention_matrix(table(spark, sf_dir, "clicks"), table(spark, sf_dir, "clients"), ("2024-02-15 00:00:00", None), late_arrival())
+
+
+def op12_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    """vocabulary: a file of the driver; that of the public tokenizers if none is given."""
+    if vocabulary is None:
+        import public_tokenizers
+
+        vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    tables = read_vocabulary(vocabulary)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = decode_ids(encode_texts(docs, tables).drop("text"), tables)
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.report(periodic_runs.periodic_runs(periodic_runs.planted(table(spark, sf_dir, "documents"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_substring_dedup": op1_substring_dedup, "op2_sharding": op2_sharding, "op3_quality": op3_quality, "op4_decontamination": op4_decontamination, "op5_license_scan": op5_license_scan, "op6_fingerprints": op6_fingerprints, "op7_url_filter": op7_url_filter, "op8_near_dedup": op8_near_dedup, "op9_secret_scan": op9_secret_scan, "op10_mixing": op10_mixing}
+    return {"op1_substring_dedup": op1_substring_dedup, "op2_sharding": op2_sharding, "op3_quality": op3_quality, "op4_decontamination": op4_decontamination, "op5_license_scan": op5_license_scan, "op6_fingerprints": op6_fingerprints, "op7_url_filter": op7_url_filter, "op8_near_dedup": op8_near_dedup, "op9_secret_scan": op9_secret_scan, "op10_mixing": op10_mixing, "op11_retention": op11_retention, "op12_bpe": op12_bpe, "op13_periodic_runs": op13_periodic_runs}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": substring_dedup.ORACLE, "op2_sharding": sharding.ORACLE, "op4_decontamination": decontamination.ORACLE, "op7_url_filter": url_filter.ORACLE, "op10_mixing": mixing.ORACLE}
+    return {"op1_substring_dedup": substring_dedup.ORACLE, "op2_sharding": sharding.ORACLE, "op4_decontamination": decontamination.ORACLE, "op7_url_filter": url_filter.ORACLE, "op10_mixing": mixing.ORACLE, "op11_retention": retention.ORACLE, "op13_periodic_runs": periodic_runs.ORACLE}
