@@ -73,3 +73,26 @@ def test_empty_and_wordless(spark):
     assert M.mix(fx.empty(spark)).count() == 0
     got = M.mix(spark.createDataFrame([(1, None, "en", "s", 0), (2, " ", "en", None, 0)], fx.SCHEMA)).collect()
     assert [(r._size, r._target) for r in got] == [(0, 0.0)] * 2
+
+
+@pytest.mark.parametrize("factor", [0.7, 0.98, 1.5, 1.9])
+def test_a_third_of_all_rows_equal(spark, factor):
+    """One row a thousand times over, beside others of its source and of another: each source's taken words come within half a large row of the target."""
+    rows = [(1, "a b c", "en", "s", 5)] * 1000 + [(i, " ".join(["w"] * (1 + i % 5)), "en", "s", 1) for i in range(2, 502)] + [(i, "x y", "en", "t", 1) for i in range(600, 900)]
+    df = spark.createDataFrame(rows, fx.SCHEMA)
+    got = M.mix(df.repartition(7), factor=factor).collect()
+    assert len(got) == len(rows)
+    for source, biggest in (("s", 5), ("t", 2)):
+        mine = [r for r in got if r.source == source]
+        assert abs(sum(r._copies * r._size for r in mine) - mine[0]._target) <= max(1, biggest / 2), source
+    assert Counter((r.doc_id, r._copies) for r in got) == Counter((r.doc_id, r._copies) for r in M.mix(df.repartition(3), factor=factor).collect())
+    assert M.take(df, factor=factor).count() == sum(r._copies for r in got)
+
+
+def test_copies_are_numbered_without_gaps(spark):
+    """Equal rows over many partitions: numbers 0, 1, ... each, null sources too."""
+    rows = [("s", 1, 7, 1.0)] * 900 + [(None, 1, 7, 1.0)] * 300 + [("s", 1, 8, 1.0)] * 2 + [("s", 1, 9, 1.0)]
+    df = spark.createDataFrame(rows, "source string, size long, draw long, pref double").repartition(6)
+    repeats = df.groupBy("source", "draw").count().where("count > 1").drop("count")
+    got = Counter((r.source, r.draw, r.copy) for r in M.number_copies(df, repeats).collect())
+    assert got == Counter([("s", 7, i) for i in range(900)] + [(None, 7, i) for i in range(300)] + [("s", 8, i) for i in range(2)])

@@ -114,6 +114,36 @@ def cuts(base: DataFrame, weights: Sequence[float], factor: float, cap: float) -
     return materialize(out, "mix-cuts")
 
 
+def copy_draw(draw: Column, copy: Column) -> Column:
+    """The draw of a copy (0, 1, ...) of a row: its own for the first, one of draw and number for the others."""
+    other = F.conv(F.substring(F.md5(F.concat_ws("|", draw, copy)), 1, DRAW_BITS // 4), 16, 10).cast("long")
+    return F.when(copy == 0, draw).otherwise(other)
+
+
+def _beside(rows: DataFrame, repeats: DataFrame, how: str) -> DataFrame:
+    """rows whose source and draw are (left_semi) or aren't (left_anti) among repeats."""
+    keys = bounded_broadcast(repeats.select(F.col("source").alias("_s"), F.col("draw").alias("_d")))
+    return rows.join(keys, F.col("source").eqNullSafe(F.col("_s")) & (F.col("draw") == F.col("_d")), how)
+
+
+def number_copies(rows: DataFrame, repeats: DataFrame) -> DataFrame:
+    """The rows of repeats' sources and draws, with copy: 0, 1, ... without gaps among rows of one source and draw.
+
+    Rows are numbered within the partition in which they are written, and set off by the counts of the partitions before: no
+    task gets more of a row's copies than a partition had.
+    """
+    many = _beside(rows, repeats, "left_semi")
+    written = materialize(many.withColumn("_mid", F.monotonically_increasing_id()), "mix-repeated")
+    written = written.withColumn("_part", F.shiftright("_mid", 33).cast("int"))
+    key = ["source", "draw", "_part"]
+    before = Window.partitionBy("source", "draw").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = materialize(written.groupBy(*key).count().withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0))), "mix-offsets")
+    counts = bounded_broadcast(counts.select(F.col("source").alias("_s"), F.col("draw").alias("_d"), F.col("_part").alias("_p"), "_before"))
+    local = written.withColumn("_local", F.row_number().over(Window.partitionBy(*key).orderBy("_mid")) - 1)
+    found = local.join(counts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("draw") == F.col("_d")) & (F.col("_part") == F.col("_p")))
+    return found.select(*rows.columns, (F.col("_before") + F.col("_local")).alias("copy"))
+
+
 def _mixed(docs: DataFrame, weights: Sequence[float], factor: float, cap: float, seed: int, id_col: str, source_col: str, text_col: str, preference_col: str | None) -> DataFrame:
     """docs packed, with size, source_size, target and copies."""
     body = text_or_empty(text_col)
@@ -123,10 +153,18 @@ def _mixed(docs: DataFrame, weights: Sequence[float], factor: float, cap: float,
         "source": F.col(source_col).cast("string"), "size": word_count(body),
         "draw": F.conv(F.substring(F.md5(named), 1, DRAW_BITS // 4), 16, 10).cast("long"), "pref": pref,
     }
-    base = materialize(docs.select(*[c.alias(n) for n, c in measures.items()]), "mix-base")
+    rows = packed(docs, *[c.alias(n) for n, c in measures.items()])
+    base = materialize(rows.drop("_row"), "mix-base")
+    repeats = materialize(base.groupBy("source", "draw").count().where("count > 1").drop("count"), "mix-repeats", F.count(F.lit(1)).alias("n"))
+    numbered = None
+    if repeats.measured["n"]:
+        release(base)
+        numbered = materialize(number_copies(rows, repeats), "mix-copies")
+        rows = _beside(rows, repeats, "left_anti").unionByName(numbered.withColumn("draw", copy_draw(F.col("draw"), F.col("copy"))).drop("copy"))
+        base = materialize(rows.drop("_row"), "mix-base")
     marks = bounded_broadcast(cuts(base, weights, factor, cap))
     release(base)
-    ranked = _ranked(packed(docs, *[c.alias(n) for n, c in measures.items()]), marks, cap)
+    ranked = _ranked(rows, marks, cap)
     copies = F.col("whole") + F.when((F.col("rank") < F.col("cut")) | (F.col("rank").isNotNull() & (F.col("draw") == F.col("extra"))), 1).otherwise(0)
     return ranked.select("_row", "size", "source_size", "target", copies.cast("long").alias("copies"))
 
@@ -135,9 +173,9 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), factor: float = 1
     """docs with _size, _source_size, _target and _copies (0 and up to cap); all input columns stay, whatever their names, but for these four.
 
     A null text has size 0; a null source is a source of its own, last in turn; a null or negative preference counts as 0
-    (never taken); texts of any length are counted whole. Rows equal in id and text are drawn together; ranks that tie fall
-    together. An empty table gives an empty result. The draw hangs on seed, id and text only, so reruns and other
-    partitionings agree.
+    (never taken); texts of any length are counted whole. Rows equal in source, id and text are numbered and each drawn on its
+    own, and which of them is taken is open; ranks that tie fall together. An empty table gives an empty result. The draws
+    hang on seed, id, text and those numbers only, so reruns and other partitionings agree.
     """
     mixed = _mixed(docs, weights, factor, cap, seed, id_col, source_col, text_col, preference_col)
     return unpacked(mixed, [c for c in docs.columns if c not in ADDED], *[F.col(c.removeprefix("_")).alias(c) for c in ADDED])
@@ -151,7 +189,8 @@ def take(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), factor: float =
 
 
 ORACLE = r"""
-WITH RECURSIVE d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, CAST('0x' || substr(md5('42|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(text, '')), 1, 15) AS BIGINT) AS draw FROM documents),
+WITH RECURSIVE o AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, CAST('0x' || substr(md5('42|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(text, '')), 1, 15) AS BIGINT) AS draw, row_number() OVER (PARTITION BY source, doc_id, coalesce(text, '')) - 1 AS again FROM documents),
+d AS (SELECT doc_id, source, size, CASE WHEN again = 0 THEN draw ELSE CAST('0x' || substr(md5(draw || '|' || again), 1, 15) AS BIGINT) END AS draw FROM o),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, ([5.0, 2.0, 1.0])[CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INTEGER) + 1]::DOUBLE AS weight FROM d GROUP BY source),
 -- shares of 150 % of all, and again of what is above twice a source's size, until none is above
 f(step, open_, rest) AS (SELECT 0, list(struct_pack(s := source, w := weight, m := 2.0::DOUBLE * source_size)), 1.5::DOUBLE * sum(source_size) FROM s
