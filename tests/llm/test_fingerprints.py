@@ -55,3 +55,11 @@ def test_cases(spark):
     assert P.compare_with_next(fx.empty(spark)).count() == 0
     one = P.compare_with_next(df.where(F.col("doc_id") == 8)).collect()
     assert len(one) == 1 and one[0].near_next == 1
+
+
+def test_a_third_of_all_rows_equal(spark):
+    """Equal rows follow each other; every row is there, and each id's next text is right."""
+    rows = [(5, "the same text again and again")] * 400 + [(10 + i, f"text number {i} of a few") for i in range(800)]
+    got = P.compare_with_next(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()
+    same = [r for r in got if r.doc_id == 5]
+    assert len(got) == 1200 and len(same) == 400 and sum(r.near_next == 1 for r in same) == 399

@@ -33,3 +33,21 @@ def test_reruns_agree_and_empty(spark):
     b = sorted((str(r.doc_id), r.shard, r.slot) for r in S.assign_shards(fx.table(spark).repartition(7)).collect())
     assert a == b
     assert S.assign_shards(fx.empty(spark)).count() == 0
+
+
+def test_a_row_thousands_of_times_over(spark):
+    """20,000 equal rows of 60,000: numbered without gaps, and no partition holds them all."""
+    from pyspark.sql import functions as F
+
+    rows = spark.range(0, 60000, 1, 8).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("id"))
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "8"}  # else these few bytes are one partition
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    numbered, n = S.number_rows(rows, ["id"])
+    for k, v in before.items():
+        spark.conf.set(k, v)
+    assert n == 60000 and numbered.agg(F.count_distinct("_number"), F.min("_number"), F.max("_number")).first()[:] == (60000, 0, 59999)
+    held = [r["count"] for r in numbered.where("id = -1").groupBy(F.input_file_name()).count().collect()]
+    assert sum(held) == 20000 and max(held) < 14000
+    assert numbered.where("id = -1").agg(F.max("_number")).first()[0] == 19999

@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -53,3 +54,15 @@ def test_subtree_common_prefixes():
             while want < 35 and words[a + want] == words[b + want]:
                 want += 1
         assert common[i] == want
+
+
+def test_a_third_of_all_rows_equal(spark):
+    """3,000 equal rows share one passage with 200 others: all of it goes, and each task gives equal rows' pieces once."""
+    rng = random.Random(8)
+    passage = " ".join(fx.words(rng, 40))
+    rows = [(1, f"one {passage} two")] * 3000 + [(10 + i, f"{' '.join(fx.words(rng, 10))} before{i} {passage} after{i} {' '.join(fx.words(rng, 9))}") for i in range(200)] + [(1000 + i, " ".join(fx.words(rng, 50))) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = S.remove_repeats(df).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.n_removed == (42 if r.doc_id == 1 else 40 if r.doc_id < 1000 else 0)

@@ -138,7 +138,11 @@ def _signed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fingerprint_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and fingerprint of every row: the plain operator, a map. Null texts count as empty."""
+    """id and fingerprint of every row: the plain operator, a map.
+
+    Null texts count as empty; repeated rows give as many rows; an empty table gives an empty result; other columns, whatever
+    their names, are left out.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,8 +196,8 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     bounded_batches(docs)
     kind = docs.schema[id_col].dataType.simpleString()
     body = text_or_empty(text_col)
-    rows = docs.select(F.col(id_col).alias("id"), body.alias("text"), text_key(body).alias("key"))
-    order = [F.col("id").asc_nulls_last(), F.col("key").asc()]
+    rows = docs.select(F.col(id_col).alias("id"), body.alias("text"), text_key(body).alias("key"), F.spark_partition_id().alias("tie"))
+    order = [F.col("id").asc_nulls_last(), F.col("key").asc(), F.col("tie").asc()]  # equal rows are interchangeable, and dealt out by the partition they come from
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()

@@ -80,10 +80,15 @@ def invert(y: np.ndarray, n: int, key: int) -> np.ndarray:
 
 
 def number_rows(rows: DataFrame, order: list[str], tag: str = "numbered") -> tuple[DataFrame, int]:
-    """rows with a global number _number (0..N-1) by order, and N. One range exchange; only a count per partition reaches the driver."""
+    """rows with a global number _number (0..N-1) by order, and N. One range exchange; only a count per partition reaches the driver.
+
+    Rows that are equal in order are interchangeable: the partition they come from (the same whenever it is worked out again)
+    is the last key of the exchange, so that a row that stands there very often is dealt over several tasks.
+    """
     spark = rows.sparkSession
     mid = F.monotonically_increasing_id()
-    sorted_rows = rows.repartitionByRange(*[F.col(c).asc_nulls_last() for c in order]).sortWithinPartitions(*[F.col(c).asc_nulls_last() for c in order])
+    keys = [F.col(c).asc_nulls_last() for c in order]
+    sorted_rows = rows.withColumn("_tie", F.spark_partition_id()).repartitionByRange(*keys, F.col("_tie")).sortWithinPartitions(*keys).drop("_tie")
     local = materialize(sorted_rows.withColumn("_mid", mid), tag)
     part = F.shiftright("_mid", 33).cast("int")
     counts = sorted((r[0], r[1]) for r in local.groupBy(part.alias("p")).count().collect())

@@ -132,10 +132,21 @@ def _scan(window: int):
 
 
 def _extract(window: int):
-    """The words of each piece that needs a tree; each window's hash where the longest prefix is taken."""
+    """The words of each piece that needs a tree; each window's hash where the longest prefix is taken.
+
+    Rows equal in id and text have the same pieces: a task gives them once.
+    """
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
+            new = []
+            for i, text in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if text not in seen:
+                    seen.add(text)
+                    new.append(i)
+            if len(new) < len(batch):
+                batch = batch.take(pa.array(new, pa.int32()))
             keys, crcs = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             data, offs = strings(batch.column(2))
             lists = batch.column(3)
