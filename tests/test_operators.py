@@ -275,7 +275,7 @@ def test_programs(spark):
     assert {r.bleu_tokenizer for r in found} == {"13a_spbleu_fallback", "13a"} and sum(r.num for r in found) == 12
     rolled = metrics.metrics_document(metrics.rollup_metrics(programs.metrics_of(items, hyps)), "auto")
     assert set(rolled["by_corpus"]) == {"flores", "ntrex"}
-    assert programs.run_directions({"a": lambda: 1, "b": lambda: 1 / 0})["b"][0] is False
+    assert programs.run_directions({"a": lambda: 1, "b": lambda: 1 / 0}, spark=spark).outcomes["b"].status == "failed"
     assert programs.expert_assets([("a", "b")], "p", 5)[0]["adapter_name"] == "p_a_to_b"
     assert names.ordered_distinct("abca") == ["a", "b", "c"]
 
@@ -360,12 +360,13 @@ def test_samples_with_dates(spark):
     assert readers.sample_rows(rows.drop("metadata"), "c", "s", "train").first().metadata == {}
 
 
-def test_directions_run_side_by_side():
+def test_directions_run_side_by_side(spark):
     import threading
 
     meet = threading.Barrier(2, timeout=20)
-    got = programs.run_directions({"a": meet.wait, "b": meet.wait, "c": lambda: 1 / 0}, workers=3)
-    assert got["a"][0] and got["b"][0] and got["c"] == (False, "division by zero")
+    got = programs.run_directions({"a": meet.wait, "b": meet.wait, "c": lambda: 1 / 0}, workers=3, spark=spark)
+    assert [got.outcomes[x].status for x in "abc"] == ["ok", "ok", "failed"] and got.outcomes["c"].error == "division by zero"
+    assert got.exit_status == 2 and got.lines()[-3:] == ["PASS: 2", "FAIL: 1", "CANCELLED: 0"]
 
 
 def test_terms_of_any_length_meet_their_entries(spark):

@@ -45,15 +45,26 @@ DEFINITION_CUTS = (r"^CL:.*$", r"(?i)^variant of .*$", r"(?i)^old variant of .*$
 DEFINITION_MOST, DEFINITION_BAD = 80, r"\[|\]|surname |see also "
 
 
+# Fixed value: characters of the Simplified standard that count as Traditional all the same.
+ALSO_TRADITIONAL = "於夥徵沈猛著"
+
+
+def _in_standard(char: str) -> bool:
+    try:
+        return bool(char.encode("gb2312"))
+    except UnicodeEncodeError:
+        return False
+
+
 @cache
 def _traditional(spark: SparkSession) -> str:
     every = [chr(c) for c in range(0x4E00, 0xA000)]
     simple = spark._jvm.com.ibm.icu.text.Transliterator.getInstance("Traditional-Simplified").transliterate("\n".join(every)).split("\n")
-    return "".join(a for a, b in zip(every, simple, strict=True) if a != b)
+    return "".join(a for a, b in zip(every, simple, strict=True) if a != b and not _in_standard(a)) + ALSO_TRADITIONAL
 
 
 def traditional_characters(spark: SparkSession | None = None) -> str:
-    """Characters with a Simplified form of their own: those that the Unicode consortium's Traditional-Simplified rules change (Spark ships ICU).
+    """Characters that only Traditional text has: those that the Unicode consortium's Traditional-Simplified rules change (Spark ships ICU) and that the Simplified character standard GB 2312 lacks, and a few more.
 
     Operators that turn such terms away take another list as a parameter.
     """

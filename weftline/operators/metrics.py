@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+import re
+from collections.abc import Callable, Iterable, Sequence
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,6 +63,76 @@ def register_tokenizer(name: str, apply: Callable[[Column], Column], reported: s
         REPORTED[name] = reported
 
 
+#: Thai characters, those that never begin a word's part of their own (vowels and marks beside a consonant), and what stands alone between Thai: Latin words, numbers, line ends, others.
+THAI, CLINGING = "\u0e00-\u0e7f", frozenset("\u0e30\u0e31\u0e32\u0e33\u0e34\u0e35\u0e36\u0e37\u0e38\u0e39\u0e3a\u0e45\u0e47\u0e48\u0e49\u0e4a\u0e4b\u0e4c\u0e4d\u0e4e")
+_THAI_PARTS = re.compile(f"([{THAI}]+)|([A-Za-z-]+)|([0-9]+(?:[.,][0-9]+)*)|(\\s+)|([^{THAI}A-Za-z0-9\\s-]+)")
+
+
+def _trie(words: Iterable[str]) -> dict:
+    root: dict = {}
+    for word in words:
+        node = root
+        for c in word:
+            node = node.setdefault(c, {})
+        if word:
+            node[""] = True
+    return root
+
+
+def thai_path(text: str, root: dict) -> list[str]:
+    """text as words of the trie: as few characters as can be lie outside of words, then as few pieces as can be are made, then the first is the longest. What lies outside stays together.
+
+    Words end where the next character can begin one. The best way from each place to the end is worked out backwards.
+    """
+    n = len(text)
+    cost: list[tuple[int, int]] = [(0, 0)] * (n + 1)  # characters outside, pieces; from here to the end
+    step, known = [0] * (n + 1), [False] * (n + 1)
+    for i in range(n - 1, -1, -1):
+        outside, pieces = cost[i + 1]
+        joins = i + 1 < n and not known[i + 1]
+        best, step[i] = (outside + 1, pieces + (not joins)), 1
+        node, j = root, i
+        while j < n and (node := node.get(text[j])) is not None:
+            j += 1
+            if "" in node and (j == n or text[j] not in CLINGING):
+                one = cost[j][0], cost[j][1] + 1
+                if one <= best:
+                    best, step[i], known[i] = one, j - i, True
+        cost[i] = best
+    out, i, open_ = [], 0, False
+    while i < n:
+        piece = text[i : i + step[i]]
+        if known[i] or not open_:
+            out.append(piece)
+        else:
+            out[-1] += piece
+        open_ = not known[i]
+        i += step[i]
+    return out
+
+
+def thai_words(words: Sequence[str]) -> Callable[[Column], Column]:
+    """A tokenizer by a list of Thai words: Thai text by thai_path; Latin words, numbers and other marks apart, white space dropped.
+
+    register_tokenizer("pythai_newmm", thai_words(words)) lets the automatic choice use it for Thai targets.
+    """
+    root = _trie(words)
+
+    def apply(c: Column) -> Column:
+        @F.arrow_udf("string")
+        def run(texts: pa.Array) -> pa.Array:
+            coded = texts.dictionary_encode()
+            done = []
+            for t in coded.dictionary.to_pylist():
+                parts = [] if t is None else [p for m in _THAI_PARTS.finditer(t) if not m[4] for p in (thai_path(m[1], root) if m[1] else [m[0]])]
+                done.append(None if t is None else " ".join(parts))
+            return pa.array(done, pa.string()).take(coded.indices)
+
+        return run(c)
+
+    return apply
+
+
 def sentence_pieces(model: str) -> Callable[[Column], Column]:
     """A tokenizer by a sentence-piece model, a file that every executor has at this path; each worker loads it once."""
 
@@ -82,10 +155,6 @@ def _pieces_of(model: str) -> Callable[[str], list[str]]:
     return lambda text: processor.encode(text, out_type=str)
 
 
-#: What stands in for a tokenizer that isn't registered, in turn, and the suffix of the name that is then reported.
-FALLBACKS: Mapping[str, tuple[tuple[str, str], ...]] = {"flores200": (("pythai_newmm", "_spbleu_fallback"), ("zh", "_spbleu_fallback"), ("13a", "_spbleu_fallback")), "pythai_newmm": (("intl", "_thai_fallback"), ("13a", "_thai_fallback"))}
-
-
 def available_tokenizer(name: Column, target: Column) -> Column:
     """The tokenizer to use and the name to report for one chosen by policy, by what is registered."""
     thai, chinese = target.startswith("tha_"), target.startswith("zho_") | target.startswith("cmn_")
@@ -117,28 +186,60 @@ def segmented(rows: DataFrame, name: Column) -> DataFrame:
     })
 
 
-def _grams(tokens: str, n: int) -> Column:
-    places = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - n + 1)).otherwise(F.expr("cast(array() as array<int>)"))
-    return F.transform(places, lambda i: F.concat_ws("\u0001", F.slice(tokens, i, n)))
+def _matches(hyp: pa.Array, ref: pa.Array) -> np.ndarray:
+    """Clipped matches of n-grams, n = 1..ORDER, of each pair of token lists (nulls count as empty): n x ORDER.
 
-
-def bleu_statistics(rows: DataFrame, keys: Sequence[str], id_col: str) -> DataFrame:
-    """keys, hyp_len, ref_len, m1..m4 (clipped matches) and t1..t4 (n-grams of the hypotheses), from rows with hyp, ref token arrays.
-
-    Grams are counted per row and then summed, partial sums first; a group never meets in one task.
+    Grams are numbered across the batch, the next order's from the last one's and a token; how often a row has each is
+    counted by sorting, and the lesser counts of both sides are summed by row.
+    """
+    sides, lens = [], []
+    for lists in (hyp, ref):
+        lens.append(np.nan_to_num(pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False).astype(float)).astype(np.int64))
+        sides.append(lists.flatten())
+    coded = pa.chunked_array(sides).combine_chunks().dictionary_encode() if len(sides[0]) + len(sides[1]) else None
+    out = np.zeros((len(hyp), ORDER), np.int64)
+    if coded is None:
+        return out
+    token = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    row = np.concatenate([np.repeat(np.arange(len(x)), x) for x in lens])
+    from_ref = np.arange(len(token)) >= len(sides[0])
+    after = np.concatenate([np.repeat(np.cumsum(x), x) - np.arange(x.sum()) for x in lens])  # tokens from here to the row's end
+    gram, at = token, np.arange(len(token))
+    for n in range(ORDER):
+        if n:
+            longer = after[at] > n
+            at, gram = at[longer], gram[longer]
+            gram = np.unique(gram * len(coded.dictionary) + token[at + n], return_inverse=True)[1].astype(np.int64)
+        if not len(at):
+            break
+        key = row[at] * (int(gram.max()) + 1) + gram
+        mine, count = np.unique(key[~from_ref[at]], return_counts=True)
+        theirs, other = np.unique(key[from_ref[at]], return_counts=True)
+        both, i, j = np.intersect1d(mine, theirs, assume_unique=True, return_indices=True)
+        np.add.at(out[:, n], both // (int(gram.max()) + 1), np.minimum(count[i], other[j]))
+    return out
+
+
+def clipped_matches(hyp: Column, ref: Column) -> Column:
+    """Matches of 1- to 4-grams, each counted as often as both token arrays have it: an array of four, worked out row by row."""
+
+    @F.arrow_udf("array<bigint>")
+    def run(hyps: pa.Array, refs: pa.Array) -> pa.Array:
+        found = _matches(hyps, refs)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * ORDER, pa.int32()), pa.array(found.ravel()))
+
+    return run(hyp, ref)
+
+
+def bleu_statistics(rows: DataFrame, keys: Sequence[str], id_col: str | None = None) -> DataFrame:
+    """keys, num, hyp_len, ref_len, m1..m4 (clipped matches) and t1..t4 (n-grams of the hypotheses), from rows with hyp, ref token arrays.
+
+    A row's matches are counted in place; only sums are exchanged, once.
     """
-    sides = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(side).alias("side"), _grams(side, n).alias("g")) for n in range(1, ORDER + 1) for side in ("hyp", "ref")])
-    flat = rows.select(*keys, id_col, F.explode(sides).alias("s")).select(*keys, id_col, "s.n", "s.side", F.explode("s.g").alias("gram"))
-    counts = flat.groupBy(*keys, id_col, "n", "gram").agg(F.count_if(F.col("side") == "hyp").alias("h"), F.count_if(F.col("side") == "ref").alias("r"))
-    sums = [F.sum(F.when(F.col("n") == n, F.least("h", "r")).otherwise(0)).alias(f"m{n}") for n in range(1, ORDER + 1)] + [F.sum(F.when(F.col("n") == n, F.col("h")).otherwise(0)).alias(f"t{n}") for n in range(1, ORDER + 1)]
-    lengths = rows.groupBy(*keys).agg(F.sum(F.size("hyp")).alias("hyp_len"), F.sum(F.size("ref")).alias("ref_len"), F.count("*").alias("num"))
-    stats = counts.groupBy(*keys).agg(*sums)
-    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys]
-    condition = same[0]
-    for c in same[1:]:
-        condition = condition & c
-    joined = lengths.alias("l").join(stats.alias("s"), condition, "left")
-    return joined.select(*[F.col(f"l.{k}").alias(k) for k in keys], "num", "hyp_len", "ref_len", *[F.coalesce(f"{x}{n}", F.lit(0)).alias(f"{x}{n}") for x in "mt" for n in range(1, ORDER + 1)])
+    size = {side: F.coalesce(F.size(F.coalesce(side, F.array().cast("array<string>"))), F.lit(0)) for side in ("hyp", "ref")}
+    each = rows.select(*keys, size["hyp"].alias("_h"), size["ref"].alias("_r"), clipped_matches(F.col("hyp"), F.col("ref")).alias("_m"))
+    sums = [F.sum(F.col("_m")[n - 1]).alias(f"m{n}") for n in range(1, ORDER + 1)] + [F.sum(F.greatest(F.col("_h") - (n - 1), F.lit(0))).alias(f"t{n}") for n in range(1, ORDER + 1)]
+    return each.groupBy(*keys).agg(F.count(F.lit(1)).alias("num"), F.sum("_h").alias("hyp_len"), F.sum("_r").alias("ref_len"), *sums)
 
 
 def bleu_score() -> Column:

@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import names
 from ..functions.text import first_nonblank, nonblank, normalize_space, script_ratio, strip
@@ -73,8 +74,14 @@ def target_column(df: DataFrame, lang: str) -> Column:
 
 
 def english_centric_items(df: DataFrame, dataset: str, split: str, tgt_lang: str, src_lang: str = "eng_Latn") -> DataFrame:
-    """Items of a wide multilingual table; ids are split:row, counted before rows without both texts go."""
-    rows = df.select(F.lit(dataset).alias("dataset"), F.lit(split).alias("split"), F.lit(src_lang).alias("src_lang"), F.lit(tgt_lang).alias("tgt_lang"), F.concat(F.lit(f"{split}:"), F.col("_ord").cast("string")).alias("sample_id"), english_column(df).alias("source_text"), target_column(df, tgt_lang).alias("reference_text"), "_ord")
+    """Items of a wide multilingual table; ids are split:row, counted before rows without both texts go.
+
+    Rows bring their numbers: _row of a numbered reader (readers.with_row_numbers), else an _ord that is a whole number.
+    """
+    number = next((c for c in ("_row", "_ord") if c in df.columns and isinstance(df.schema[c].dataType, T.IntegralType)), None)
+    if number is None:
+        raise ValueError("rows have no numbers: read them numbered")
+    rows = df.select(F.lit(dataset).alias("dataset"), F.lit(split).alias("split"), F.lit(src_lang).alias("src_lang"), F.lit(tgt_lang).alias("tgt_lang"), F.concat(F.lit(f"{split}:"), F.col(number).cast("string")).alias("sample_id"), english_column(df).alias("source_text"), target_column(df, tgt_lang).alias("reference_text"), F.col("_ord" if "_ord" in df.columns else number).alias("_ord"))
     return rows.where("source_text is not null and reference_text is not null")
 
 
@@ -185,7 +192,8 @@ def validated(rows: DataFrame) -> DataFrame:
     absent = [c for c in REQUIRED if c not in rows.columns]
     if absent:
         raise ValueError(f"missing columns: {absent}")
-    bad = F.concat(F.lit("row "), F.col("_ord").cast("string") if "_ord" in rows.columns else F.lit("?"), F.lit(" lacks a required value"))
+    at = next((F.concat(F.lit(word + " "), F.col(c).cast("string")) for c, word in (("_line", "line"), ("_row", "row"), ("_ord", "row")) if c in rows.columns), F.lit("a row"))
+    bad = F.concat(at, F.lit(" lacks a required value"))
     checks = {c: F.when(F.col(c).isNull(), F.raise_error(bad).cast("string")).otherwise(F.col(c)) for c in REQUIRED}
     return rows.withColumns(checks)
 

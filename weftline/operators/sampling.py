@@ -7,13 +7,15 @@ taken whole, and only that bin is put in order.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import nonblank, normalize_space, pack_sentences, speaks
-from ..storage import BROADCAST_ROWS, bounded_broadcast, written
+from ..storage import bounded_broadcast, written
 
 #: Bins of a key's draws: the first three digits of their hashes.
 BIN_DIGITS = 3
@@ -168,46 +170,102 @@ def candidates(docs: DataFrame, lang: Column, min_chars: int = 20, max_chars: in
     return good.withColumn("hash", F.sha1("text"))
 
 
-def greedy_sources(found: DataFrame) -> DataFrame:
-    """At most one candidate a document, no hash twice in a language, as a pass in order would choose.
+#: Candidates that one task of greedy_sources puts in order.
+RANGE_ROWS = 200_000
 
-    Each document proposes its first candidate; a hash keeps the earliest proposer, even against one that held it; those
-    turned away propose their next candidate that no earlier document holds (a hash's holder only ever gets earlier, so
-    others are hopeless). The fixed point equals the ordered pass. The candidates are written once; a round moves and writes
-    only what those turned away in the round before propose, so a round's failure repeats that round alone. A hash's holder is
-    the earliest of all that ever proposed it.
+
+def _choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows lang, _ord, k, hash, taken (in order): the first of each lang and _ord that isn't taken, by earlier ones here neither."""
+    mine: set[tuple[str, str]] = set()
+    last = None
+    for batch in batches:
+        keep = []
+        for i, (lang, order, hash_, taken) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("lang", "_at", "hash", "taken")), strict=True)):
+            if not taken and (lang, order) != last and (lang, hash_) not in mine:
+                mine.add((lang, hash_))
+                last = lang, order
+                keep.append(i)
+        yield batch.take(pa.array(keep, pa.int32()))
+
+
+def greedy_sources(found: DataFrame, range_rows: int | None = None, rounds: list[int] | None = None) -> DataFrame:
+    """At most one candidate a document, no hash twice in a language, as a pass in order would choose. rounds: gets what each round worked out anew.
+
+    A document whose first candidate no other has is settled at once, and of the others only the candidates up to the first
+    that is theirs alone matter. These fall into ranges of documents, in order; a task passes over a range. Then each range's
+    choices are held against those of the ranges before: where an earlier range has taken, or no longer takes, one of its
+    candidates, it is passed over again. With nothing to change, each range has seen what the ones before it take, so all is
+    as one pass would choose. Long chains of documents that turn each other away lie within a range; rounds are as many as
+    such chains cross ranges, never more than there are ranges, and each works on the ranges that change.
     """
     pieces = written(found.withColumn("k", F.row_number().over(Window.partitionBy("lang", "_ord").orderBy("pos")) - 1), "pieces")
-    slots = pieces.select("lang", "_ord", "k", "pos", "hash")
-    doc, key, count = ["lang", "_ord"], ["lang", "hash"], F.count(F.lit(1)).alias("n")
-
-    def small(df: DataFrame, rows: int) -> DataFrame:
-        return F.broadcast(df) if rows <= BROADCAST_ROWS else df  # a language, an order and a hash a row
-
-    base = written(slots.where("k = 0").withColumn("turn", F.lit(0)), "proposals", count)
-    # later proposals, of all turns so far: only these are written again
-    late, turn, n = base.limit(0), 0, base.measured["n"]
-    while n:
-        before = base if not turn else base.unionByName(late.where(F.col("turn") < turn))
-        fresh = base if not turn else late.where(F.col("turn") == turn)
-        meeting = fresh.select(*doc, "k", "hash")
-        if turn:
-            old = before.join(small(fresh.select(*key).distinct(), n), key, "left_semi").groupBy(*key).agg(F.min_by(F.struct("_ord", "k"), "_ord").alias("h"))
-            meeting = meeting.unionByName(old.select("lang", "h._ord", "h.k", "hash"))
-        # of those that meet on a hash asked for now, all but the first go on: new ones that came late, and the holder until now
-        first = meeting.groupBy(*key).agg(F.min("_ord").alias("first"))
-        away = written(meeting.join(first, key).where(F.col("_ord") != F.col("first")).select(*doc, F.col("k").alias("last")), "away", count)
-        if not away.measured["n"]:
+    doc, key = ["lang", "_ord"], ["lang", "hash"]
+    slots = pieces.select(*doc, "k", "hash")
+    often = written(slots.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*key, F.lit(True).alias("shared")), "shared-hashes")
+    marked = slots.join(bounded_broadcast(often), key, "left").withColumn("shared", F.coalesce("shared", F.lit(False)))
+    ends = marked.groupBy(*doc).agg(F.min(F.when(~F.col("shared"), F.col("k"))).alias("own"))
+    marked = written(marked.join(ends, doc), "marked", F.count_if(~(F.coalesce(F.col("own"), F.lit(1)) == 0) & (F.col("k") <= F.coalesce(F.col("own"), F.col("k")))).alias("n"))
+    settled = marked.where("own = 0 and k = 0").select(*doc, "k")
+    ranges = max(1, -(-marked.measured["n"] // (range_rows or RANGE_ROWS)))
+    order = [F.col("lang").asc(), F.col("_ord").asc()]
+    open_ = marked.where("coalesce(own, 1) > 0 and k <= coalesce(own, k)").select(*doc, "k", "hash", "shared")
+    placed = open_.repartitionByRange(ranges, *order).withColumn("part", F.spark_partition_id())
+    asked = written(placed.withColumn("_at", F.dense_rank().over(Window.partitionBy("part").orderBy(*order))), "asked", F.max("part").alias("last"))
+    parts = (asked.measured["last"] or 0) + 1
+    fields = "part int, lang string, _at int, k int, hash string, shared boolean"
+
+    def passed(rows: DataFrame) -> DataFrame:
+        """What the ranges of rows choose."""
+        inside = rows.select("part", "lang", "_at", "k", "hash", "shared", "taken").repartition(parts, "part").sortWithinPartitions("part", "_at", "k")
+
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for _, group in _runs(batches, "part"):
+                yield from _choose(group)
+
+        return inside.mapInArrow(each, f"{fields}, taken boolean").select("part", "lang", "_at", "k", "hash", "shared")
+
+    chosen = written(passed(asked.withColumn("taken", F.lit(False))), "chosen")
+    against = asked.select("part", *key).limit(0)  # what each range knew to be taken, when it last chose
+    log = [parts]
+    while parts > 1:
+        takers = chosen.where("shared").groupBy(*key).agg(F.min("part").alias("first"))
+        now = written(asked.where("shared").select("part", *key).distinct().join(takers, key).where("first < part").select("part", *key), "taken-before")
+        changed = now.select("part", *key).exceptAll(against).select("part").union(against.exceptAll(now).select("part")).distinct()
+        changed = written(changed, "changed-ranges", F.count(F.lit(1)).alias("n"))
+        if not changed.measured["n"]:
             break
-        options = slots.join(small(away, away.measured["n"]), doc).where("k > last").drop("last")
-        held = base.unionByName(late).join(options.select(*key).distinct(), key, "left_semi").groupBy(*key).agg(F.min("_ord").alias("holder"))
-        hopeful = options.join(held, key, "left").where(F.col("holder").isNull() | (F.col("_ord") < F.col("holder")))
-        following = hopeful.groupBy(*doc).agg(F.min(F.struct("k", "pos", "hash")).alias("s")).select(*doc, "s.*", F.lit(turn + 1).alias("turn"))
-        late = written(late.unionByName(following), "late-proposals", F.count_if(F.col("turn") == turn + 1).alias("n"))
-        turn, n = turn + 1, late.measured["n"]
-    before = base.unionByName(late)
-    winners = before.groupBy(*key).agg(F.min_by(F.struct("_ord", "k"), "_ord").alias("w")).select("lang", "w.*")
-    return pieces.join(winners, [*doc, "k"]).select("lang", "_ord", "pos", "hash", "text")
+        log.append(changed.measured["n"])
+        again = asked.join(bounded_broadcast(changed), "part", "left_semi").join(now.withColumn("taken", F.lit(True)), ["part", *key], "left").withColumn("taken", F.coalesce("taken", F.lit(False)))
+        stay = chosen.join(bounded_broadcast(changed), "part", "left_anti")
+        chosen, against = written(stay.unionByName(passed(again)), "chosen"), now
+    if rounds is not None:
+        rounds.extend(log)
+    picked = asked.join(chosen.select("part", "_at", "k"), ["part", "_at", "k"], "left_semi").select(*doc, "k")
+    return pieces.join(settled.unionByName(picked), [*doc, "k"]).select("lang", "_ord", "pos", "hash", "text")
+
+
+def _runs(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[object, Iterator[pa.RecordBatch]]]:
+    """Stretches of rows of one value of column (rows come ordered by it), each as its batches; a stretch must be used up before the next."""
+    rest = iter(batches)
+    batch = next(rest, None)
+    while batch is not None:
+        if not len(batch):
+            batch = next(rest, None)
+            continue
+        value = batch.column(column)[0]
+
+        def stretch() -> Iterator[pa.RecordBatch]:
+            nonlocal batch
+            while batch is not None:
+                own = pc.sum(pc.equal(batch.column(column), value)).as_py() or 0
+                if own:
+                    yield batch.slice(0, own)
+                if own < len(batch):
+                    batch = batch.slice(own)
+                    return
+                batch = next(rest, None)
+
+        yield value.as_py(), stretch()
 
 
 def fill_quota(sources: DataFrame, done: DataFrame, n: int, keys: Sequence[str] = ("lang",)) -> DataFrame:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import threading
+import time
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names
@@ -85,17 +90,97 @@ def all_directions_mixture(rows: DataFrame, configs: DataFrame, seed: int, id_co
     return sampling.shuffle(sampling.direction_mixture(rows, configs, seed, id_col), seed, id_col)
 
 
-def run_directions(jobs: Mapping[str, Callable[[], object]], workers: int = 4) -> dict[str, tuple[bool, object]]:
-    """Runs named jobs, workers at a time (Spark shares the cluster among their tasks); a failure is noted and the rest go on."""
+@dataclass
+class Outcome:
+    """How one of several jobs ended: ok, failed or cancelled; its result or error, and seconds."""
 
-    def one(job: Callable[[], object]) -> tuple[bool, object]:
-        try:
-            return True, job()
-        except Exception as error:
-            return False, str(error)
+    name: str
+    status: str
+    result: object = None
+    error: str = ""
+    seconds: float = 0.0
 
-    with ThreadPoolExecutor(workers) as pool:
-        return dict(zip(jobs, pool.map(one, jobs.values()), strict=True))
+
+@dataclass
+class Tally:
+    """The outcomes of jobs by name, and the exit status of them all: 0 if each ended well, else 2."""
+
+    outcomes: dict[str, Outcome]
+
+    @property
+    def exit_status(self) -> int:
+        return 0 if all(o.status == "ok" for o in self.outcomes.values()) else 2
+
+    def count(self, status: str) -> int:
+        return sum(o.status == status for o in self.outcomes.values())
+
+    def lines(self) -> list[str]:
+        """A line for each job, and the counts."""
+        marks = {"ok": "PASS", "failed": "FAIL", "cancelled": "CANCELLED"}
+        return [f"[{marks[o.status]}] {o.name}: {o.seconds:.1f} s {o.error}".rstrip() for o in self.outcomes.values()] + [f"{m}: {self.count(s)}" for s, m in marks.items()]
+
+
+class Directions:
+    """Named jobs side by side on one cluster, workers at a time.
+
+    Each job runs in a thread with a job group and, where the session schedules fairly (spark.scheduler.mode), a pool of its
+    own, so that a long one doesn't hold the others up. A failure ends its job alone, unless stop_on_failure.
+    """
+
+    def __init__(self, spark: SparkSession, workers: int = 4, stop_on_failure: bool = False) -> None:
+        self.spark, self.workers, self.stop_on_failure = spark, workers, stop_on_failure
+        self._stopped: set[str] = set()
+        self._all = False
+        self._prefix = f"directions-{uuid.uuid4().hex[:8]}"
+        self._lock = threading.Lock()
+
+    def group(self, name: str) -> str:
+        return f"{self._prefix}-{name}"
+
+    def cancel(self, name: str | None = None) -> None:
+        """Ends one job's Spark jobs and keeps it from starting; all of them without a name."""
+        with self._lock:
+            self._all |= name is None
+            if name is not None:
+                self._stopped.add(name)
+        for one in self._names if name is None else (name,):
+            self.spark.sparkContext.cancelJobGroup(self.group(one))
+
+    def _cancelled(self, name: str) -> bool:
+        with self._lock:
+            return self._all or name in self._stopped
+
+    def run(self, jobs: Mapping[str, Callable[[], object]]) -> Tally:
+        self._names = tuple(jobs)
+        context = self.spark.sparkContext
+
+        def one(name: str) -> Outcome:
+            began = time.monotonic()
+            if self._cancelled(name):
+                return Outcome(name, "cancelled")
+            context.setJobGroup(self.group(name), name, interruptOnCancel=True)
+            context.setLocalProperty("spark.scheduler.pool", self.group(name))
+            try:
+                out = Outcome(name, "ok", jobs[name]())
+            except Exception as error:
+                out = Outcome(name, "cancelled" if self._cancelled(name) else "failed", error=str(error).strip().split("\n")[0])
+            finally:
+                context.setLocalProperty("spark.scheduler.pool", None)
+                context.setLocalProperty("spark.jobGroup.id", None)
+            out.seconds = time.monotonic() - began
+            if out.status == "failed" and self.stop_on_failure:
+                self.cancel()
+            return out
+
+        with ThreadPoolExecutor(self.workers) as pool:
+            # threads of their own in the JVM too, or they would share each other's properties
+            tasks = [pool.submit(inheritable_thread_target(self.spark)(one), name) for name in jobs]
+            return Tally({name: task.result() for name, task in zip(jobs, tasks, strict=True)})
+
+
+def run_directions(jobs: Mapping[str, Callable[[], object]], workers: int = 4, spark: SparkSession | None = None, stop_on_failure: bool = False) -> Tally:
+    """Runs named jobs side by side (see Directions) and tells how each ended."""
+    return Directions(spark or SparkSession.active(), workers, stop_on_failure).run(jobs)
 
 
 def evaluate_runs(runs: Mapping[str, DataFrame | None], items: DataFrame, policy: str = "auto", score: str | None = None) -> DataFrame:

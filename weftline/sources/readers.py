@@ -12,11 +12,12 @@ from pathlib import Path
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import SPACE, clean_definition, distinct_keys, first_nonblank, has_any, nonblank, normalize_space, strip, to_simplified, traditional_characters
+from ..functions.text import SPACE, clean_definition, distinct_keys, first_nonblank, has_any, nonblank, normalize_space, strip, traditional_characters
+from ..storage import bounded_broadcast, quoted, written
 
 
 def file_order() -> Column:
@@ -29,12 +30,52 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
-def read_jsonl(spark: SparkSession, path: str | Sequence[str], schema: str, missing_ok: bool = False) -> DataFrame:
-    """JSON lines; blank lines are skipped, a malformed line fails the query. With missing_ok, no file gives no rows."""
+def with_row_numbers(rows: DataFrame) -> DataFrame:
+    """rows with _row, their number over all files (from 0), and _line, that in their own file (from 1).
+
+    rows come straight from a reader, with _ord and none left out since. A split's rows lie one after the other, so each is
+    set off by the counts of the splits before: one row a split is summed, and no file is read by one task.
+    """
+    split = [F.col("_ord.file").alias("_file"), F.col("_ord.split").alias("_split")]
+    counts = rows.groupBy(*split).agg(F.min("_ord.row").alias("_from"), F.count(F.lit(1)).alias("_count"))
+    before = Window.orderBy("_file", "_split").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("_file").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    offs = [(F.coalesce(F.sum("_count").over(w), F.lit(0)) - F.col("_from")).alias(name) for w, name in ((before, "_all"), (within, "_own"))]
+    offsets = bounded_broadcast(written(counts.select("_file", "_split", *offs), "splits"))
+    met = rows.join(offsets, (F.col("_ord.file") == F.col("_file")) & (F.col("_ord.split") == F.col("_split")))
+    return met.select(*[F.col(quoted(c)) for c in rows.columns], (F.col("_ord.row") + F.col("_all")).alias("_row"), (F.col("_ord.row") + F.col("_own") + 1).alias("_line"))
+
+
+def _parsed_lines(spark: SparkSession, path: str | Sequence[str], schema: str) -> DataFrame:
+    """value, _ord, _line and parsed (with _malformed) of the filled lines of JSON files, every line counted."""
+    lines = with_row_numbers(spark.read.text(path).select("value", file_order().alias("_ord"))).where(strip(F.col("value")) != "")
+    parsed = F.from_json("value", f"{schema}, _malformed string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_malformed"})
+    return lines.select("value", "_ord", "_line", parsed.alias("parsed"))
+
+
+def malformed_lines(spark: SparkSession, path: str | Sequence[str], schema: str) -> DataFrame:
+    """file, line (from 1), value of the lines that aren't JSON of this schema."""
+    return _parsed_lines(spark, path, schema).where("parsed._malformed is not null").select(F.col("_ord.file").alias("file"), F.col("_line").alias("line"), "value")
+
+
+def read_jsonl(spark: SparkSession, path: str | Sequence[str], schema: str, missing_ok: bool = False, numbered: bool = False) -> DataFrame:
+    """JSON lines; blank lines are skipped, a malformed line fails the query. With missing_ok, no file gives no rows.
+
+    numbered adds _row, the row's number from 0 over all files, blank lines not counted, and _line, the line of its file from
+    1; a malformed line is then named by its number.
+    """
     if missing_ok and isinstance(path, str) and not _exists(spark, path):
-        return spark.createDataFrame([], f"{schema}, _ord struct<file:string,split:long,row:long>")
-    raw = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
-    return raw.select("*", file_order().alias("_ord"))
+        return spark.createDataFrame([], f"{schema}, _ord struct<file:string,split:long,row:long>" + (", _row long, _line long" if numbered else ""))
+    if not numbered:
+        raw = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+        return raw.select("*", file_order().alias("_ord"))
+    lines = _parsed_lines(spark, path, schema)
+    bad = F.concat(F.col("_ord.file"), F.lit(", line "), F.col("_line").cast("string"), F.lit(": not JSON of the schema"))
+    checked = F.when(F.col("parsed._malformed").isNotNull(), F.raise_error(bad).cast(lines.schema["parsed"].dataType)).otherwise(F.col("parsed"))
+    # filled lines are counted anew: an id that is given after the filter has no gaps within a split
+    filled = lines.select(checked.alias("parsed"), F.struct("_ord.file", "_ord.split", F.monotonically_increasing_id().alias("row")).alias("_ord"), "_line").withColumnRenamed("_line", "_at")
+    fields = [f.name for f in lines.schema["parsed"].dataType.fields if f.name != "_malformed"]
+    return with_row_numbers(filled).select(*[F.col("parsed").getField(c).alias(c) for c in fields], "_ord", "_row", F.col("_at").alias("_line"))
 
 
 def read_lines(spark: SparkSession, path: str | Sequence[str], only_json: bool = False) -> DataFrame:
@@ -69,8 +110,15 @@ def parse_scored_tsv(lines: DataFrame, kind: str) -> DataFrame:
     return rows.select(nonblank(first).alias("text0"), nonblank(second).alias("text1"), "_ord").where("text0 is not null and text1 is not null")
 
 
+def spread_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """value, _ord of text files. Files that can't be split (packed ones) are read by a task each, so their lines are dealt over all cores before anything is done with them."""
+    lines = spark.read.text(path).select("value", file_order().alias("_ord"))
+    packed = any(f.lower().endswith((".gz", ".zst", ".xz", ".lz4", ".deflate")) for f in lines.inputFiles())
+    return lines.repartition(max(spark.sparkContext.defaultParallelism, 2 * lines.rdd.getNumPartitions())) if packed else lines
+
+
 def read_scored_tsv(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    return parse_scored_tsv(spark.read.text(path).select("value", file_order().alias("_ord")), kind)
+    return parse_scored_tsv(spread_lines(spark, path), kind)
 
 
 def resolve_source(src: str, tgt: str, direct: Iterable[tuple[str, str]], mined: Iterable[tuple[str, str]], codes: Mapping[str, str], direct_url: str, mined_url: str) -> tuple[str, str, str, str] | None:
@@ -122,7 +170,7 @@ def parse_cedict(lines: DataFrame, traditional: str | None = None) -> DataFrame:
 
 
 def read_cedict(spark: SparkSession, path: str, traditional: str | None = None) -> DataFrame:
-    return parse_cedict(spark.read.text(path).select("value", file_order().alias("_ord")), traditional)
+    return parse_cedict(spread_lines(spark, path), traditional)
 
 
 def parse_word_pairs(lines: DataFrame, reverse: bool = False) -> DataFrame:
@@ -224,8 +272,3 @@ def first_split(tables: Mapping[str, DataFrame], order: Sequence[str] = ("test",
         if name in tables and not tables[name].isEmpty():
             return name, tables[name]
     return None
-
-
-def to_short_form(c: Column, lang: str) -> Column:
-    """Terms of Simplified Chinese lose single Traditional characters; other languages stay."""
-    return to_simplified(c) if lang == "zho_Hans" else c
