@@ -379,3 +379,50 @@ def test_cancelled_directions(spark):
     assert tally.outcomes["long"].status == "cancelled" and tally.outcomes["stop"].status == "ok" and time.time() - began < 60 and tally.exit_status == 2
     strict = programs.Directions(spark, 1, stop_on_failure=True).run({"bad": lambda: 1 / 0, "never": lambda: 1})
     assert [o.status for o in strict.outcomes.values()] == ["failed", "cancelled"]
+
+
+def lexicon_rows(rng, n):
+    return [(rng.choice(["a", "b"]), rng.choice(["x", "y"]), "".join(rng.choice("abc") for _ in range(rng.randrange(0, 7))), f"t{rng.randrange(9)}", rng.randrange(5) / 4, i) for i in range(n)]
+
+
+def test_stored_lexicon(spark, tmp_path):
+    """Lookups, searches and tables of terms from a stored index are those of the whole lexicon."""
+    from weftline.operators import lexicon, lookup_index
+
+    rng = random.Random(9)
+    rows = lexicon_rows(rng, 600)
+    index = spark.createDataFrame(rows, "src_lang string, tgt_lang string, source_text string, target_text string, confidence double, _ord int").withColumn("norm_key", F.col("source_text"))
+    lookup_index.store(index, str(tmp_path / "lexicon"), buckets=3)
+    stored = lookup_index.open_stored(spark, str(tmp_path / "lexicon"))
+
+    def matches(k, key):
+        return key in k or k in key
+
+    for key, offset in (("a", 0), ("a", 7), ("", 3), ("abc", 0), ("abca", 1), ("bcabcaa", 0), ("zzzz", 0)):
+        want = sorted((r for r in rows if r[:2] == ("a", "x") and matches(r[2], key)), key=lambda r: (r[2] != key, -r[4], len(r[2]), r[3], r[5]))
+        got = stored.lookup("a", "x", key, 4, offset).collect()
+        assert [r._ord for r in got] == [r[5] for r in want[offset : offset + 4]], key
+        assert all((r.total_matches, r.has_more) == (len(want), offset + 4 < len(want)) for r in got)
+    for key in ("b", "cab", "abcab"):
+        best = sorted((r for r in rows if matches(r[2], key)), key=lambda r: (r[2] != key, -r[4], r[0], r[1], r[2], r[5]))
+        assert [(r._ord, r.match_type) for r in stored.search(key, top_k=6).collect()] == [(r[5], "exact" if r[2] == key else "contains") for r in best[:6]]
+        assert [r._ord for r in stored.search(key, "b", top_k=3).collect()] == [r[5] for r in best if r[0] == "b"][:3]
+    terms = spark.createDataFrame([(t, t) for t in ["", "a", "ab", "abc", "abca", "cabcab", "zz", "zzzz"]], "term_id string, key string")
+    a, b = (sorted((r.term_id, r.rank, r._ord, r.match_type) for r in x.lookup_terms(*y, 5).collect()) for x, y in ((stored, (terms,)), (lexicon, (index, terms))))
+    assert a == b and len(a) > 20
+
+
+def test_a_hot_term_reads_its_first_ranks_only(spark, tmp_path):
+    from weftline.operators import lookup_index
+
+    index = spark.range(6000).selectExpr("'a' as src_lang", "'x' as tgt_lang", "concat('term e', id) as source_text", "cast(id % 7 as double) as confidence", "concat('term e', id) as norm_key", "id as _ord")
+    stored = lookup_index.store(index, str(tmp_path / "lexicon"))
+    anchor = stored.anchor("e")
+    assert anchor[2] == 6000 and stored.count("e", ("a", "x")) == 6000
+    plan = stored.holders("e", "direction", ("a", "x"), [0], anchor)
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    text = plan._jdf.queryExecution().explainString(mode)
+    pruned = text.split("PartitionFilters: [")[1].split("\n")[0]
+    assert "(b#" in pruned and "(level#" in pruned and "EqualTo(piece,e)" in text
+    assert plan.count() == 1024
+    assert [r.confidence for r in stored.lookup("a", "x", "e", 5, 2).collect()] == [6.0] * 5

@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import names, text
-from .operators import incremental, lexicon, metrics, pairs, remote, sampling
+from .operators import incremental, lexicon, lookup_index, metrics, pairs, remote, sampling
 from .registering import ORACLES, QUERIES, TURNS, WS, documents, query, table, turns
 from .sources import readers, writers
+from .storage import scratch_path
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -148,6 +149,24 @@ def _part_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 MATCH = "contains(lower(p_name), 'red') OR contains('red', lower(p_name))"
 
 
+LEXICON_TERMS = ("red", "e", "blue metal and more", "zz")
+TERM_MATCH = "(contains(lower(p_name), t) OR contains(t, lower(p_name)))"
+
+
+@query(f"""
+WITH t AS (SELECT unnest(['red', 'e', 'blue metal and more', 'zz']) AS t), m AS (SELECT * FROM t JOIN part ON p_brand = 'Brand#4' AND {TERM_MATCH})
+SELECT t AS term, p_partkey AS entry, count(*) OVER (PARTITION BY t) AS total_matches, count(*) OVER (PARTITION BY t) > 4 AS has_more FROM m QUALIFY row_number() OVER (PARTITION BY t ORDER BY lower(p_name) <> t, p_retailprice DESC, length(p_name), p_type, p_partkey) BETWEEN 2 AND 4
+""")
+def lookup_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Second pages of several terms from a stored index of the parts' names."""
+    stored = lookup_index.store(_part_index(spark, sf_dir), scratch_path(spark, "lexicon"))
+    out = None
+    for term in LEXICON_TERMS:
+        one = stored.lookup("Brand#4", "y", term, 3, 1).select(F.lit(term).alias("term"), F.col("_ord").alias("entry"), "total_matches", "has_more")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query(f"SELECT p_partkey AS entry, p_name AS source_text, (SELECT count(*) FROM part WHERE p_brand = 'Brand#4' AND ({MATCH})) AS total_matches, 2 + 3 < (SELECT count(*) FROM part WHERE p_brand = 'Brand#4' AND ({MATCH})) AS has_more FROM part WHERE p_brand = 'Brand#4' AND ({MATCH}) ORDER BY lower(p_name) <> 'red', p_retailprice DESC, length(p_name), p_type, p_partkey LIMIT 3 OFFSET 2")
 def lookup_paged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexicon.lookup(_part_index(spark, sf_dir), "Brand#4", "y", "red", 3, 2).select(F.col("_ord").alias("entry"), "source_text", "total_matches", "has_more")
@@ -379,10 +398,23 @@ def resolve_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.resolve_text(rows, ["body", "text"], 100).select(F.col("_ord").alias("doc_id"), "text")
 
 
-@query("SELECT 'test:' || p_partkey AS sample_id, p_name AS source_text, p_type AS reference_text FROM part WHERE p_size % 2 = 0")
+@query("SELECT 'test:' || (row_number() OVER (ORDER BY p_partkey) - 1) AS sample_id, p_name AS source_text, p_type AS reference_text FROM part QUALIFY p_size % 2 = 0")
 def english_centric(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = table(spark, sf_dir, "part").select(F.col("p_name").alias("English"), F.when(F.col("p_size") % 2 == 0, F.col("p_type")).alias("spa-Latn"), F.col("p_partkey").alias("_ord"))
-    return pairs.english_centric_items(wide, "d", "test", "spa_Latn").select("sample_id", "source_text", "reference_text")
+    """Rows without a target are dropped after they were numbered: the parts written as several files of JSON lines, and read."""
+    wide = table(spark, sf_dir, "part").select(F.col("p_name").alias("English"), F.when(F.col("p_size") % 2 == 0, F.col("p_type")).alias("spa-Latn"), "p_partkey")
+    path = scratch_path(spark, "wide")
+    wide.repartitionByRange(3, "p_partkey").sortWithinPartitions("p_partkey").drop("p_partkey").write.json(path)
+    rows = readers.read_jsonl(spark, path, "English string, `spa-Latn` string", numbered=True)
+    return pairs.english_centric_items(rows, "d", "test", "spa_Latn").select("sample_id", "source_text", "reference_text")
+
+
+@query("SELECT line, value FROM (SELECT row_number() OVER (ORDER BY event_id) AS line, CASE WHEN event_id % 50 = 7 THEN left(props, 4) ELSE props END AS value, event_id FROM events) WHERE event_id % 50 = 7")
+def malformed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events' properties as a file of JSON lines, some of them cut off: those are named by their number."""
+    path = scratch_path(spark, "lines")
+    cut = F.when(F.col("event_id") % 50 == 7, F.substring("props", 1, 4)).otherwise(F.col("props"))
+    table(spark, sf_dir, "events").select("event_id", cut.alias("value")).coalesce(1).sortWithinPartitions("event_id").select("value").write.text(path)
+    return readers.malformed_lines(spark, path, "k int").select("line", "value")
 
 
 @query("SELECT p_partkey, p_name AS input, p_type AS output FROM part WHERE p_size > 5")

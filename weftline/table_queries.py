@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import names, text
-from .operators import incremental, lexicon, metrics, pairs, remote, sampling
+from .operators import incremental, lexicon, lookup_index, metrics, pairs, remote, sampling, shards
 from .plans import programs
 from .registering import TURNS, documents, query, table, turns
-from .sources import readers, writers
+from .sources import paged, readers, writers
 from .storage import scratch_path
 from .streaming import incremental as streams
 
@@ -52,10 +52,10 @@ def parse_tsv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both[0].unionByName(both[1]).select(C("_ord").alias("i"), "kind", "text0", "text1")
 
 
-DICTIONARY_TERMS = ("猫", "於", "囧", "學", "学习", "珺")
+DICTIONARY_TERMS = ("猫", "於", "囧", "學", "学习", "珺", "俱乐部", "姊妹", "凶猛")
 
 
-@query("SELECT p_partkey, ['猫', '於', '囧', '學', '学习', '珺'][p_partkey % 6 + 1] AS simplified, p_name || ';' || p_type AS defs FROM part WHERE p_partkey % 7 <> 0 AND p_partkey % 6 NOT IN (1, 3)")
+@query("SELECT p_partkey, ['猫', '於', '囧', '學', '学习', '珺', '俱乐部', '姊妹', '凶猛'][p_partkey % 9 + 1] AS simplified, p_name || ';' || p_type AS defs FROM part WHERE p_partkey % 7 <> 0 AND p_partkey % 9 NOT IN (1, 3, 8)")
 def parse_cedict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dictionary lines of the parts: comments and Traditional terms go, and so do classifiers and definitions that came before in another case."""
     term = case(C("p_partkey"), *[F.lit(t) for t in DICTIONARY_TERMS])
@@ -302,6 +302,20 @@ def lookup_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(C("term_id").alias("term"), C("_ord").alias("entry"), "rank", "match_type")
 
 
+@query("""
+WITH t AS (SELECT DISTINCT lower(split_part(p_name, ' ', 2)) AS key FROM part UNION SELECT DISTINCT lower(p_name) || ' indeed' FROM part WHERE p_size = 7 UNION SELECT 'e' UNION SELECT 'zz' UNION SELECT ''),
+m AS (SELECT key, p_partkey, p_retailprice, p_brand, p_name FROM t JOIN part ON contains(lower(p_name), key) OR contains(key, lower(p_name)))
+SELECT key AS term, p_partkey AS entry, CAST(row_number() OVER (PARTITION BY key ORDER BY lower(p_name) <> key, p_retailprice DESC, p_brand, p_name, p_partkey) AS INTEGER) AS rank, CASE WHEN lower(p_name) = key THEN 'exact' ELSE 'contains' END AS match_type FROM m QUALIFY rank <= 3
+""")
+def lookup_terms_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best entries for a table of terms from a stored index: short terms read their first ranks only."""
+    part = table(spark, sf_dir, "part")
+    keys = part.select(F.lower(F.split("p_name", " ")[1]).alias("key")).union(part.where("p_size = 7").select(joined(F.lower("p_name"), " indeed"))).union(spark.createDataFrame([("e",), ("zz",), ("",)], "key string")).distinct()
+    index = part.select(C("p_brand").alias("src_lang"), F.lit("y").alias("tgt_lang"), C("p_name").alias("source_text"), C("p_retailprice").alias("confidence"), F.lower("p_name").alias("norm_key"), C("p_partkey").alias("_ord"))
+    found = lookup_index.store(index, scratch_path(spark, "lexicon")).lookup_terms(keys.select(C("key").alias("term_id"), "key"), 3)
+    return found.select(C("term_id").alias("term"), C("_ord").alias("entry"), "rank", "match_type")
+
+
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def incremental_dedup_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First arrivals of (user, type) by a stream over the event file, run until nothing new is there."""
@@ -406,16 +420,84 @@ def permuted_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("part", "chunk", F.md5("input").alias("input"), F.md5("output").alias("output"))
 
 
-@query("""
-WITH t AS (SELECT CASE WHEN conv_id % 3 = 0 THEN 'a' ELSE 'b' END AS run, conv_id || ':' || turn AS id, conv_id FROM conversations)
-SELECT run, 'd' AS corpus, 'eng_Latn->spa_Latn' AS pair, 100.0::DOUBLE AS bleu, count(*) AS num FROM t GROUP BY run
-""")
+def plain_marks(c: str) -> str:
+    """The tokenizer's four marks in a text as their characters, in DuckDB's SQL."""
+    for name, char in (("quot", 34), ("amp", 38), ("lt", 60), ("gt", 62)):
+        c = f"replace({c}, chr(38) || '{name}' || chr(59), chr({char}))"
+    return c
+
+
+@query("WITH " + TURNS + ", " + bleu_sql(f"w AS (SELECT conv_id || ':' || turn AS id, CASE WHEN conv_id % 3 = 0 THEN 'a' ELSE 'b' END AS run, {mteval_sql(plain_marks('trim(CASE WHEN conv_id % 3 = 0 THEN left(output, greatest(length(output) - 20, 0)) ELSE output || chr(32) || input END)'))} AS h, {mteval_sql(plain_marks('trim(output)'))} AS r FROM t)", "run"))
 def evaluated_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Several runs' stored hypotheses at once, each equal to its references; a run without any is passed over."""
-    rows = table(spark, sf_dir, "conversations").select(F.lit("d").alias("dataset"), F.lit("eng_Latn").alias("src_lang"), F.lit("spa_Latn").alias("tgt_lang"), F.concat_ws(":", "conv_id", "turn").alias("sample_id"), joined("one two three four ", C("text")).alias("source_text"), joined("one two three four ", C("text")).alias("reference_text"), "conv_id", F.lit("").alias("eval_corpus"), F.lit("").alias("eval_pair"), F.struct("conv_id", "turn").alias("_ord"))
-    stored = rows.withColumn("hypothesis", C("reference_text"))
+    """Two runs' stored hypotheses at once: answers that break off, and answers that go on with the question; a run without any is passed over."""
+    said = F.when(C("conv_id") % 3 == 0, F.expr("left(output, greatest(length(output) - 20, 0))")).otherwise(joined(C("output"), " ", C("input")))
+    rows = turns(spark, sf_dir).select(F.lit("d").alias("dataset"), F.lit("eng_Latn").alias("src_lang"), F.lit("spa_Latn").alias("tgt_lang"), F.concat_ws(":", "conv_id", "turn").alias("sample_id"), C("input").alias("source_text"), C("output").alias("reference_text"), said.alias("hypothesis"), "conv_id", F.lit("").alias("eval_corpus"), F.lit("").alias("eval_pair"), "_ord")
     out = None
     for run, part in (("a", "conv_id % 3 = 0"), ("b", "conv_id % 3 <> 0")):
-        one = programs.evaluate_runs({run: stored.where(part), "none": None}, rows.where(part).drop("hypothesis"))
+        one = programs.evaluate_runs({run: rows.where(part), "none": None}, rows.where(part).drop("hypothesis"))
         out = one if out is None else out.unionByName(one)
-    return out.select("run", "corpus", "pair", F.round("bleu", 6).alias("bleu"), "num")
+    return out.select("run", F.round("bleu", 6).alias("bleu"), "num")
+
+
+THAI_LIST = ("กา", "นี", "โต๊ะ", "ดู", "มา", "ไป", "รถ", "เมือง")
+
+
+@query(f"""
+WITH w AS (SELECT {list(THAI_LIST)} AS w), k AS (SELECT p_partkey, p_size, w[p_partkey % 8 + 1] AS a, w[p_partkey // 8 % 8 + 1] AS b, w[p_partkey // 64 % 8 + 1] AS c FROM part, w)
+SELECT p_partkey, concat_ws(' ', a, b, 'ซซ', c, p_size, 'AB', b) AS words FROM k
+""")
+def thai_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts made of a list of Thai words, with characters outside of it, numbers and Latin words, cut into their words."""
+    word = [case(F.floor(C("p_partkey") / 8**k).cast("long"), *[F.lit(t) for t in THAI_LIST]) for k in range(3)]
+    made = joined(word[0], word[1], "ซซ", word[2], C("p_size").cast("string"), " AB", word[1])
+    return table(spark, sf_dir, "part").select("p_partkey", metrics.thai_words(THAI_LIST)(made).alias("words"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 5 <> 0 THEN upper(source || ':' || doc_id) END AS hypothesis, CASE WHEN doc_id % 5 = 0 THEN 'turned away: ' || source || ':' || doc_id END AS error FROM documents")
+def windowed_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request for each document through a window of eight a partition; every fifth is turned away."""
+
+    def answer(prompt: str) -> str:
+        if int(prompt.rsplit(":", 1)[1]) % 5 == 0:
+            raise ValueError(f"turned away: {prompt}")
+        return prompt.upper()
+
+    asked = documents(spark, sf_dir).select("doc_id", joined(C("source"), ":", C("doc_id").cast("string")).alias("prompt"))
+    return remote.translate(asked, answer, "prompt", workers=8, retries=0).select("doc_id", "hypothesis", "error")
+
+
+@query("SELECT doc_id, lang || '>' || source || ' ' || length(text) AS hypothesis FROM documents")
+def length_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by direction and like length in batches under a budget of padded words; each answer is back at its row."""
+    rows = documents(spark, sf_dir).select("doc_id", C("text").alias("source_text"), C("lang").alias("src_lang"), C("source").alias("tgt_lang"))
+    return remote.in_length_batches(rows, lambda texts, src, tgt: [f"{src}>{tgt} {len(t)}" for t in texts], 16384).select("doc_id", "hypothesis")
+
+
+@query("SELECT lang AS key, count(*) AS rows, count(*) FILTER (text <> '') AS filled, CAST(sum(length(text)) AS BIGINT) AS chars, min(length(text)) AS least, max(length(text)) AS most FROM documents GROUP BY lang")
+def shard_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics by language of the documents as six shards: two at first, then all, of which the first two aren't read again."""
+    path, store = scratch_path(spark, "shards"), scratch_path(spark, "statistics")
+    documents(spark, sf_dir).select("lang", "text").repartition(6).write.parquet(path)
+    found = readers.find_files(spark, path, "*.parquet")
+    shards.update_statistics(spark, found, store, C("lang"), C("text"), max_shards=2)
+    return shards.merged(shards.update_statistics(spark, found, store, C("lang"), C("text")))
+
+
+@query("SELECT event_id, event_type FROM events WHERE event_type = 'click' ORDER BY event_id LIMIT 300")
+def pulled_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as pages of a hundred, pulled four at a time until 300 clicks are there."""
+    path = scratch_path(spark, "pages")
+    table(spark, sf_dir, "events").select("event_id", "event_type", F.floor(C("event_id") / 100).alias("page")).repartition("page").write.partitionBy("page").json(path)
+
+    def fetch(page: int) -> list[tuple] | None:
+        import json
+
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(path)
+        files = store.get_file_info(fs.FileSelector(f"{root}/page={page}", allow_not_found=True))
+        rows = [json.loads(line) for f in files if f.path.endswith(".json") for line in store.open_input_stream(f.path).read().splitlines()]
+        return sorted((r["event_id"], r["event_type"]) for r in rows) or None
+
+    spark.dataSource.register(paged.paged_source("event-pages", "event_id long, event_type string", fetch))
+    return paged.pull_until(spark, "event-pages", 300, C("event_type") == "click", pages_at_a_time=4).select("event_id", "event_type")
