@@ -89,3 +89,37 @@ def test_quotes_blocks_tags_and_nested_literals():
 def test_tags_and_blocks_are_linear():
     for piece in ('<a "', "<a b='", "key: |\n ", "<k v='1'>x", '"""', "private_key = '''", 'a="key=', "\\\""):
         S.scan("private_key </ = " + piece * 20_000)
+
+
+def test_forms_of_assignment():
+    key = "Zk3aa99Lq0pW7"
+    for text in (
+        f'db_passphrase: str = "{key}"', f'os.environ["AUTH_KEY"] = "{key}"', f'config["db"]["private_key"] = "{key}"', f'#define AUTH_KEY "{key}"', f"define('DB_AUTH_KEY', '{key}')", f'setenv("AUTH_KEY", "{key}")', f'auth_key = (\n    "{key}"\n)',
+        f'auth_key = ["{key}"]', f"AUTH_KEY ?= {key}", f'auth_key += "{key}"', f'auth_key =\n  "{key}"', f'const authKey: string = "{key}"', f'let api_secret_key: String = "{key}";', f'char auth_key[] = "{key}";', f'const authKey string = "{key}"',
+        f'auth_key = r"{key}"', f'auth_key = \\\n  "{key}"',
+    ):
+        assert found(text) == [key], text
+    text = 'A = "Zk3aa99"\nB = "Lq0pW7"\nauth_key = f"{A}{B}"'
+    assert found(text) == ["{A}{B}"] and ("auth_key", key) in [p[:2] for p in S.pairs(text)]
+    assert ("auth_key", "Zk3aa99Lq0pW7") in [p[:2] for p in S.pairs('auth_key = "Zk3aa99"\nauth_key += "Lq0pW7"')]
+    assert found('A="Zk3aa99Lq0"\nPRIVATE_KEY="${A}pW7"') == ["${A}pW7"]
+
+
+def test_names_types_and_calls_are_no_literals():
+    for text in ('const authKey: string = "short"', "let api_secret_key: String = foo;", "auth_token = get_auth_token_from_env()", "private_key = settings.PRIVATE_KEY_VALUE", 'auth_key := os.Getenv("NAME")', "const authKey: string = getKey()", "auth_key = self.authKey2", "private_key: PrivateKeyType"):
+        assert found(text) == [], text
+    assert found("settings.KEY = 'Zk3aa99Lq0pW7'\nprivate_key = settings.KEY") == ["Zk3aa99Lq0pW7"]
+
+
+def test_literals_within_literals():
+    """As deep as quotes go: escaped, other quotes, connection strings."""
+    text = """a = 'b="c=`private_key=Zk3aa99Lq0pW7`"'"""
+    assert any(n == "private_key" and v.startswith("Zk3aa99Lq0pW7") for n, v, *_ in S.pairs(text))
+
+
+def test_redact_edge_cases(spark):
+    rows = [(1, None), (2, ""), (3, "auth_key = 'Zk3aa99Lq0pW7'"), (3, "auth_key = 'Zk3aa99Lq0pW7'")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as spans", "2 as id")
+    got = sorted((r.doc_id, r.text) for r in S.redact(df).collect() if r.text is not None)
+    assert got == [(2, ""), (3, "auth_key = '[secret]'"), (3, "auth_key = '[secret]'")] and S.redact(df).columns == df.columns
+    assert S.redact(fx.empty(spark)).count() == 0

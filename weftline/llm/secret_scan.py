@@ -1,11 +1,14 @@
 """Secret scans (9): assignment-aware lexing of source and configuration text into name-literal pairs.
 
 A text is lexed into name-literal pairs: assignments, mappings, environment exports, dotted properties, attributes and
-elements of XML, and block scalars of YAML. A literal is read from its operator on: to its closing quote, escapes and
-triple quotes minded, or bare to white space or a delimiter; what it holds is lexed in turn (connection strings, escaped
-JSON). String constants are propagated through later `name = other_name` and `a + b` right-hand sides, and each literal is
-scored by the sensitivity of its target name, its length, alphabet and entropy. Literals that score enough give a span of
-kind `name`. Three base patterns (assign, access, hex) always stay.
+elements of XML, and block scalars of YAML. Before the operator there may be quotes, a subscript or a type; a macro's name, or
+the first argument of a call, names the literal behind it. A literal is read from its operator on, in brackets or on the next
+line too: to its closing quote, escapes and triple quotes minded, or bare to white space or a delimiter; what it holds is lexed
+in turn (connection strings, escaped JSON), however deep. String constants are propagated through later `name = other_name`,
+`a + b`, `name += b` and through names that strings embed. A bare word that reads as a name, an attribute or a call stands for
+what is known by that name, and is no literal otherwise. Each literal is scored by the sensitivity of its target name, its
+length, alphabet and entropy. Literals that score enough give a span of kind `name`. Three base patterns (assign, access, hex)
+always stay.
 """
 
 from __future__ import annotations
@@ -30,14 +33,32 @@ HEX = re.compile(r"[0-9a-f]+")
 _LONG_HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "name")
 
-#: name and operator; the literal is read on its own from there
-_PAIR = re.compile(r"""(?<![\w.$-])(?:\\?["'])?([A-Za-z_$][\w.$-]*+)(?:\\?["'])?[ \t]*+(?::=|=>|[:=])(?!=)[ \t]*+""")
-#: triple quotes, quotes (plain, then themselves escaped), and bare words
+#: name and operator; the literal is read on its own from there. Names: in quotes or plain (then with a type, or brackets, behind), a subscript, a macro's, the first argument of a call.
+_TYPE = r"[A-Za-z_&*][\w.:<>\[\]|&*?']*+(?:[ \t]++[\w.<>\[\]|&*?']++){0,2}+"
+_OPERATOR = r"(?::=|=>|\?=|\+=|\|\|=|\.=|[:=])(?!=)"
+_PAIR = re.compile(
+    rf"""(?<![\w.$-])(?:\\?["'])?(?P<plain>[A-Za-z_$][\w.$-]*+)(?:\\?["'])?(?:\[[ \t]*+\w*+[ \t]*+\])?[ \t]*+(?:(?::[ \t]*+{_TYPE}[ \t]++|(?:string|String|str)[ \t]++)=[ \t]++|(?P<op>{_OPERATOR})[ \t]*+)|"""
+    rf"""\[[ \t]*+\\?["'](?P<sub>[A-Za-z_$][\w.$-]*+)\\?["'][ \t]*+\][ \t]*+{_OPERATOR}[ \t]*+|"""
+    r"""#[ \t]*+define[ \t]++(?P<macro>[A-Za-z_]\w*+)[ \t]++(?=["'])|"""
+    r"""\([ \t]*+["'](?P<arg>[A-Za-z_$][\w.$-]*+)["'][ \t]*+,[ \t]*+(?=["'])"""
+)
+#: what may stand between an operator and a quoted literal: an opening bracket, a line's end; a literal's prefix
+_OPENING = re.compile(r"""(?:[ \t]*+(?:\\?\n|[(\[])){1,3}+[ \t]*+(?=[rRbBuUfF]{0,2}["'`])""")
+_ENDING = re.compile(r"[ \t]*+(?:[)\],;+]|\\?\n|\Z)")
+#: Bare words longer than this are literals of sensitive names only.
+LONG_BARE = 4096
+_PREFIX = re.compile(r"""[rRbBuUfF]{1,2}+(?=["'])""")
+#: a name within a string: {name}, ${name} and $name
+_EMBEDDED = re.compile(r"\$?\{([A-Za-z_]\w*+)\}|\$([A-Za-z_]\w*+)")
+#: words of letters, parts joined by dots and underscores, digits at the ends of parts only: names, attributes, types
+_READS_AS_NAME = re.compile(r"[$_]*+(?:[A-Z]++[a-z]*+|[a-z]++)+[0-9]{0,2}(?:(?:\.|->|::|_)+(?:[A-Z]++[a-z]*+|[a-z]++)+[0-9]{0,2})*+_*+$")
+#: triple quotes, and quotes (plain, then themselves escaped)
 _LITERAL = re.compile(
     r'"""(?P<t1>(?:[^"\\]|\\.|"(?!""))*+)"""|' + r"'''(?P<t2>(?:[^'\\]|\\.|'(?!''))*+)'''|" + r'"(?P<q1>(?:[^"\\\n]|\\.)*+)"|' + r"'(?P<q2>(?:[^'\\\n]|\\.)*+)'|`(?P<q3>[^`\n]*+)`|"
-    + r'\\"(?P<e1>(?:[^"\\\n]|\\[^"\n])*+)\\"|' + r"\\'(?P<e2>(?:[^'\\\n]|\\[^'\n])*+)\\'|" + r"""(?P<bare>[^\s"'`(){}\[\],;<>]++)""",
+    + r'\\"(?P<e1>(?:[^"\\\n]|\\[^"\n])*+)\\"|' + r"\\'(?P<e2>(?:[^'\\\n]|\\[^'\n])*+)\\'",
     re.S,
 )
+_BARE = re.compile(r"""[^\s"'`(){}\[\],;<>]++""")
 _NAME = re.compile(r"^[A-Za-z_$][\w.$-]*$")
 _CONCAT = re.compile(r"""[ \t]*+("(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'|[A-Za-z_$][\w.$]*+)[ \t]*+(?:\+|\.\.)[ \t]*+""")
 #: a block scalar's mark, up to the end of its line
@@ -123,50 +144,83 @@ def tagged(text: str) -> Iterator[tuple[str, str, int, int]]:
             yield name or m[1], body, start, start + len(body)
 
 
-def pairs(text: str, depth: int = 2) -> Iterator[tuple[str, str, int, int]]:
-    """name, literal (constants propagated), and the literal's span in the text, in order.
+def pairs(text: str) -> Iterator[tuple[str, str, int, int]]:
+    """name, literal (constants propagated), and the literal's span in the text.
 
     A right-hand side that is a name known by then gives that name's literal, at that literal's place; string parts joined
-    by + give the joined literal, at the whole expression's place. A right-hand side that is no literal (an opening bracket, the
-    end of the line), or is itself a name with an operator, is searched for pairs from just behind the operator; a quoted
-    one is lexed inside too, to the given depth.
+    by +, and names that a string embeds, give the joined literal, at the whole expression's place. A right-hand side that is
+    no literal (an opening bracket, an unknown name, a call), or is itself a name with an operator, is searched for pairs from
+    just behind the operator; a quoted one is lexed inside too.
     """
+    todo = [(text, 0)]
+    while todo:
+        part, offset = todo.pop()
+        for name, value, start, end, inner in _pairs_of(part):
+            yield name, value, start + offset, end + offset
+            if inner:
+                todo.append((part[inner[0] : inner[1]], offset + inner[0]))
+
+
+def _pairs_of(text: str) -> Iterator[tuple[str, str, int, int, tuple[int, int] | None]]:
+    """The pairs of one text, and where the inside of a quoted literal that may hold others lies."""
     known: dict[str, tuple[str, int, int]] = {}
-    here = 0
+    here = bare_end = 0
     while m := _PAIR.search(text, here):
-        name, at = m[1], m.end()
+        name, at = m[m.lastgroup if m.lastgroup != "op" else "plain"], m.end()
         here = at
         if block := _BLOCK.match(text, at):
             if found := _block(text, text.rfind("\n", 0, m.start()) + 1, block.end()):
-                yield name, *found
+                yield name, *found, None
             continue
-        parts, pos = [], at
+        opening = _OPENING.match(text, at)
+        parts, pos = [], opening.end() if opening else at
+        begin = pos
+        prefix = _PREFIX.match(text, pos)
+        pos = prefix.end() if prefix else pos
         while step := _CONCAT.match(text, pos):
             parts.append(step[1])
             pos = step.end()
         lit = _LITERAL.match(text, pos)
-        if not lit:
+        kind = lit.lastgroup if lit else "bare"
+        if lit:
+            end = here = lit.end()
+        else:
+            if pos >= bare_end:  # a bare word's end is looked for once, however many names are in it
+                bare_end = (word := _BARE.match(text, pos)) and word.end() or pos
+            end = bare_end
+            if end == pos:
+                continue
+            here = pos
+            if end - pos > LONG_BARE and not _NAME_HINT.search(name):
+                continue
+        if opening and not _ENDING.match(text, end):
             continue
-        kind, whole = lit.lastgroup, lit[0]
-        here = lit.start() if kind == "bare" else lit.end()
+        whole, inner = text[pos:end], None
         if parts:
             values = []
             for p in [*parts, whole]:
                 values.append(p[1:-1] if p[0] in "\"'" else known.get(p, ("", 0, 0))[0] if _NAME.match(p) else p)
-            found = ("".join(values), at, lit.end())
+            found = ("".join(values), begin, end)
         elif kind != "bare":
-            inner = lit[kind].strip() if kind in ("t1", "t2") else lit[kind]
-            start = lit.start(kind) + lit[kind].index(inner)
-            found = (inner, start, start + len(inner))
+            body = lit[kind].strip() if kind in ("t1", "t2") else lit[kind]
+            start = lit.start(kind) + lit[kind].index(body)
+            found = (body, start, start + len(body))
+            embeds = [e for e in _EMBEDDED.finditer(body) if (e[1] or e[2]) in known] if "{" in body or "$" in body else []
+            if embeds:
+                found = (_EMBEDDED.sub(lambda e: known[e[1] or e[2]][0] if (e[1] or e[2]) in known else e[0], body), start, start + len(body))
         elif whole in known:
             found = known[whole]
+        elif text.startswith("(", end) or _READS_AS_NAME.match(whole.rstrip(".")):
+            continue
         else:
             bare = whole.rstrip(".")
-            found = (bare, lit.start(), lit.start() + len(bare))
+            found = (bare, pos, pos + len(bare))
+        if m["op"] == "+=" and name in known:
+            found = (known[name][0] + found[0], *found[1:])
         known[name] = found
-        yield name, *found
-        if kind != "bare" and depth and _NAME_HINT.search(lit[kind]):
-            yield from ((n, v, s + lit.start(kind), e + lit.start(kind)) for n, v, s, e in pairs(lit[kind], depth - 1))
+        if kind != "bare" and _NAME_HINT.search(lit[kind]):
+            inner = lit.span(kind)
+        yield name, *found, inner
 
 
 def scan(text: str, raw: bytes | None = None) -> list[tuple[int, int, str]]:
@@ -180,7 +234,7 @@ def scan(text: str, raw: bytes | None = None) -> list[tuple[int, int, str]]:
     if has_long_hex(raw):
         out += [(m.start(), m.end(), "hex") for m in _LONG_HEX.finditer(text)]
     base = {(s, e) for s, e, _ in out}
-    if _NAME_HINT.search(text) and ("=" in text or ":" in text or "</" in text):
+    if _NAME_HINT.search(text) and any(c in text for c in ("=", ":", "</", "#", "(")):
         named = {(s, e) for name, value, s, e in pairs(text) if _NAME_HINT.search(name) and literal_score(name, value) >= 4}
         if "</" in text or "/>" in text:
             named |= {(s, e) for name, value, s, e in tagged(text) if _NAME_HINT.search(name) and literal_score(name, value) >= 4}
@@ -233,7 +287,10 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def redact(docs: DataFrame, mark: str = "[secret]", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with each secret span of the text replaced by mark (overlapping spans once); all columns kept, null texts stay null."""
+    """docs with each secret span of the text replaced by mark (overlapping spans once); all rows and columns kept.
+
+    Null texts stay null, empty ones empty; repeated rows are treated alike; an empty table gives an empty result.
+    """
 
     @F.pandas_udf("string")
     def clean(texts):
