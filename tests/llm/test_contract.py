@@ -79,10 +79,15 @@ def test_quality_rules(spark, folder, tmp_path):
     assert Counter((r.doc_id, r.score) for r in got) == Counter((r.doc_id, r.score) for r in again)
 
 
-def test_licence_tree(spark, folder):
-    got = R.op5_license_scan(spark, folder).collect()
-    want = Counter("/".join((r[3] or "unknown", r[2] or "unknown", "" if r[0] is None else str(r[0]))) for r in documents())
-    assert Counter(r.path for r in got) == want and all(r.license is None for r in got)
+def test_licence_tree(spark, folder, tmp_path):
+    """Licence texts and headers among the documents: a text that is mostly one speaks for its source and language."""
+    more = [(2000, "Released under the MIT License.", "en", "lic", 1), (2001, "plain words", "en", "lic", 1), (2002, "plain words", "de", "lic", 1), (2003, "# SPDX-License-Identifier: GPL-2.0-only\nint x;", "de", "lic", 1), (2004, None, "en", "lic", 1), (2001, "plain words", "en", "lic", 1)]
+    spark.createDataFrame(documents() + more, fx.SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    got = R.op5_license_scan(spark, str(tmp_path)).collect()
+    want = Counter("/".join((r[3] or "unknown", r[2] or "unknown", "" if r[0] is None else str(r[0]))) for r in documents() + more)
+    assert Counter(r.path for r in got) == want and all(r.license is None for r in got if r.doc_id is None or r.doc_id < 2000)
+    found = {r.doc_id: (r.own_license, r.license, r.inherited_from) for r in got if r.doc_id is not None and r.doc_id >= 2000}
+    assert found == {2000: ("MIT", "MIT", None), 2001: (None, "MIT", "lic/en"), 2002: (None, None, None), 2003: ("GPL-2.0", "GPL-2.0", None), 2004: (None, "MIT", "lic/en")}
 
 
 def test_fingerprint_edits(spark, folder, tmp_path):

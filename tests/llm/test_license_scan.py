@@ -28,11 +28,11 @@ def test_whole_licences():
 def test_licences_within_other_text():
     rng = random.Random(3)
     prose = "\n".join(" ".join(f"w{rng.randrange(500)}" for _ in range(12)) + "." for _ in range(200))
-    for name in ("MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Unlicense"):
+    for name in TEXTS:
         comment = "\n".join(f"# {line}".rstrip() for line in filled(name).split("\n"))
         for text in (f"{comment}\n\nimport os\n{prose}", f"{prose}\n\n{filled(name)}\n\n{prose}"):
             got = PLAIN.scan(text)
-            assert got[0] == name and got[2] < L.MOSTLY, (name, got)
+            assert got[0] == name and (got[2] < L.MOSTLY or len(L.terms(TEXTS[name])) > 900), (name, got)
     assert PLAIN.scan(f"{prose}\n\n{MIT}")[0] == "MIT" and PLAIN.scan(MIT)[0] == "MIT" and PLAIN.scan(MIT)[2] == 1.0
     head = "Licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License."
     assert PLAIN.scan(f"/*\n * {head}\n */\nclass X {{}}\n{prose}")[0] == "Apache-2.0"
@@ -79,3 +79,60 @@ def test_empty_and_own_templates(spark):
     one = spark.createDataFrame([(1, "a/x", "Covered by the House Rules of the Widget Project."), (2, "a/y", "")], "doc_id long, p string, text string")
     got = L.scan_licenses(one, "p", notices={"House": ("Covered by the House Rules of the Widget Project.",)}, licences={}).collect()
     assert {r.doc_id: r.license for r in got} == {1: "House", 2: "House"}
+
+
+GNU = {
+    "AGPL-3.0": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU Affero General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.",
+    "LGPL-2.1": "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.",
+    "GPL-3.0": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.",
+    "GPL-2.0": "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version 2 of the License, or\n(at your option) any later version.",
+    "CC-BY-NC-SA-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "CC-BY-ND-4.0": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+}
+
+
+def test_relatives_are_told_apart():
+    rng = random.Random(4)
+    idf = L.Matcher({t: rng.uniform(1, 8) for t in L.vocabulary(L.NOTICES, TEXTS)}, 4.0)
+    for matcher in (PLAIN, idf):
+        for name, head in GNU.items():
+            comment = "/*\n * " + head.replace("\n", "\n * ") + "\n */\nclass X {}\n"
+            assert matcher.scan(head)[0] == name and matcher.scan(comment)[0] == name, name
+        for other in ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 1.1.", "Licensed under the GNU General Public License, version 4.", "Licensed under CC BY-SA-NC-ND 4.0."):
+            assert matcher.scan(other)[0] is None, other
+
+
+def test_spdx_expressions():
+    for said, want in (
+        ("GPL-2.0-only", "GPL-2.0"), ("GPL-3.0-or-later", "GPL-3.0"), ("AGPL-3.0-only", "AGPL-3.0"), ("MIT OR Apache-2.0", "MIT OR Apache-2.0"), ("(MIT AND BSD-3-Clause)", "MIT AND BSD-3-Clause"), ("GPL-2.0+ */", "GPL-2.0"),
+        ("Foo-1.0", None), ("apache-2.0 with LLVM-exception", "Apache-2.0 WITH LLVM-exception"), ("(MIT OR Foo) AND ISC -->", "(MIT OR Foo) AND ISC"), ("", None), ("mit and more words", "MIT AND more"),
+    ):
+        assert PLAIN.scan(f"# SPDX-License-Identifier: {said}\nx = 1")[0] == want, said
+
+
+def test_cosines_are_what_they_are():
+    """Inverted lists against plain cosines of whole vectors."""
+    rng = random.Random(6)
+    idf = {t: rng.uniform(1, 8) for t in L.vocabulary(L.NOTICES, TEXTS)}
+    matcher = L.Matcher(idf, 3.0)
+    pool = sorted(idf) + [f"x{i}" for i in range(300)]
+    for _ in range(200):
+        vector = matcher.vector(Counter(rng.choices(pool, k=rng.randrange(1, 60))))
+        got = matcher.whole.cosines(vector)
+        for k, other in enumerate(matcher.whole.vectors):
+            assert abs(got.get(k, 0.0) - sum(w * other.get(t, 0.0) for t, w in vector.items())) < 1e-9
+
+
+def test_inheritance_over_a_random_tree(spark):
+    """Each file's licence is that of the nearest directory above it that has a voice."""
+    rng = random.Random(7)
+    heads = ["Released under the MIT License.", "Licensed under the ISC License.", "Licensed under the GNU General Public License, version 3."]
+    names = ["MIT", "ISC", "GPL-3.0"]
+    folders = ["/".join(rng.choice("abc") for _ in range(rng.randrange(1, 6))) for _ in range(120)]
+    voices = {f: rng.randrange(3) for f in set(folders) if rng.random() < 0.2}
+    rows = [(i, f"{f}/LICENSE", heads[k]) for i, (f, k) in enumerate(sorted(voices.items()))] + [(1000 + i, f"{f}/x{i}.py", "plain words of code") for i, f in enumerate(folders)]
+    got = {r.doc_id: (r.license, r.inherited_from) for r in L.scan_licenses(spark.createDataFrame(rows, "doc_id long, p string, text string"), "p").collect()}
+    for i, f in enumerate(folders):
+        ups = ["/".join(f.split("/")[:k]) for k in range(len(f.split("/")), 0, -1)]
+        near = next((u for u in ups if u in voices), None)
+        assert got[1000 + i] == ((names[voices[near]], near) if near else (None, None))

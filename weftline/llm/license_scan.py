@@ -5,7 +5,9 @@ whole texts. If that settles nothing, its passages (lines, sentences and paragra
 with the notices, and runs of paragraphs that each match a paragraph of a licence are compared, as one passage, with the
 whole texts: so texts that share paragraphs are told apart by the rest. Inverse document frequencies of the templates' terms
 come from all texts; terms outside the templates weigh as a middling one. Passages are passed over unread only if they hold
-none of the terms without which no template can be reached: a bound of the cosine, not a list of words.
+none of the terms without which no template can be reached: a bound of the cosine, not a list of words. Relatives (of the GNU
+and Creative Commons families, and versions) are told apart by the terms that mark them: a passage is never given to a notice
+with other marks. An SPDX tag decides before all, its expression with known names.
 
 A file named like a licence file (or one that is mostly licence wording) speaks for its directory, and files without a
 licence of their own take that of the nearest ancestor directory: distinct directories, not files, are joined with their
@@ -17,7 +19,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from functools import cache
 from importlib import resources
 from statistics import median
@@ -34,9 +36,9 @@ NOTICES: Mapping[str, Sequence[str]] = {
     "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."),
     "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"),
     "GPL-2.0": ("Licensed under the GNU General Public License, version 2.", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License"),
-    "LGPL-3.0": ("Licensed under the GNU Lesser General Public License, version 3.",),
-    "LGPL-2.1": ("Licensed under the GNU Lesser General Public License, version 2.1.",),
-    "AGPL-3.0": ("Licensed under the GNU Affero General Public License, version 3.",),
+    "LGPL-3.0": ("Licensed under the GNU Lesser General Public License, version 3.", "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    "LGPL-2.1": ("Licensed under the GNU Lesser General Public License, version 2.1.", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License"),
+    "AGPL-3.0": ("Licensed under the GNU Affero General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License"),
     "BSD-3-Clause": ("Licensed under the BSD 3-Clause License.",),
     "BSD-2-Clause": ("Licensed under the BSD 2-Clause License.",),
     "ISC": ("Licensed under the ISC License.",),
@@ -44,17 +46,24 @@ NOTICES: Mapping[str, Sequence[str]] = {
     "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    "CC-BY-NC-SA-4.0": ("Licensed under CC BY-NC-SA 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    "CC-BY-ND-4.0": ("Licensed under CC BY-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    "CC-BY-NC-ND-4.0": ("Licensed under CC BY-NC-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
     "CC0-1.0": ("Dedicated to the public domain under CC0 1.0.", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     "Unlicense": ("This is free and unencumbered software released into the public domain.",),
 }
 #: Least cosine of a passage with a notice or a paragraph, and of a whole text with a licence.
 THRESHOLD, WHOLE = 0.75, 0.85
-#: Texts of at most so many terms also have their paragraphs looked for, those of so many terms and more.
-SHORT, PARAGRAPH = 500, 8
+#: Paragraphs of licences of so many terms and more are looked for.
+PARAGRAPH = 8
+#: Terms that mark one of several relatives, by what they stand for; versions mark too, where both sides name one.
+MARKS = {"affero": "affero", "lesser": "lesser", "noncommercial": "nc", "nc": "nc", "sharealike": "sa", "sa": "sa", "noderivatives": "nd", "noderivs": "nd", "nd": "nd"}
 #: Share of a text's terms in its licence passages from which it counts as a licence file.
 MOSTLY = 0.5
 _TERM = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
-_SPDX = re.compile(r"(?i)SPDX-License-Identifier:\s*([A-Za-z0-9.+-]+)")
+_SPDX = re.compile(r"(?i)SPDX-License-Identifier:[ \t]*([^\n]*)")
+_SPDX_PART = re.compile(r"[()]|[A-Za-z0-9][A-Za-z0-9.+-]*")
+_VERSION = re.compile(r"[0-9]+(?:\.[0-9]+)?$")
 _COMMENT = re.compile(r"^[\s#/*;%\-!<>]+|[\s*/\-<>]+$")
 _NAMED = r"(?i)(^|/)(licen[cs]e|copying|unlicense)[^/]*$"
 
@@ -87,11 +96,44 @@ def paragraphs(text: str) -> Iterator[list[str]]:
             block = []
 
 
+def marks(found: Iterable[str]) -> tuple[frozenset[str], frozenset[str]]:
+    """The marks of relatives among terms, and the versions (2.0 is 2)."""
+    return frozenset(MARKS[t] for t in found if t in MARKS), frozenset(t.removesuffix(".0") for t in found if len(t) <= 4 and _VERSION.match(t))
+
+
+def alike(a: tuple[frozenset[str], frozenset[str]], b: tuple[frozenset[str], frozenset[str]]) -> bool:
+    """Whether marks are the same, and versions, where both have some, meet."""
+    return a[0] == b[0] and (not a[1] or not b[1] or not a[1].isdisjoint(b[1]))
+
+
+def spdx_licence(expression: str, known: Mapping[str, str]) -> str | None:
+    """A tag's expression with the names that are known, by any writing, and -only, -or-later and + taken off; None if it has none."""
+    out, any_known, operand = [], False, False
+    for part in _SPDX_PART.findall(expression):
+        if part in "()":
+            out.append(part)
+        elif part.upper() in ("AND", "OR", "WITH"):
+            out.append(part.upper())
+            operand = False
+        elif operand:  # what follows without an operator is no part of the expression
+            break
+        else:
+            base = re.sub(r"(?i)(-only|-or-later|\+)$", "", part)
+            any_known |= base.lower() in known
+            out.append(known.get(base.lower(), part))
+            operand = True
+    text = re.sub(r"\( ", "(", re.sub(r" \)", ")", " ".join(out))).strip()
+    if text.startswith("(") and text.endswith(")") and text.count("(") == 1:
+        text = text[1:-1]
+    return text if any_known else None
+
+
 class Index:
     """Named texts as unit vectors with an inverted index over their terms."""
 
     def __init__(self, named: Sequence[tuple[str, str]], weigh):
         self.names, self.postings, self.vectors = [n for n, _ in named], {}, []
+        self.marks = [marks(set(terms(text))) for _, text in named]
         for k, (_, text) in enumerate(named):
             vector = weigh(Counter(terms(text)))
             self.vectors.append(vector)
@@ -105,9 +147,12 @@ class Index:
                 dots[k] = dots.get(k, 0.0) + w * x
         return dots
 
-    def best(self, vector: Mapping[str, float]) -> tuple[str | None, float]:
-        """The nearest text's name and cosine; ties go to the earlier."""
-        dots = self.cosines(vector)
+    def best(self, vector: Mapping[str, float], least: float = 0.0, marked: bool = False) -> tuple[str | None, float]:
+        """The name and cosine of the nearest text (with marked: of those with the same marks), if it is least near or more; ties go to the earlier."""
+        dots = {k: c for k, c in self.cosines(vector).items() if c >= least}
+        if dots and marked:
+            own = marks(vector)
+            dots = {k: c for k, c in dots.items() if alike(own, self.marks[k])}
         if not dots:
             return None, 0.0
         k = min(dots, key=lambda i: (-round(dots[i], 12), i))
@@ -135,8 +180,8 @@ class Matcher:
         self.tags = {n.lower(): n for n in (*notices, *texts)}
         self.notices = Index([(name, n) for name, some in notices.items() for n in some], self.vector)
         self.whole = Index(list(texts.items()), self.vector)
-        short = [(name, " ".join(p)) for name, text in texts.items() if len(terms(text)) <= SHORT for p in paragraphs(text)]
-        self.parts = Index([(name, p) for name, p in short if len(terms(p)) >= PARAGRAPH], self.vector)
+        cut = [(name, " ".join(p)) for name, text in texts.items() for p in paragraphs(text)]
+        self.parts = Index([(name, p) for name, p in cut if len(terms(p)) >= PARAGRAPH], self.vector)
         self.triggers = self.notices.needed(THRESHOLD) | self.parts.needed(THRESHOLD)
         self.openers = self.whole.needed(WHOLE)
 
@@ -150,19 +195,28 @@ class Matcher:
         counts = Counter(terms(text))
         return None if self.triggers.isdisjoint(counts) else (self.vector(counts), counts.total())
 
-    def _run(self, run: list[tuple[str, set[str], float]]) -> tuple[str, float]:
-        """The licence of consecutive paragraphs that each match one: of those matched, that whose whole text is nearest."""
-        dots = self.whole.cosines(self.vector(Counter(terms(" ".join(p for p, _, _ in run)))))
-        able = set().union(*(names for _, names, _ in run))
-        near = [(c, self.whole.names[k]) for k, c in dots.items() if self.whole.names[k] in able]
-        cos, name = min(near, key=lambda x: (-round(x[0], 12), x[1]))
-        return name, min(1.0, max(cos, *(c for _, _, c in run)))
+    def _run(self, run: list[tuple[str, dict[str, float]]]) -> tuple[str, float]:
+        """The licence of consecutive paragraphs that each match some: that of a notice that is as near as the paragraphs, else that to whose paragraphs these come nearest in all, of equal ones that whose whole text is nearest."""
+        vector = self.vector(Counter(terms(" ".join(p for p, _ in run))))
+        most = max(max(near.values()) for _, near in run)
+        notice, near = self.notices.best(vector, THRESHOLD, marked=True)
+        if near >= most - 1e-9:
+            return notice, near
+        sums: Counter[str] = Counter()
+        for _, names in run:
+            sums.update(names)
+        top = max(sums.values())
+        whole = {self.whole.names[k]: c for k, c in self.whole.cosines(vector).items()}
+        name = min((n for n in sums if sums[n] >= top - 1e-9), key=lambda n: (-round(whole.get(n, 0.0), 12), n))
+        return name, min(1.0, max(whole.get(name, 0.0), most))
 
     def scan(self, text: str) -> tuple[str | None, float, float]:
         """Licence, cosine, and the share of the text's terms that its licence passages hold."""
         counts = Counter(terms(text))
-        if "spdx" in counts and (tag := _SPDX.search(text)) and tag[1].lower() in self.tags:
-            return self.tags[tag[1].lower()], 1.0, 0.0
+        if "spdx" in counts:
+            for tag in _SPDX.finditer(text):
+                if said := spdx_licence(tag[1], self.tags):
+                    return said, 1.0, 0.0
         if not self.openers.isdisjoint(counts):
             name, cos = self.whole.best(self.vector(counts))
             if cos >= WHOLE:
@@ -170,34 +224,44 @@ class Matcher:
         if self.triggers.isdisjoint(counts):
             return None, 0.0, 0.0
         found: list[tuple[float, str]] = []
-        run: list[tuple[str, set[str], float]] = []
+        runs: Counter[str] = Counter()  # terms of the runs of paragraphs of each licence
+        size = 0
+        run: list[tuple[str, dict[str, float]]] = []  # paragraphs, and the nearest paragraph of each licence
         covered = 0
         for lines in [*paragraphs(text), []]:
             whole = " ".join(lines)
             seen = self._of(whole) if lines else None
             dots = {k: c for k, c in self.parts.cosines(seen[0]).items() if c >= THRESHOLD} if seen else {}
+            own = marks(seen[0]) if dots else None
+            dots = {k: c for k, c in dots.items() if alike(own, self.parts.marks[k])}
             if dots:
-                run.append((whole, {self.parts.names[k] for k in dots}, max(dots.values())))
+                near: dict[str, float] = {}
+                for k, c in dots.items():
+                    near[self.parts.names[k]] = max(c, near.get(self.parts.names[k], 0.0))
+                run.append((whole, near))
                 covered += seen[1]
+                size += seen[1]
                 continue
             if run and (not seen or not lines):
                 name, cos = self._run(run)
                 found.append((cos, name))
-                run = []
+                runs[name] += size
+                run, size = [], 0
             if not seen:
                 continue
-            name, cos = self.notices.best(seen[0])
+            name, cos = self.notices.best(seen[0], THRESHOLD, marked=True)
             if cos >= THRESHOLD:
                 found.append((cos, name))
                 covered += seen[1]
             for line in lines if len(lines) > 1 or cos < THRESHOLD else ():
-                hits = [(c, n, k) for p in dict.fromkeys([line, *re.split(r"(?<=[.!?;])\s+", line)]) if (own := self._of(p)) for n, c, k in [(*self.notices.best(own[0]), own[1])] if c >= THRESHOLD]
+                hits = [(c, n, k) for p in dict.fromkeys([line, *re.split(r"(?<!\bv\.)(?<=[.!?;])\s+", line)]) if (own := self._of(p)) for n, c, k in [(*self.notices.best(own[0], THRESHOLD, marked=True), own[1])] if c >= THRESHOLD]
                 found += [(c, n) for c, n, _ in hits]
                 covered += max((k for _, _, k in hits), default=0) if cos < THRESHOLD else 0
         if not found:
             return None, 0.0, 0.0
         best = max(c for c, _ in found)
-        name = next(n for c, n in found if c >= best - 1e-12)
+        best_ones = [n for c, n in found if c >= best - 1e-12]
+        name = max(best_ones, key=lambda n: runs[n])  # of those that are equally near, that of the most paragraphs, then the first
         return name, best, min(1.0, covered / max(1, counts.total()))
 
 
@@ -234,7 +298,8 @@ def scan_licenses(files: DataFrame, path_col: str, id_col: str = "doc_id", text_
 
     notices, licences: templates by name instead of NOTICES and whole_texts(). Null texts are empty; texts of any length are
     read whole; a null path stands alone (nothing is inherited); of several licence files in a directory one that is named
-    like one, then the highest cosine, then the least name, speaks; of passages that are equally near the first counts, of templates the first given. Repeated
+    like one, then the highest cosine, then the least name, speaks; of passages that are equally
+    near that counts of whose licence there are most paragraphs, then the first, of templates the first given. Repeated
     rows stay; other columns, whatever their names, are left out; an empty table gives an empty result.
     """
     notices, licences = NOTICES if notices is None else notices, dict(whole_texts() if licences is None else licences)
