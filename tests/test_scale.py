@@ -426,3 +426,70 @@ def test_a_hot_term_reads_its_first_ranks_only(spark, tmp_path):
     assert "(b#" in pruned and "(level#" in pruned and "EqualTo(piece,e)" in text
     assert plan.count() == 1024
     assert [r.confidence for r in stored.lookup("a", "x", "e", 5, 2).collect()] == [6.0] * 5
+
+
+def test_a_plan_runs_once_for_lines_and_preview(spark, tmp_path):
+    from weftline.sources import writers
+
+    log = str(tmp_path / "rows")
+
+    def noted(x):
+        with open(log, "a") as f:
+            f.write("x")
+        return x
+
+    df = spark.range(0, 300, 1, 3).select(F.udf(noted, "long")("id").alias("v"), (-F.col("id")).alias("_ord"))
+    assert writers.write_jsonl(df, str(tmp_path / "out"), n=4) == 300
+    assert len(open(log).read()) == 300 and [json.loads(x)["v"] for x in writers.preview_of(spark, str(tmp_path / "out.preview_4"))] == [299, 298, 297, 296]
+
+
+def test_published_tables_are_never_missing(spark, tmp_path):
+    from weftline.sources import writers
+
+    path = str(tmp_path / "table")
+    assert writers.publish(spark, spark.range(3), path, dry_run=True) is None and not (tmp_path / "table").exists()
+    first = writers.publish(spark, spark.range(3), path)
+    old = writers.read_published(spark, path, "id long")
+    assert old.count() == 3
+    stop, seen = threading.Event(), []
+
+    def watch():
+        while not stop.is_set():
+            seen.append(writers.published(spark, path).rsplit("/", 1)[1])
+
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    second = writers.publish(spark, spark.range(5), path)
+    stop.set()
+    watcher.join()
+    assert seen and set(seen) <= {first, second} and writers.read_published(spark, path, "id long").count() == 5
+    assert old.count() == 3  # who began before still reads its version
+    third = writers.publish(spark, spark.range(7), path)
+    assert sorted(p.name for p in (tmp_path / "table").iterdir() if p.is_dir()) == [second, third]
+
+
+def test_values_are_cut_before_they_meet(spark):
+    """No array of a group's values is longer than the limit, and no window's partition is sent whole."""
+    from weftline.operators import lexicon
+
+    df = spark.range(0, 5000, 1, 4).selectExpr("id % 2 as g", "concat('v', id % 900) as v", "id as _ord")
+    found = lexicon.distinct_by_key(df, ["g"], "v", 5)
+    assert {r.g: r["values"] for r in found.collect()} == {g: [f"v{i}" for i in range(g, 10, 2)] for g in (0, 1)}
+    assert "WindowGroupLimit" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hot_keys_and_letters_among_terms(spark):
+    """A third of all entries have one key, many none, and every key holds one letter: the best are still those of all."""
+    from weftline.operators import lexicon
+
+    rng = random.Random(11)
+    keys = ["same"] * 300 + [""] * 50 + ["".join(rng.choice("aes") for _ in range(rng.randrange(1, 8))) for _ in range(550)]
+    rows = [(rng.choice("ab"), "y", k, rng.randrange(4) / 4, i) for i, k in enumerate(keys)]
+    index = spark.createDataFrame(rows, "src_lang string, tgt_lang string, source_text string, confidence double, _ord int").withColumn("norm_key", F.col("source_text"))
+    terms = ["e", "", "same", "the same thing", "aes", "eaes", "zz", "sa"]
+    got = {(r.term_id, r["rank"]): (r._ord, r.match_type) for r in lexicon.lookup_terms(index, spark.createDataFrame([(t, t) for t in terms], "term_id string, key string"), 4).collect()}
+    want = {}
+    for t in terms:
+        best = sorted((r for r in rows if t in r[2] or r[2] in t), key=lambda r: (r[2] != t, -r[3], r[0], r[1], r[2], r[4]))
+        want |= {(t, k): (r[4], "exact" if r[2] == t else "contains") for k, r in enumerate(best[:4], 1)}
+    assert got == want

@@ -24,8 +24,10 @@ def distinct_by_key(rows: DataFrame, keys: Sequence[str], value: str, limit: int
     """
     clean = rows.select(*keys, normalize_space(F.col(value)).alias("_v"), F.col(order).alias("_o")).where("_v <> ''").withColumn("_k", normalize_key(F.col("_v")))
     first = clean.groupBy(*keys, "_k").agg(F.min(F.struct("_o", "_v")).alias("_f"))
+    if limit is not None:  # no task is sent more than limit values of a group by any other, and no array is longer
+        first = first.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy("_f"))).where(F.col("_place") <= limit)
     listed = F.transform(F.array_sort(F.collect_list(F.struct("_f._o", "_f._v"))), lambda x: x["_v"])
-    return first.groupBy(*keys).agg((F.slice(listed, 1, limit) if limit is not None else listed).alias("values"))
+    return first.groupBy(*keys).agg(listed.alias("values"))
 
 
 def records(groups: DataFrame, source: str, src_lang: str, tgt_lang: str, confidence: float, url: str = "", license_note: str = "", pivot: str | None = None) -> DataFrame:
@@ -61,7 +63,7 @@ def dictionary_forward(entries: DataFrame, url: str = "", license_note: str = ""
     keyed = entries.withColumn("key", normalize_key(F.col("simplified")))
     first = keyed.groupBy("key").agg(F.min_by(F.struct("simplified", "defs"), "_ord").alias("r"), F.min("_ord").alias("_ord"))
     flat = first.select("key", F.col("r.simplified").alias("source_text"), "_ord", F.posexplode("r.defs").alias("pos", "value")).withColumn("at", F.struct("_ord", "pos"))
-    values = distinct_by_key(flat, ["key"], "value", None, "at")
+    values = distinct_by_key(flat, ["key"], "value", MOST_CANDIDATES, "at")
     return records(values.join(first.select("key", F.col("r.simplified").alias("source_text"), "_ord"), "key"), "cc_cedict", "zho_Hans", "eng_Latn", 0.9, url, license_note)
 
 
@@ -69,7 +71,7 @@ def dictionary_backward(entries: DataFrame, url: str = "", license_note: str = "
     """English-Chinese entries: definitions grouped by key, with the terms they define in order."""
     flat = entries.select("simplified", "_ord", F.posexplode("defs").alias("pos", "def")).withColumn("at", F.struct("_ord", "pos")).withColumn("key", normalize_key(F.col("def")))
     surface = flat.groupBy("key").agg(F.min_by("def", "at").alias("source_text"), F.min("at").alias("_ord"))
-    values = distinct_by_key(flat, ["key"], "simplified", None, "at")
+    values = distinct_by_key(flat, ["key"], "simplified", MOST_CANDIDATES, "at")
     return records(values.join(surface, "key"), "cc_cedict", "eng_Latn", "zho_Hans", 0.88, url, license_note)
 
 
@@ -162,12 +164,16 @@ def _parts(rows: DataFrame, key: str, sizes: Column) -> DataFrame:
     return rows.select("*", F.explode(F.array_distinct(F.when(F.length(key) >= F.array_min(sizes), cuts).otherwise(none))).alias("gram"))
 
 
-def _held_by(small: DataFrame, large: DataFrame) -> DataFrame:
-    """s, l: ids of small (s, sk) and large (l, lk) of which lk holds sk, for keys that aren't empty.
+def _pieces(large: DataFrame) -> DataFrame:
+    """gram, l, lk: each piece of up to GRAM characters of the keys lk."""
+    return written(_parts(large, "lk", F.filter(F.sequence(F.lit(1), F.lit(GRAM)), lambda n: n <= F.length("lk"))).select("gram", "l", "lk"), "pieces")
+
+
+def _held_by(small: DataFrame, have: DataFrame) -> DataFrame:
+    """s, l: ids of small (s, sk) and of the keys with those pieces that hold sk, for keys that aren't empty.
 
     A key is held only where its rarest piece of GRAM characters (the whole key, if shorter) is; that piece is the join's key.
     """
-    have = written(_parts(large, "lk", F.filter(F.sequence(F.lit(1), F.lit(GRAM)), lambda n: n <= F.length("lk"))).select("gram", "l", "lk"), "pieces")
     often = have.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     own = _parts(small.where("sk <> ''"), "sk", F.array(F.least(F.length("sk"), F.lit(GRAM))))
     least = own.join(often, "gram", "left").groupBy("s", "sk").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
@@ -181,18 +187,30 @@ GRAM = 3
 def lookup_terms(index: DataFrame, terms: DataFrame, top_k: int = 10) -> DataFrame:
     """The best top_k entries of the whole index for each row of terms (term_id, key): either key holds the other, ranked as in search, with rank and match_type.
 
-    Pairs come from a join on rare pieces of the keys, not from all against all. An empty key is held by, and an empty entry
-    in, every other: such rows (a bounded few) meet the rest by a broadcast.
+    Entries are numbered in order of rank first. Of entries with one key only top_k can be among a term's best, so no more are
+    looked at; and a term of up to GRAM characters takes the first top_k that have it, so that one letter doesn't meet the
+    whole index. Longer terms, and keys that terms hold, meet by a join on rare pieces, never all against all. An empty term
+    takes the first top_k of all, and of empty entries, which every term holds, the first top_k stand for the rest.
     """
-    entries = written(index.withColumn("_entry", F.monotonically_increasing_id()), "entries")
+    from .sampling import numbered
+
+    by = F.struct((-F.col("confidence")).alias("c"), F.col("src_lang").alias("s"), F.col("tgt_lang").alias("t"), F.col("source_text").alias("x"), F.col("_ord").alias("o"))
+    entries = written(numbered(index.withColumn("_by", by), [], "_by").drop("_by").withColumnRenamed("_n", "e"), "entries")
     asked = written(terms.select(F.col("term_id").alias("t"), F.col("key").alias("tk")), "terms")
-    e, t = entries.select(F.col("_entry").alias("e"), F.col("norm_key").alias("ek")), asked
-    inner = _held_by(t.select(F.col("t").alias("s"), F.col("tk").alias("sk")), e.select(F.col("e").alias("l"), F.col("ek").alias("lk"))).select(F.col("s").alias("t"), F.col("l").alias("e"))
-    outer = _held_by(e.select(F.col("e").alias("s"), F.col("ek").alias("sk")), t.select(F.col("t").alias("l"), F.col("tk").alias("lk"))).select(F.col("l").alias("t"), F.col("s").alias("e"))
-    blank = bounded_broadcast(t.where("tk = ''").select("t")).crossJoin(e.select("e")).union(t.where("tk <> ''").select("t").crossJoin(bounded_broadcast(e.where("ek = ''").select("e"))))
-    met = inner.union(outer).union(blank.select("t", "e")).distinct()
-    whole = met.join(asked, "t").join(entries.withColumnRenamed("_entry", "e"), "e").withColumn("match_type", F.when(F.col("norm_key") == F.col("tk"), "exact").otherwise("contains"))
-    rank = F.row_number().over(Window.partitionBy("t").orderBy((F.col("match_type") != "exact").asc(), F.desc("confidence"), "src_lang", "tgt_lang", "source_text", "_ord"))
+    same = F.row_number().over(Window.partitionBy("ek").orderBy("e"))
+    slim = written(entries.select("e", F.col("norm_key").alias("ek")).withColumn("p", same).where(F.col("p") <= top_k).drop("p"), "first-of-keys")
+    have = _pieces(slim.select(F.col("e").alias("l"), F.col("ek").alias("lk")))
+    short = asked.where(F.length("tk").between(1, GRAM))
+    heads = have.join(bounded_broadcast(short.select(F.col("tk").alias("gram")).distinct()), "gram", "left_semi")
+    heads = heads.withColumn("p", F.row_number().over(Window.partitionBy("gram").orderBy("l"))).where(F.col("p") <= top_k)
+    near = heads.join(short, F.col("gram") == F.col("tk")).select("t", F.col("l").alias("e"))
+    inner = _held_by(asked.where(F.length("tk") > GRAM).select(F.col("t").alias("s"), F.col("tk").alias("sk")), have).select(F.col("s").alias("t"), F.col("l").alias("e"))
+    outer = _held_by(slim.select(F.col("e").alias("s"), F.col("ek").alias("sk")), _pieces(asked.select(F.col("t").alias("l"), F.col("tk").alias("lk")))).select(F.col("l").alias("t"), F.col("s").alias("e"))
+    few = slim.orderBy("e").limit(top_k).select("e", F.lit(True).alias("of_blank")).union(slim.where("ek = ''").select("e", F.lit(False)))  # top_k rows each at most
+    blank = asked.join(F.broadcast(few), ~F.col("of_blank") | (F.col("tk") == "")).select("t", "e")
+    met = near.union(inner).union(outer).union(blank).distinct()
+    whole = met.join(asked, "t").join(entries, "e").withColumn("match_type", F.when(F.col("norm_key") == F.col("tk"), "exact").otherwise("contains"))
+    rank = F.row_number().over(Window.partitionBy("t").orderBy((F.col("match_type") != "exact").asc(), "e"))
     return whole.withColumn("rank", rank).where(F.col("rank") <= top_k).select(F.col("t").alias("term_id"), "rank", "match_type", *[c for c in index.columns if c != "norm_key"])
 
 

@@ -5,12 +5,16 @@ from __future__ import annotations
 import io
 import json
 import tarfile
+import time
+import uuid
 from collections.abc import Mapping, Sequence
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import release, written
+
 PREVIEW = 50
 
 
@@ -22,13 +26,17 @@ def preview(df: DataFrame, n: int = PREVIEW, order: str = "_ord") -> DataFrame:
 def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite", order: str = "_ord", n: int = PREVIEW) -> int:
     """Rows as JSON lines, nulls kept and non-ASCII as it is; the first n beside them under previews. Returns the count, observed while writing.
 
-    The preview is a top-n by order: each task keeps its n least rows, nothing is sorted as a whole.
+    df is worked out once: with a preview, it is written to the shared folder first, and lines and preview come from there (a
+    preview is a top-n by order: each task keeps its n least rows, nothing is sorted as a whole).
     """
+    with_preview = bool(n) and order in df.columns
+    staged = written(df, "staged") if with_preview else df
     seen = Observation()
-    rows = df.drop(order) if order in df.columns else df
+    rows = staged.drop(order) if order in df.columns else staged
     rows.observe(seen, F.count(F.lit(1)).alias("n")).write.mode(mode).option("ignoreNullFields", False).json(path)
-    if n and order in df.columns:
-        preview(df, n, order).drop(order).coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json(f"{path.rstrip('/')}.preview_{n}")
+    if with_preview:
+        preview(staged, n, order).drop(order).coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json(f"{path.rstrip('/')}.preview_{n}")
+        release(staged)
     return int(seen.get["n"])
 
 
@@ -101,6 +109,55 @@ def replace_folder(spark: SparkSession, df: DataFrame, path: str) -> None:
     system.delete(old, True)
 
 
+#: How the empty files begin that name a published table's versions.
+POINTER = "current-"
+
+
+def _folder(spark: SparkSession, path: str) -> tuple[object, list]:
+    """The file system of a folder, and what is in it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return system, [s.getPath() for s in system.listStatus(p)] if system.exists(p) else []
+
+
+def publish(spark: SparkSession, df: DataFrame, path: str, dry_run: bool = False, keep: int = 1) -> str | None:
+    """Makes df (JSON lines) the table at path: a version of its own below path, and then an empty file that names it.
+
+    The greatest name counts, so readers by read_published see the old version until that one file is there, and the new one
+    from then on: never none and never both. keep older versions stay, for readers that began before. With dry_run nothing is
+    written: df is worked out and None returned.
+    """
+    if dry_run:
+        df.write.format("noop").mode("overwrite").save()
+        return None
+    root = path.rstrip("/")
+    version = f"v{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    df.write.option("ignoreNullFields", False).json(f"{root}/{version}")
+    system, _ = _folder(spark, root)
+    system.create(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{POINTER}{version}"), False).close()
+    _, there = _folder(spark, root)
+    names = {p.getName(): p for p in there}
+    old = sorted(n for n in names if n.startswith("v") and n < version)
+    for name in (n for n in names if n.startswith(POINTER) and n.removeprefix(POINTER) < version):
+        system.delete(names[name], False)
+    for name in old[: len(old) - keep] if keep else old:
+        system.delete(names[name], True)
+    return version
+
+
+def published(spark: SparkSession, path: str) -> str:
+    """The folder of the current version of a published table."""
+    root = path.rstrip("/")
+    versions = [p.getName().removeprefix(POINTER) for p in _folder(spark, root)[1] if p.getName().startswith(POINTER)]
+    if not versions:
+        raise FileNotFoundError(f"nothing is published at {path}")
+    return f"{root}/{max(versions)}"
+
+
+def read_published(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).json(published(spark, path))
+
+
 def copy_table(spark: SparkSession, src: str, dst: str, schema: str, overwrite: bool = False) -> int:
     """Copies JSON lines unless dst is there already (or is src); the number of rows at dst, 0 where src is missing."""
     fs = spark._jvm.org.apache.hadoop.fs
