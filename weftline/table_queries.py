@@ -501,3 +501,86 @@ def pulled_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     spark.dataSource.register(paged.paged_source("event-pages", "event_id long, event_type string", fetch))
     return paged.pull_until(spark, "event-pages", 300, C("event_type") == "click", pages_at_a_time=4).select("event_id", "event_type")
+
+
+@query("SELECT doc_id, lang, md5(text) AS text FROM documents")
+def jsonl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as JSON lines, and read again."""
+    path = scratch_path(spark, "lines")
+    writers.write_jsonl(documents(spark, sf_dir).select("doc_id", "lang", "text"), path)
+    return readers.read_jsonl(spark, path, "doc_id long, lang string, text string").select("doc_id", "lang", F.md5("text").alias("text"))
+
+
+@query("SELECT doc_id, source FROM documents ORDER BY doc_id DESC LIMIT 50")
+def jsonl_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first rows by order beside a written table; the plan runs once for both."""
+    path = scratch_path(spark, "lines")
+    writers.write_jsonl(table(spark, sf_dir, "documents").select("doc_id", "source", (-C("doc_id")).alias("_ord")), path)
+    return readers.read_jsonl(spark, f"{path}.preview_{writers.PREVIEW}", "doc_id long, source string").select("doc_id", "source")
+
+
+@query(f"WITH {TURNS} SELECT input, output FROM t WHERE (conv_id + turn) % 3 = 0 AND trim(input) <> '' AND trim(output) <> ''")
+def raw_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw lines of which some are pairs, some are cut off, some blank and some JSON of another shape."""
+    path = scratch_path(spark, "raw")
+    k = C("conv_id") + C("turn")
+    whole = F.to_json(F.struct("input", "output"))
+    line = F.when(k % 3 == 0, whole).when(k % 6 == 1, F.expr("left(to_json(struct(input, output)), 9)")).when(k % 6 == 2, F.lit("  ")).otherwise(F.to_json(F.struct("input")))
+    turns(spark, sf_dir).select(line.alias("value")).write.text(path)
+    return readers.parse_alpaca(readers.read_lines(spark, path, only_json=True)).select("input", "output")
+
+
+@query("SELECT doc_id % 4 = 0 AS bad, count(*) AS n, max(CASE WHEN doc_id % 4 = 0 THEN 'e' || (doc_id % 3) END) AS worst FROM documents GROUP BY 1")
+def quarantined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows with an error are set aside."""
+    rows = documents(spark, sf_dir).select("doc_id", F.when(C("doc_id") % 4 == 0, joined("e", (C("doc_id") % 3).cast("string"))).alias("error"))
+    good, bad = writers.quarantine(rows)
+    sides = good.select(F.lit(False).alias("bad"), F.lit(None).cast("string").alias("error")).unionByName(bad.select(F.lit(True).alias("bad"), "error"))
+    return sides.groupBy("bad").agg(F.count("*").alias("n"), F.max("error").alias("worst"))
+
+
+@query("SELECT doc_id, lang FROM documents WHERE doc_id % 2 = 0")
+def copied_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A copy that is made once, and not again over what is there."""
+    src, dst = scratch_path(spark, "source"), scratch_path(spark, "copy")
+    docs, schema = table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id long, lang string"
+    docs.where("doc_id % 2 = 0").write.json(src)
+    writers.copy_table(spark, src, dst, schema)
+    docs.where("doc_id % 2 = 1").write.mode("overwrite").json(src)
+    writers.copy_table(spark, src, dst, schema)
+    return spark.read.schema(schema).json(dst)
+
+
+@query("SELECT doc_id, upper(lang) AS lang FROM documents")
+def published_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A published table whose column is rewritten as its next version."""
+    path, schema = scratch_path(spark, "published"), "doc_id long, lang string"
+    writers.publish(spark, table(spark, sf_dir, "documents").select("doc_id", "lang"), path)
+    before = writers.read_published(spark, path, schema)
+    writers.publish(spark, before.withColumn("lang", F.upper("lang")), path)
+    return writers.read_published(spark, path, schema)
+
+
+@query("SELECT doc_id, lang || '>' || source || ' ' || length(text) AS hypothesis FROM documents")
+def batched_translation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by direction in batches of a fixed number."""
+    rows = documents(spark, sf_dir).select("doc_id", C("text").alias("source_text"), C("lang").alias("src_lang"), C("source").alias("tgt_lang"))
+    return remote.translate_batches(rows, lambda texts, src, tgt: [f"{src}>{tgt} {len(t)}" for t in texts]).select("doc_id", "hypothesis")
+
+
+@query("SELECT doc_id, reverse(source || ' ' || doc_id) AS hypothesis FROM documents")
+def line_processes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One process a partition that answers each line with the line backwards."""
+    rows = documents(spark, sf_dir).select("doc_id", joined(C("source"), " ", C("doc_id").cast("string")).alias("source_text"))
+    command = ["python", "-c", "import sys\nfor line in sys.stdin: print(line.strip()[::-1], flush=True)"]
+    return remote.translate_lines(rows, command).select("doc_id", "hypothesis")
+
+
+@query("SELECT lang AS name, 'ok' AS status, count(*) AS n FROM documents GROUP BY lang UNION ALL SELECT 'none', 'failed', NULL")
+def directions_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A job for each language side by side, and one that fails; how each ended."""
+    docs = table(spark, sf_dir, "documents")
+    langs = sorted(r.lang for r in docs.select("lang").distinct().collect())  # the configured languages
+    jobs = {x: (lambda x=x: docs.where(C("lang") == x).count()) for x in langs} | {"none": lambda: docs.where("lang = 'none'").first().doc_id}
+    tally = programs.run_directions(jobs, spark=spark)
+    return spark.createDataFrame([(o.name, o.status, o.result) for o in tally.outcomes.values()], "name string, status string, n long")
