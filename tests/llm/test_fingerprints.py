@@ -63,3 +63,27 @@ def test_a_third_of_all_rows_equal(spark):
     got = P.compare_with_next(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()
     same = [r for r in got if r.doc_id == 5]
     assert len(got) == 1200 and len(same) == 400 and sum(r.near_next == 1 for r in same) == 399
+
+
+def test_likeness_is_that_of_the_phrase_sets(spark):
+    """Estimates against exact Jaccard similarities of the sets of phrase names, for texts and edited texts."""
+    rng = __import__("random").Random(12)
+    texts = []
+    for i in range(120):
+        if i and rng.random() < 0.5:  # much like the one before
+            w = texts[-1].split()
+            for _ in range(rng.randrange(1, 30)):
+                w[rng.randrange(len(w))] = f"new{rng.randrange(99)}"
+            texts.append(" ".join(w))
+        else:
+            texts.append(" ".join(fx.words(rng, rng.randrange(40, 300))))
+    rows = [(i, t, None, None, 0) for i, t in enumerate(texts)]
+    got = {r.doc_id: r for r in P.compare_with_next(spark.createDataFrame(rows, fx.SCHEMA)).collect()}
+    sets = lambda t: set(names(t, P.LEVEL))
+    off = []
+    for i, t in enumerate(texts):
+        follow = texts[(i + 1) % len(texts)]
+        for other, said in ((P.edit(t, follow), got[i].near_edited), (follow, got[i].near_next)):
+            a, b = sets(t), sets(other)
+            off.append(said - len(a & b) / len(a | b))
+    assert abs(sum(off) / len(off)) < 0.02 and max(map(abs, off)) < 0.2

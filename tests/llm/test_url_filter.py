@@ -1,3 +1,5 @@
+import re
+
 from weftline.llm import url_filter as U
 from weftline.llm.graph import components
 
@@ -7,8 +9,32 @@ def judge(spark, rows, **more):
     return {r.page_id: r for r in U.judge_urls(df, **more).collect()}
 
 
-def test_rules():
-    pass
+def test_random_rules_by_brute_force(spark):
+    """The longest rule whose host the url's host is, or is a subdomain of, and whose path its path starts with."""
+    import random
+
+    rng = random.Random(3)
+    hosts, paths = ["com", "a.com", "b.a.com", "net", "x.net", "a.net"], ["/", "/a", "/a/b", "/a/bc", "/b/", ""]
+    rules = sorted({(rng.choice(hosts), rng.choice(paths)) for _ in range(14)})
+    rules = [(h, p, rng.choice(["block", "allow"])) for h, p in rules]
+    urls = [f"http://{rng.choice(['', 'www.', 'a.', 'xa.'])}{rng.choice(hosts)}{rng.choice(['/', '/a', '/a/b/c', '/a/bcd?x', '/b', '#f', ''])}" for _ in range(300)]
+    got = judge(spark, [(i, u, None) for i, u in enumerate(urls)], rules=rules)
+    for i, u in enumerate(urls):
+        rest = u.split("://", 1)[1]
+        cut = min((rest.find(c) for c in "/?#" if c in rest), default=len(rest))
+        host, path = rest[:cut], re.split("[?#]", rest[cut:])[0]
+        fits = [(h, p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        best = max(fits, key=lambda r: (len(r[0] + r[1]), [-ord(c) for c in r[0]], [-ord(c) for c in r[1]]), default=None)
+        assert (got[i].host, got[i].path) == (host, path) and (got[i].rule, got[i].verdict) == ((best[0] + best[1], best[2]) if best else (None, "allow")), u
+
+
+def test_clashing_columns(spark):
+    import fixtures_llm as fx
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(1, "http://com/en/", None), (2, None, None)], "page_id long, url string, html string")
+    more = df.withColumns({c: F.lit("x") for c in (*fx.CLASHING, "node", "component", "host", "path", "rule", "verdict", "a", "b")})
+    assert sorted((r.page_id, r.verdict) for r in U.judge_urls(more).collect()) == [(1, "block"), (2, "allow")]
 
 
 def test_hosts_paths_and_rules(spark):

@@ -29,7 +29,6 @@ ASSIGN = re.compile(r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww
 #: Each base assignment has one of these letters' groups somewhere; a text with none is not searched.
 _HINT = re.compile(rb"(?i)passw|secret|token|api_?key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
-HEX = re.compile(r"[0-9a-f]+")
 _LONG_HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "name")
 
