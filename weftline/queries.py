@@ -385,17 +385,20 @@ def stable_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keys.select("key", text.stable_seed(F.col("key"), 42).alias("seed"))
 
 
-@query("SELECT string_agg(lang, ', ' ORDER BY lang) || ', ... (+' || (count(*) - 2) || ' more)' AS hint FROM (SELECT DISTINCT lang FROM documents) WHERE false UNION ALL SELECT string_agg(lang, ', ' ORDER BY lang) FILTER (r <= 2) || ', ... (+' || (count(*) - 2) || ' more)' FROM (SELECT lang, row_number() OVER (ORDER BY lang) AS r FROM (SELECT DISTINCT lang FROM documents)) HAVING count(*) > 2")
+@query("SELECT source, CASE WHEN len(l) > 2 THEN array_to_string(l[:2], ', ') || ', ... (+' || (len(l) - 2) || ' more)' ELSE array_to_string(l, ', ') END AS hint FROM (SELECT source, list_sort(list(DISTINCT lang)) AS l FROM documents GROUP BY source)")
 def supported_hint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    langs = documents(spark, sf_dir).agg(F.array_sort(F.collect_set("lang")).alias("l"))
-    out = langs.select(names.pairs_hint(F.col("l"), 2).alias("hint"))
-    return out.union(spark.createDataFrame([(None,)], "hint string"))
+    """The languages of each source as a hint of two."""
+    langs = documents(spark, sf_dir).groupBy("source").agg(F.array_sort(F.collect_set("lang")).alias("l"))
+    return langs.select("source", names.pairs_hint(F.col("l"), 2).alias("hint"))
 
 
-@query("SELECT doc_id, CASE WHEN length(trim(text)) >= 100 THEN trim(text) ELSE trim(source) END AS text FROM documents WHERE length(trim(text)) >= 100")
+@query("SELECT doc_id, md5(CASE doc_id % 3 WHEN 2 THEN trim(left(text, 400)) ELSE trim(text) END) AS text FROM documents WHERE (doc_id % 3 = 2 AND length(trim(left(text, 400))) >= 100) OR (doc_id % 3 <> 2 AND length(trim(text)) >= 100)")
 def resolve_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = documents(spark, sf_dir).select("text", "source", F.col("doc_id").alias("_ord"))
-    return pairs.resolve_text(rows, ["body", "text"], 100).select(F.col("_ord").alias("doc_id"), "text")
+    """Texts under a known name, and where that is too short, the longest column of the row."""
+    third = F.col("doc_id") % 3
+    rows = documents(spark, sf_dir).select(F.when(third == 2, F.substring("text", 1, 400)).when(third == 1, "short").alias("text"), F.when(third != 2, F.col("text")).alias("note"), "source", F.col("doc_id").alias("_ord"))
+    found = pairs.resolve_text(rows, ["body", "text"], 100)
+    return found.select(F.col("_ord").alias("doc_id"), F.md5("text").alias("text"))
 
 
 @query("SELECT 'test:' || (row_number() OVER (ORDER BY p_partkey) - 1) AS sample_id, p_name AS source_text, p_type AS reference_text FROM part QUALIFY p_size % 2 = 0")
