@@ -98,7 +98,9 @@ def test_operator_keeps_rows(spark, tables, library):
     assert set(got.columns) == {*df.columns, "ids", "decoded"} and got.count() == len(fx.documents())
     for r in got.collect():
         assert r.ids == library.encode(r.text or "", add_special_tokens=False).ids and r.decoded == (r.text or "")
-    assert B.encode_texts(fx.empty(spark), tables).count() == 0
+    assert B.encode_texts(fx.empty(spark), tables).count() == 0 and B.encode_texts(fx.empty(spark), tables, decoded_col="back").count() == 0
+    both = B.encode_texts(df, tables, out_col="x`y", decoded_col="a.b")
+    assert set(both.columns) == set(df.columns) and all(r["a.b"] == (r.text or "") and r["x`y"] == library.encode(r.text or "", add_special_tokens=False).ids for r in both.collect())
     odd = B.decode_ids(spark.createDataFrame([(1, None), (2, []), (3, [15496, None, 99999999, 50256])], "i int, ids array<int>"), tables)
     assert {r.i: r.decoded for r in odd.collect()} == {1: "", 2: "", 3: "Hello<|endoftext|>"}
 

@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, chunks, strings, text_or_empty
+from .common import bounded_batches, chunks, quoted, strings, text_or_empty
 
 #: Code points' classes.
 OTHER, LETTER, NUMBER, SPACE = range(4)
@@ -398,8 +398,8 @@ def decode_batch(ids: np.ndarray, offs: np.ndarray, t: Tables) -> list[str]:
     return [body[a:b].decode("utf-8", "replace") for a, b in zip(cut, cut[1:], strict=False)]
 
 
-def encode_texts(docs: DataFrame, vocabulary: str | Tables, text_col: str = "text", out_col: str = "ids") -> DataFrame:
-    """docs with out_col (replaced if it is there): the token ids of each whole text, an array of int.
+def encode_texts(docs: DataFrame, vocabulary: str | Tables, text_col: str = "text", out_col: str = "ids", decoded_col: str | None = None) -> DataFrame:
+    """docs with out_col (replaced if it is there): the token ids of each whole text, an array of int; with decoded_col also the text that they stand for, by the same worker.
 
     vocabulary: a file of the driver, see read_vocabulary, or its tables. Added tokens within a text are found first, the
     longest of several. A null or empty text has no ids; texts of any length are encoded whole; bytes that are no UTF-8 count
@@ -409,18 +409,28 @@ def encode_texts(docs: DataFrame, vocabulary: str | Tables, text_col: str = "tex
     bounded_batches(docs)
     known = Words(t)
 
-    @F.arrow_udf("array<int>")
-    def encode(column: pa.Array) -> pa.Array:
+    def encoded(column: pa.Array) -> tuple[pa.Array, list[str]]:
         data, offs = strings(column)
-        ids, begins, last = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)], 0
+        ids, begins, last, back = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)], 0, []
         for i, j in chunks(offs):
             part, begin = encode_batch([data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(offs[i:j], offs[i + 1 : j + 1], strict=True)], known)
             ids.append(part.astype(np.int32))
+            if decoded_col:
+                back += decode_batch(part, begin, t)
             begins.append(begin[1:] + last)
             last += len(part)
-        return pa.ListArray.from_arrays(pa.array(np.concatenate(begins).astype(np.int32)), pa.array(np.concatenate(ids)))
+        return pa.ListArray.from_arrays(pa.array(np.concatenate(begins).astype(np.int32)), pa.array(np.concatenate(ids))), back
 
-    return docs.withColumn(out_col, encode(text_or_empty(text_col)))
+    if decoded_col is None:
+        return docs.withColumn(out_col, F.arrow_udf(lambda column: encoded(column)[0], "array<int>")(text_or_empty(text_col)))
+
+    def both(column: pa.Array) -> pa.Array:
+        ids, back = encoded(column)
+        return pa.StructArray.from_arrays([ids, pa.array(back, pa.string())], names=["ids", "decoded"])
+
+    made = F.arrow_udf(both, "struct<ids:array<int>,decoded:string>")(text_or_empty(text_col))
+    kept = [F.col(quoted(c)) for c in docs.columns if c not in (out_col, decoded_col)]
+    return docs.select(*kept, made.alias(out_col)).select(*kept, F.col(quoted(out_col))["ids"].alias(out_col), F.col(quoted(out_col))["decoded"].alias(decoded_col))
 
 
 def decode_ids(rows: DataFrame, vocabulary: str | Tables, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..storage import spread
 from . import decontamination, mixing, periodic_runs, retention, sharding, substring_dedup, url_filter
-from .bpe import decode_ids, encode_texts, read_vocabulary
+from .bpe import encode_texts, read_vocabulary
 from .fingerprints import compare_with_next
 from .license_scan import scan_licenses
 from .mixing import mix
@@ -99,7 +99,7 @@ def op12_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) ->
         vocabulary = public_tokenizers.path("byte_bpe_50k.json")
     tables = read_vocabulary(vocabulary)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    rows = decode_ids(encode_texts(docs, tables).drop("text"), tables)
+    rows = encode_texts(docs, tables, decoded_col="decoded")
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
 
 
