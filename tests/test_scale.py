@@ -493,3 +493,21 @@ def test_hot_keys_and_letters_among_terms(spark):
         best = sorted((r for r in rows if t in r[2] or r[2] in t), key=lambda r: (r[2] != t, -r[3], r[0], r[1], r[2], r[4]))
         want |= {(t, k): (r[4], "exact" if r[2] == t else "contains") for k, r in enumerate(best[:4], 1)}
     assert got == want
+
+
+def test_pivot_lexicons_both_ways(spark):
+    """Between each language and Chinese by way of English, where both hops are there."""
+    from weftline.operators import lexicon
+
+    def table(rows, src, tgt):
+        return spark.createDataFrame([(s, [t], t, i) for i, (s, t) in enumerate(rows)], "source_text string, target_candidates array<string>, target_text string, _ord int").withColumns({"src_lang": F.lit(src), "tgt_lang": F.lit(tgt)})
+
+    hops = {
+        ("spa_Latn", "eng_Latn"): table([("gato", "house cat"), ("sol", "sun")], "spa_Latn", "eng_Latn"), ("eng_Latn", "zho_Hans"): table([("house cat", "家猫"), ("moon", "月")], "eng_Latn", "zho_Hans"),
+        ("zho_Hans", "eng_Latn"): table([("家猫", "house cat")], "zho_Hans", "eng_Latn"), ("eng_Latn", "spa_Latn"): table([("House Cat", "gato")], "eng_Latn", "spa_Latn"),
+    }
+    made = programs.pivot_lexicons(hops, ["spa_Latn", "tha_Thai"])
+    assert set(made) == {("spa_Latn", "zho_Hans"), ("zho_Hans", "spa_Latn")}
+    assert [(r.source_text, r.target_text) for r in made["spa_Latn", "zho_Hans"].collect()] == [("gato", "家猫")]
+    assert [(r.source_text, r.target_text, r.pivot_text) for r in made["zho_Hans", "spa_Latn"].collect()] == [("家猫", "gato", "house cat")]
+    assert lexicon.MOST_CANDIDATES == 8
