@@ -155,4 +155,5 @@ CRC_TABLE = f"t AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce([
 
 
 def crc_sql(text: str) -> str:
-    return f"xor(list_reduce(list_prepend({0xFFFFFFFF}, list_transform(regexp_extract_all(CAST({text} AS VARCHAR), '.'), lambda h: CAST(ascii(h) AS BIGINT))), lambda a, x: xor(a >> 8, t[CAST(xor(a, x) & 255 AS INTEGER) + 1])), {0xFFFFFFFF})"
+    """The checksum of an expression's text, null for null."""
+    return f"CASE WHEN {text} IS NOT NULL THEN xor(list_reduce(list_prepend({0xFFFFFFFF}, list_transform(regexp_extract_all(CAST({text} AS VARCHAR), '.'), lambda h: CAST(ascii(h) AS BIGINT))), lambda a, x: xor(a >> 8, t[CAST(xor(a, x) & 255 AS INTEGER) + 1])), {0xFFFFFFFF}) END"
