@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import names, text
 from .operators import incremental, lexicon, lookup_index, metrics, pairs, remote, sampling
-from .registering import ORACLES, QUERIES, TURNS, WS, documents, query, table, turns
+from .registering import ORACLES, QUERIES, TURNS, WS, documents, query, stripped_sql, table, turns
 from .sources import readers, writers
 from .storage import scratch_path
 
@@ -392,7 +392,12 @@ def supported_hint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langs.select("source", names.pairs_hint(F.col("l"), 2).alias("hint"))
 
 
-@query("SELECT doc_id, md5(CASE doc_id % 3 WHEN 2 THEN trim(left(text, 400)) ELSE trim(text) END) AS text FROM documents WHERE (doc_id % 3 = 2 AND length(trim(left(text, 400))) >= 100) OR (doc_id % 3 <> 2 AND length(trim(text)) >= 100)")
+@query(f"""
+WITH n AS (SELECT doc_id, CASE doc_id % 3 WHEN 2 THEN left(text, 400) WHEN 1 THEN 'short' END AS named, CASE WHEN doc_id % 3 <> 2 THEN text END AS note, source FROM documents),
+c AS (SELECT doc_id, {stripped_sql("named")} AS a, {stripped_sql("note")} AS b, {stripped_sql("source")} AS c FROM n),
+l AS (SELECT doc_id, CASE WHEN length(a) >= 100 THEN a WHEN coalesce(length(a), -1) >= greatest(coalesce(length(b), -1), coalesce(length(c), -1)) THEN a WHEN coalesce(length(b), -1) >= coalesce(length(c), -1) THEN b ELSE c END AS text FROM c)
+SELECT doc_id, md5(text) AS text FROM l WHERE length(text) >= 100
+""")
 def resolve_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts under a known name, and where that is too short, the longest column of the row."""
     third = F.col("doc_id") % 3

@@ -36,6 +36,14 @@ def documents(spark: SparkSession, sf_dir: str, heavy: bool = False) -> DataFram
     return (spread(rows) if heavy else rows).withColumn("_ord", F.col("doc_id"))
 
 
+#: White space as the engine strips it, for DuckDB's regular expressions; its trim takes off blanks alone, no line ends.
+SPACE_SQL = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def stripped_sql(value: str) -> str:
+    return f"regexp_replace({value}, '^{SPACE_SQL}+|{SPACE_SQL}+$', '', 'g')"
+
+
 WS = r"regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '\s+', ' ', 'g')"
 TURNS = "t AS (SELECT u.conv_id, u.turn, u.text AS input, a.text AS output FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant')"
 
