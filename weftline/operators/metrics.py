@@ -13,9 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import SPACE, normalize_space, strip
+from ..storage import bounded_batches
 
 ORDER = 4
 
+#: Tokens of both sides whose grams are counted at a time; a longer single row is counted alone.
+CHUNK_TOKENS = 1 << 17
+
 
 def _mteval(c: Column) -> Column:
     """The language-independent part of the public mteval-v13a tokenization."""
@@ -220,12 +224,23 @@ def _matches(hyp: pa.Array, ref: pa.Array) -> np.ndarray:
     return out
 
 
+def _matches_by_chunks(hyp: pa.Array, ref: pa.Array) -> np.ndarray:
+    """_matches over as many rows at a time as have CHUNK_TOKENS: counting takes many times the memory of what is counted."""
+    ends = np.cumsum(sum(pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64) for lists in (hyp, ref)))
+    out, at = np.zeros((len(hyp), ORDER), np.int64), 0
+    while at < len(hyp):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK_TOKENS, "right")))
+        out[at:to] = _matches(hyp.slice(at, to - at), ref.slice(at, to - at))
+        at = to
+    return out
+
+
 def clipped_matches(hyp: Column, ref: Column) -> Column:
     """Matches of 1- to 4-grams, each counted as often as both token arrays have it: an array of four, worked out row by row."""
 
     @F.arrow_udf("array<bigint>")
     def run(hyps: pa.Array, refs: pa.Array) -> pa.Array:
-        found = _matches(hyps, refs)
+        found = _matches_by_chunks(hyps, refs)
         return pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * ORDER, pa.int32()), pa.array(found.ravel()))
 
     return run(hyp, ref)
@@ -236,6 +251,7 @@ def bleu_statistics(rows: DataFrame, keys: Sequence[str], id_col: str | None = N
 
     A row's matches are counted in place; only sums are exchanged, once.
     """
+    bounded_batches(rows)
     size = {side: F.coalesce(F.size(F.coalesce(side, F.array().cast("array<string>"))), F.lit(0)) for side in ("hyp", "ref")}
     each = rows.select(*keys, size["hyp"].alias("_h"), size["ref"].alias("_r"), clipped_matches(F.col("hyp"), F.col("ref")).alias("_m"))
     sums = [F.sum(F.col("_m")[n - 1]).alias(f"m{n}") for n in range(1, ORDER + 1)] + [F.sum(F.greatest(F.col("_h") - (n - 1), F.lit(0))).alias(f"t{n}") for n in range(1, ORDER + 1)]
