@@ -3,15 +3,22 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+_SPACES = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
 #: All that a Unicode-aware strip takes off, as a class: Unicode white space and the four information separators. Written out, as a
-#: regular expression tests a list of ranges faster than a Unicode property.
-SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: regular expression tests a list of ranges faster than a Unicode property; and letters fail two ranges before they meet the list.
+SPACE = rf"[\t-\x20\x85-\u3000&&[{_SPACES}]]"
+#: All others.
+SOLID = rf"[^{_SPACES}]"
+#: The same characters, one by one.
+SPACE_CHARS = "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
 # Characters that mark a text as Traditional Chinese in candidate selection.
 TRADITIONAL_MARKS = (
@@ -71,8 +78,13 @@ def traditional_characters(spark: SparkSession | None = None) -> str:
     return _traditional(spark or SparkSession.active())
 
 
+def once(c: Column, then: Callable[[Column], Column]) -> Column:
+    """then(c), with c worked out once however often then names it: as a lambda's argument."""
+    return F.transform(F.array(c), then)[0]
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{SPACE}+|(?<!{SPACE}){SPACE}+$", "")
+    return F.btrim(c, F.lit(SPACE_CHARS))
 
 
 def normalize_space(c: Column) -> Column:
@@ -98,12 +110,15 @@ def script_count(c: Column, script: str) -> Column:
 def script_ratio(c: Column, script: str) -> Column:
     """Share of the script among characters that aren't white space; 0 for none."""
     solid = F.length(F.regexp_replace(c, f"{SPACE}+", ""))
-    return F.when(solid > 0, script_count(c, script) / solid).otherwise(F.lit(0.0))
+    return F.coalesce(F.try_divide(script_count(c, script), solid), F.lit(0.0))
 
 
 def has_any(c: Column, characters: str) -> Column:
-    """Whether any of the characters occurs."""
-    return F.length(F.translate(c, characters, "")) < F.length(c)
+    """Whether any of the characters occurs. What lies outside their range goes first: translate looks each character up."""
+    if not characters:
+        return F.length(c) < 0
+    inside = F.regexp_replace(c, rf"[^\x{{{ord(min(characters)):x}}}-\x{{{ord(max(characters)):x}}}]+", "")
+    return F.exists(F.array(inside), lambda v: F.translate(v, characters, "") != v)
 
 
 def is_simplified(c: Column, least: float, marks: str = TRADITIONAL_MARKS) -> Column:
@@ -209,9 +224,10 @@ def clean_definition(c: Column) -> Column:
     out = normalize_space(c)
     for pattern in DEFINITION_CUTS:
         out = F.regexp_replace(out, pattern, "")
-    out = F.btrim(out, F.lit(" ;,"))
-    bad = (out == "") | (F.length(out) > DEFINITION_MOST) | out.rlike(DEFINITION_BAD)
-    return F.when(~bad, out)
+    def fit(v: Column) -> Column:
+        return F.when((v != "") & (F.length(v) <= DEFINITION_MOST) & ~v.rlike(DEFINITION_BAD), v)
+
+    return once(F.btrim(out, F.lit(" ;,")), fit)
 
 
 def pack_sentences(c: Column, max_chars: int, separators: str = r"(?:\\n+|[.!?！？。；;])") -> Column:
@@ -220,7 +236,7 @@ def pack_sentences(c: Column, max_chars: int, separators: str = r"(?:\\n+|[.!?
     separators keeps the literal backslash-n of the corpus format; the packing is one fold over the sentence array. The clean
     text is bound once, as a lambda's argument; its pieces hold no white space but single spaces.
     """
-    return F.transform(F.array(normalize_space(c)), lambda text: _packed(text, max_chars, separators))[0]
+    return once(normalize_space(c), lambda text: _packed(text, max_chars, separators))
 
 
 def _packed(text: Column, max_chars: int, separators: str) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import names
-from ..functions.text import first_nonblank, nonblank, normalize_space, script_ratio, strip
+from ..functions.text import first_nonblank, nonblank, normalize_space, once, script_ratio, strip
 from ..storage import bounded_broadcast, quoted, written
 
 
@@ -109,21 +109,24 @@ def resolve_text(df: DataFrame, keys: Sequence[str], min_chars: int, longest: bo
 
     def fit(name: str) -> Column:
         c = normalize_space(F.col(f"`{name}`")) if normalize else strip(F.col(f"`{name}`"))
-        good = F.length(c) >= min_chars
-        if min_latin is not None:
-            good = good & (script_ratio(c, "latin") >= min_latin)
-        return F.when(good, c)
+
+        def good(v: Column) -> Column:
+            long = F.length(v) >= min_chars
+            return F.when(long if min_latin is None else long & (script_ratio(v, "latin") >= min_latin), v)
+
+        return once(c, good)
 
     texts = [f.name for f in df.schema.fields if f.dataType.simpleString() == "string"]
     found = [fit(k) for k in keys if k in texts]
     if longest and texts:
-        ranked = F.array_max(F.array(*[F.struct(F.coalesce(F.length(strip(F.col(f"`{t}`"))), F.lit(-1)).alias("n"), F.lit(-i).alias("i"), strip(F.col(f"`{t}`")).alias("v")) for i, t in enumerate(texts)]))
-        found.append(F.when(ranked["n"] >= min_chars, ranked["v"]))
+        ranked = F.array_max(F.transform(F.array(*[strip(F.col(f"`{t}`")) for t in texts]), lambda v, i: F.struct(F.coalesce(F.length(v), F.lit(-1)).alias("n"), (-i).alias("i"), v.alias("v"))))
+        found.append(once(ranked, lambda r: F.when(r["n"] >= min_chars, r["v"])))
     value = F.coalesce(*found) if found else F.lit(None).cast("string")
     if max_chars is not None:
         value = strip(F.substring(value, 1, max_chars))
     rest = ["_ord"] if "_ord" in df.columns else []
-    return df.select(value.alias("text"), *rest).where("text is not null")
+    # a generator binds the text: the filter on it isn't pushed below, where all would be worked out again
+    return df.select(F.inline(F.array(F.struct(value.alias("text")))), *rest).where("text is not null")
 
 
 def both_filled(df: DataFrame, a: str, b: str) -> DataFrame:
