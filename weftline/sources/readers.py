@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import SPACE, clean_definition, distinct_keys, first_nonblank, has_any, nonblank, normalize_space, strip, traditional_characters
+from ..functions.text import SOLID, SPACE, clean_definition, distinct_keys, first_nonblank, has_any, nonblank, normalize_space, strip, traditional_characters
 from ..storage import bounded_broadcast, quoted, written
 
 
@@ -160,12 +160,12 @@ def parse_cedict(lines: DataFrame, traditional: str | None = None) -> DataFrame:
     """simplified, defs (cleaned, distinct by key, in order) of dictionary lines; terms with one of the traditional characters (default: those that Unicode's rules change) go."""
     pattern = DICTIONARY_LINE
     marks = traditional_characters(lines.sparkSession) if traditional is None else traditional
-    line = strip(F.col("value"))
-    rows = lines.select(line.alias("line"), "_ord").where((F.col("line") != "") & ~F.col("line").startswith("#") & F.col("line").rlike(pattern))
+    rows = lines.select(strip(F.col("value")).alias("line"), "_ord").where((F.col("line") != "") & ~F.col("line").startswith("#") & F.col("line").rlike(pattern))
     cut = rows.select(F.regexp_extract("line", pattern, 2).alias("simplified"), F.split(F.regexp_extract("line", pattern, 3), "/").alias("parts"), "_ord")
     kept = F.filter("parts", lambda p: (p != "") & ~p.startswith("CL:"))
     cleaned = F.array_compact(F.transform(kept, clean_definition))
-    good = cut.where(~has_any(F.col("simplified"), marks)).select("simplified", cleaned.alias("defs"), "_ord").where(F.size("defs") > 0)
+    # a generator binds the definitions: the filter on them isn't pushed below, where each would be cleaned again
+    good = cut.where(~has_any(F.col("simplified"), marks)).select("simplified", F.inline(F.array(F.struct(cleaned.alias("defs")))), "_ord").where(F.size("defs") > 0)
     return good.withColumn("defs", distinct_keys(F.col("defs")))
 
 
@@ -174,10 +174,11 @@ def read_cedict(spark: SparkSession, path: str, traditional: str | None = None)
 
 
 def parse_word_pairs(lines: DataFrame, reverse: bool = False) -> DataFrame:
-    """src, tgt: the first two words of each line."""
-    words = F.split(strip(F.col("value")), f"{SPACE}+")
-    a, b = (1, 0) if reverse else (0, 1)
-    return lines.where(F.size(words) >= 2).select(normalize_space(words[a]).alias("src"), normalize_space(words[b]).alias("tgt"), "_ord").where("src <> '' and tgt <> ''")
+    """src, tgt: the first two words of each line; what follows isn't looked at."""
+    first_two = f"^{SPACE}*+({SOLID}++){SPACE}++({SOLID}++)"
+    a, b = (2, 1) if reverse else (1, 2)
+    pair = F.struct(F.regexp_extract("value", first_two, a).alias("src"), F.regexp_extract("value", first_two, b).alias("tgt"))
+    return lines.select(F.inline(F.array(pair)), "_ord").where("src <> ''")
 
 
 def read_word_pairs(spark: SparkSession, path: str, reverse: bool = False) -> DataFrame:
