@@ -10,7 +10,7 @@ from .operators import incremental, lexicon, lookup_index, metrics, pairs, remot
 from .plans import programs
 from .registering import TURNS, documents, query, table, turns
 from .sources import paged, readers, writers
-from .storage import scratch_path
+from .storage import scratch_path, spread
 from .streaming import incremental as streams
 
 
@@ -60,7 +60,7 @@ def parse_cedict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dictionary lines of the parts: comments and Traditional terms go, and so do classifiers and definitions that came before in another case."""
     term = case(C("p_partkey"), *[F.lit(t) for t in DICTIONARY_TERMS])
     line = joined("x ", term, " [a1] /", C("p_name"), "/", F.upper("p_name"), "/CL:", C("p_type"), "/", C("p_type"), " (", C("p_brand"), ")/", C("p_name"), "/")
-    lines = table(spark, sf_dir, "part").select(C("p_partkey").alias("_ord"), F.when(C("p_partkey") % 7 == 0, joined("# ", line)).otherwise(line).alias("value"))
+    lines = spread(table(spark, sf_dir, "part")).select(C("p_partkey").alias("_ord"), F.when(C("p_partkey") % 7 == 0, joined("# ", line)).otherwise(line).alias("value"))
     return readers.parse_cedict(lines).select(C("_ord").alias("p_partkey"), "simplified", F.array_join("defs", ";").alias("defs"))
 
 
@@ -91,7 +91,8 @@ WITH v AS (SELECT doc_id, text || CASE doc_id % 3 WHEN 0 THEN ' กข ' WHEN 1
 SELECT doc_id, round(length(regexp_replace(v, '[^A-Za-z]', '', 'g')) / solid, 9) AS latin, round(CASE doc_id % 3 WHEN 0 THEN 2 ELSE 0 END / solid, 9) AS thai, round(CASE doc_id % 3 WHEN 1 THEN 3 ELSE 0 END / solid, 9) AS cjk, doc_id % 3 = 1 AS traditional FROM s
 """)
 def script_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = documents(spark, sf_dir).select("doc_id", F.concat("text", case(C("doc_id"), F.lit(" กข "), F.lit("學中文"), F.lit(""))).alias("v"))
+    made = F.concat("text", case(C("doc_id"), F.lit(" กข "), F.lit("學中文"), F.lit("")))
+    rows = documents(spark, sf_dir).select("doc_id", F.inline(F.array(F.struct(made.alias("v")))))  # bound, or each ratio would make it anew
     return rows.select("doc_id", *[F.round(text.script_ratio(C("v"), s), 9).alias(s) for s in ("latin", "thai", "cjk")], text.has_any(C("v"), text.TRADITIONAL_MARKS).alias("traditional"))
 
 
