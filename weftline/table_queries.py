@@ -487,18 +487,18 @@ def shard_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_id, event_type FROM events WHERE event_type = 'click' ORDER BY event_id LIMIT 300")
 def pulled_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as pages of a hundred, pulled four at a time until 300 clicks are there."""
-    path = scratch_path(spark, "pages")
-    table(spark, sf_dir, "events").select("event_id", "event_type", F.floor(C("event_id") / 100).alias("page")).repartition("page").write.partitionBy("page").json(path)
+    path, shelf = scratch_path(spark, "pages"), 1000  # pages a folder: one folder a page would be as many files as pages
+    paged_rows = table(spark, sf_dir, "events").select("event_id", "event_type", F.floor(C("event_id") / 100).alias("page")).withColumn("shelf", F.floor(C("page") / shelf))
+    paged_rows.repartition("shelf").sortWithinPartitions("shelf", "page").write.partitionBy("shelf").parquet(path)
 
     def fetch(page: int) -> list[tuple] | None:
-        import json
-
         from pyarrow import fs
+        from pyarrow import parquet as pq
 
         store, root = fs.FileSystem.from_uri(path)
-        files = store.get_file_info(fs.FileSelector(f"{root}/page={page}", allow_not_found=True))
-        rows = [json.loads(line) for f in files if f.path.endswith(".json") for line in store.open_input_stream(f.path).read().splitlines()]
-        return sorted((r["event_id"], r["event_type"]) for r in rows) or None
+        files = store.get_file_info(fs.FileSelector(f"{root}/shelf={page // shelf}", allow_not_found=True))
+        found = [pq.read_table(f.path, columns=["event_id", "event_type"], filesystem=store, partitioning=None, filters=[("page", "=", page)]) for f in files if f.path.endswith(".parquet")]
+        return sorted((r["event_id"], r["event_type"]) for t in found for r in t.to_pylist()) or None
 
     spark.dataSource.register(paged.paged_source("event-pages", "event_id long, event_type string", fetch))
     return paged.pull_until(spark, "event-pages", 300, C("event_type") == "click", pages_at_a_time=4).select("event_id", "event_type")
