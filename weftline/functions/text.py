@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Callable
 from functools import cache
@@ -113,6 +114,23 @@ def script_ratio(c: Column, script: str) -> Column:
     return F.coalesce(F.try_divide(script_count(c, script), solid), F.lit(0.0))
 
 
+def latin_ratio(c: Column) -> Column:
+    """script_ratio of Latin letters for long columns, as an Arrow function: a regular expression that takes words out copies word by word. Not within lambdas."""
+    letters = "".join(chr(i) for i in range(128) if chr(i).isalpha()).encode()
+
+    def ratio(text: bytes) -> float:
+        rest = text.translate(None, letters)
+        count = len(text) - len(rest)
+        solid = count + len("".join(rest.decode().split()))
+        return count / solid if solid else 0.0
+
+    @F.arrow_udf("double")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([ratio(t or b"") for t in texts.cast(pa.binary()).to_pylist()], pa.float64())
+
+    return run(c)
+
+
 def has_any(c: Column, characters: str) -> Column:
     """Whether any of the characters occurs. What lies outside their range goes first: translate looks each character up."""
     if not characters:
@@ -127,7 +145,7 @@ def is_simplified(c: Column, least: float, marks: str = TRADITIONAL_MARKS) -> Co
 
 def speaks(c: Column, lang: Column, thai: float = 0.35, cjk: float = 0.45, latin: float = 0.45) -> Column:
     """Whether a text is in the script of its language: Simplified Chinese, Thai, or else Latin."""
-    return F.when(lang == "zho_Hans", is_simplified(c, cjk)).when(lang == "tha_Thai", script_ratio(c, "thai") >= thai).otherwise(script_ratio(c, "latin") >= latin)
+    return F.when(lang == "zho_Hans", is_simplified(c, cjk)).when(lang == "tha_Thai", script_ratio(c, "thai") >= thai).otherwise(latin_ratio(c) >= latin)
 
 
 def to_simplified(c: Column) -> Column:
@@ -233,25 +251,31 @@ def clean_definition(c: Column) -> Column:
 def pack_sentences(c: Column, max_chars: int, separators: str = r"(?:\\n+|[.!?！？。；;])") -> Column:
     """Pieces of at most max_chars: a text that fits comes back whole, else its sentences packed greedily, joined by a space; a longer piece is cut off.
 
-    separators keeps the literal backslash-n of the corpus format; the packing is one fold over the sentence array. The clean
-    text is bound once, as a lambda's argument; its pieces hold no white space but single spaces.
+    separators keeps the literal backslash-n of the corpus format. Pieces hold no white space but single spaces. An Arrow
+    function: as a fold of built-ins, which Spark interprets, this was most of the time of all that packs texts.
     """
-    return once(normalize_space(c), lambda text: _packed(text, max_chars, separators))
-
-
-def _packed(text: Column, max_chars: int, separators: str) -> Column:
-    parts = F.filter(F.transform(F.split(text, separators), lambda p: F.trim(F.substring(F.trim(p), 1, max_chars))), lambda p: p != "")
-    start = F.struct(F.lit("").alias("buf"), F.expr("cast(array() as array<string>)").alias("out"))
+    ends = re.compile(separators)
+
+    def packed(text: str) -> list[str]:
+        text = " ".join(text.split())
+        if len(text) <= max_chars:
+            return [text] if text else []
+        out, buf, size = [], [], 0
+        for part in ends.sub("\n", text).split("\n"):  # no other line end is left
+            part = part.strip()[:max_chars].strip()
+            if part and buf and size + 1 + len(part) > max_chars:
+                out.append(" ".join(buf))
+                buf, size = [part], len(part)
+            elif part:
+                size += len(part) + bool(buf)
+                buf.append(part)
+        return [*out, " ".join(buf)] if buf else out
 
-    def step(acc: Column, part: Column) -> Column:
-        fits = F.length(acc["buf"]) + 1 + F.length(part) <= max_chars
-        empty = acc["buf"] == ""
-        buf = F.when(empty | ~fits, part).otherwise(F.concat(acc["buf"], F.lit(" "), part))
-        return F.struct(buf.alias("buf"), F.when(empty | fits, acc["out"]).otherwise(F.array_append(acc["out"], acc["buf"])).alias("out"))
+    @F.arrow_udf("array<string>")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([packed(t or "") for t in texts.to_pylist()], pa.list_(pa.string()))
 
-    packed = F.aggregate(parts, start, step, lambda acc: F.when(acc["buf"] == "", acc["out"]).otherwise(F.array_append(acc["out"], acc["buf"])))
-    none = F.expr("cast(array() as array<string>)")
-    return F.when(F.coalesce(text, F.lit("")) == "", none).when(F.length(text) <= max_chars, F.array(text)).otherwise(packed)
+    return run(c)
 
 
 def join_lines(c: Column) -> Column:

@@ -175,7 +175,7 @@ RANGE_ROWS = 200_000
 
 
 def _choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows lang, _ord, k, hash, taken (in order): the first of each lang and _ord that isn't taken, by earlier ones here neither."""
+    """Of rows lang, _at, pos, hash, taken (in order): the first of each lang and _at that isn't taken, by earlier ones here neither."""
     mine: set[tuple[str, str]] = set()
     last = None
     for batch in batches:
@@ -196,33 +196,35 @@ def greedy_sources(found: DataFrame, range_rows: int | None = None, rounds: list
     choices are held against those of the ranges before: where an earlier range has taken, or no longer takes, one of its
     candidates, it is passed over again. With nothing to change, each range has seen what the ones before it take, so all is
     as one pass would choose. Long chains of documents that turn each other away lie within a range; rounds are as many as
-    such chains cross ranges, never more than there are ranges, and each works on the ranges that change.
+    such chains cross ranges, never more than there are ranges, and each works on the ranges that change. Texts are written where
+    they are made, and move once, to the choices.
     """
-    pieces = written(found.withColumn("k", F.row_number().over(Window.partitionBy("lang", "_ord").orderBy("pos")) - 1), "pieces")
-    doc, key = ["lang", "_ord"], ["lang", "hash"]
-    slots = pieces.select(*doc, "k", "hash")
+    pieces = written(found.select("lang", "_ord", "pos", "hash", "text"), "pieces")
+    doc, key, slot = ["lang", "_ord"], ["lang", "hash"], F.struct("pos", "hash")
+    slots = pieces.select(*doc, "pos", "hash")
     often = written(slots.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*key, F.lit(True).alias("shared")), "shared-hashes")
     marked = slots.join(bounded_broadcast(often), key, "left").withColumn("shared", F.coalesce("shared", F.lit(False)))
-    ends = marked.groupBy(*doc).agg(F.min(F.when(~F.col("shared"), F.col("k"))).alias("own"))
-    marked = written(marked.join(ends, doc), "marked", F.count_if(~(F.coalesce(F.col("own"), F.lit(1)) == 0) & (F.col("k") <= F.coalesce(F.col("own"), F.col("k")))).alias("n"))
-    settled = marked.where("own = 0 and k = 0").select(*doc, "k")
+    ends = marked.groupBy(*doc).agg(F.min(slot).alias("first"), F.min(F.when(~F.col("shared"), slot)).alias("own"))
+    settled = F.col("first").eqNullSafe(F.col("own"))
+    wanted = marked.join(ends, doc).where(F.col("own").isNull() | (slot <= F.col("own"))).select(*doc, "pos", "hash", "shared", settled.alias("settled"))
+    marked = written(wanted, "marked", F.count_if(~F.col("settled")).alias("n"))
     ranges = max(1, -(-marked.measured["n"] // (range_rows or RANGE_ROWS)))
     order = [F.col("lang").asc(), F.col("_ord").asc()]
-    open_ = marked.where("coalesce(own, 1) > 0 and k <= coalesce(own, k)").select(*doc, "k", "hash", "shared")
+    open_ = marked.where("not settled").drop("settled")
     placed = open_.repartitionByRange(ranges, *order).withColumn("part", F.spark_partition_id())
     asked = written(placed.withColumn("_at", F.dense_rank().over(Window.partitionBy("part").orderBy(*order))), "asked", F.max("part").alias("last"))
     parts = (asked.measured["last"] or 0) + 1
-    fields = "part int, lang string, _at int, k int, hash string, shared boolean"
+    fields = f"part int, lang string, _at int, pos {slots.schema['pos'].dataType.simpleString()}, hash string, shared boolean"
 
     def passed(rows: DataFrame) -> DataFrame:
         """What the ranges of rows choose."""
-        inside = rows.select("part", "lang", "_at", "k", "hash", "shared", "taken").repartition(parts, "part").sortWithinPartitions("part", "_at", "k")
+        inside = rows.select("part", "lang", "_at", "pos", "hash", "shared", "taken").repartition(parts, "part").sortWithinPartitions("part", "_at", "pos", "hash")
 
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for _, group in _runs(batches, "part"):
                 yield from _choose(group)
 
-        return inside.mapInArrow(each, f"{fields}, taken boolean").select("part", "lang", "_at", "k", "hash", "shared")
+        return inside.mapInArrow(each, f"{fields}, taken boolean").select("part", "lang", "_at", "pos", "hash", "shared")
 
     chosen = written(passed(asked.withColumn("taken", F.lit(False))), "chosen")
     against = asked.select("part", *key).limit(0)  # what each range knew to be taken, when it last chose
@@ -240,8 +242,10 @@ def greedy_sources(found: DataFrame, range_rows: int | None = None, rounds: list
         chosen, against = written(stay.unionByName(passed(again)), "chosen"), now
     if rounds is not None:
         rounds.extend(log)
-    picked = asked.join(chosen.select("part", "_at", "k"), ["part", "_at", "k"], "left_semi").select(*doc, "k")
-    return pieces.join(settled.unionByName(picked), [*doc, "k"]).select("lang", "_ord", "pos", "hash", "text")
+    picked = asked.join(chosen.select("part", "_at", "pos", "hash"), ["part", "_at", "pos", "hash"], "left_semi").select(*doc, "pos", "hash")
+    choices = marked.where("settled").select(*doc, "pos", "hash").unionByName(picked)
+    # one row a document, should one stand there twice, with the same candidates
+    return pieces.join(choices, [*doc, "pos", "hash"], "left_semi").dropDuplicates(doc)
 
 
 def _runs(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[object, Iterator[pa.RecordBatch]]]:
