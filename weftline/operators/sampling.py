@@ -189,7 +189,17 @@ def _choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def greedy_sources(found: DataFrame, range_rows: int | None = None, rounds: list[int] | None = None) -> DataFrame:
-    """At most one candidate a document, no hash twice in a language, as a pass in order would choose. rounds: gets what each round worked out anew.
+    """greedy_choices with their texts."""
+    return with_texts(*greedy_choices(found, range_rows, rounds))
+
+
+def with_texts(pieces: DataFrame, choices: DataFrame) -> DataFrame:
+    """lang, _ord, pos, hash, text of choices. Pieces of a document that stands there twice may be the same; one is given."""
+    return pieces.join(choices, ["lang", "_ord", "pos", "hash"], "left_semi").dropDuplicates(["lang", "_ord"])
+
+
+def greedy_choices(found: DataFrame, range_rows: int | None = None, rounds: list[int] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The pieces, and those chosen (lang, _ord, pos, hash): at most one candidate a document, no hash twice in a language, as a pass in order would choose. rounds: gets what each round worked out anew.
 
     A document whose first candidate no other has is settled at once, and of the others only the candidates up to the first
     that is theirs alone matter. These fall into ranges of documents, in order; a task passes over a range. Then each range's
@@ -243,9 +253,8 @@ def greedy_sources(found: DataFrame, range_rows: int | None = None, rounds: list
     if rounds is not None:
         rounds.extend(log)
     picked = asked.join(chosen.select("part", "_at", "pos", "hash"), ["part", "_at", "pos", "hash"], "left_semi").select(*doc, "pos", "hash")
-    choices = marked.where("settled").select(*doc, "pos", "hash").unionByName(picked)
-    # one row a document, should one stand there twice, with the same candidates
-    return pieces.join(choices, [*doc, "pos", "hash"], "left_semi").dropDuplicates(doc)
+    choices = marked.where("settled").select(*doc, "pos", "hash").unionByName(picked).dropDuplicates(doc)
+    return pieces, written(choices, "choices")
 
 
 def _runs(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[object, Iterator[pa.RecordBatch]]]:

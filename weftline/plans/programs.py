@@ -58,29 +58,29 @@ def pivot_lexicons(lexicons: Mapping[tuple[str, str], DataFrame], languages: Seq
 def synthetic_pairs(docs: DataFrame, src_lang: str, tgt_lang: str, translator: remote.Translator, quota: int, done: DataFrame | None = None, over: float = 1.2, min_chars: int = 20, max_chars: int = 600) -> DataFrame:
     """Alpaca rows from monolingual text: greedy candidates, not yet done, translated and checked by script, the first quota of them.
 
-    Each round asks for somewhat more than is lacking. A rejected answer gives its place back: rounds go on until the quota is
-    full or the sources are at an end, and each writes its answers, so that none is asked for twice.
+    Sources are chosen without their texts, which are fetched for those that are asked for. Each round asks for somewhat more
+    than is lacking. A rejected answer gives its place back: rounds go on until the quota is full or the sources are at an end,
+    and each writes its answers, so that none is asked for twice.
     """
     from ..functions.text import speaks
 
-    found = sampling.greedy_sources(sampling.candidates(docs, F.lit(src_lang), min_chars, max_chars))
+    pieces, found = sampling.greedy_choices(sampling.candidates(docs, F.lit(src_lang), min_chars, max_chars))
     if done is not None:
-        found = found.join(done.withColumnRenamed("source_hash", "hash"), "hash", "left_anti")
-    found = written(found, "sources")
+        found = written(found.join(done.withColumnRenamed("source_hash", "hash"), "hash", "left_anti"), "sources")
     inst = names.candidate_instruction(F.lit(src_lang), F.lit(tgt_lang))
     tally = (F.count(F.lit(1)).alias("asked"), F.count_if("good").alias("good"))
     every, good = None, 0
     while good < quota:
         rest = found if every is None else found.join(bounded_broadcast(every.select("hash")), "hash", "left_anti")
         most = int((quota - good) * over) + 1
-        asked = pairs.first_rows(rest, most).withColumn("prompt", names.prompt(inst, F.col("text")))
+        asked = sampling.with_texts(pieces, bounded_broadcast(pairs.first_rows(rest, most))).withColumn("prompt", names.prompt(inst, F.col("text")))
         answered = remote.translate(asked, translator, "prompt", "output").withColumn("good", F.coalesce(F.col("error").isNull() & speaks(F.col("output"), F.lit(tgt_lang)), F.lit(False)))
         answered = written(answered, "answers", *tally)
         every = answered if every is None else every.unionByName(answered)
         good += answered.measured["good"]
         if answered.measured["asked"] < most:
             break
-    kept = pairs.first_rows((every if every is not None else found.limit(0).withColumns({"output": F.lit(""), "good": F.lit(False)})).where("good"), quota)
+    kept = pairs.first_rows((every if every is not None else pieces.limit(0).withColumns({"output": F.lit(""), "good": F.lit(False)})).where("good"), quota)
     meta = F.struct(F.lit(src_lang).alias("source"), F.col("hash").alias("source_hash"))
     return kept.select(inst.alias("instruction"), F.col("text").alias("input"), "output", meta.alias("meta"), "_ord")
 
