@@ -82,8 +82,9 @@ def dictionary_backward(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"SELECT doc_id, md5(trim(regexp_replace(text, '\s+', ' ', 'g')) || ' ' || source || ' ' || lang) AS out FROM documents")
 def whitespace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = joined("　 ", C("text"), "\t ", C("source"), "\u001c\r\n", C("lang"), "  ")
-    return documents(spark, sf_dir).select("doc_id", F.md5(text.normalize_space(made)).alias("out"))
+    """Texts, set in white space and with more of it at each line end, normalised; source and language stand behind them as they are."""
+    made = joined("\u3000 ", F.replace("text", F.lit("\n"), F.lit("\u001c\r\n\u00a0")), "\t\u00a0 \u2028")
+    return documents(spark, sf_dir).select("doc_id", F.md5(joined(text.normalize_space(made), " ", C("source"), " ", C("lang"))).alias("out"))
 
 
 @query(r"""
